@@ -14,7 +14,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from attestra.session import cut_lineage
+
 ACCURACY = 10_000
+BROADCAST_GROUPS = 50_000
+SALTS = 64
 _SLACK = 4.0 / ACCURACY
 
 
@@ -29,6 +33,8 @@ def grouped_quantiles(
 ) -> DataFrame:
     """One row per key: ``n``, ``minimum``, ``maximum`` and one column per probability.
 
+    The frame is read twice, so an expensive one should be materialised first.
+
     NULL values are ignored. Linear interpolation a(1-w)+bw by default;
     ``nearest_rank`` takes the ceil(p*n)-th value instead.
     """
@@ -36,12 +42,12 @@ def grouped_quantiles(
     data = frame.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     wanted = [(max(0.0, p - _SLACK), min(1.0, p + _SLACK)) for p in probabilities]
     flat = [edge for pair in wanted for edge in pair]
-    sketch = data.groupBy(*keys).agg(
+    sketch = cut_lineage(data.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("_v").alias("minimum"),
         F.max("_v").alias("maximum"),
         F.percentile_approx("_v", flat, ACCURACY).alias("_edges"),
-    )
+    ))
     brackets = sketch.select(
         *keys, "n", "minimum", "maximum",
         *[
@@ -52,7 +58,7 @@ def grouped_quantiles(
             for i, (low, high) in enumerate(wanted)
         ],
     )
-    placed = data.join(brackets, keys)
+    placed = _place(data, brackets, keys)
     # Values below a bracket are counted under a NULL value, which sorts first,
     # so the running count inside the bracket is already the overall rank.
     reach = F.array_compact(
@@ -90,6 +96,19 @@ def grouped_quantiles(
     return picked.select(*keys, "n", "minimum", "maximum", *out)
 
 
+def _place(data: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+    """Bring each group's brackets to its rows without gathering a group.
+
+    Few groups (counted first) are broadcast. Many are joined by key and salt,
+    so that even then a hot group is spread over many tasks.
+    """
+    if brackets.count() <= BROADCAST_GROUPS:
+        return data.join(F.broadcast(brackets), keys)
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    salted = data.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
+    return salted.join(brackets.withColumn("_salt", salts), [*keys, "_salt"]).drop("_salt")
+
+
 def _ranks(probability: float, nearest_rank: bool) -> tuple[Column, Column, Column]:
     """1-based lower and upper rank and the weight of the upper one."""
     n = F.col("n")

@@ -10,6 +10,7 @@ from attestra import fixed_values as fixed
 from attestra.functions import decision, text
 from attestra.functions.numeric import exact_decimal
 from attestra.operators import pixels as px
+from attestra.session import cut_lineage
 
 
 def aggregate_cases(observations: DataFrame, aoi: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def aggregate_cases(observations: DataFrame, aoi: DataFrame) -> DataFrame:
     too few acquisitions keeps its totals and loses its measurements.
     """
     inside = px.restrict_to_aoi(observations, aoi)
-    aoi_pixels = px.over_aoi(px.composites(px.mosaic(inside)), aoi)
+    aoi_pixels = cut_lineage(px.over_aoi(px.composites(px.mosaic(inside)), aoi))
     coverage = px.joint_coverage(aoi_pixels, px.acquisition_counts(observations))
     spread = px.measure_distributions(aoi_pixels)
     median_of = lambda m: F.max(F.when(F.col("measure") == m, F.col("median")))

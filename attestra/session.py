@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -60,3 +60,13 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     """Reliable checkpoint: the data survives the loss of any executor."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def small_side(frame: DataFrame, max_rows: int = 50_000) -> DataFrame:
+    """The frame marked for broadcast if, once materialised, it is small; else as it is.
+
+    Beyond the bound the caller's join stays a shuffle join, which adaptive
+    execution splits where a key is hot.
+    """
+    kept = cut_lineage(frame)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept

@@ -103,3 +103,91 @@ medians AS (
 PIXEL_CTES = (PIXELS_SQL, OBSERVED_SQL, AOI_SQL)
 COMPOSITE_CTES = PIXEL_CTES + (MOSAIC_SQL, COMPOSITE_SQL)
 CASE_CTES = COMPOSITE_CTES + (COVERAGE_SQL, MEDIANS_SQL)
+
+# --- scene items -------------------------------------------------------------
+
+
+def scenes(t: Tables) -> DataFrame:
+    q, p = F.col("l_quantity").cast("int"), F.col("l_partkey")
+    part = p.cast("string")
+    band = lambda offset: F.struct(
+        F.lit(1e-4).alias("scale"), F.lit(offset).alias("offset"),
+        F.when(p % 19 == 0, 0.0).otherwise(10000.0).alias("quantification_value"), F.lit(0.0).alias("nodata"),
+        F.lit("PRODUCT_XML").alias("metadata_source"), F.when(p % 23 == 0, "FAIL").otherwise("PASS").alias("cross_check"),
+    )
+    raw_zenith = F.when(
+        (F.col("l_linenumber") != 7) & ~((F.col("l_linenumber") == 6) & (q % 10 == 0)), F.col("l_quantity") * 2
+    )
+    return t.lineitem.select(
+        F.when(F.col("l_shipdate") < F.lit(SPLIT_DAY).cast("timestamp"), "PRE").otherwise("POST").alias("win"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                    F.round(F.col("l_extendedprice") * 100).cast("long")).alias("id"),
+        F.lit("sentinel-2-l2a").alias("collection"),
+        F.col("l_returnflag").alias("platform"), F.col("l_suppkey").alias("datatake_id"),
+        F.col("l_shipdate").alias("datetime"), F.col("l_linenumber").alias("mgrs_tile"),
+        F.concat(F.lit("0"), q % 6, F.lit("."), q).alias("processing_baseline"),
+        F.when(q % 5 != 0, F.col("l_shipdate")).alias("processing_datetime"),
+        raw_zenith.alias("mean_solar_zenith_angle"),
+        F.create_map(
+            F.lit("B04"), part, F.lit("B08"), part, F.lit("SCL"), part, F.lit("product-metadata"), part,
+            F.lit("granule-metadata"), F.when(p % 17 == 0, F.lit(" ")).otherwise(part),
+        ).alias("assets"),
+        F.when(p % 29 == 0, F.create_map(F.lit("B04"), band(-0.1)))
+        .otherwise(F.create_map(F.lit("B04"), band(-0.1), F.lit("B08"), band(-0.1))).alias("radiometry"),
+        F.when(F.col("l_linenumber") == 7, F.lit(None).cast("string"))
+        .when((F.col("l_linenumber") == 6) & (q % 10 == 0), F.lit("n/a"))
+        .otherwise((F.col("l_quantity") * 2).cast("string")).alias("zenith_token"),
+        F.when(F.col("l_tax") == 0.08, "").otherwise("STAC").alias("zenith_source"),
+        F.when(F.col("l_discount") == 0.1, "FAIL").otherwise("PASS").alias("zenith_check"),
+        p.alias("asset_key"),
+    )
+
+
+SCENES_SQL = """
+scenes AS (
+  SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-07-01' THEN 'PRE' ELSE 'POST' END AS win,
+         concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS id,
+         l_returnflag AS platform, l_suppkey AS datatake_id, l_shipdate AS datetime, l_linenumber AS mgrs_tile,
+         CAST(l_quantity AS INT) AS q, concat('0', CAST(l_quantity AS INT) % 6, '.', CAST(l_quantity AS INT)) AS processing_baseline,
+         CASE WHEN CAST(l_quantity AS INT) % 5 <> 0 THEN l_shipdate END AS processing_datetime,
+         CASE WHEN l_linenumber = 7 OR (l_linenumber = 6 AND CAST(l_quantity AS INT) % 10 = 0) THEN NULL ELSE l_quantity * 2 END AS zenith,
+         CASE WHEN l_linenumber = 7 THEN 'MISSING' WHEN l_linenumber = 6 AND CAST(l_quantity AS INT) % 10 = 0 THEN 'UNPARSEABLE'
+              WHEN l_tax = 8e-2 OR l_discount = 1e-1 THEN 'FAIL' ELSE 'PASS' END AS zenith_status,
+         l_tax, l_discount, l_partkey AS asset_key,
+         l_partkey % 17 = 0 AS asset_bad, (l_partkey % 19 = 0 OR l_partkey % 23 = 0 OR l_partkey % 29 = 0) AS radiometry_bad
+  FROM lineitem),
+reasoned AS (
+  SELECT *, concat_ws(',', CASE WHEN asset_bad THEN 'RADIOMETRY_METADATA_UNRESOLVED' END,
+                     CASE WHEN zenith IS NULL THEN 'SOLAR_GEOMETRY_METADATA_UNRESOLVED' WHEN zenith > 70 THEN 'SOLAR_GEOMETRY_OUT_OF_RANGE' END,
+                     CASE WHEN radiometry_bad AND NOT asset_bad THEN 'RADIOMETRY_METADATA_UNRESOLVED' END) AS reasons
+  FROM scenes)"""
+SOLAR_SQL = """
+solar AS (
+  SELECT *, CASE WHEN zenith_status <> 'PASS' THEN 'SOLAR_GEOMETRY_METADATA_UNRESOLVED'
+                 WHEN zenith > 70 THEN 'SOLAR_GEOMETRY_OUT_OF_RANGE' END AS exclusion_reason FROM scenes)"""
+CANONICAL_SQL = """
+ordered AS (
+  SELECT *, row_number() OVER w AS rn, rank() OVER v AS rk, count(*) OVER c AS candidate_count FROM reasoned
+  WINDOW w AS (PARTITION BY win, platform, datatake_id, mgrs_tile ORDER BY q % 6 DESC, q DESC, processing_datetime DESC NULLS LAST, id),
+         v AS (PARTITION BY win, platform, datatake_id, mgrs_tile ORDER BY q % 6 DESC, q DESC, processing_datetime DESC NULLS LAST),
+         c AS (PARTITION BY win, platform, datatake_id, mgrs_tile)),
+finalists AS (
+  SELECT win, platform, datatake_id, mgrs_tile, count(*) AS finalist_count, count(DISTINCT asset_key) > 1 AS ambiguous,
+         min(candidate_count) AS candidate_count FROM ordered WHERE rk = 1 GROUP BY ALL),
+canonical AS (
+  SELECT o.win, o.platform, o.datatake_id, o.mgrs_tile, o.id AS selected_item_id, o.reasons, f.finalist_count, f.ambiguous, f.candidate_count
+  FROM ordered o JOIN finalists f USING (win, platform, datatake_id, mgrs_tile) WHERE o.rn = 1)"""
+GROUPS_SQL = """
+firsts AS (
+  SELECT win, platform, datatake_id, r AS reason, min(mgrs_tile * 100 + pos) AS place
+  FROM (SELECT win, platform, datatake_id, mgrs_tile, unnest(string_split(reasons, ',')) AS r,
+               generate_subscripts(string_split(reasons, ','), 1) AS pos FROM canonical WHERE reasons <> '') GROUP BY ALL),
+merged AS (SELECT win, platform, datatake_id, string_agg(reason, ',' ORDER BY place) AS reasons FROM firsts GROUP BY ALL),
+acq AS (
+  SELECT c.win, c.platform, c.datatake_id, string_agg(selected_item_id, ',' ORDER BY mgrs_tile) AS item_ids,
+         string_agg(CAST(mgrs_tile AS VARCHAR), ',' ORDER BY mgrs_tile) AS tiles, count(*) AS components,
+         coalesce(min(m.reasons), '') AS reasons
+  FROM canonical c LEFT JOIN merged m USING (win, platform, datatake_id) GROUP BY ALL)"""
+SCENE_CTES = (SCENES_SQL,)
+CANONICAL_CTES = (SCENES_SQL, CANONICAL_SQL)
+GROUP_CTES = CANONICAL_CTES + (GROUPS_SQL,)

@@ -8,6 +8,7 @@ from attestra import fixed_values as fixed
 from attestra.functions import decision, text
 from attestra.operators import pixels as px
 from attestra.plans import observation
+from attestra.session import cut_lineage
 from attestra.sources import pixels as pixel_source
 from workloads import domain
 from workloads.registry import Tables, query
@@ -104,7 +105,7 @@ def joint_pixels(t: Tables) -> DataFrame:
 SELECT case_id, round(pre_m, 9) AS pre_window_ndvi_median, round(post_m, 9) AS post_window_ndvi_median,
        round(delta_ndvi, 9) AS delta_ndvi FROM medians""", domain.CASE_CTES)
 def window_medians(t: Tables) -> DataFrame:
-    return px.window_medians(aoi_pixels(t)).select(
+    return px.window_medians(cut_lineage(aoi_pixels(t))).select(
         "case_id", r9("pre_window_ndvi_median"), r9("post_window_ndvi_median"), r9("delta_ndvi")
     )
 
@@ -131,7 +132,7 @@ SELECT case_id, count(*) AS n, round(quantile_cont(delta, 0.05), 9) AS q05, roun
        round(quantile_cont(delta, 0.75) - quantile_cont(delta, 0.25), 9) AS iqr, round((SELECT mad FROM spread), 9) AS mad
 FROM aoi_pixels WHERE joint GROUP BY case_id""", domain.CASE_CTES)
 def delta_distribution(t: Tables) -> DataFrame:
-    spread = px.measure_distributions(aoi_pixels(t)).filter(F.col("measure") == "DELTA")
+    spread = px.measure_distributions(cut_lineage(aoi_pixels(t))).filter(F.col("measure") == "DELTA")
     return spread.select("case_id", "n", *[r9(c) for c in (*fixed.QUANTILE_NAMES, "iqr", "mad")])
 
 
