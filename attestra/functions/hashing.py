@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from attestra import fixed_values as fixed
 
@@ -22,13 +22,13 @@ def event_id(prefix: str, seed: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(sha256_text(seed), 1, 32))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _ascii_json(documents: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in documents:
         yield batch.map(lambda d: None if d is None else _dump(d, True))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _utf8_json(documents: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in documents:
         yield batch.map(lambda d: None if d is None else _dump(d, False))

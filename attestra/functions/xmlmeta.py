@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from attestra import fixed_values as fixed
 from attestra.functions.numeric import finite_or_null
@@ -32,7 +32,11 @@ def _root(document: str | None):
         return None
 
 
-@F.pandas_udf("array<string>")
+_TEXTS = T.ArrayType(T.StringType())
+_CALIBRATION = T.StructType([T.StructField(n, _TEXTS) for n in ("quantification", "B04", "B08", "nodata")])
+
+
+@F.pandas_udf(_TEXTS)
 def _zenith_texts(documents: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def one(document):
         root = _root(document)
@@ -44,7 +48,7 @@ def _zenith_texts(documents: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(one)
 
 
-@F.pandas_udf("quantification array<string>, B04 array<string>, B08 array<string>, nodata array<string>")
+@F.pandas_udf(_CALIBRATION)
 def _calibration_texts(documents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     def one(document):
         root = _root(document)
