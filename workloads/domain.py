@@ -191,3 +191,99 @@ acq AS (
 SCENE_CTES = (SCENES_SQL,)
 CANONICAL_CTES = (SCENES_SQL, CANONICAL_SQL)
 GROUP_CTES = CANONICAL_CTES + (GROUPS_SQL,)
+
+# --- requests and facts ---------------------------------------------------------
+
+BINDINGS = {"INTEGRITY": {"commit": "c0"}, "OBSERVATION": {"run": "r0"}}
+
+
+def _subject_type(key: str):
+    k = F.col(key) % 4
+    return F.when(k <= 1, "ACCU_PROJECT").when(k == 2, "SAFEGUARD_FACILITY").otherwise("UNIT_CONCEPTS")
+
+
+def facts(t: Tables) -> DataFrame:
+    subject = _subject_type("l_orderkey")
+    line = F.col("l_linenumber")
+    families = ["REGISTRY_FACTS", "SAFEGUARD_FACILITY_FACTS", "OBSERVATIONAL_CONSISTENCY"]
+    array = lambda names: F.array(*[F.lit(n) for n in names])
+    own_scope = F.when(F.col("l_orderkey") % 4 <= 1, "PUBLIC_REGISTRY_FACTS").when(
+        F.col("l_orderkey") % 4 == 2, "PUBLIC_SAFEGUARD_FACTS"
+    ).otherwise("PUBLIC_UNIT_DEFINITION")
+    return t.lineitem.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                    F.round(F.col("l_extendedprice") * 100).cast("long")).alias("fact_id"),
+        F.col("l_orderkey").cast("string").alias("evidence_id"),
+        subject.alias("subject_type"), F.col("l_orderkey").cast("string").alias("subject_id"),
+        F.when(line % 2 == 0, array([*families, "ACCU_SMC_SEMANTIC_BOUNDARY", "POLICY_APPLICABILITY"])).otherwise(array(families)).alias(
+            "claim_families"
+        ),
+        F.array(
+            F.when(F.col("l_returnflag") == "A", "registry").when(F.col("l_returnflag") == "N", "safeguard").otherwise("applicable_policy"),
+            F.when(F.col("l_linestatus") == "F", "project_identity").otherwise("facility_identity"),
+            F.when(line <= 3, "frozen_observation").when(line <= 5, "smc_issuance").otherwise("accu_definition"),
+        ).alias("tags"),
+        F.when(F.col("l_tax") == 0.08, "PUBLIC_UNIT_DEFINITION").otherwise(own_scope).alias("authority_scope"),
+        F.col("l_shipdate").cast("date").alias("accessed_on"),
+        F.when(F.col("l_discount") >= 0.05, "method").alias("assertion_key"),
+        F.concat(F.lit('"'), "l_returnflag", F.lit('"')).alias("assertion_value"),
+        F.when(line == 1, "INTEGRITY").when(line == 2, "OBSERVATION").alias("role"),
+        F.create_map(
+            F.lit("commit"), F.concat(F.lit("c"), F.col("l_suppkey") % 2), F.lit("run"), F.concat(F.lit("r"), F.col("l_partkey") % 2)
+        ).alias("attributes"),
+        F.concat_ws(" ", F.lit("part"), "l_partkey", F.lit("status"), "l_linestatus").alias("text"),
+    )
+
+
+def requests(t: Tables) -> DataFrame:
+    level = F.substring("o_orderpriority", 1, 1)
+    family = (
+        F.when(level == "1", "REGISTRY_FACTS").when(level == "2", "SAFEGUARD_FACILITY_FACTS")
+        .when(level == "3", "OBSERVATIONAL_CONSISTENCY")
+        .when(level == "4", F.when(F.col("o_orderstatus") == "F", "CARBON_QUANTITY").otherwise("FINANCIAL_ACTION"))
+        .otherwise("POLICY_APPLICABILITY")
+    )
+    return t.orders.select(
+        F.col("o_orderkey").alias("request_id"), _subject_type("o_orderkey").alias("subject_type"),
+        F.col("o_orderkey").cast("string").alias("subject_id"), family.alias("claim_family"),
+        F.concat_ws(" ", F.lit("Restate the status of part"), "o_custkey").alias("question"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate").cast("date")).alias("minimum_source_date"),
+    )
+
+
+FACTS_SQL = """
+facts AS (
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS fact_id,
+         CAST(l_orderkey AS VARCHAR) AS subject_id,
+         CASE WHEN l_orderkey % 4 <= 1 THEN 'ACCU_PROJECT' WHEN l_orderkey % 4 = 2 THEN 'SAFEGUARD_FACILITY' ELSE 'UNIT_CONCEPTS' END AS subject_type,
+         CASE WHEN l_linenumber % 2 = 0 THEN ['REGISTRY_FACTS', 'SAFEGUARD_FACILITY_FACTS', 'OBSERVATIONAL_CONSISTENCY', 'ACCU_SMC_SEMANTIC_BOUNDARY', 'POLICY_APPLICABILITY']
+              ELSE ['REGISTRY_FACTS', 'SAFEGUARD_FACILITY_FACTS', 'OBSERVATIONAL_CONSISTENCY'] END AS claim_families,
+         [CASE l_returnflag WHEN 'A' THEN 'registry' WHEN 'N' THEN 'safeguard' ELSE 'applicable_policy' END,
+          CASE l_linestatus WHEN 'F' THEN 'project_identity' ELSE 'facility_identity' END,
+          CASE WHEN l_linenumber <= 3 THEN 'frozen_observation' WHEN l_linenumber <= 5 THEN 'smc_issuance' ELSE 'accu_definition' END] AS tags,
+         CASE WHEN l_tax = 8e-2 OR l_orderkey % 4 = 3 THEN 'PUBLIC_UNIT_DEFINITION' WHEN l_orderkey % 4 = 2 THEN 'PUBLIC_SAFEGUARD_FACTS'
+              ELSE 'PUBLIC_REGISTRY_FACTS' END AS authority_scope,
+         CAST(l_shipdate AS DATE) AS accessed_on, CASE WHEN l_discount >= 5e-2 THEN 'method' END AS assertion_key, l_returnflag AS assertion_value,
+         CASE l_linenumber WHEN 1 THEN 'INTEGRITY' WHEN 2 THEN 'OBSERVATION' END AS role,
+         concat('c', l_suppkey % 2) AS commit_value, concat('r', l_partkey % 2) AS run_value,
+         concat_ws(' ', 'part', l_partkey, 'status', l_linestatus) AS text
+  FROM lineitem)"""
+REQUESTS_SQL = """
+requests AS (
+  SELECT o_orderkey AS request_id, CAST(o_orderkey AS VARCHAR) AS subject_id,
+         CASE WHEN o_orderkey % 4 <= 1 THEN 'ACCU_PROJECT' WHEN o_orderkey % 4 = 2 THEN 'SAFEGUARD_FACILITY' ELSE 'UNIT_CONCEPTS' END AS subject_type,
+         CASE left(o_orderpriority, 1) WHEN '1' THEN 'REGISTRY_FACTS' WHEN '2' THEN 'SAFEGUARD_FACILITY_FACTS' WHEN '3' THEN 'OBSERVATIONAL_CONSISTENCY'
+              WHEN '4' THEN CASE WHEN o_orderstatus = 'F' THEN 'CARBON_QUANTITY' ELSE 'FINANCIAL_ACTION' END ELSE 'POLICY_APPLICABILITY' END AS claim_family,
+         concat_ws(' ', 'Restate the status of part', o_custkey) AS question,
+         CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) END AS minimum_source_date
+  FROM orders),
+rules AS (
+  SELECT * FROM (VALUES
+    ('REGISTRY_FACTS', NULL, ['ACCU_PROJECT'], ['registry', 'project_identity'], ['PUBLIC_REGISTRY_FACTS']),
+    ('SAFEGUARD_FACILITY_FACTS', NULL, ['SAFEGUARD_FACILITY'], ['safeguard', 'facility_identity', 'smc_issuance'], ['PUBLIC_SAFEGUARD_FACTS']),
+    ('OBSERVATIONAL_CONSISTENCY', NULL, ['ACCU_PROJECT'], ['frozen_observation', 'registry'], ['PUBLIC_REGISTRY_FACTS', 'BOUNDED_OBSERVATION_ONLY']),
+    ('POLICY_APPLICABILITY', NULL, ['ACCU_PROJECT', 'SAFEGUARD_FACILITY'], ['applicable_policy'], ['PUBLIC_REGISTRY_FACTS']),
+    ('CARBON_QUANTITY', 'CARBON_QUANTITY_UNSUPPORTED', CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])),
+    ('FINANCIAL_ACTION', 'FINANCIAL_DECISION_UNSUPPORTED', CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]))
+  ) v(claim_family, refused_code, subject_types, required_tags, allowed_scopes))"""
+QUALIFY_CTES = (FACTS_SQL, REQUESTS_SQL)
