@@ -99,10 +99,10 @@ def latency_summary(samples: DataFrame, keys: Sequence[str], value: str, digits:
 
 def partition_keys(cases: DataFrame, dimensions: Mapping[str, Column]) -> DataFrame:
     """Distinct (split, dimension, key); array-valued dimensions count every element."""
-    entries = [
-        F.transform(column, lambda v, d=name: F.struct(F.lit(d).alias("dimension"), v.cast("string").alias("key")))
-        for name, column in dimensions.items()
-    ]
+    def keyed(name: str, column: Column) -> Column:
+        return F.transform(column, lambda v: F.struct(F.lit(name).alias("dimension"), v.cast("string").alias("key")))
+
+    entries = [keyed(name, column) for name, column in dimensions.items()]
     return cases.select("split", F.inline(F.concat(*entries))).distinct()
 
 

@@ -68,7 +68,7 @@ def rank_topk(t: Tables) -> DataFrame:
 
 
 CASES_SQL = """
-cases AS (SELECT item_id, text AS question, item_id * 5 AS expected_id, e.source, e.lang FROM benchmark b JOIN documents e ON e.doc_id = b.item_id * 5),
+cases AS (SELECT item_id, b.text AS question, item_id * 5 AS expected_id, e.source, e.lang FROM benchmark b JOIN documents e ON e.doc_id = b.item_id * 5),
 expected AS (SELECT c.item_id, s.lexical, s.vector, s.hybrid FROM cases c JOIN scores s ON s.item_id = c.item_id AND s.doc_id = c.expected_id),
 within_subject AS (SELECT c.item_id, c.expected_id, s.doc_id, s.lexical, s.vector, s.hybrid FROM cases c JOIN documents x ON x.source = c.source AND x.lang = c.lang
             JOIN scores s ON s.item_id = c.item_id AND s.doc_id = x.doc_id),
