@@ -1,11 +1,12 @@
-"""Exact quantiles of unbounded groups, without holding a group in one task.
-
-The built-in exact percentile keeps a whole group's values in one task. Here a
-mergeable sketch of fixed size first gives, per group and probability, a narrow
-bracket that surely contains the wanted order statistics. A second pass counts
-the values below each bracket and the distinct values inside it (both combine
-map-side), and only that sliver is ordered. The result is exact; a bracket that
-missed its rank would fail the job, never change the answer.
+"""Exact quantiles of groups of any size, without holding a large group in one task.
+
+Group sizes are counted first. While every group is small the built-in exact
+percentile does the work. Otherwise a mergeable sketch of fixed size gives, per
+group and probability, a narrow bracket that surely contains the wanted order
+statistics; a second pass counts the values below each bracket and the distinct
+values inside it (both combine map-side), and only that sliver is ordered. Both
+ways are exact; a bracket that missed its rank would fail the job, never change
+the answer.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from attestra import fixed_values as fixed
 from attestra.session import cut_lineage
 
+SMALL_GROUP = 200_000  # values one task may hold for the built-in percentile
 ACCURACY = 10_000
+WHOLE_RANGE = 20_000  # up to this size a bracket is the group's whole range
 BROADCAST_GROUPS = 50_000
 SALTS = 64
 _SLACK = 4.0 / ACCURACY
@@ -30,35 +34,55 @@ def grouped_quantiles(
     names: Sequence[str],
     *,
     nearest_rank: bool = False,
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """One row per key: ``n``, ``minimum``, ``maximum`` and one column per probability.
 
-    The frame is read twice, so an expensive one should be materialised first.
-
     NULL values are ignored. Linear interpolation a(1-w)+bw by default;
-    ``nearest_rank`` takes the ceil(p*n)-th value instead.
+    ``nearest_rank`` takes the ceil(p*n)-th value instead. The frame is read
+    more than once, so an expensive one should be materialised first.
     """
     keys = list(keys)
     data = frame.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    sizes = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    largest, groups = sizes.agg(F.coalesce(F.max("n"), F.lit(0)), F.count(F.lit(1))).first()
+    if largest <= small_group:
+        return _built_in(data, keys, probabilities, names, nearest_rank)
+    return _bracketed(data, keys, probabilities, names, nearest_rank, groups)
+
+
+def _built_in(data: DataFrame, keys: list[str], probabilities, names, nearest_rank: bool) -> DataFrame:
+    if nearest_rank:
+        wanted = [F.expr(f"percentile_disc({p}D) WITHIN GROUP (ORDER BY _v)").alias(n) for p, n in zip(probabilities, names)]
+        return data.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"), F.min("_v").alias("minimum"), F.max("_v").alias("maximum"), *wanted
+        )
+    several = F.percentile("_v", F.array(*[F.lit(p) for p in probabilities])).alias("_q")
+    made = data.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("_v").alias("minimum"), F.max("_v").alias("maximum"), several
+    )
+    return made.select(*keys, "n", "minimum", "maximum", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+
+
+def _bracketed(data: DataFrame, keys: list[str], probabilities, names, nearest_rank: bool, groups: int) -> DataFrame:
     wanted = [(max(0.0, p - _SLACK), min(1.0, p + _SLACK)) for p in probabilities]
-    flat = [edge for pair in wanted for edge in pair]
-    sketch = cut_lineage(data.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("_v").alias("minimum"),
-        F.max("_v").alias("maximum"),
-        F.percentile_approx("_v", flat, ACCURACY).alias("_edges"),
-    ))
+    sketch = cut_lineage(
+        data.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"), F.min("_v").alias("minimum"), F.max("_v").alias("maximum"),
+            F.percentile_approx("_v", [edge for pair in wanted for edge in pair], ACCURACY).alias("_edges"),
+        )
+    )
+    whole = F.col("n") <= WHOLE_RANGE
     brackets = sketch.select(
         *keys, "n", "minimum", "maximum",
         *[
             F.struct(
-                (F.col("minimum") if low == 0.0 else F.col("_edges")[2 * i]).alias("low"),
-                (F.col("maximum") if high == 1.0 else F.col("_edges")[2 * i + 1]).alias("high"),
+                F.when(whole | F.lit(low == 0.0), F.col("minimum")).otherwise(F.col("_edges")[2 * i]).alias("low"),
+                F.when(whole | F.lit(high == 1.0), F.col("maximum")).otherwise(F.col("_edges")[2 * i + 1]).alias("high"),
             ).alias(f"_b{i}")
             for i, (low, high) in enumerate(wanted)
         ],
     )
-    placed = _place(data, brackets, keys)
     # Values below a bracket are counted under a NULL value, which sorts first,
     # so the running count inside the bracket is already the overall rank.
     reach = F.array_compact(
@@ -71,38 +95,35 @@ def grouped_quantiles(
         ])
     )
     sliver = (
-        placed.select(*keys, "n", "minimum", "maximum", F.inline(reach).alias("_i", "_v"))
+        _place(data, brackets, keys, groups).select(*keys, "n", "minimum", "maximum", F.inline(reach).alias("_i", "_v"))
         .groupBy(*keys, "n", "minimum", "maximum", "_i", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     order = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
     last = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = sliver.select(*keys, "n", "minimum", "maximum", "_i", "_v", "_c", last.alias("_upto"))
-    picks = []
-    for i, probability in enumerate(probabilities):
-        low_rank, high_rank, _ = _ranks(probability, nearest_rank)
-        first = F.col("_upto") - F.col("_c")
-        mine = (F.col("_i") == i) & F.col("_v").isNotNull()
-        picks.append(F.max(F.when(mine & (first < low_rank) & (F.col("_upto") >= low_rank), F.col("_v"))).alias(f"_lo{i}"))
-        picks.append(F.max(F.when(mine & (first < high_rank) & (F.col("_upto") >= high_rank), F.col("_v"))).alias(f"_hi{i}"))
-    picked = ranked.groupBy(*keys, "n", "minimum", "maximum").agg(*picks)
-    out = []
+    picks, out = [], []
     for i, (probability, name) in enumerate(zip(probabilities, names)):
-        _, _, weight = _ranks(probability, nearest_rank)
+        low_rank, high_rank, weight = _ranks(probability, nearest_rank)
+        before = F.col("_upto") - F.col("_c")
+        mine = (F.col("_i") == i) & F.col("_v").isNotNull()
+        picks.append(F.max(F.when(mine & (before < low_rank) & (F.col("_upto") >= low_rank), F.col("_v"))).alias(f"_lo{i}"))
+        picks.append(F.max(F.when(mine & (before < high_rank) & (F.col("_upto") >= high_rank), F.col("_v"))).alias(f"_hi{i}"))
         low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         exact = F.when(weight == 0.0, low).otherwise(low * (1.0 - weight) + high * weight)
         missing = low.isNull() | high.isNull()
         out.append(F.when(missing, F.raise_error(F.lit("quantile bracket missed"))).otherwise(exact).alias(name))
+    picked = ranked.groupBy(*keys, "n", "minimum", "maximum").agg(*picks)
     return picked.select(*keys, "n", "minimum", "maximum", *out)
 
 
-def _place(data: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+def _place(data: DataFrame, brackets: DataFrame, keys: list[str], groups: int) -> DataFrame:
     """Bring each group's brackets to its rows without gathering a group.
 
-    Few groups (counted first) are broadcast. Many are joined by key and salt,
+    Few groups (counted before) are broadcast. Many are joined by key and salt,
     so that even then a hot group is spread over many tasks.
     """
-    if brackets.count() <= BROADCAST_GROUPS:
+    if groups <= BROADCAST_GROUPS:
         return data.join(F.broadcast(brackets), keys)
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
     salted = data.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
@@ -119,23 +140,23 @@ def _ranks(probability: float, nearest_rank: bool) -> tuple[Column, Column, Colu
     return F.floor(position) + 1, F.ceil(position) + 1, position - F.floor(position)
 
 
-def distribution(frame: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def distribution(frame: DataFrame, keys: Sequence[str], value: str, small_group: int = SMALL_GROUP) -> DataFrame:
     """Count, five quantiles, IQR and median absolute deviation per key."""
-    from attestra import fixed_values as fixed
-
     keys = list(keys)
-    basic = grouped_quantiles(frame, keys, value, fixed.QUANTILE_PROBABILITIES, fixed.QUANTILE_NAMES)
-    deviations = frame.join(basic.select(*keys, F.col("median").alias("_m")), keys).select(
-        *keys, F.abs(F.col(value) - F.col("_m")).alias("_d")
+    basic = grouped_quantiles(
+        frame, keys, value, fixed.QUANTILE_PROBABILITIES, fixed.QUANTILE_NAMES, small_group=small_group
     )
-    spread = grouped_quantiles(deviations, keys, "_d", [0.5], ["mad"]).select(*keys, "mad")
-    return basic.join(spread, keys).withColumn("iqr", F.col("q75") - F.col("q25"))
+    middles = cut_lineage(basic)
+    middle = middles.select(*keys, F.col("median").alias("_m"))
+    # As wide as the groups are many; a shuffle join beyond the bound.
+    middle = F.broadcast(middle) if middles.count() <= BROADCAST_GROUPS else middle
+    deviations = frame.join(middle, keys).select(*keys, F.abs(F.col(value) - F.col("_m")).alias("_d"))
+    spread = grouped_quantiles(deviations, keys, "_d", [0.5], ["mad"], small_group=small_group).select(*keys, "mad")
+    return middles.join(spread, keys).withColumn("iqr", F.col("q75") - F.col("q25"))
 
 
 def count_distribution(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """The same for small whole numbers: group to (value, frequency), then use the built-in."""
-    from attestra import fixed_values as fixed
-
     keys = list(keys)
     frequency = counts.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_f"))
     probabilities = F.array(*[F.lit(p) for p in fixed.QUANTILE_PROBABILITIES])
