@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("pixel_queries", "scene_queries", "evidence_queries", "retrieval_queries", "quality_queries", "geometry_queries")
+FAMILIES = ("pixel_queries", "scene_queries", "evidence_queries", "retrieval_queries", "quality_queries", "geometry_queries", "streaming_queries")
 
 
 def load():
