@@ -62,6 +62,15 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """Use all cores on an input with fewer splits than cores, such as one file of one row group.
+
+    A large table has more splits than cores and is left as it is.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def small_side(frame: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """The frame marked for broadcast if, once materialised, it is small; else as it is.
 

@@ -7,13 +7,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.session import configure
+from attestra.session import configure, spread
 
 TABLE_NAMES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
 ).split()
 
+SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id"}
+
 
 class Tables:
     """The given parquet tables of one directory, read lazily."""
@@ -25,7 +27,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLE_NAMES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table, SPREAD_KEYS[name]) if name in SPREAD_KEYS else table
 
 
 @dataclass(frozen=True)
