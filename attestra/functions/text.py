@@ -11,8 +11,8 @@ from attestra import fixed_values as fixed
 
 def tokens(text: Column) -> Column:
     """Sorted distinct lower-case alphanumeric tokens (term frequency is always one)."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(f"({fixed.TOKEN_PATTERN})"), F.lit(1))
-    return F.array_sort(F.array_distinct(found))
+    runs = F.split(F.lower(text), fixed.TOKEN_SEPARATOR)
+    return F.sort_array(F.array_remove(F.array_distinct(runs), ""))
 
 
 def html_text(html: Column) -> Column:

@@ -1,11 +1,10 @@
 """Ranking facts for questions: token overlap, TF-IDF cosine, and their mean.
 
 Every token counts once, so a fact's vector is the idf of its distinct tokens.
-The corpus is shuffled once, by document; after that the token explosion, the
-broadcast joins and both aggregations stay within a document's partition, so
-no (question, document) pair is ever shuffled before the final top-k, which
-Spark prunes per partition first. Question tokens and idf are broadcast only
-after their rows were counted; beyond the bound they are joined by shuffle.
+The corpus is tokenised, spread by document and written once. Question tokens
+and idf are broadcast only after their rows were counted; beyond the bound they
+are joined by shuffle. Pairs combine map-side before they are shuffled, and the
+final top-k is pruned per partition first.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from attestra.functions import text
-from attestra.session import small_side
+from attestra.session import cut_lineage, small_side
 
 MODES = ("lexical", "vector", "hybrid")
 BROADCAST_TOKENS = 400_000
@@ -27,6 +26,15 @@ def prepared(rows: DataFrame, identifier: str, content: str, subject: Sequence[s
     return rows.select(F.col(identifier).alias("id"), *subject, text.tokens(F.col(content)).alias("tokens"))
 
 
+def index(documents: DataFrame) -> DataFrame:
+    """The prepared corpus, spread by document and written once to the shared folder.
+
+    Every score reads the tokens several times; tokenising text again each time
+    would cost more than one write.
+    """
+    return cut_lineage(documents.repartition("id"))
+
+
 def idf(documents: DataFrame) -> DataFrame:
     """Document frequency and idf = ln((1 + N) / (1 + df)) + 1 per token."""
     total = documents.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -37,26 +45,35 @@ def idf(documents: DataFrame) -> DataFrame:
     return frequency.select("token", "document_frequency", weight.alias("idf"))
 
 
-def pair_scores(documents: DataFrame, questions: DataFrame, subject: Sequence[str] = ()) -> DataFrame:
+def token_weights(documents: DataFrame) -> DataFrame:
+    """Squared idf per token, broadcast when the vocabulary was counted to be small."""
+    return small_side(idf(documents).select("token", (F.col("idf") * F.col("idf")).alias("w")), BROADCAST_TOKENS)
+
+
+def pair_scores(
+    documents: DataFrame, questions: DataFrame, subject: Sequence[str] = (), weights: DataFrame | None = None
+) -> DataFrame:
     """Scores of all three modes for every pair sharing a token (and the subject).
 
-    Pairs sharing none score zero in each mode and are left out.
+    Pairs sharing none score zero in each mode and are left out. ``weights``
+    are those of the whole corpus when ``documents`` are only part of it.
     """
     subject = list(subject)
-    weights = small_side(idf(documents).select("token", (F.col("idf") * F.col("idf")).alias("w")), BROADCAST_TOKENS)
-    asked = questions.select(
-        F.col("id").alias("question_id"), *subject, F.size("tokens").alias("q_size"), F.explode("tokens").alias("token")
-    ).join(weights, "token", "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
-    norms = asked.groupBy("question_id").agg(F.sum("w").alias("q_norm2"))
-    wanted = small_side(asked.drop("w").join(norms, "question_id"), BROADCAST_TOKENS)
-
-    by_document = documents.repartition("id")
-    exploded = by_document.select("id", *subject, F.size("tokens").alias("d_size"), F.explode("tokens").alias("token")).join(weights, "token")
-    document_norms = exploded.groupBy("id").agg(F.sum("w").alias("d_norm2"))
-    shared = exploded.join(wanted, ["token", *subject]).groupBy("id", "question_id", "d_size", "q_size", "q_norm2").agg(
+    weights = token_weights(documents) if weights is None else weights
+    asked = questions.select(F.col("id").alias("question_id"), *subject, F.explode("tokens").alias("token")).join(weights, "token", "left")
+    wanted = small_side(asked, BROADCAST_TOKENS)
+    norms = small_side(
+        wanted.groupBy("question_id").agg(F.count(F.lit(1)).alias("q_size"), F.sum(F.coalesce("w", F.lit(1.0))).alias("q_norm2"))
+    )
+
+    exploded = documents.select("id", *subject, F.explode("tokens").alias("token"))
+    document_norms = exploded.join(weights, "token").groupBy("id").agg(
+        F.count(F.lit(1)).alias("d_size"), F.sum("w").alias("d_norm2")
+    )
+    shared = exploded.join(wanted, ["token", *subject]).groupBy("id", "question_id").agg(
         F.count(F.lit(1)).alias("shared"), F.sum("w").alias("dot")
     )
-    scored = shared.join(document_norms, "id")
+    scored = shared.join(document_norms, "id").join(norms, "question_id")
     lexical = F.col("shared") / (F.col("d_size") + F.col("q_size") - F.col("shared"))
     vector = F.col("dot") / (F.sqrt("q_norm2") * F.sqrt("d_norm2"))
     return scored.select(
@@ -73,6 +90,7 @@ def rank(
     if mode not in MODES:
         raise ValueError(f"unknown retrieval mode: {mode}")
     keys = list(subject)
+    documents = index(documents)
     scored = pair_scores(documents, questions, subject).select("question_id", "document_id", F.col(mode).alias("score"))
     best = _first(scored, ["question_id"], limit)
     filler = _zero_scores(documents, questions, best, limit, keys)
@@ -114,14 +132,17 @@ def expected_ranks(documents: DataFrame, cases: DataFrame, subject: Sequence[str
     missing expected document has a NULL rank.
     """
     subject = list(subject)
-    scored = pair_scores(documents, cases, subject)
+    documents = index(documents)
+    weights = token_weights(documents)
+    scored = pair_scores(documents, cases, subject, weights)
     targets = small_side(cases.select(F.col("id").alias("question_id"), *subject, "expected_id"))
     population = documents.select("id", *subject).join(targets, subject).groupBy("question_id").agg(
         F.count(F.lit(1)).alias("candidate_count"),
         F.count_if(F.col("id") < F.col("expected_id")).alias("_ids_before"),
         F.max(F.col("id") == F.col("expected_id")).alias("_present"),
     )
-    expected = scored.join(targets.select("question_id", "expected_id"), "question_id").filter(
+    answers = documents.join(targets.select(F.col("expected_id").alias("id")).distinct(), "id", "left_semi")
+    expected = pair_scores(answers, cases, subject, weights).join(targets.select("question_id", "expected_id"), "question_id").filter(
         F.col("document_id") == F.col("expected_id")
     ).select("question_id", *[F.col(m).alias(f"_{m}") for m in MODES])
     marks = targets.select("question_id", "expected_id").join(small_side(expected), "question_id", "left")

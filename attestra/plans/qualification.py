@@ -101,19 +101,24 @@ def _checks() -> Column:
 
 
 def statements(results: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Bounded statement per passed request, from its first-ranked fact of each needed tag.
+    """Bounded statement per passed request.
 
-    ``ranked`` holds request_id, fact_rank, tags and attributes (a string map).
+    Each parameter comes from the first-ranked selected fact that has the
+    parameter's tag and attribute. ``ranked`` holds request_id, fact_rank, tags
+    and attributes (a string map).
     """
-    tags = sorted({tag for _, parameters in fixed.FAMILY_STATEMENTS.values() for tag, _, _ in parameters.values()})
-    of_tag = lambda tag: F.min_by("attributes", F.when(F.array_contains("tags", tag), F.col("fact_rank")))
-    sources = ranked.groupBy("request_id").agg(*[of_tag(tag).alias(f"_{tag}") for tag in tags])
+    def first(tag: str, attribute: str) -> Column:
+        value = F.element_at("attributes", F.lit(attribute))
+        return F.min_by(value, F.when(F.array_contains("tags", tag) & value.isNotNull(), F.col("fact_rank")))
+
+    wanted = sorted({(tag, attribute) for _, parameters in fixed.FAMILY_STATEMENTS.values() for tag, attribute, _ in parameters.values()})
+    sources = ranked.groupBy("request_id").agg(*[first(tag, attribute).alias(f"_{tag}.{attribute}") for tag, attribute in wanted])
     passed = results.filter(F.col("workflow_status").isin("QUALIFIED", "ABSTAINED")).join(sources, "request_id")
     statement = F.lit(None).cast("string")
     for family, (template, parameters) in fixed.FAMILY_STATEMENTS.items():
         values = {}
         for name, (tag, attribute, default) in parameters.items():
-            value = F.element_at(F.col(f"_{tag}"), F.lit(attribute))
+            value = F.col(f"`_{tag}.{attribute}`")
             values[name] = value if default is None else F.coalesce(value, F.lit(default))
         statement = F.when(F.col("claim_family") == family, text.fill_template(F.lit(template), values)).otherwise(statement)
     return passed.select("request_id", statement.alias("bounded_statement"))
