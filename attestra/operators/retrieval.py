@@ -108,19 +108,18 @@ def _zero_scores(documents: DataFrame, questions: DataFrame, best: DataFrame, li
     Such a question has matched fewer than ``limit`` documents, so the first
     ``2 * limit`` ids of its subject always hold enough unmatched ones.
     """
-    keys = subject or ["_everything"]
-    everything = lambda frame: frame if subject else frame.withColumn("_everything", F.lit(1))
-    order = Window.partitionBy(*keys).orderBy("id")
-    heads = (
-        everything(documents).select("id", *keys).withColumn("_n", F.row_number().over(order))
-        .filter(F.col("_n") <= 2 * limit).select(F.col("id").alias("document_id"), *keys)
-    )
     found = best.groupBy("question_id").agg(F.count(F.lit(1)).alias("_found"))
     short = (
-        everything(questions).select(F.col("id").alias("question_id"), *keys).join(found, "question_id", "left")
+        questions.select(F.col("id").alias("question_id"), *subject).join(found, "question_id", "left")
         .filter(F.coalesce("_found", F.lit(0)) < limit)
     )
-    candidates = short.join(heads, keys).select("question_id", "document_id")
+    if subject:
+        order = Window.partitionBy(*subject).orderBy("id")
+        heads = documents.select("id", *subject, F.row_number().over(order).alias("_n")).filter(F.col("_n") <= 2 * limit)
+        candidates = short.join(heads, subject).select("question_id", F.col("id").alias("document_id"))
+    else:
+        heads = documents.select("id").orderBy("id").limit(2 * limit).agg(F.collect_list("id").alias("ids")).scalar()
+        candidates = short.select("question_id", F.explode(heads).alias("document_id"))
     return candidates.join(best, ["question_id", "document_id"], "left_anti").withColumn("score", F.lit(0.0))
 
 

@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame, functions as F
 from workloads.registry import Tables
 
 SPLIT_DAY = "1998-07-01"
-CASE = "CASE-001"
+CASES = 4  # areas of interest; a pixel belongs to the case of its key
+
+
+def case_of(pixel: str):
+    return F.concat(F.lit("CASE-"), F.col(pixel) % CASES)
 
 # --- pixels ----------------------------------------------------------------
 
@@ -19,7 +23,7 @@ CASE = "CASE-001"
 def pixels(t: Tables, scl=None) -> DataFrame:
     li = t.lineitem
     return li.select(
-        F.lit(CASE).alias("case_id"),
+        case_of("l_partkey").alias("case_id"),
         F.when(F.col("l_shipdate") < F.lit(SPLIT_DAY).cast("timestamp"), "PRE").otherwise("POST").alias("win"),
         (F.col("l_suppkey") % 12).alias("acquisition"),
         F.col("l_returnflag").alias("platform"),
@@ -43,12 +47,12 @@ def calibration(t: Tables) -> DataFrame:
 
 
 def aoi(t: Tables) -> DataFrame:
-    return t.part.filter(F.col("p_size") <= 40).select(F.lit(CASE).alias("case_id"), F.col("p_partkey").alias("pixel_id"))
+    return t.part.filter(F.col("p_size") <= 40).select(case_of("p_partkey").alias("case_id"), F.col("p_partkey").alias("pixel_id"))
 
 
 PIXELS_SQL = """
 pixels AS (
-  SELECT 'CASE-001' AS case_id,
+  SELECT concat('CASE-', l_partkey % 4) AS case_id,
          CASE WHEN l_shipdate < TIMESTAMP '1998-07-01' THEN 'PRE' ELSE 'POST' END AS win,
          l_suppkey % 12 AS acquisition, l_returnflag AS platform, l_linenumber AS tile,
          concat(l_orderkey, '-', l_linenumber) AS item_id, l_partkey AS pixel_id,
@@ -65,7 +69,7 @@ observed AS (
               THEN greatest(-1e0, least(1e0, (nir - red) / (nir + red))) END AS ndvi
   FROM reflected)"""
 AOI_SQL = """
-aoi AS (SELECT 'CASE-001' AS case_id, p_partkey AS pixel_id FROM part WHERE p_size <= 40)"""
+aoi AS (SELECT concat('CASE-', p_partkey % 4) AS case_id, p_partkey AS pixel_id FROM part WHERE p_size <= 40)"""
 MOSAIC_SQL = """
 mosaic AS (
   SELECT case_id, win, acquisition, pixel_id, arg_min(ndvi, component_order) AS ndvi,
@@ -84,8 +88,8 @@ aoi_pixels AS (
   FROM aoi a LEFT JOIN composite c USING (pixel_id))"""
 COVERAGE_SQL = """
 acquired AS (
-  SELECT count(DISTINCT acquisition) FILTER (win = 'PRE') AS pre_acquisitions,
-         count(DISTINCT acquisition) FILTER (win = 'POST') AS post_acquisitions FROM observed),
+  SELECT case_id, count(DISTINCT acquisition) FILTER (win = 'PRE') AS pre_acquisitions,
+         count(DISTINCT acquisition) FILTER (win = 'POST') AS post_acquisitions FROM observed GROUP BY case_id),
 coverage AS (
   SELECT p.case_id, count(*) AS aoi_total_pixels, min(a.pre_acquisitions) AS pre_acquisitions,
          min(a.post_acquisitions) AS post_acquisitions,
@@ -93,7 +97,7 @@ coverage AS (
          CAST(sum(CASE WHEN a.pre_acquisitions >= 3 AND a.post_acquisitions >= 3 AND joint THEN 1 ELSE 0 END) AS BIGINT) AS aoi_valid_pixels,
          CAST(sum(CASE WHEN a.pre_acquisitions >= 3 AND a.post_acquisitions >= 3 AND pre_ndvi IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS pre_eligible_pixels,
          CAST(sum(CASE WHEN a.pre_acquisitions >= 3 AND a.post_acquisitions >= 3 AND post_ndvi IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS post_eligible_pixels
-  FROM aoi_pixels p, acquired a GROUP BY p.case_id)"""
+  FROM aoi_pixels p JOIN acquired a USING (case_id) GROUP BY p.case_id)"""
 MEDIANS_SQL = """
 medians AS (
   SELECT case_id, median(pre_ndvi) AS pre_m, median(post_ndvi) AS post_m,

@@ -217,16 +217,17 @@ d AS (SELECT doc_id, doc_id % 40 AS item_id, [lang, source] AS tags, list_distin
 SELECT q.item_id, d.doc_id, 100 * len(list_intersect(d.tags, ['en', 'fr', 'src1'])) + 20 + len(list_intersect(q.toks, d.toks)) AS score
 FROM q JOIN d USING (item_id) WHERE len(list_intersect(d.tags, ['en', 'fr', 'src1'])) > 0""", ("one AS (SELECT 1)",))
 def fact_selection(t: Tables) -> DataFrame:
-    subject = F.lit("DOCUMENT").alias("subject_type")
-    facts = t.documents.select(
-        F.col("doc_id").alias("fact_id"), subject, (F.col("doc_id") % 40).alias("subject_id"), F.array(F.lit("F")).alias("claim_families"),
+    kind = lambda key: F.concat(F.lit("K"), F.col(key) % 2).alias("subject_type")
+    facts = t.documents.withColumn("subject_id", F.col("doc_id") % 40).select(
+        F.col("doc_id").alias("fact_id"), kind("subject_id"), "subject_id", F.array(F.lit("F0"), F.lit("F1")).alias("claim_families"),
         F.array("lang", "source").alias("tags"), "text",
     )
     requests = t.benchmark.select(
-        F.col("item_id").alias("request_id"), subject, F.col("item_id").alias("subject_id"), F.lit("F").alias("claim_family"),
-        F.col("text").alias("question"),
+        F.col("item_id").alias("request_id"), kind("item_id"), F.col("item_id").alias("subject_id"),
+        F.concat(F.lit("F"), F.col("item_id") % 2).alias("claim_family"), F.col("text").alias("question"),
     )
-    rules = t.spark.createDataFrame([("F", ["en", "fr", "src1"])], "claim_family string, required_fact_tags array<string>")
+    rows = [(family, ["en", "fr", "src1"]) for family in ("F0", "F1")]
+    rules = t.spark.createDataFrame(rows, "claim_family string, required_fact_tags array<string>")
     return ev.scored_facts(ev.request_facts(requests, facts), rules).select(
         F.col("request_id").alias("item_id"), F.col("fact_id").alias("doc_id"), "score"
     )

@@ -125,11 +125,11 @@ def coverage(t: Tables) -> DataFrame:
 
 
 @query("delta_distribution", """
-, spread AS (SELECT median(abs(delta - m.delta_median)) AS mad FROM aoi_pixels p JOIN medians m USING (case_id) WHERE joint)
+, spread AS (SELECT case_id, median(abs(delta - m.delta_median)) AS mad FROM aoi_pixels p JOIN medians m USING (case_id) WHERE joint GROUP BY case_id)
 SELECT case_id, count(*) AS n, round(quantile_cont(delta, 0.05), 9) AS q05, round(quantile_cont(delta, 0.25), 9) AS q25,
        round(median(delta), 9) AS median, round(quantile_cont(delta, 0.75), 9) AS q75,
        round(quantile_cont(delta, 0.95), 9) AS q95,
-       round(quantile_cont(delta, 0.75) - quantile_cont(delta, 0.25), 9) AS iqr, round((SELECT mad FROM spread), 9) AS mad
+       round(quantile_cont(delta, 0.75) - quantile_cont(delta, 0.25), 9) AS iqr, round((SELECT mad FROM spread s WHERE s.case_id = aoi_pixels.case_id), 9) AS mad
 FROM aoi_pixels WHERE joint GROUP BY case_id""", domain.CASE_CTES)
 def delta_distribution(t: Tables) -> DataFrame:
     spread = px.measure_distributions(cut_lineage(aoi_pixels(t))).filter(F.col("measure") == "DELTA")
@@ -226,13 +226,13 @@ def sensitivities(t: Tables) -> DataFrame:
 
 def _scope() -> dict:
     values = {
-        "analysis_boundary_role": "CEA", "project_id": domain.CASE,
+        "analysis_boundary_role": "CEA",
         "aggregation": "AOI-level median per-pixel temporal median",
         "post_window": "1998-07-01/2001-12-31", "pre_window": "1995-01-01/1998-06-30",
         "eligible_population": "pixels with at least three valid observations in both windows",
         "indifference_policy_id": "BAND-0.03", "seasonal_rule_id": "SEASON-1", "qualification_policy_version": "0.5.0",
     }
-    return {name: F.lit(value) for name, value in values.items()}
+    return {"project_id": F.col("case_id"), **{name: F.lit(value) for name, value in values.items()}}
 
 
 ASSESS_SQL = """
