@@ -49,37 +49,52 @@ def frozen_flags(role: Column, attributes: Column, bindings: Mapping[str, Mappin
     return flags
 
 
+def required_tag_mask(tags: Column, required: Column) -> Column:
+    """One bit per required tag that is present (required tags are distinct and few)."""
+    bits = F.transform(
+        required, lambda tag, i: F.when(F.array_contains(tags, tag), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    )
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda mask, bit: mask + bit)
+
+
 def subject_evidence(facts: DataFrame, rules: DataFrame, frozen: list[Column]) -> DataFrame:
-    """What the gates need to know per (subject, claim family), in two combinable levels.
+    """What the gates need to know per (subject, claim family), in three combinable levels.
 
-    A fact is selected when it shares a required tag. Facts combine per
-    assertion key first, so neither a subject with a third of all facts nor its
-    requests ever meet pair by pair.
+    A fact is selected when it shares a required tag. Facts combine per asserted
+    value, values per assertion key, keys per subject, each map-side before its
+    shuffle and on fixed-width buffers, so neither a subject with a third of all
+    facts nor its requests ever meet pair by pair.
     """
-    allowed = rules.filter("refused_code IS NULL").select("claim_family", "required_fact_tags", "allowed_scopes")
+    allowed = rules.filter("refused_code IS NULL").select(
+        "claim_family", "required_fact_tags", "allowed_scopes", F.size("required_fact_tags").alias("required_count")
+    )
     names = [f"frozen_{i}" for i in range(len(frozen))]
+    group = [*SUBJECT, "claim_family", "required_count"]
     rows = facts.select(
         *SUBJECT, F.explode("claim_families").alias("claim_family"), "tags", "authority_scope", "accessed_on", "assertion_key",
         F.coalesce("assertion_value", F.lit("null")).alias("assertion_value"), *frozen,
     ).join(allowed, "claim_family")
-    hit = F.array_intersect("tags", "required_fact_tags")
-    rows = rows.withColumn("_hit", hit).withColumn("_selected", F.size("_hit") > 0)
-    selected = lambda column: F.when(F.col("_selected"), column)
-    first = rows.groupBy(*SUBJECT, "claim_family", "assertion_key").agg(
-        F.count(F.lit(1)).alias("_candidates"), F.count_if("_selected").alias("_chosen"),
-        F.collect_set(selected(F.col("_hit"))).alias("_tags"),
+    rows = rows.withColumn("_mask", required_tag_mask(F.col("tags"), F.col("required_fact_tags")))
+    chosen = F.col("_mask") != 0
+    selected = lambda column: F.when(chosen, column)
+    asserts = chosen & F.col("assertion_key").isNotNull()
+    by_value = rows.groupBy(
+        *group, F.when(asserts, F.col("assertion_key")).alias("_key"), F.when(asserts, F.col("assertion_value")).alias("_value")
+    ).agg(
+        F.count(F.lit(1)).alias("_candidates"), F.count_if(chosen).alias("_chosen"), F.bit_or("_mask").alias("_mask"),
         F.bool_and(selected(F.array_contains("allowed_scopes", F.col("authority_scope")))).alias("_authority"),
-        F.min(selected(F.col("accessed_on"))).alias("_oldest"),
-        F.min(selected(F.col("assertion_value"))).alias("_low"), F.max(selected(F.col("assertion_value"))).alias("_high"),
-        *[F.bool_or(F.col("_selected") & F.col(n)).alias(n) for n in names],
+        F.min(selected(F.col("accessed_on"))).alias("_oldest"), *[F.bool_or(chosen & F.col(n)).alias(n) for n in names],
     )
-    agreed = F.col("assertion_key").isNull() | F.col("_low").isNull() | (F.col("_low") == F.col("_high"))
-    return first.groupBy(*SUBJECT, "claim_family").agg(
-        F.sum("_candidates").alias("candidate_fact_count"), F.sum("_chosen").alias("selected_fact_count"),
-        F.array_distinct(F.flatten(F.flatten(F.collect_set("_tags")))).alias("observed_tags"),
-        F.coalesce(F.bool_and("_authority"), F.lit(False)).alias("authority_ok"),
-        F.min("_oldest").alias("oldest_source"), F.bool_and(agreed).alias("consistent"),
-        *[F.bool_or(n).alias(n) for n in names],
+    merged = [
+        F.sum("_candidates").alias("_candidates"), F.sum("_chosen").alias("_chosen"), F.bit_or("_mask").alias("_mask"),
+        F.bool_and("_authority").alias("_authority"), F.min("_oldest").alias("_oldest"), *[F.bool_or(n).alias(n) for n in names],
+    ]
+    by_key = by_value.groupBy(*group, "_key").agg(*merged, (F.count("_value") <= 1).alias("_agreed"))
+    by_subject = by_key.groupBy(*group).agg(*merged, F.bool_and("_agreed").alias("consistent"))
+    return by_subject.select(
+        *SUBJECT, "claim_family", F.col("_candidates").alias("candidate_fact_count"), F.col("_chosen").alias("selected_fact_count"),
+        (F.bit_count("_mask") == F.col("required_count")).alias("complete"),
+        F.coalesce("_authority", F.lit(False)).alias("authority_ok"), F.col("_oldest").alias("oldest_source"), "consistent", *names,
     )
 
 

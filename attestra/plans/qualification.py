@@ -35,11 +35,8 @@ def qualify(requests: DataFrame, gathered: DataFrame, rules: DataFrame) -> DataF
     freshness, authority, incompleteness. Works on a batch or a stream of
     requests.
     """
-    gated = ev.claim_gate(requests, rules).join(rules.select("claim_family", "required_fact_tags"), "claim_family", "left")
-    joined = gated.join(gathered, [*ev.SUBJECT, "claim_family"], "left")
+    joined = ev.claim_gate(requests, rules).join(gathered, [*ev.SUBJECT, "claim_family"], "left")
     has_facts = F.coalesce(F.col("selected_fact_count"), F.lit(0)) > 0
-    observed = F.coalesce("observed_tags", F.array().cast("array<string>"))
-    complete = F.size(F.array_except("required_fact_tags", observed)) == 0
     authority = has_facts & F.coalesce("authority_ok", F.lit(False))
     frozen = (F.col("claim_family") != OBSERVATIONAL) | (has_facts & F.coalesce("frozen_bound", F.lit(False)))
     fresh = F.col("minimum_source_date").isNull() | (
@@ -47,7 +44,7 @@ def qualify(requests: DataFrame, gathered: DataFrame, rules: DataFrame) -> DataF
     )
     consistent = F.coalesce("consistent", F.lit(True))
     facts_view = joined.select(
-        "*", has_facts.alias("_facts"), F.coalesce(complete, F.lit(False)).alias("_complete"), authority.alias("_authority"),
+        "*", has_facts.alias("_facts"), F.coalesce("complete", F.lit(False)).alias("_complete"), authority.alias("_authority"),
         frozen.alias("_frozen"), fresh.alias("_fresh"), consistent.alias("_consistent"),
     )
     failure = (

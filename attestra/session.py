@@ -16,6 +16,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.caseSensitive": "false",
 }
 
@@ -43,11 +46,14 @@ def shared_folder(spark: SparkSession) -> str:
     context) wins. Only where neither is set, as in tests, a local folder is
     made and registered.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured and not context.getCheckpointDir():
+        context.setCheckpointDir(configured)
+    if configured or context.getCheckpointDir():
+        return configured or context.getCheckpointDir()
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(folder)
+    context.setCheckpointDir(folder)
     return folder
 
 

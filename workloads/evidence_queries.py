@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from attestra import fixed_values as fixed
-from attestra.functions import hashing
+from attestra.functions import hashing, uri
 from attestra.operators import evidence as ev
 from attestra.plans import qualification
 from attestra.session import derived_path
@@ -146,8 +146,6 @@ SELECT page_id, CASE WHEN source_id NOT IN ('example.com', 'example.org') THEN '
                      WHEN scope <> 'PUBLIC' THEN 'SOURCE_AUTHORITY_MISMATCH' WHEN fact_scope <> scope THEN 'FACT_AUTHORITY_MISMATCH' END AS violation FROM shaped""",
        ("one AS (SELECT 1)",))
 def source_allowlist(t: Tables) -> DataFrame:
-    from attestra.functions import uri
-
     k = F.col("page_id") % 5
     site = F.regexp_extract(uri.host(F.col("url")), r"([^.]+[.][^.]+)$", 1)
     documents = t.pages.select(
@@ -340,10 +338,8 @@ def registry_dims(t: Tables) -> DataFrame:
 SELECT page_id, concat('urn:run:artifact:', p) AS artifact_id, trim(regexp_replace(upper(p), '[^A-Z0-9]+', '_', 'g'), '_') AS artifact_type,
        'application/json' AS media_type FROM paths WHERE p NOT SIMILAR TO '.*[.](zip|xml|npy|npz|md|txt|sha256|raw)'""", ("one AS (SELECT 1)",))
 def artifact_records(t: Tables) -> DataFrame:
-    from attestra.functions import uri
-
     paths = t.pages.select("page_id", uri.strip_query(F.col("url")).alias("p"))
-    records = artifacts.artifact_records(paths.withColumn("p", F.col("p")), "p", F.lit("run"))
+    records = artifacts.artifact_records(paths, "p", F.lit("run"))
     keyed = paths.select("page_id", F.concat(F.lit("urn:run:artifact:"), "p").alias("artifact_id")).distinct()
     return keyed.join(records.distinct(), "artifact_id")
 
