@@ -276,14 +276,14 @@ def scene_metadata_evaluation(t: Tables) -> DataFrame:
 @query("resource_gate", """
 , raw AS (SELECT win, count(*) AS raw_item_count FROM scenes GROUP BY win)
 SELECT win, raw_item_count, raw_item_count > 200 AS limit_exceeded, 'ABSTAINED' AS status,
-       'METADATA_INVENTORY_LIMIT_EXCEEDED,RESOURCE_LIMIT_EXCEEDED' AS reasons, CAST(NULL AS BIGINT) AS admissible_groups
+       'METADATA_INVENTORY_LIMIT_EXCEEDED,RESOURCE_LIMIT_EXCEEDED' AS reasons, FALSE AS groups_evaluated
 FROM raw""", domain.SCENE_CTES)
 def resource_gate(t: Tables) -> DataFrame:
     counts = sc.over_limit(domain.scenes(t), ["win"], 200)
     gated = scene_selection.evaluate_windows(domain.scenes(t))
     return gated.join(counts.select("win", "limit_exceeded"), "win").select(
         "win", "raw_item_count", "limit_exceeded", "status", joined("reason_codes", "reasons"),
-        F.col("metadata_admissible_acquisition_group_count").alias("admissible_groups"),
+        F.col("metadata_admissible_acquisition_group_count").isNotNull().alias("groups_evaluated"),
     )
 
 
