@@ -15,7 +15,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.maintenanceInterval": "600s",
+    # many small stores: without this each one reserves megabytes of disk for its logs
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Documents of one text that meet one copy of its bytes in a task of the full check.
 SALT_ROWS = 500
