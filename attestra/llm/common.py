@@ -10,10 +10,10 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def materialise(frame: DataFrame, name: str) -> DataFrame:
+def materialise(frame: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The frame written as Parquet to the shared folder and read back: lineage ends there, and any executor can read it."""
     path = derived_path(frame.sparkSession, name)
-    frame.write.parquet(path)
+    frame.write.option("compression", compression).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attestra.llm import op07_near_simhash, op09_exact_stream
+from attestra.llm import op03_packing, op05_fingerprints, op07_near_simhash, op08_mixing, op09_exact_stream, op10_token_counts as op10_token_counts_module
 
 WORDS_SQL = r"[^\x20\x09-\x0D]+"
 
@@ -16,23 +16,51 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    return op03_packing.pack(_table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return op05_fingerprints.report(_table(spark, folder, "documents"))
+
+
 def op7_near_simhash(spark: SparkSession, folder: str) -> DataFrame:
     grouped = op07_near_simhash.near_groups(_table(spark, folder, "documents"))
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = op08_mixing.mix(_table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     made = op09_exact_stream.decisions(_table(spark, folder, "documents"))
     return made.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = op10_token_counts_module.token_counts(_table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit": op3_best_fit,
+    "op5_fingerprints": op5_fingerprints,
     "op7_near_simhash": op7_near_simhash,
+    "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
