@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attestra.llm import op03_packing, op05_fingerprints, op07_near_simhash, op08_mixing, op09_exact_stream, op10_token_counts as op10_token_counts_module
+from attestra.llm import op01_html, op03_packing, op05_fingerprints, op06_language, op07_near_simhash, op08_mixing, op09_exact_stream, op10_token_counts as op10_token_counts_module
 
 WORDS_SQL = r"[^\x20\x09-\x0D]+"
 
@@ -22,6 +22,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return op01_html.main_text(_table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return op03_packing.pack(_table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -30,6 +34,11 @@ def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return op05_fingerprints.report(_table(spark, folder, "documents"))
 
 
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    told = op06_language.identify(_table(spark, folder, "documents"))
+    return told.select("doc_id", op06_language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_near_simhash(spark: SparkSession, folder: str) -> DataFrame:
     grouped = op07_near_simhash.near_groups(_table(spark, folder, "documents"))
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
@@ -56,8 +65,10 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_main_text": op1_main_text,
     "op3_best_fit": op3_best_fit,
     "op5_fingerprints": op5_fingerprints,
+    "op6_language_id": op6_language_id,
     "op7_near_simhash": op7_near_simhash,
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
