@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attestra.llm import op01_html, op03_packing, op05_fingerprints, op06_language, op07_near_simhash, op08_mixing, op09_exact_stream, op10_token_counts as op10_token_counts_module
+from attestra.llm import op01_html, op03_packing, op04_fuzzy_lines, op05_fingerprints, op06_language, op07_near_simhash, op08_mixing, op09_exact_stream, op10_token_counts as op10_token_counts_module
 
 WORDS_SQL = r"[^\x20\x09-\x0D]+"
 
@@ -30,6 +30,11 @@ def op3_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return op03_packing.pack(_table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op4_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    made = op04_fuzzy_lines.line_decisions(_table(spark, folder, "documents"))
+    return made.select("doc_id", "n_lines", "n_dropped", "dropped")
+
+
 def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return op05_fingerprints.report(_table(spark, folder, "documents"))
 
@@ -67,6 +72,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op3_best_fit": op3_best_fit,
+    "op4_fuzzy_lines": op4_fuzzy_lines,
     "op5_fingerprints": op5_fingerprints,
     "op6_language_id": op6_language_id,
     "op7_near_simhash": op7_near_simhash,
