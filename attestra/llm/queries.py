@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attestra.llm import op01_html, op03_packing, op04_fuzzy_lines, op05_fingerprints, op06_language, op07_near_simhash, op08_mixing, op09_exact_stream, op10_token_counts as op10_token_counts_module
+from attestra.llm import op01_html, op02_repeats, op03_packing, op04_fuzzy_lines, op05_fingerprints, op06_language, op07_near_simhash, op08_mixing, op09_exact_stream, op10_token_counts as op10_token_counts_module
 
 WORDS_SQL = r"[^\x20\x09-\x0D]+"
 
@@ -26,6 +26,10 @@ def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return op01_html.main_text(_table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op2_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return op02_repeats.remove_repeats(_table(spark, folder, "documents"))
+
+
 def op3_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return op03_packing.pack(_table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -71,6 +75,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
+    "op2_repeats": op2_repeats,
     "op3_best_fit": op3_best_fit,
     "op4_fuzzy_lines": op4_fuzzy_lines,
     "op5_fingerprints": op5_fingerprints,
