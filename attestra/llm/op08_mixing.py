@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, functions as F
 from attestra.llm.common import WORD, materialise, ordered, whole_text
 
 MOST_COPIES, GROUP, SEED = 3, 4096, 20240229
+ROW = "__mix_row"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """``_row``, doc_id, source, ``size`` in words, and ``_tie``, a hash of id and text that fixes the order of the draw."""
+    """``_row``, doc_id, source, ``size`` in words, and ``_tie``, a hash of id and text that fixes the order of the draw.
+
+    ``_row`` is the column ROW where the documents have it, else a number of the row's place.
+    """
     text = whole_text(F.col("text"))
-    return docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    return docs.select(row.alias("_row"), "doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
                        F.xxhash64(F.lit(SEED), F.coalesce("doc_id", F.lit(0)), text).alias("_tie"))
 
 
@@ -116,3 +121,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_
     met = owed.join(chosen.select(F.col("_row").alias("_chosen")), F.col("_row") == F.col("_chosen"), "left")
     copies = F.col("_whole") + F.col("_chosen").isNotNull().cast("long")
     return met.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "_row", "_tie")
+
+
+def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES, group: int = GROUP) -> DataFrame:
+    """The mix itself: every document as many times as it is taken, all columns as they are."""
+    numbered = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered-documents", compression="zstd")
+    mixed = mix(numbered, weights, most, group).filter("copies > 0").select(F.col("_row").alias("__taken"), F.col("copies").cast("int").alias("__copies"))
+    met = numbered.join(mixed, F.col(ROW) == F.col("__taken")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return met.select(*[numbered[c] for c in docs.columns])

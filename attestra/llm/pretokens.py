@@ -29,6 +29,13 @@ BYTE_PATTERN = re.compile(
 WORD_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies; the folder is the same on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
     from tokenizers import Tokenizer

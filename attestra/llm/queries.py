@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attestra.llm import op01_html, op02_repeats, op03_packing, op04_fuzzy_lines, op05_fingerprints, op06_language, op07_near_simhash, op08_mixing, op09_exact_stream, op10_token_counts as op10_token_counts_module
+from attestra.llm.pretokens import tokenizer_path
+from corpus_pipeline import run as run_pipeline
 
 WORDS_SQL = r"[^\x20\x09-\x0D]+"
 
@@ -16,12 +18,6 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return op01_html.main_text(_table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -31,7 +27,7 @@ def op2_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_best_fit(spark: SparkSession, folder: str) -> DataFrame:
-    return op03_packing.pack(_table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
+    return op03_packing.pack(_table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op4_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,7 +60,7 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    counted = op10_token_counts_module.token_counts(_table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"))
+    counted = op10_token_counts_module.token_counts(_table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
@@ -74,6 +70,7 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": run_pipeline,
     "op1_main_text": op1_main_text,
     "op2_repeats": op2_repeats,
     "op3_best_fit": op3_best_fit,
