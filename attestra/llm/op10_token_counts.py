@@ -36,8 +36,9 @@ def _blocks(path: str, block_bytes: int):
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py()
                 found = Counter(byte_pretokens(text, path))
-                for new in found.keys() - local.keys():
-                    local[new] = len(local)
+                for pretoken in found:
+                    if pretoken not in local:
+                        local[pretoken] = len(local)
                 ids.append(doc_id.as_py())
                 sizes.append(len(text.encode()))
                 ends.append(len(found))
