@@ -92,39 +92,45 @@ def _digest_of(column: str) -> Column:
 def snapshot_sha256(documents: DataFrame, keys: list[str], limit: int = fixed.MAX_EVIDENCE_DOCUMENTS) -> DataFrame:
     """Flat snapshot hash of one evidence memory: canonical JSON of its sorted documents.
 
-    A memory holds at most ``limit`` documents; a larger one is reported as
-    over the limit, with no hash, rather than cut.
+    Every memory has its hash; ``over_limit`` marks one of more than ``limit``
+    documents. The flat form hashes one text per memory: for memories of
+    unbounded size use :func:`tree_digest`.
     """
     entry = F.concat(
         F.lit('{"document_sha256":"'), F.col("document_sha256"),
         F.lit('","evidence_id":"'), F.col("evidence_id"), F.lit('"}'),
     )
-    counted = documents.groupBy(*keys).agg(F.count(F.lit(1)).alias("document_count"))
-    within = documents.join(counted.filter(F.col("document_count") <= limit).select(*keys), keys, "left_semi")
-    hashed = within.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("evidence_id"), entry.alias("entry")))).alias("entries")
-    ).select(
-        *keys,
+    hashed = documents.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("document_count"),
+        F.array_sort(F.collect_list(F.struct(F.col("evidence_id"), entry.alias("entry")))).alias("entries"),
+    )
+    return hashed.select(
+        *keys, "document_count",
         sha256_text(
             F.concat(F.lit("["), F.array_join(F.transform("entries", lambda e: e["entry"]), ","), F.lit("]"))
         ).alias("memory_snapshot_sha256"),
+        (F.col("document_count") > limit).alias("over_limit"),
     )
-    return counted.join(hashed, keys, "left").withColumn("over_limit", F.col("document_count") > limit)
 
 
-def array_sha256(values: np.ndarray) -> str:
-    """Hash of one dense array with its type and shape in a header."""
-    kind = values.dtype.kind
-    if kind == "f":
-        dense = np.array(values, dtype="<f8", order="C")
-        dense[np.isnan(dense)] = np.nan
-    elif kind == "b":
-        dense = np.array(values, dtype=np.uint8, order="C")
-    else:
-        dense = np.array(values, dtype="<i8", order="C")
-    header = {"array_hash_id": fixed.ARRAY_HASH_ID, "dtype": dense.dtype.str, "shape": list(dense.shape)}
-    text = json.dumps(header, sort_keys=True, separators=(",", ":")).encode("ascii")
-    return hashlib.sha256(text + b"\n" + dense.tobytes(order="C")).hexdigest()
+# the declared kinds: how cells are stored, and the name the header gives that
+STORED = {"double": ("<f8", "<f8"), "long": ("<i8", "<i8"), "boolean": ("u1", "|u1")}
+
+
+def array_sha256(grid: np.ndarray, kind: str) -> str:
+    """Hash of one raster of a declared kind: a canonical JSON header line, then the cells row by row.
+
+    Reals and integers are eight bytes, least first; a truth value is one byte;
+    every NaN has the same bits.
+    """
+    stored, named = STORED[kind]
+    cells = np.ascontiguousarray(grid, dtype=stored)
+    if kind == "double":
+        cells = np.where(np.isnan(cells), np.nan, cells)
+    header = _dump(json.dumps({"array_hash_id": fixed.ARRAY_HASH_ID, "dtype": named, "shape": grid.shape}), True)
+    digest = hashlib.sha256(f"{header}\n".encode())
+    digest.update(cells.tobytes())
+    return digest.hexdigest()
 
 
 def array_hashes(cells: DataFrame, keys: list[str], value: str, width: int, height: int, kind: str = "double") -> DataFrame:
@@ -133,14 +139,13 @@ def array_hashes(cells: DataFrame, keys: list[str], value: str, width: int, heig
     One group is one raster of ``width`` x ``height``: callers keep to the grid
     limits, so a group's size is bounded by the grid, never by the data.
     """
-    numpy_type = {"double": "<f8", "long": "<i8", "boolean": "bool"}[kind]
     fill = np.nan if kind == "double" else 0
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*keys).schema) + ", array_sha256 string"
 
     def one_raster(key, block: pd.DataFrame) -> pd.DataFrame:
-        grid = np.full((height, width), fill, dtype=numpy_type)
+        grid = np.full((height, width), fill, dtype=STORED[kind][0])
         present = block[block[value].notna()]
         grid[present["row"].to_numpy(), present["col"].to_numpy()] = present[value].to_numpy()
-        return pd.DataFrame([[*key, array_sha256(grid)]], columns=[*keys, "array_sha256"])
+        return pd.DataFrame([[*key, array_sha256(grid, kind)]], columns=[*keys, "array_sha256"])
 
     return cells.select(*keys, "row", "col", value).groupBy(*keys).applyInPandas(one_raster, schema)

@@ -57,9 +57,10 @@ def required_tag_mask(tags: Column, required: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda mask, bit: mask + bit)
 
 
-def subject_evidence(facts: DataFrame, rules: DataFrame, frozen: list[Column]) -> DataFrame:
+def subject_evidence(facts: DataFrame, rules: DataFrame, frozen: list[Column], code: Column | None = None) -> DataFrame:
     """What the gates need to know per (subject, claim family), in three combinable levels.
 
+    ``code`` is what a fact says about its outcome; the selected bound facts' least one is ``observed_code``.
     A fact is selected when it shares a required tag. Facts combine per asserted
     value, values per assertion key, keys per subject, each map-side before its
     shuffle and on fixed-width buffers, so neither a subject with a third of all
@@ -73,6 +74,7 @@ def subject_evidence(facts: DataFrame, rules: DataFrame, frozen: list[Column]) -
     rows = facts.select(
         *SUBJECT, F.explode("claim_families").alias("claim_family"), "tags", "authority_scope", "accessed_on", "assertion_key",
         F.coalesce("assertion_value", F.lit("null")).alias("assertion_value"), *frozen,
+        (F.lit(None).cast("string") if code is None else code).alias("_code"),
     ).join(allowed, "claim_family")
     rows = rows.withColumn("_mask", required_tag_mask(F.col("tags"), F.col("required_fact_tags")))
     chosen = F.col("_mask") != 0
@@ -83,18 +85,18 @@ def subject_evidence(facts: DataFrame, rules: DataFrame, frozen: list[Column]) -
     ).agg(
         F.count(F.lit(1)).alias("_candidates"), F.count_if(chosen).alias("_chosen"), F.bit_or("_mask").alias("_mask"),
         F.bool_and(selected(F.array_contains("allowed_scopes", F.col("authority_scope")))).alias("_authority"),
-        F.min(selected(F.col("accessed_on"))).alias("_oldest"), *[F.bool_or(chosen & F.col(n)).alias(n) for n in names],
+        F.min(selected(F.col("accessed_on"))).alias("_oldest"), F.min(selected(F.col("_code"))).alias("_code"), *[F.bool_or(chosen & F.col(n)).alias(n) for n in names],
     )
     merged = [
         F.sum("_candidates").alias("_candidates"), F.sum("_chosen").alias("_chosen"), F.bit_or("_mask").alias("_mask"),
-        F.bool_and("_authority").alias("_authority"), F.min("_oldest").alias("_oldest"), *[F.bool_or(n).alias(n) for n in names],
+        F.bool_and("_authority").alias("_authority"), F.min("_oldest").alias("_oldest"), F.min("_code").alias("_code"), *[F.bool_or(n).alias(n) for n in names],
     ]
     by_key = by_value.groupBy(*group, "_key").agg(*merged, (F.count("_value") <= 1).alias("_agreed"))
     by_subject = by_key.groupBy(*group).agg(*merged, F.bool_and("_agreed").alias("consistent"))
     return by_subject.select(
         *SUBJECT, "claim_family", F.col("_candidates").alias("candidate_fact_count"), F.col("_chosen").alias("selected_fact_count"),
         (F.bit_count("_mask") == F.col("required_count")).alias("complete"),
-        F.coalesce("_authority", F.lit(False)).alias("authority_ok"), F.col("_oldest").alias("oldest_source"), "consistent", *names,
+        F.coalesce("_authority", F.lit(False)).alias("authority_ok"), F.col("_oldest").alias("oldest_source"), F.col("_code").alias("observed_code"), "consistent", *names,
     )
 
 
@@ -139,17 +141,23 @@ def scored_facts(pairs: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def ranked_facts(scored: DataFrame, request: str = "request_id", maximum: int = fixed.MAX_EVIDENCE_FACTS) -> DataFrame:
-    """Rank within a request by weight, then id.
+    """Rank within a request by weight, then id; ``over_limit`` marks requests of more than ``maximum`` facts.
 
-    A memory holds at most ``maximum`` facts; requests beyond that keep their
-    rows with no rank and ``over_limit`` set, as nothing may be cut.
+    Every fact has its rank. Facts are numbered within their weight and the
+    counts of greater weights are added, so a request's facts spread over its
+    weights; numbering itself streams over sorted rows and holds none.
     """
-    counts = scored.groupBy(request).agg((F.count(F.lit(1)) > maximum).alias("over_limit"))
-    order = Window.partitionBy(request).orderBy(F.col("score").desc(), F.col("fact_id"))
-    marked = scored.join(counts, request)
-    within = marked.filter(~F.col("over_limit")).withColumn("fact_rank", F.row_number().over(order))
-    beyond = marked.filter("over_limit").withColumn("fact_rank", F.lit(None).cast("int"))
-    return within.unionByName(beyond)
+    weights = scored.groupBy(request, "score").agg(F.count(F.lit(1)).alias("_n"))
+    heavier = Window.partitionBy(request).orderBy(F.col("score").desc())
+    placed = weights.select(
+        F.col(request).alias("_request"), F.col("score").alias("_score"),
+        (F.sum("_n").over(heavier) - F.col("_n")).alias("_before"),
+        (F.sum("_n").over(Window.partitionBy(request)) > maximum).alias("over_limit"),
+    )
+    inside = Window.partitionBy(request, "score").orderBy("fact_id")
+    numbered = scored.withColumn("_nth", F.row_number().over(inside))
+    return numbered.join(placed, (F.col(request) == F.col("_request")) & (F.col("score") == F.col("_score"))).withColumn(
+        "fact_rank", (F.col("_before") + F.col("_nth")).cast("int")).drop("_request", "_score", "_before", "_nth")
 
 
 def tag_completeness(facts: DataFrame, keys: list[str], required: Column, allowed: Column) -> DataFrame:

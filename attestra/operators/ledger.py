@@ -23,15 +23,19 @@ def retryable(http_code: Column) -> Column:
 
 
 def attempt_stats(attempts: DataFrame, key: str, order: Sequence[str], outcome: str) -> DataFrame:
-    """Attempts, first and terminal outcome and the delays waited, per request."""
+    """Attempts, first and terminal outcome and the delay before each attempt, per request.
+
+    Attempts beyond the schedule wait its last delay; ``over_limit`` marks
+    requests with more attempts than allowed.
+    """
     delays = F.array(*[F.lit(d) for d in fixed.RETRY_DELAYS_SECONDS])
     moment = F.struct(*order)
     made = attempts.groupBy(key).agg(
         F.count(F.lit(1)).alias("attempt_count"), F.min_by(outcome, moment).alias("first_outcome"),
         F.max_by(outcome, moment).alias("terminal_outcome"),
     )
-    used = F.least(F.col("attempt_count"), F.lit(fixed.NETWORK_MAX_ATTEMPTS)).cast("int")
-    return made.withColumn("retry_delays", F.slice(delays, F.lit(1), used))
+    waited = F.transform(F.sequence(F.lit(1), F.col("attempt_count").cast("int")), lambda i: F.element_at(delays, F.least(i, F.size(delays))))
+    return made.withColumn("retry_delays", waited).withColumn("over_limit", F.col("attempt_count") > fixed.NETWORK_MAX_ATTEMPTS)
 
 
 def first_last(events: DataFrame, key: str, order: Sequence[str], identifier: str) -> DataFrame:

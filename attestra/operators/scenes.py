@@ -72,6 +72,19 @@ def identity_violation(collection: str | None = None) -> Column:
     return F.coalesce(*checks)
 
 
+def window_stops(items: DataFrame, components: DataFrame, collection: str | None = None) -> DataFrame:
+    """``win, stop_codes``: why a window must stop, in the order of the checks; windows without a reason are absent.
+
+    An unusable or contradictory identity comes first, then candidates of equal
+    rank with different assets.
+    """
+    unusable = items.select("win", identity_violation(collection).alias("code"), F.lit(1).alias("place")).filter("code IS NOT NULL").distinct()
+    unclear = identity_conflicts(items).select("win", F.lit("ACQUISITION_IDENTITY_UNRESOLVED").alias("code"), F.lit(2).alias("place")).distinct()
+    equal = components.filter("ambiguous").select("win", F.lit("ACQUISITION_REPRESENTATION_AMBIGUOUS").alias("code"), F.lit(3).alias("place")).distinct()
+    found = unusable.unionByName(unclear).unionByName(equal).groupBy("win", "code").agg(F.min("place").alias("place"))
+    return found.groupBy("win").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "code"))), lambda c: c["code"]).alias("stop_codes"))
+
+
 # --- metadata gates ----------------------------------------------------------------
 
 
@@ -174,7 +187,8 @@ def union_windows(pre: DataFrame, post: DataFrame) -> DataFrame:
 
 
 def asset_identity(assets: Column) -> Column:
-    return F.concat_ws("|", *[F.trim(F.element_at(assets, F.lit(k))) for k in fixed.REQUIRED_ASSET_KEYS])
+    """The required assets' addresses side by side: no separator to confuse, and a missing one is a value of its own."""
+    return F.struct(*[F.trim(F.element_at(assets, F.lit(k))).alias(f"a{i}") for i, k in enumerate(fixed.REQUIRED_ASSET_KEYS)])
 
 
 def canonical_components(items: DataFrame) -> DataFrame:
@@ -196,7 +210,7 @@ def canonical_components(items: DataFrame) -> DataFrame:
         F.min(asset_identity(F.col("assets"))).alias("_low"), F.max(asset_identity(F.col("assets"))).alias("_high"),
     )
     best = F.max_by(
-        F.struct("_first", F.col("_count"), (F.col("_low") != F.col("_high")).alias("_ambiguous")),
+        F.struct("_first", F.col("_count"), (~F.col("_low").eqNullSafe(F.col("_high"))).alias("_ambiguous")),
         F.struct("_baseline", "_time"),
     )
     return ties.groupBy(*COMPONENT).agg(best.alias("_best"), F.sum("_count").alias("candidate_count")).select(
@@ -247,11 +261,11 @@ def acquisition_groups(components: DataFrame) -> DataFrame:
     can touch.
     """
     listed = components.groupBy(*ACQUISITION).agg(
-        F.array_sort(F.collect_list(F.struct("mgrs_tile", "selected_item_id", "exclusion_reasons"))).alias("_members")
+        F.array_sort(F.collect_list(F.struct("mgrs_tile", "selected_item_id", "exclusion_reasons", "datetime"))).alias("_members")
     )
     reasons = F.array_distinct(F.flatten(F.transform("_members", lambda m: m["exclusion_reasons"])))
     return listed.select(
-        *ACQUISITION,
+        *ACQUISITION, F.get(F.col("_members"), F.lit(0))["datetime"].alias("sensing_datetime"),
         F.transform("_members", lambda m: m["selected_item_id"]).alias("component_item_ids"),
         F.transform("_members", lambda m: m["mgrs_tile"]).alias("mgrs_tiles"),
         reasons.alias("exclusion_reasons"), (F.size(reasons) == 0).alias("metadata_admissible"),

@@ -18,10 +18,12 @@ def gather(
     role: Column | None = None, attributes: Column | None = None,
 ) -> DataFrame:
     """Evidence per (subject, family); build once, use for any number of requests."""
-    flags = ev.frozen_flags(
-        F.col("fact_id") if role is None else role, F.col("attributes") if attributes is None else attributes, bindings
-    )
-    gathered = ev.subject_evidence(facts, rules, flags)
+    values = F.col("attributes") if attributes is None else attributes
+    flags = ev.frozen_flags(F.col("fact_id") if role is None else role, values, bindings)
+    bound_fact = F.lit(False)
+    for flag in flags:
+        bound_fact = bound_fact | flag
+    gathered = ev.subject_evidence(facts, rules, flags, F.when(bound_fact, F.element_at(values, F.lit("reason_code"))))
     bound = F.lit(True)
     for i in range(len(flags)):
         bound = bound & F.coalesce(F.col(f"frozen_{i}"), F.lit(False))
@@ -59,8 +61,11 @@ def qualify(requests: DataFrame, gathered: DataFrame, rules: DataFrame) -> DataF
     for family, (outcome, verdict) in fixed.FAMILY_OUTCOMES.items():
         mine = F.col("claim_family") == family
         status, qualification = F.when(mine, outcome).otherwise(status), F.when(mine, verdict).otherwise(qualification)
-    passed_code = F.when(F.col("claim_family") == OBSERVATIONAL, "EFFECT_WITHIN_OPERATIONAL_INDIFFERENCE_BAND").when(
-        ~F.col("claim_family").isin(*fixed.FAMILY_OUTCOMES), "DETERMINISTIC_PROCESSING_ERROR"
+    # an observation's reason is the bound fact's own; one that states none cannot be reported
+    unstated = (F.col("claim_family") == OBSERVATIONAL) & F.col("observed_code").isNull()
+    status, qualification = F.when(unstated, "ERROR").otherwise(status), F.when(~unstated, qualification)
+    passed_code = F.when(unstated | ~F.col("claim_family").isin(*fixed.FAMILY_OUTCOMES), "DETERMINISTIC_PROCESSING_ERROR").when(
+        F.col("claim_family") == OBSERVATIONAL, F.col("observed_code")
     )
     refused = F.col("gate_code").isNotNull() & (F.col("gate_code") != "ENTITY_TYPE_MISMATCH")
     judged = facts_view.withColumn("_failure", failure).select(
@@ -98,27 +103,31 @@ def _checks() -> Column:
 
 
 def statements(results: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Bounded statement per passed request.
+    """Bounded statement per passed request, and ``statement_error`` where a parameter is missing.
 
-    Each parameter comes from the first-ranked selected fact that has the
-    parameter's tag and attribute. ``ranked`` holds request_id, fact_rank, tags
-    and attributes (a string map).
+    All parameters of a tag come from one fact: the first-ranked that has the
+    tag; of an observation's facts, the first that holds the observed values.
+    An attribute that fact lacks is not taken from another. ``ranked`` holds
+    request_id, fact_rank, tags and attributes (a string map).
     """
-    def first(tag: str, attribute: str) -> Column:
-        value = F.element_at("attributes", F.lit(attribute))
-        return F.min_by(value, F.when(F.array_contains("tags", tag) & value.isNotNull(), F.col("fact_rank")))
-
-    wanted = sorted({(tag, attribute) for _, parameters in fixed.FAMILY_STATEMENTS.values() for tag, attribute, _ in parameters.values()})
-    sources = ranked.groupBy("request_id").agg(*[first(tag, attribute).alias(f"_{tag}.{attribute}") for tag, attribute in wanted])
+    def first(tag: str) -> Column:
+        fits = F.array_contains("tags", tag)
+        if tag == "frozen_observation":
+            fits = fits & F.element_at("attributes", F.lit("delta_ndvi")).isNotNull()
+        return F.min_by("attributes", F.when(fits, F.col("fact_rank")))
+
+    wanted = sorted({tag for _, parameters in fixed.FAMILY_STATEMENTS.values() for tag, _, _ in parameters.values() if tag})
+    sources = ranked.groupBy("request_id").agg(*[first(tag).alias(f"_{tag}") for tag in wanted])
     passed = results.filter(F.col("workflow_status").isin("QUALIFIED", "ABSTAINED")).join(sources, "request_id")
     statement = F.lit(None).cast("string")
     for family, (template, parameters) in fixed.FAMILY_STATEMENTS.items():
         values = {}
         for name, (tag, attribute, default) in parameters.items():
-            value = F.col(f"`_{tag}.{attribute}`")
+            value = F.element_at(f"_{tag}", F.lit(attribute)) if tag else F.col(attribute)
             values[name] = value if default is None else F.coalesce(value, F.lit(default))
         statement = F.when(F.col("claim_family") == family, text.fill_template(F.lit(template), values)).otherwise(statement)
-    return passed.select("request_id", statement.alias("bounded_statement"))
+    filled = passed.select("request_id", statement.alias("bounded_statement"))
+    return filled.withColumn("statement_error", F.when(F.col("bounded_statement").isNull(), "REQUIRED_FIELD_MISSING"))
 
 
 def trace(results: DataFrame, ranked: DataFrame) -> DataFrame:

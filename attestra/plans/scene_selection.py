@@ -12,11 +12,14 @@ def evaluate_windows(
     items: DataFrame,
     raw_limit: int = fixed.RAW_ITEM_LIMIT,
     group_limit: int = fixed.ACQUISITION_GROUP_LIMIT,
+    collection: str | None = None,
 ) -> DataFrame:
-    """One row per window: counts, status, reasons and whether pixels may be read.
+    """One row per window: counts, status, reasons, whether pixels may be read, and the limits it exceeds.
 
-    A window over the raw limit keeps its rows and stops before grouping, so
-    its group counts stay NULL.
+    A window with an unusable or contradictory identity, or with candidates that
+    cannot be told apart, is an ERROR with its codes and no raster access. The
+    counts are always complete; ``limit_codes`` reports exceeded limits beside
+    them and changes nothing else.
     """
     raw = items.groupBy("win").agg(F.count(F.lit(1)).alias("raw_item_count"))
     components = scenes.canonical_components(scenes.selection_input(items))
@@ -26,20 +29,19 @@ def evaluate_windows(
         F.count(F.lit(1)).alias("_groups"),
         F.count_if("metadata_admissible").alias("_admissible"),
     )
-    raw_over = F.col("raw_item_count") > raw_limit
-    group_over = F.coalesce(F.col("_admissible"), F.lit(0)) > group_limit
-    reasons = (
-        F.when(raw_over, F.array(F.lit("METADATA_INVENTORY_LIMIT_EXCEEDED"), F.lit("RESOURCE_LIMIT_EXCEEDED")))
-        .when(group_over, F.array(F.lit("RESOURCE_LIMIT_EXCEEDED")))
-        .otherwise(F.array().cast("array<string>"))
-    )
-    ungated = lambda name: F.when(~raw_over, F.coalesce(F.col(name), F.lit(0)))
-    return raw.join(per_window, "win", "left").select(
+    stops = scenes.window_stops(items, components, collection)
+    none = F.array().cast("array<string>")
+    count = lambda name: F.coalesce(F.col(name), F.lit(0))
+    codes = F.coalesce("stop_codes", none)
+    limits = F.array_compact(F.array(
+        F.when(F.col("raw_item_count") > raw_limit, F.lit("METADATA_INVENTORY_LIMIT_EXCEEDED")),
+        F.when((F.col("raw_item_count") > raw_limit) | (count("_admissible") > group_limit), F.lit("RESOURCE_LIMIT_EXCEEDED")),
+    ))
+    return raw.join(per_window, "win", "left").join(stops, "win", "left").select(
         "win", "raw_item_count",
-        ungated("_components").alias("canonical_representation_count"),
-        ungated("_groups").alias("independent_acquisition_group_count"),
-        ungated("_admissible").alias("metadata_admissible_acquisition_group_count"),
-        F.when(F.size(reasons) > 0, "ABSTAINED").otherwise("READY_FOR_RASTER_LIMITED_PROCESSING").alias("status"),
-        reasons.alias("reason_codes"),
-        (F.size(reasons) == 0).alias("raster_access_permitted"),
+        count("_components").alias("canonical_representation_count"),
+        count("_groups").alias("independent_acquisition_group_count"),
+        count("_admissible").alias("metadata_admissible_acquisition_group_count"),
+        F.when(F.size(codes) > 0, "ERROR").otherwise("READY_FOR_RASTER_LIMITED_PROCESSING").alias("status"),
+        codes.alias("reason_codes"), (F.size(codes) == 0).alias("raster_access_permitted"), limits.alias("limit_codes"),
     )

@@ -16,7 +16,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.caseSensitive": "false",
@@ -34,8 +33,10 @@ def build_session(master: str | None = None, app: str = "attestra", **extra: str
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime-settable part of SETTINGS to a session made elsewhere."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Apply to a session made elsewhere those SETTINGS that can change while it runs."""
+    for key, value in SETTINGS.items():
+        if spark.conf.isModifiable(key) and spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -43,8 +44,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
 
     The folder named by ``spark.checkpoint.dir`` (or already set on the
-    context) wins. Only where neither is set, as in tests, a local folder is
-    made and registered.
+    context) wins. Where neither is set, a local master gets a local folder; on
+    a cluster that would lie on another disk for each executor, so it is an error.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,6 +53,8 @@ def shared_folder(spark: SparkSession) -> str:
         context.setCheckpointDir(configured)
     if configured or context.getCheckpointDir():
         return configured or context.getCheckpointDir()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     context.setCheckpointDir(folder)
     return folder

@@ -22,9 +22,11 @@ def artifact_type(path: Column) -> Column:
     return F.btrim(F.regexp_replace(F.upper(path), "[^A-Z0-9]+", "_"), F.lit("_"))
 
 
-def artifact_records(paths: DataFrame, path: str, run: Column) -> DataFrame:
+def artifact_records(paths: DataFrame, path: str, run: Column, *kept: str) -> DataFrame:
+    """One record per path: its id, type and media type, beside the columns ``kept``."""
     name = F.col(path)
     return paths.select(
+        *kept,
         F.concat(F.lit("urn:"), run, F.lit(":artifact:"), name).alias("artifact_id"),
         artifact_type(name).alias("artifact_type"), media_type(name).alias("media_type"),
     )

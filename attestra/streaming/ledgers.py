@@ -17,16 +17,16 @@ def append_sequences(stream: DataFrame, path: str, rejects: str, checkpoint: str
     """Idempotent append of (workflow, sequence, state).
 
     The same state again is a no-op; another state for a stored sequence, an
-    unsafe id or a sequence out of range is written to ``rejects``. Gaps are
+    unsafe id or a sequence below one is written to ``rejects``. Gaps are
     reported on the stored table by :func:`attestra.operators.ledger.sequence_gaps`.
     """
     key = ["workflow_id", "sequence"]
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        usable = safe_identifier(F.col("workflow_id")) & F.col("sequence").between(1, 999999)
+        usable = safe_identifier(F.col("workflow_id")) & (F.col("sequence") >= 1)
         rows = batch.select(*key, "state").distinct().withColumn("_usable", F.coalesce(usable, F.lit(False)))
-        known = stored(spark, path, APPEND_SCHEMA, before=batch_id).select(*key, F.col("state").alias("_stored"))
+        known = stored(spark, path, APPEND_SCHEMA, before=batch_id, like=rows, key="workflow_id").select(*key, F.col("state").alias("_stored"))
         firsts = rows.filter("_usable").groupBy(*key).agg(F.min("state").alias("_first"))
         judged = rows.join(known, key, "left").join(firsts, key, "left")
         reason = (
@@ -35,8 +35,8 @@ def append_sequences(stream: DataFrame, path: str, rejects: str, checkpoint: str
             .when(F.col("_stored").isNull() & (F.col("_first") != F.col("state")), "COLLISION")
         )
         judged = judged.withColumn("reason", reason)
-        write_batch(judged.filter("reason IS NULL AND _stored IS NULL").select(*key, "state"), path, batch_id)
-        write_batch(judged.filter("reason IS NOT NULL").select(*key, "state", "reason"), rejects, batch_id)
+        write_batch(judged.filter("reason IS NULL AND _stored IS NULL").select(*key, "state"), path, batch_id, "workflow_id")
+        write_batch(judged.filter("reason IS NOT NULL").select(*key, "state", "reason"), rejects, batch_id, "workflow_id")
 
     drain(stream, each, checkpoint=checkpoint)
 
@@ -58,20 +58,24 @@ def latest_totals(totals: DataFrame) -> DataFrame:
 
 
 def consume_once(stream: DataFrame, path: str, rejects: str, checkpoint: str | None = None) -> None:
-    """The first consumption of a request wins; every later one is rejected.
+    """The first consumption of a request wins; every later one is rejected, also an equal row delivered again.
 
-    State is the stored table itself, so it needs no expiry and survives any
-    restart; each batch joins it on the request id.
+    Equal rows of a batch are counted first: one can win, the rest are rejected,
+    so the totals do not depend on how rows fall into batches. State is the
+    stored table itself, so it needs no expiry and survives any restart; each
+    batch reads the parts of it that hold its own request ids.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        known = stored(batch.sparkSession, path, CONSUMED_SCHEMA, before=batch_id).select("request_id", F.lit(True).alias("_known"))
-        first = batch.groupBy("request_id").agg(F.min(F.struct("consumed_at", "run_id")).alias("_first"))
-        judged = batch.join(first, "request_id").join(known, "request_id", "left")
-        wins = F.col("_known").isNull() & (F.struct("consumed_at", "run_id") == F.col("_first"))
         columns = ["request_id", "consumed_at", "run_id"]
-        write_batch(judged.filter(wins).select(*columns), path, batch_id)
-        late = judged.filter(~wins).select(*columns, F.lit("APPROVAL_ALREADY_CONSUMED").alias("reason"))
-        write_batch(late, rejects, batch_id)
+        rows = batch.groupBy(*columns).agg(F.count(F.lit(1)).cast("int").alias("_copies"))
+        known = stored(batch.sparkSession, path, CONSUMED_SCHEMA, before=batch_id, like=rows, key="request_id").select("request_id", F.lit(True).alias("_known"))
+        first = batch.groupBy("request_id").agg(F.min(F.struct("consumed_at", "run_id")).alias("_first"))
+        judged = rows.join(first, "request_id").join(known, "request_id", "left")
+        wins = F.col("_known").isNull() & F.struct("consumed_at", "run_id").eqNullSafe(F.col("_first"))
+        write_batch(judged.filter(wins).select(*columns), path, batch_id, "request_id")
+        beaten = judged.withColumn("_late", F.col("_copies") - wins.cast("int")).filter("_late > 0")
+        late = beaten.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_late")))).select(*columns, F.lit("APPROVAL_ALREADY_CONSUMED").alias("reason"))
+        write_batch(late, rejects, batch_id, "request_id")
 
     drain(stream, each, checkpoint=checkpoint)

@@ -130,7 +130,7 @@ def test_array_hash_equals_direct_hash(spark):
     got = hashing.array_hashes(cells, ["k"], "v", width=3, height=2).first().array_sha256
     grid = np.full((2, 3), np.nan)
     grid[0, 0], grid[1, 2] = 0.5, -0.25
-    assert got == hashing.array_sha256(grid)
+    assert got == hashing.array_sha256(grid, "double")
 
 
 def test_order_and_partitioning_do_not_matter(spark):

@@ -36,17 +36,17 @@ def test_two_tiles_per_datatake(spark):
     assert groups.first().mgrs_tiles == ["54HYE", "55HBV"]
 
 
-@pytest.mark.parametrize("groups, status", [(40, "READY_FOR_RASTER_LIMITED_PROCESSING"), (41, "ABSTAINED"), (44, "ABSTAINED")])
+@pytest.mark.parametrize("groups, status", [(40, "READY_FOR_RASTER_LIMITED_PROCESSING"), (41, "READY_FOR_RASTER_LIMITED_PROCESSING"), (44, "READY_FOR_RASTER_LIMITED_PROCESSING")])
 def test_group_limit(spark, groups, status):
     row = evaluate(spark, [item(f"i{d}", f"D{d}") for d in range(groups)])
     assert row.status == status and row.metadata_admissible_acquisition_group_count == groups
-    assert row.reason_codes == ([] if groups == 40 else ["RESOURCE_LIMIT_EXCEEDED"])
+    assert row.reason_codes == [] and row.limit_codes == ([] if groups == 40 else ["RESOURCE_LIMIT_EXCEEDED"])
 
 
 def test_raw_limit_keeps_everything(spark):
     row = evaluate(spark, [item(f"i{d}", f"D{d % 30}", f"T{d}") for d in range(201)])
-    assert row.raw_item_count == 201 and row.metadata_admissible_acquisition_group_count is None
-    assert row.reason_codes == ["METADATA_INVENTORY_LIMIT_EXCEEDED", "RESOURCE_LIMIT_EXCEEDED"]
+    assert row.raw_item_count == 201 and row.metadata_admissible_acquisition_group_count == 30
+    assert row.limit_codes == ["METADATA_INVENTORY_LIMIT_EXCEEDED", "RESOURCE_LIMIT_EXCEEDED"]
     assert evaluate(spark, [item(f"i{d}", f"D{d % 30}", f"T{d}") for d in range(200)]).raster_access_permitted
 
 

@@ -179,7 +179,7 @@ finalists AS (
   SELECT win, platform, datatake_id, mgrs_tile, count(*) AS finalist_count, count(DISTINCT asset_key) > 1 AS ambiguous,
          min(candidate_count) AS candidate_count FROM ordered WHERE rk = 1 GROUP BY ALL),
 canonical AS (
-  SELECT o.win, o.platform, o.datatake_id, o.mgrs_tile, o.id AS selected_item_id, o.reasons, f.finalist_count, f.ambiguous, f.candidate_count
+  SELECT o.win, o.platform, o.datatake_id, o.mgrs_tile, o.id AS selected_item_id, o.datetime, o.reasons, f.finalist_count, f.ambiguous, f.candidate_count
   FROM ordered o JOIN finalists f USING (win, platform, datatake_id, mgrs_tile) WHERE o.rn = 1)"""
 GROUPS_SQL = """
 firsts AS (
@@ -190,7 +190,7 @@ merged AS (SELECT win, platform, datatake_id, string_agg(reason, ',' ORDER BY pl
 acq AS (
   SELECT c.win, c.platform, c.datatake_id, string_agg(selected_item_id, ',' ORDER BY mgrs_tile) AS item_ids,
          string_agg(CAST(mgrs_tile AS VARCHAR), ',' ORDER BY mgrs_tile) AS tiles, count(*) AS components,
-         coalesce(min(m.reasons), '') AS reasons
+         arg_min(c.datetime, c.mgrs_tile) AS sensing_datetime, coalesce(min(m.reasons), '') AS reasons
   FROM canonical c LEFT JOIN merged m USING (win, platform, datatake_id) GROUP BY ALL)"""
 SCENE_CTES = (SCENES_SQL,)
 CANONICAL_CTES = (SCENES_SQL, CANONICAL_SQL)
@@ -233,7 +233,8 @@ def facts(t: Tables) -> DataFrame:
         F.concat(F.lit('"'), "l_returnflag", F.lit('"')).alias("assertion_value"),
         F.when(line == 1, "INTEGRITY").when(line == 2, "OBSERVATION").alias("role"),
         F.create_map(
-            F.lit("commit"), F.concat(F.lit("c"), F.col("l_suppkey") % 2), F.lit("run"), F.concat(F.lit("r"), F.col("l_partkey") % 2)
+            F.lit("commit"), F.concat(F.lit("c"), F.col("l_suppkey") % 2), F.lit("run"), F.concat(F.lit("r"), F.col("l_partkey") % 2),
+            F.lit("reason_code"), F.when(F.col("l_partkey") % 3 == 0, "VALID_OBSERVATION_COVERAGE_LOW").otherwise("EFFECT_WITHIN_OPERATIONAL_INDIFFERENCE_BAND"),
         ).alias("attributes"),
         F.concat_ws(" ", F.lit("part"), "l_partkey", F.lit("status"), "l_linestatus").alias("text"),
     )
@@ -270,6 +271,7 @@ facts AS (
          CAST(l_shipdate AS DATE) AS accessed_on, CASE WHEN l_discount >= 5e-2 THEN 'method' END AS assertion_key, l_returnflag AS assertion_value,
          CASE l_linenumber WHEN 1 THEN 'INTEGRITY' WHEN 2 THEN 'OBSERVATION' END AS role,
          concat('c', l_suppkey % 2) AS commit_value, concat('r', l_partkey % 2) AS run_value,
+         CASE WHEN l_partkey % 3 = 0 THEN 'VALID_OBSERVATION_COVERAGE_LOW' ELSE 'EFFECT_WITHIN_OPERATIONAL_INDIFFERENCE_BAND' END AS reason_code,
          concat_ws(' ', 'part', l_partkey, 'status', l_linestatus) AS text
   FROM lineitem)"""
 REQUESTS_SQL = """

@@ -126,16 +126,16 @@ def snapshot_hash(t: Tables) -> DataFrame:
 
 
 @query("memory_snapshot_hash", """
-, entries AS (SELECT l_orderkey, '{"document_sha256":"' || sha256(CAST(l_extendedprice AS VARCHAR)) || '","evidence_id":"' || id || '"}' AS entry, id
-              FROM (SELECT l_orderkey, l_extendedprice, concat_ws('-', l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS id FROM lineitem))
-SELECT l_orderkey, count(*) AS document_count, sha256('[' || string_agg(entry, ',' ORDER BY id) || ']') AS memory_snapshot_sha256, FALSE AS over_limit
-FROM entries GROUP BY l_orderkey HAVING count(*) <= 100""", ("one AS (SELECT 1)",))
+, entries AS (SELECT l_suppkey, '{"document_sha256":"' || sha256(CAST(l_extendedprice AS VARCHAR)) || '","evidence_id":"' || id || '"}' AS entry, id
+              FROM (SELECT l_suppkey, l_extendedprice, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS id FROM lineitem))
+SELECT l_suppkey, count(*) AS document_count, sha256('[' || string_agg(entry, ',' ORDER BY id) || ']') AS memory_snapshot_sha256, count(*) > 100 AS over_limit
+FROM entries GROUP BY l_suppkey""", ("one AS (SELECT 1)",))
 def memory_snapshot_hash(t: Tables) -> DataFrame:
     documents = t.lineitem.select(
-        "l_orderkey", hashing.sha256_text(F.col("l_extendedprice").cast("string")).alias("document_sha256"),
-        F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("evidence_id"),
+        "l_suppkey", hashing.sha256_text(F.col("l_extendedprice").cast("string")).alias("document_sha256"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("evidence_id"),
     )
-    return hashing.snapshot_sha256(documents, ["l_orderkey"])
+    return hashing.snapshot_sha256(documents, ["l_suppkey"])
 
 
 @query("source_allowlist", """
@@ -242,9 +242,10 @@ conflicts AS (SELECT subject_type, subject_id, claim_family, bool_and(n = 1) AS
 tags AS (SELECT subject_type, subject_id, claim_family, count(DISTINCT tag) AS n_tags FROM
   (SELECT subject_type, subject_id, claim_family, unnest(hit) AS tag FROM chosen) GROUP BY ALL),
 gathered AS (SELECT subject_type, subject_id, claim_family, count(*) AS n, bool_and(scope_ok) AS authority_ok, min(accessed_on) AS oldest,
-  bool_or(role = 'INTEGRITY' AND commit_value = 'c0') AND bool_or(role = 'OBSERVATION' AND run_value = 'r0') AS bound FROM chosen GROUP BY ALL),
+  bool_or(role = 'INTEGRITY' AND commit_value = 'c0') AND bool_or(role = 'OBSERVATION' AND run_value = 'r0') AS bound,
+  min(reason_code) FILTER ((role = 'INTEGRITY' AND commit_value = 'c0') OR (role = 'OBSERVATION' AND run_value = 'r0')) AS observed FROM chosen GROUP BY ALL),
 flags AS (
-  SELECT q.*, r.refused_code, NOT list_contains(r.subject_types, q.subject_type) AS mismatch, coalesce(g.n, 0) > 0 AS has_facts,
+  SELECT q.*, r.refused_code, NOT list_contains(r.subject_types, q.subject_type) AS mismatch, coalesce(g.n, 0) > 0 AS has_facts, g.observed,
          coalesce(c.consistent, TRUE) AS consistent, q.claim_family <> 'OBSERVATIONAL_CONSISTENCY' OR coalesce(g.bound, FALSE) AS frozen,
          q.minimum_source_date IS NULL OR coalesce(g.oldest >= q.minimum_source_date, FALSE) AS fresh, coalesce(g.authority_ok, FALSE) AS authority,
          coalesce(t.n_tags, 0) = len(r.required_tags) AS complete
@@ -262,7 +263,7 @@ SELECT request_id, claim_family,
        CASE WHEN refused_code IS NOT NULL THEN 'REFUSED' WHEN failure <> '' OR claim_family = 'POLICY_APPLICABILITY' THEN 'ERROR'
             WHEN claim_family = 'OBSERVATIONAL_CONSISTENCY' THEN 'ABSTAINED' ELSE 'QUALIFIED' END AS workflow_status,
        CASE WHEN failure <> '' OR claim_family = 'POLICY_APPLICABILITY' THEN NULL WHEN claim_family = 'OBSERVATIONAL_CONSISTENCY' THEN 'INCONCLUSIVE' ELSE 'SUPPORTED' END AS qualification,
-       CASE WHEN failure <> '' THEN failure WHEN claim_family = 'OBSERVATIONAL_CONSISTENCY' THEN 'EFFECT_WITHIN_OPERATIONAL_INDIFFERENCE_BAND'
+       CASE WHEN failure <> '' THEN failure WHEN claim_family = 'OBSERVATIONAL_CONSISTENCY' THEN observed
             WHEN claim_family = 'POLICY_APPLICABILITY' THEN 'DETERMINISTIC_PROCESSING_ERROR' ELSE '' END AS reasons,
        CASE WHEN refused_code IS NOT NULL OR mismatch THEN 'PASS,FAIL,NOT_RUN,NOT_RUN,NOT_RUN,NOT_RUN,NOT_RUN,PASS,NOT_RUN,PASS'
             ELSE concat_ws(',', 'PASS', 'PASS', CASE WHEN has_facts THEN 'PASS' ELSE 'FAIL' END, CASE WHEN authority THEN 'PASS' ELSE 'FAIL' END,
@@ -334,14 +335,15 @@ def registry_dims(t: Tables) -> DataFrame:
 
 
 @query("artifact_records", """
-, paths AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS p FROM pages)
+, paths AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') || ['', '.zip', '.xml', '.npy', '.npz', '.md', '.TXT', '.json', '.raw'][page_id % 9 + 1] AS p FROM pages)
 SELECT page_id, concat('urn:run:artifact:', p) AS artifact_id, trim(regexp_replace(upper(p), '[^A-Z0-9]+', '_', 'g'), '_') AS artifact_type,
-       'application/json' AS media_type FROM paths WHERE p NOT SIMILAR TO '.*[.](zip|xml|npy|npz|md|txt|sha256|raw)'""", ("one AS (SELECT 1)",))
+       CASE WHEN p LIKE '%.zip' THEN 'application/zip' WHEN p LIKE '%.xml' THEN 'application/xml' WHEN p LIKE '%.npy' OR p LIKE '%.npz' THEN 'application/x-numpy'
+            WHEN p LIKE '%.md' OR p LIKE '%.TXT' OR p LIKE '%.raw' THEN 'text/plain' ELSE 'application/json' END AS media_type FROM paths""", ("one AS (SELECT 1)",))
 def artifact_records(t: Tables) -> DataFrame:
-    paths = t.pages.select("page_id", uri.strip_query(F.col("url")).alias("p"))
-    records = artifacts.artifact_records(paths, "p", F.lit("run"))
-    keyed = paths.select("page_id", F.concat(F.lit("urn:run:artifact:"), "p").alias("artifact_id")).distinct()
-    return keyed.join(records.distinct(), "artifact_id")
+    suffixes = F.array(*[F.lit(s) for s in ("", ".zip", ".xml", ".npy", ".npz", ".md", ".TXT", ".json", ".raw")])
+    ending = F.element_at(suffixes, (F.col("page_id") % 9 + 1).cast("int"))
+    paths = t.pages.select("page_id", F.concat(uri.strip_query(F.col("url")), ending).alias("p"))
+    return artifacts.artifact_records(paths, "p", F.lit("run"), "page_id")
 
 
 @query("file_checksums", """

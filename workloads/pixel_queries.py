@@ -287,16 +287,17 @@ def observation_assessment_low_coverage(t: Tables) -> DataFrame:
 
 @query("render_statement", """
 SELECT o_orderkey, 'Within the frozen CEA for P' || o_custkey || ', the summary (' || CAST(o_totalprice AS VARCHAR) ||
-       ') under ' || o_orderpriority || '.' AS statement, TRUE AS matches_stored FROM orders WHERE o_totalprice < 1e6""")
+       ') under ' || o_orderpriority || '.' AS statement, o_orderkey % 5 <> 0 AS matches_stored FROM orders""")
 def render_statement(t: Tables) -> DataFrame:
     template = F.lit("Within the frozen {role} for {project_id}, the summary ({value}) under {policy}.")
     filled = text.fill_template(template, {
         "role": F.lit("CEA"), "project_id": F.concat(F.lit("P"), "o_custkey"),
         "value": F.col("o_totalprice"), "policy": F.col("o_orderpriority"),
     })
+    # what an earlier run wrote, one in five altered since
     stored = F.concat(F.lit("Within the frozen CEA for P"), "o_custkey", F.lit(", the summary ("), "o_totalprice",
-                      F.lit(") under "), "o_orderpriority", F.lit("."))
-    return t.orders.filter("o_totalprice < 1e6").select(
+                      F.lit(") under "), "o_orderpriority", F.when(F.col("o_orderkey") % 5 == 0, "!").otherwise("."))
+    return t.orders.select(
         "o_orderkey", filled.alias("statement"), (filled == stored).alias("matches_stored")
     )
 

@@ -188,7 +188,7 @@ def set_diff(t: Tables) -> DataFrame:
 
 @query("binding_rules", """
 , allowed AS (SELECT DISTINCT c_nationkey AS case_id, c_mktsegment AS source_id FROM customer),
-made AS (SELECT c_custkey % 25 AS case_id, c_mktsegment AS source_id, count(*) AS n, bool_or(c_custkey % 50 = 7) AS fabricated FROM customer WHERE c_custkey % 3 = 0 GROUP BY ALL)
+made AS (SELECT c_custkey % 25 AS case_id, c_mktsegment AS source_id, count(*) AS n, bool_or(c_custkey % 50 = 7) AS fabricated FROM customer GROUP BY ALL)
 SELECT coalesce(a.case_id, m.case_id) AS case_id, coalesce(a.source_id, m.source_id) AS source_id,
        CASE WHEN a.case_id IS NULL THEN 'BINDING_EXTRA' WHEN m.case_id IS NULL THEN 'BINDING_MISSING' WHEN n > 1 THEN 'BINDING_DUPLICATE'
             WHEN fabricated THEN 'PENDING_WITH_CANONICAL_URI' END AS violation
@@ -197,7 +197,7 @@ WHERE a.case_id IS NULL OR m.case_id IS NULL OR n > 1 OR fabricated""", ("one AS
 def binding_rules(t: Tables) -> DataFrame:
     allowed = t.customer.select(F.col("c_nationkey").cast("long").alias("case_id"), F.col("c_mktsegment").alias("source_id")).distinct()
     pending = F.col("c_custkey") % 50 == 7
-    bindings = t.customer.filter("c_custkey % 3 = 0").select(
+    bindings = t.customer.select(
         (F.col("c_custkey") % 25).alias("case_id"), F.col("c_mktsegment").alias("source_id"),
         F.when(pending, "PENDING_STEP_2").otherwise("FROZEN").alias("binding_status"), F.lit("https://h/a").alias("canonical_uri"),
         F.lit("https://h/b").alias("discovery_uri"),
@@ -304,10 +304,11 @@ def reason_semantics(t: Tables) -> DataFrame:
 
 @query("attempt_stats", """
 SELECT user_id, count(*) AS attempt_count, arg_min(event_type, (ts, event_id)) AS first_outcome, arg_max(event_type, (ts, event_id)) AS terminal_outcome,
-       CASE WHEN count(*) >= 3 THEN '0,2,5' WHEN count(*) = 2 THEN '0,2' ELSE '0' END AS delays FROM events GROUP BY user_id""")
+       '0' || CASE WHEN count(*) >= 2 THEN ',2' ELSE '' END || repeat(',5', greatest(count(*) - 2, 0)) AS delays, count(*) > 3 AS over_limit
+FROM events GROUP BY user_id""")
 def attempt_stats(t: Tables) -> DataFrame:
     made = ledger.attempt_stats(t.events, "user_id", ["ts", "event_id"], "event_type")
-    return made.select("user_id", "attempt_count", "first_outcome", "terminal_outcome", F.array_join("retry_delays", ",").alias("delays"))
+    return made.select("user_id", "attempt_count", "first_outcome", "terminal_outcome", F.array_join("retry_delays", ",").alias("delays"), "over_limit")
 
 
 @query("first_last", """

@@ -186,7 +186,7 @@ def eval_thresholds(t: Tables) -> DataFrame:
 , outcome AS (
   SELECT CASE WHEN refused_code IS NOT NULL THEN 'REFUSED' WHEN failure <> '' OR claim_family = 'POLICY_APPLICABILITY' THEN 'ERROR'
               WHEN claim_family = 'OBSERVATIONAL_CONSISTENCY' THEN 'ABSTAINED' ELSE 'QUALIFIED' END AS status,
-         CASE WHEN failure <> '' THEN failure WHEN claim_family = 'OBSERVATIONAL_CONSISTENCY' THEN 'EFFECT_WITHIN_OPERATIONAL_INDIFFERENCE_BAND'
+         CASE WHEN failure <> '' THEN failure WHEN claim_family = 'OBSERVATIONAL_CONSISTENCY' THEN observed
               WHEN claim_family = 'POLICY_APPLICABILITY' THEN 'DETERMINISTIC_PROCESSING_ERROR' ELSE '' END AS reason, refused_code FROM judged)
 SELECT count(*) AS case_count, round(count(*) FILTER (status = coalesce(CASE WHEN refused_code IS NOT NULL THEN 'REFUSED' END, 'ERROR')
          AND reason = coalesce(refused_code, 'REQUIRED_EVIDENCE_MISSING')) / count(*), 9) AS exact_outcome_rate,

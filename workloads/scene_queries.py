@@ -248,43 +248,58 @@ def representation_records(t: Tables) -> DataFrame:
 
 
 @query("acquisition_groups", """
-SELECT win, platform, datatake_id, item_ids, tiles, reasons, reasons = '' AS metadata_admissible FROM acq""", domain.GROUP_CTES)
+SELECT win, platform, datatake_id, sensing_datetime, item_ids, tiles, reasons, reasons = '' AS metadata_admissible FROM acq""", domain.GROUP_CTES)
 def acquisition_groups(t: Tables) -> DataFrame:
     return sc.acquisition_groups(components(t)).select(
-        *sc.ACQUISITION, joined("component_item_ids", "item_ids"), joined("mgrs_tiles", "tiles"),
+        *sc.ACQUISITION, "sensing_datetime", joined("component_item_ids", "item_ids"), joined("mgrs_tiles", "tiles"),
         joined("exclusion_reasons", "reasons"), "metadata_admissible",
     )
 
 
+# windows of two days: some clean, some with contradictory identities or equal candidates
+SHORT_CTES = tuple(
+    c.replace("CASE WHEN l_shipdate < TIMESTAMP '1998-07-01' THEN 'PRE' ELSE 'POST' END AS win",
+              "'W' || (date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) // 2) AS win") for c in domain.GROUP_CTES)
+
+
+def short_windows(t: Tables) -> DataFrame:
+    days = F.datediff(F.col("datetime").cast("date"), F.lit("1992-01-01").cast("date"))
+    return domain.scenes(t).withColumn("win", F.concat(F.lit("W"), F.floor(days / 2)))
+
+
 EVALUATE_SQL = """
 , grouped AS (SELECT win, CAST(sum(components) AS BIGINT) AS components, count(*) AS groups,
                      count(*) FILTER (reasons = '') AS admissible FROM acq GROUP BY win),
-raw AS (SELECT win, count(*) AS raw_item_count FROM scenes GROUP BY win)
+raw AS (SELECT win, count(*) AS raw_item_count FROM scenes GROUP BY win),
+stops AS (
+  SELECT win, 'ACQUISITION_IDENTITY_UNRESOLVED' AS code, 1 AS place FROM scenes GROUP BY win, platform, datatake_id HAVING count(DISTINCT datetime) > 1
+  UNION SELECT win, 'ACQUISITION_IDENTITY_UNRESOLVED', 1 FROM scenes GROUP BY win, id HAVING count(DISTINCT (platform, datatake_id, mgrs_tile, datetime)) > 1
+  UNION SELECT win, 'ACQUISITION_REPRESENTATION_AMBIGUOUS', 2 FROM canonical WHERE ambiguous),
+codes AS (SELECT win, string_agg(code, ',' ORDER BY place) AS reasons FROM stops GROUP BY win)
 SELECT win, raw_item_count, components AS canonical_representation_count, groups AS independent_acquisition_group_count,
        admissible AS metadata_admissible_acquisition_group_count,
-       CASE WHEN admissible > 40 THEN 'ABSTAINED' ELSE 'READY_FOR_RASTER_LIMITED_PROCESSING' END AS status,
-       CASE WHEN admissible > 40 THEN 'RESOURCE_LIMIT_EXCEEDED' ELSE '' END AS reasons, admissible <= 40 AS raster_access_permitted
-FROM raw JOIN grouped USING (win)"""
+       CASE WHEN reasons IS NULL THEN 'READY_FOR_RASTER_LIMITED_PROCESSING' ELSE 'ERROR' END AS status,
+       coalesce(reasons, '') AS reasons, reasons IS NULL AS raster_access_permitted,
+       concat_ws(',', CASE WHEN raw_item_count > 200 THEN 'METADATA_INVENTORY_LIMIT_EXCEEDED' END,
+                 CASE WHEN raw_item_count > 200 OR admissible > 40 THEN 'RESOURCE_LIMIT_EXCEEDED' END) AS limits
+FROM raw JOIN grouped USING (win) LEFT JOIN codes USING (win)"""
 
 
-@query("scene_metadata_evaluation", EVALUATE_SQL, domain.GROUP_CTES)
+@query("scene_metadata_evaluation", EVALUATE_SQL, SHORT_CTES)
 def scene_metadata_evaluation(t: Tables) -> DataFrame:
-    evaluated = scene_selection.evaluate_windows(domain.scenes(t), raw_limit=1_000_000_000)
-    return evaluated.drop("reason_codes").join(evaluated.select("win", joined("reason_codes", "reasons")), "win")
+    return _evaluated(short_windows(t))
 
 
-@query("resource_gate", """
-, raw AS (SELECT win, count(*) AS raw_item_count FROM scenes GROUP BY win)
-SELECT win, raw_item_count, raw_item_count > 200 AS limit_exceeded, 'ABSTAINED' AS status,
-       'METADATA_INVENTORY_LIMIT_EXCEEDED,RESOURCE_LIMIT_EXCEEDED' AS reasons, FALSE AS groups_evaluated
-FROM raw""", domain.SCENE_CTES)
+def _evaluated(items: DataFrame) -> DataFrame:
+    evaluated = scene_selection.evaluate_windows(items)
+    return evaluated.withColumn("reasons", F.array_join("reason_codes", ",")).withColumn("limits", F.array_join("limit_codes", ",")).drop(
+        "reason_codes", "limit_codes")
+
+
+@query("resource_gate", EVALUATE_SQL, domain.GROUP_CTES)
 def resource_gate(t: Tables) -> DataFrame:
-    counts = sc.over_limit(domain.scenes(t), ["win"], 200)
-    gated = scene_selection.evaluate_windows(domain.scenes(t))
-    return gated.join(counts.select("win", "limit_exceeded"), "win").select(
-        "win", "raw_item_count", "limit_exceeded", "status", joined("reason_codes", "reasons"),
-        F.col("metadata_admissible_acquisition_group_count").isNotNull().alias("groups_evaluated"),
-    )
+    """The same plan over the two long windows, beyond every limit: all counts stay."""
+    return _evaluated(domain.scenes(t))
 
 
 @query("acquisition_ids", "SELECT DISTINCT win, datatake_id, CAST(NULL AS VARCHAR) AS violation FROM scenes", domain.SCENE_CTES)
@@ -353,11 +368,10 @@ def grid_congruence(t: Tables) -> DataFrame:
 
 
 @query("dedupe_payload", """
-SELECT source, text_key, count(*) AS copies, count(DISTINCT text) > 1 AS conflict
-FROM (SELECT source, substr(text, 1, 40) AS text_key, text FROM documents) GROUP BY ALL""")
+SELECT sha256(text) AS text_key, count(*) AS copies, count(DISTINCT source) > 1 AS conflict FROM documents GROUP BY text""")
 def dedupe_payload(t: Tables) -> DataFrame:
-    keyed = t.documents.select("source", F.substring("text", 1, 40).alias("text_key"), "text")
-    return sc.dedupe(keyed, ["source", "text_key"], F.col("text")).select("source", "text_key", "copies", "conflict")
+    keyed = t.documents.select(F.sha2(F.col("text").cast("binary"), 256).alias("text_key"), "source")
+    return sc.dedupe(keyed, ["text_key"], F.col("source")).select("text_key", "copies", "conflict")
 
 
 @query("dedupe_counts", """

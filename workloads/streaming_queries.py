@@ -20,14 +20,23 @@ def _staged(frame: DataFrame, name: str, files: int, by: str) -> str:
 
 
 @query("stream_append", """
-SELECT CAST(conv_id AS VARCHAR) AS workflow_id, turn + 1 AS sequence, sha256(text) AS state, 'STORED' AS outcome FROM conversations
+SELECT CAST(conv_id AS VARCHAR) AS workflow_id, turn + 1 AS sequence,
+       CASE WHEN conv_id % 7 = 0 THEN least(sha256(text), sha256(text || '!')) ELSE sha256(text) END AS state, 'STORED' AS outcome FROM conversations
+UNION ALL SELECT CAST(conv_id AS VARCHAR), turn + 1, greatest(sha256(text), sha256(text || '!')), 'COLLISION' FROM conversations WHERE conv_id % 7 = 0
 UNION ALL SELECT '-bad', turn + 1, sha256(text), 'UNSAFE_KEY' FROM conversations WHERE conv_id % 10 = 0""")
 def stream_append(t: Tables) -> DataFrame:
     rows = t.conversations.select(
         F.col("conv_id").cast("string").alias("workflow_id"), (F.col("turn") + 1).alias("sequence"), F.sha2(F.col("text").cast("binary"), 256).alias("state")
     )
     unsafe = rows.filter(F.col("workflow_id").cast("long") % 10 == 0).withColumn("workflow_id", F.lit("-bad"))
-    source = _staged(rows.unionByName(rows).unionByName(unsafe), "checkpoints", 3, "state")
+    altered = t.conversations.filter("conv_id % 7 = 0").select(
+        F.col("conv_id").cast("string").alias("workflow_id"), (F.col("turn") + 1).alias("sequence"),
+        F.sha2(F.concat("text", F.lit("!")).cast("binary"), 256).alias("state"))
+    # rivals for one place come in one batch; equal rows come in one batch and, for the rest, again in others
+    rivals = rows.filter(F.col("workflow_id").cast("long") % 7 == 0).unionByName(altered)
+    again = rows.filter(F.col("workflow_id").cast("long") % 7 != 0)
+    source = _staged(rivals.unionByName(rivals).unionByName(again).unionByName(again).unionByName(unsafe), "checkpoints", 3, "workflow_id")
+    again.write.mode("append").parquet(source)
     path, rejects = derived_path(t.spark, "appended"), derived_path(t.spark, "rejected")
     ledgers.append_sequences(sinks.read_stream(t.spark, source, ledgers.APPEND_SCHEMA, 1), path, rejects)
     kept = sinks.stored(t.spark, path, ledgers.APPEND_SCHEMA).withColumn("outcome", F.lit("STORED"))
@@ -48,12 +57,14 @@ def stream_ledger(t: Tables) -> DataFrame:
 
 
 @query("stream_consume_once", """
-SELECT CAST(user_id AS VARCHAR) AS request_id, 1 AS accepted, count(*) - 1 AS rejected FROM events GROUP BY user_id""")
+SELECT CAST(user_id AS VARCHAR) AS request_id, 1 AS accepted, count(*) + 2 * count(*) FILTER (event_id % 3 = 0) - 1 AS rejected FROM events GROUP BY user_id""")
 def stream_consume_once(t: Tables) -> DataFrame:
     rows = t.events.select(
         F.col("user_id").cast("string").alias("request_id"), F.col("ts").alias("consumed_at"), F.col("event_id").cast("string").alias("run_id")
     )
-    source = _staged(rows, "consumptions", 3, "run_id")
+    twice = rows.filter(F.col("run_id").cast("long") % 3 == 0)
+    source = _staged(rows.unionByName(twice), "consumptions", 3, "run_id")  # an equal row in the same batch
+    twice.write.mode("append").parquet(source)  # and again in another
     path, rejects = derived_path(t.spark, "consumed"), derived_path(t.spark, "late")
     ledgers.consume_once(sinks.read_stream(t.spark, source, ledgers.CONSUMED_SCHEMA, 1), path, rejects)
     accepted = sinks.stored(t.spark, path, ledgers.CONSUMED_SCHEMA).groupBy("request_id").agg(F.count(F.lit(1)).cast("int").alias("accepted"))
@@ -64,7 +75,7 @@ def stream_consume_once(t: Tables) -> DataFrame:
 @query("stream_qualify", QUALIFY_SQL + """
 SELECT request_id, CASE WHEN refused_code IS NOT NULL THEN 'REFUSED' WHEN failure <> '' OR claim_family = 'POLICY_APPLICABILITY' THEN 'ERROR'
             WHEN claim_family = 'OBSERVATIONAL_CONSISTENCY' THEN 'ABSTAINED' ELSE 'QUALIFIED' END AS workflow_status,
-       CASE WHEN failure <> '' THEN failure WHEN claim_family = 'OBSERVATIONAL_CONSISTENCY' THEN 'EFFECT_WITHIN_OPERATIONAL_INDIFFERENCE_BAND'
+       CASE WHEN failure <> '' THEN failure WHEN claim_family = 'OBSERVATIONAL_CONSISTENCY' THEN observed
             WHEN claim_family = 'POLICY_APPLICABILITY' THEN 'DETERMINISTIC_PROCESSING_ERROR' ELSE '' END AS reasons FROM judged""", domain.QUALIFY_CTES)
 def stream_qualify(t: Tables) -> DataFrame:
     rules = registries.claim_rules(t.spark)
