@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 from attestra.llm.common import discard, materialise, partitions, whole_text
 
 LENGTH, GRAM, MOST_WINDOWS = 50, 20, 64
-BLOCK_BYTES, RANGE_BYTES, SHARD_BYTES = 8 << 20, 4 << 20, 1 << 20
+BLOCK_BYTES, RANGE_BYTES = 8 << 20, 4 << 20
+#: Symbols merged at a time, and of one shard: the arrays of a merge stay in a core's cache.
+MERGE_SYMBOLS, SHARD_SYMBOLS = 1 << 17, 1 << 15
 NO_ID = (1 << 63) - 1
 BLOCK = "block long, ids array<long>, ends binary, data binary"
 PART = 1 << 17
@@ -92,6 +94,8 @@ def segments(x: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int =
         none = np.zeros(0, dtype=np.int64)
         return none, none, none.astype(np.uint64), none
     first, count, key = np.concatenate(first), np.concatenate(count), np.concatenate(key)
+    key *= np.uint64(0xBF58476D1CE4E5B9)  # least hashes are small numbers: spread them again
+    key ^= key >> np.uint64(32)
     doc = np.searchsorted(ends, first, side="right")
     valid = first <= ends[doc] - length
     first, count, key, doc = first[valid], count[valid], key[valid], doc[valid]
@@ -104,6 +108,11 @@ def segments(x: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int =
     return first, count, key, doc
 
 
+def _lane_of(keys: np.ndarray) -> np.ndarray:
+    """One of 256 lanes of a range, by bits that the range does not use; equal windows are in one lane."""
+    return (keys & np.uint64(0xFF)).astype(np.uint8)
+
+
 def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
@@ -205,7 +214,7 @@ def _chosen(row: dict, length: int, ranges: int):
         flags[lo:hi] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=hi - lo).astype(bool)
     kept = np.flatnonzero(flags[at])
     kept = kept[np.argsort(place[at[kept]], kind="stable")]
-    return ids, data, ends, first[kept], count[kept], doc[kept], place[at[kept]]
+    return ids, data, ends, first[kept], count[kept], doc[kept], place[at[kept]], _lane_of(key[kept])
 
 
 def _numbered(data: bytes, first: np.ndarray, count: np.ndarray, length: int) -> tuple[dict[bytes, int], np.ndarray]:
@@ -219,7 +228,7 @@ def _sent(length: int, ranges: int):
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for row in batch.to_pylist():
-                ids, data, _, first, count, doc, place = _chosen(row, length, ranges)
+                ids, data, _, first, count, doc, place, lane = _chosen(row, length, ranges)
                 cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, int)
                 out = [[], [], [], []]
                 for a, b in zip(cuts, np.append(cuts[1:], len(place))):
@@ -227,7 +236,9 @@ def _sent(length: int, ranges: int):
                     least = np.full(len(known), NO_ID)
                     np.minimum.at(least, number, ids[doc[a:b]])
                     sizes = np.fromiter(map(len, known), np.uint8, len(known))
-                    for column, value in zip(out, (int(place[a]), row["block"], sizes.tobytes() + least.tobytes(), pack.compress(b"".join(known)))):
+                    lanes = np.empty(len(known), np.uint8)
+                    lanes[number] = lane[a:b]
+                    for column, value in zip(out, (int(place[a]), row["block"], sizes.tobytes() + lanes.tobytes() + least.tobytes(), pack.compress(b"".join(known)))):
                         column.append(value)
                 kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["range", "block", "least", "data"])
@@ -238,34 +249,40 @@ def _sent(length: int, ranges: int):
 # ---- merging transforms
 
 class Shard:
-    """Segments, each ended by symbol 0, their suffixes in order, and the Burrows-Wheeler transform."""
+    """Segments, each ended by symbol 0, their suffixes in order, and the Burrows-Wheeler transform.
 
-    def __init__(self, data: bytes, sizes: np.ndarray):
+    A byte is the symbol one above it; UTF-8 has no byte 255. Suffixes are in
+    order of their first ``8 * words`` symbols up to the end of the segment.
+    """
+
+    def __init__(self, data: bytes, sizes: np.ndarray, words: int = 7):
         ends = np.cumsum(sizes + 1) - 1
-        self.symbols = np.zeros(int(sizes.sum()) + len(sizes), dtype=np.uint16)
-        body = np.ones(len(self.symbols), dtype=bool)
+        n = int(sizes.sum()) + len(sizes)
+        body = np.ones(n, dtype=bool)
         body[ends] = False
-        self.symbols[body] = np.frombuffer(data, np.uint8).astype(np.uint16) + np.uint16(1)
-        n = len(self.symbols)
-        # suffixes in order of their first symbols up to the end of the segment, eight bytes to a word
-        deep = -(-(int(sizes.max(initial=0)) + 1) // 7)
-        padded = np.concatenate([self.symbols.astype(np.uint64), np.zeros(7 * deep, np.uint64)])
-        left = np.repeat(ends, sizes + 1) - np.arange(n)
-        words = []
-        for w in range(deep):
-            word = np.zeros(n, dtype=np.uint64)
-            for k in range(7):
-                here = 7 * w + k
-                word = (word << np.uint64(9)) | np.where(left >= here, padded[here: here + n], np.uint64(0))
-            words.append(word)
-        self.order = np.lexsort(words[::-1])
-        before = np.concatenate([[0], self.symbols[:-1]]).astype(np.uint16)
+        padded = np.zeros(n + 8 * words + 8, dtype=np.uint8)
+        padded[:n][body] = np.frombuffer(data, np.uint8) + np.uint8(1)
+        self.symbols = padded[:n]
+        # eight symbols from each place on, the first the most significant
+        word = np.zeros(n + 8 * words, dtype=np.uint64)
+        for k in range(8):
+            word = (word << np.uint64(8)) | padded[k: k + len(word)]
+        left = np.repeat(ends, sizes + 1) - np.arange(n)  # symbols up to the segment's end
+        keys = []
+        for w in range(words):
+            inside = np.clip(left - 8 * w, 0, 8)
+            shift = ((8 - inside) * 8).astype(np.uint64)
+            key = word[8 * w: 8 * w + n]
+            keys.append(np.where(inside == 0, np.uint64(0), (key >> shift) << shift))
+        self.order = np.lexsort(keys[::-1]).astype(np.int32)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        before = np.roll(self.symbols, 1)
+        before[starts] = 0
         self.transform = before[self.order]
-        place = np.empty(n, dtype=np.int64)
-        place[self.order] = np.arange(n)
+        place = np.empty(n, dtype=np.int32)
+        place[self.order] = np.arange(n, dtype=np.int32)
         # where the suffix one symbol longer stands; at a segment's start, its end symbol, as in a ring
         sources = np.arange(-1, n - 1)
-        starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
         sources[starts] = ends
         self.step = place[sources][self.order]
 
@@ -276,64 +293,87 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     The interleave starts as the shards one after the other and is refined: when
     it is right for k symbols, reading each shard's transform through it and
     dealing the suffixes by the symbol read, in order, makes it right for k + 1.
-    The suffixes of a shard never change places among themselves; no suffix is
-    compared with another. Where two neighbours first differ is kept as the
-    boundary of a common prefix.
+    No suffix is compared with another. Where two neighbours first differ is
+    kept as the boundary of a common prefix.
     """
     base = np.cumsum([0] + [len(s.order) for s in shards])
     transform = np.concatenate([s.transform for s in shards])
-    step = np.concatenate([s.step + b for s, b in zip(shards, base)])
+    step = np.concatenate([s.step + b for s, b in zip(shards, base)]).astype(np.intp)
     n = len(step)
-    merged, interval = np.arange(n), np.zeros(n, dtype=np.int64)
-    new = np.zeros(n, dtype=bool)
+    # every suffix stays under its letter in each round, so letters change at the same places
+    letters = np.cumsum(np.bincount(transform, minlength=256))
+    letters = letters[letters < n]
+    merged, interval, new = np.arange(n), np.zeros(n, dtype=np.int32), np.ones(n, dtype=bool)
     for _ in range(depth):
-        read = transform[merged]
-        dealt = np.argsort(read, kind="stable")
-        group, letter = interval[dealt], read[dealt]
-        merged = step[merged[dealt]]
-        new = np.concatenate([[True], (letter[1:] != letter[:-1]) | (group[1:] != group[:-1])]) if n else new
-        interval = np.cumsum(new) - 1
+        dealt = np.argsort(transform.take(merged, mode="clip"), kind="stable")
+        merged = step.take(merged.take(dealt, mode="clip"), mode="clip")
+        group = interval.take(dealt, mode="clip")
+        np.not_equal(group[1:], group[:-1], out=new[1:])
+        new[letters] = True
+        interval = np.cumsum(new, dtype=np.int32)
     return merged, new
 
 
-def verdicts(shards: list[tuple[np.ndarray, np.ndarray, bytes]], length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
+def _earliest(texts: list[bytes], sizes: np.ndarray, least: np.ndarray, length: int, shard_symbols: int) -> np.ndarray:
+    """For every window of the segments, the least document of all equal windows among them."""
+    total = np.cumsum(sizes + 1)
+    bounds = np.unique(np.concatenate([[0], np.searchsorted(total, np.arange(shard_symbols, total[-1] + shard_symbols, shard_symbols)), [len(texts)]]))
+    built = [Shard(b"".join(texts[a:b]), sizes[a:b], -(-length // 8)) for a, b in zip(bounds, bounds[1:]) if b > a]
+    merged, new = merge(built, length)
+    base = np.cumsum([0] + [len(s.order) for s in built])
+    position = np.concatenate([s.order + b for s, b in zip(built, base)])[merged]  # of each suffix, in the segments one after the other
+    segment = np.repeat(np.arange(len(texts)), sizes + 1)[position]
+    offset = position - (total[segment] - sizes[segment] - 1)
+    window = offset <= sizes[segment] - length
+    cls, segment, offset = (np.cumsum(new) - 1)[window], segment[window], offset[window]
+    opens = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+    first = np.minimum.reduceat(least[segment], opens)
+    out = np.full((len(texts), MOST_WINDOWS), NO_ID)
+    out[segment, offset] = np.repeat(first, np.diff(np.append(opens, len(cls))))
+    return out
+
+
+def verdicts(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]], length: int = LENGTH, merge_symbols: int = MERGE_SYMBOLS,
+             shard_symbols: int = SHARD_SYMBOLS) -> list[np.ndarray]:
     """For each block's segments a word of bits: bit w is set if window w also starts in a document before the segment's first.
 
-    ``shards`` are (sizes, least document, bytes) of the distinct segments of
-    each block. Segments that several blocks have are merged with the least of
-    their documents first.
+    ``shards`` are (sizes, lanes, least document, bytes) of the distinct segments
+    of each block. Segments that several blocks have become one, with the least
+    of their documents. Lanes share no window, so they are merged some at a time.
     """
     known: dict[bytes, int] = {}
     numbers = []
-    for sizes, _, data in shards:
+    for sizes, _, _, data in shards:
         ends = np.cumsum(sizes, dtype=np.int64).tolist()
-        starts = [0] + ends[:-1]
-        numbers.append(np.fromiter((known.setdefault(data[a:b], len(known)) for a, b in zip(starts, ends)), np.int64, len(sizes)))
-    least = np.full(len(known), NO_ID)
-    for number, (_, first, _) in zip(numbers, shards):
-        np.minimum.at(least, number, first)
+        numbers.append(np.fromiter((known.setdefault(data[a:b], len(known)) for a, b in zip([0] + ends[:-1], ends)), np.int64, len(sizes)))
     texts = list(known)
+    least, lane = np.full(len(texts), NO_ID), np.zeros(len(texts), np.uint8)
+    for number, (_, lanes, first, _) in zip(numbers, shards):
+        np.minimum.at(least, number, first)
+        lane[number] = lanes
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    total = np.cumsum(sizes + 1)
-    parts = np.searchsorted(total, np.arange(shard_bytes, (total[-1] if len(total) else 0) + shard_bytes, shard_bytes))
-    bounds = sorted({0, len(texts), *np.minimum(parts, len(texts)).tolist()})
-    built = [Shard(b"".join(texts[a:b]), sizes[a:b]) for a, b in zip(bounds, bounds[1:]) if b > a]
-    if not built:
-        return [np.zeros(len(n), np.uint64) for n in numbers]
-    merged, new = merge(built, length)
-    base = np.cumsum([0] + [len(s.order) for s in built])
-    position = np.concatenate([s.order + b for s, b in zip(built, base)])[merged]  # of each suffix, in the segments one after the other
-    segment = np.searchsorted(total, position, side="right")
-    offset = position - (total[segment] - sizes[segment] - 1)
-    window = offset <= sizes[segment] - length
-    cls = np.cumsum(new) - 1
-    cls, segment, offset = cls[window], segment[window], offset[window]
-    first = np.full(int(cls[-1]) + 1 if len(cls) else 0, NO_ID)
-    np.minimum.at(first, cls, least[segment])
-    earliest = np.full((len(texts), MOST_WINDOWS), NO_ID)
-    earliest[segment, offset] = first[cls]
+    order = np.argsort(lane, kind="stable")
+    total, opens = np.cumsum(sizes[order] + 1), np.flatnonzero(np.diff(lane[order], prepend=-1))
+    a = 0
+    answers = [np.zeros(len(n), np.uint64) for n in numbers]
+    where = [np.argsort(n, kind="stable") for n in numbers]
     weight = np.uint64(1) << np.arange(MOST_WINDOWS, dtype=np.uint64)
-    return [((earliest[number] < mine[:, None]).astype(np.uint64) * weight).sum(axis=1, dtype=np.uint64) for number, (_, mine, _) in zip(numbers, shards)]
+    while a < len(order):
+        later = opens[opens > a]
+        fits = later[total[later - 1] - (total[a - 1] if a else 0) <= merge_symbols]
+        b = int(fits[-1]) if len(fits) else int(later[0]) if len(later) else len(order)
+        if len(later) == len(fits) and total[-1] - (total[a - 1] if a else 0) <= merge_symbols:
+            b = len(order)
+        part = np.sort(order[a:b])
+        earliest = _earliest([texts[i] for i in part], sizes[part], least[part], length, shard_symbols)
+        for answer, number, sort, (_, _, mine, _) in zip(answers, numbers, where, shards):
+            at = np.searchsorted(number, part, sorter=sort)
+            at = np.minimum(at, max(len(number) - 1, 0))
+            has = number[sort[at]] == part if len(number) else np.zeros(len(part), bool)
+            rows = sort[at[has]]
+            answer[rows] = ((earliest[has] < mine[rows][:, None]) * weight).sum(axis=1, dtype=np.uint64)
+        a = b
+    return answers
 
 
 def _judged(length: int):
@@ -341,9 +381,9 @@ def _judged(length: int):
         for rows in _by_range(batches):
             shards = []
             for r in rows:
-                n = len(r["least"]) // 9
-                sizes, least = np.frombuffer(r["least"][:n], np.uint8).astype(np.int64), np.frombuffer(r["least"][n:], np.int64)
-                shards.append((sizes, least, zstandard.ZstdDecompressor().decompress(r["data"], max_output_size=int(sizes.sum()))))
+                n = len(r["least"]) // 10
+                sizes, lanes = np.frombuffer(r["least"][:n], np.uint8).astype(np.int64), np.frombuffer(r["least"][n: 2 * n], np.uint8)
+                shards.append((sizes, lanes, np.frombuffer(r["least"][2 * n:], np.int64), zstandard.ZstdDecompressor().decompress(r["data"], max_output_size=int(sizes.sum()))))
             bits = verdicts(shards, length)
             yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["range"] for r in rows], pa.int64()),
                                               pa.array([b.tobytes() for b in bits], pa.binary())], names=["block", "range", "bits"])
@@ -357,7 +397,7 @@ def _removed(length: int, ranges: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, data, ends, first, count, doc, place = _chosen(row, length, ranges)
+                ids, data, ends, first, count, doc, place, _ = _chosen(row, length, ranges)
                 cover = np.zeros(len(data) + 1, dtype=np.int32)
                 for r in row["verdicts"] or []:
                     a, b = np.searchsorted(place, r["range"]), np.searchsorted(place, r["range"], side="right")

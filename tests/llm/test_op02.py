@@ -72,7 +72,7 @@ def test_awkward_rows(spark):
 def test_merged_order_is_the_sorted_order(seed):
     rng = random.Random(seed)
     texts = [bytes(rng.choice(b"ab\0c") for _ in range(rng.randint(1, 60))) for _ in range(40)]
-    shards = [op.Shard(b"".join(t), np.array([len(x) for x in t])) for t in (texts[:7], texts[7:8], texts[8:30], texts[30:])]
+    shards = [op.Shard(b"".join(t), np.array([len(x) for x in t]), 8) for t in (texts[:7], texts[7:8], texts[8:30], texts[30:])]
     for shard in shards:  # the transform gives the segments back
         inverse = {int(a): int(b) for a, b in enumerate(shard.step)}
         assert sorted(inverse) == sorted(inverse.values())
