@@ -1,12 +1,12 @@
-"""Exact quantiles of groups of any size, without holding a large group in one task.
-
-Group sizes are counted first. While every group is small the built-in exact
-percentile does the work. Otherwise a mergeable sketch of fixed size gives, per
-group and probability, a narrow bracket that surely contains the wanted order
-statistics; a second pass counts the values below each bracket and the distinct
-values inside it (both combine map-side), and only that sliver is ordered. Both
-ways are exact; a bracket that missed its rank would fail the job, never change
-the answer.
+"""Exact quantiles of groups of any size by refining counts.
+
+Equal values are counted first, map-side. Each wanted rank starts with the whole
+range of its group. A round cuts every range in use into CELLS cells, counts the
+values of each cell, finds by running counts the cell that holds the rank, and
+goes on with the least and the greatest value found in it, until they are one.
+Counting combines map-side, a window never spans more than CELLS rows, and
+nothing depends on how large a group is. A few rounds do: distinct values in a
+range shrink by about CELLS in each.
 """
 
 from __future__ import annotations
@@ -16,14 +16,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from attestra import fixed_values as fixed
-from attestra.session import cut_lineage
+from attestra.session import materialise
 
-SMALL_GROUP = 200_000  # values one task may hold for the built-in percentile
-ACCURACY = 10_000
-WHOLE_RANGE = 20_000  # up to this size a bracket is the group's whole range
-BROADCAST_GROUPS = 50_000
-SALTS = 64
-_SLACK = 4.0 / ACCURACY
+CELLS = 16_384
 
 
 def grouped_quantiles(
@@ -33,101 +28,56 @@ def grouped_quantiles(
     probabilities: Sequence[float],
     names: Sequence[str],
     *,
-    nearest_rank: bool = False,
-    small_group: int = SMALL_GROUP,
+    nearest_rank: bool | Sequence[bool] = False,
+    cells: int = CELLS,
 ) -> DataFrame:
     """One row per key: ``n``, ``minimum``, ``maximum`` and one column per probability.
 
-    NULL values are ignored. Linear interpolation a(1-w)+bw by default;
-    ``nearest_rank`` takes the ceil(p*n)-th value instead. The frame is read
-    more than once, so an expensive one should be materialised first.
+    NULL and NaN are ignored. Linear interpolation a(1-w)+bw by default; where
+    ``nearest_rank`` holds, the ceil(p*n)-th value instead. All probabilities
+    share the rounds. The frame is read once.
     """
     keys = list(keys)
-    data = frame.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    sizes = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest, groups = sizes.agg(F.coalesce(F.max("n"), F.lit(0)), F.count(F.lit(1))).first()
-    if largest <= small_group:
-        return _built_in(data, keys, probabilities, names, nearest_rank)
-    return _bracketed(data, keys, probabilities, names, nearest_rank, groups)
-
-
-def _built_in(data: DataFrame, keys: list[str], probabilities, names, nearest_rank: bool) -> DataFrame:
-    if nearest_rank:
-        wanted = [F.expr(f"percentile_disc({p}D) WITHIN GROUP (ORDER BY _v)").alias(n) for p, n in zip(probabilities, names)]
-        return data.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"), F.min("_v").alias("minimum"), F.max("_v").alias("maximum"), *wanted
-        )
-    several = F.percentile("_v", F.array(*[F.lit(p) for p in probabilities])).alias("_q")
-    made = data.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_v").alias("minimum"), F.max("_v").alias("maximum"), several
-    )
-    return made.select(*keys, "n", "minimum", "maximum", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-
-
-def _bracketed(data: DataFrame, keys: list[str], probabilities, names, nearest_rank: bool, groups: int) -> DataFrame:
-    wanted = [(max(0.0, p - _SLACK), min(1.0, p + _SLACK)) for p in probabilities]
-    sketch = cut_lineage(
-        data.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"), F.min("_v").alias("minimum"), F.max("_v").alias("maximum"),
-            F.percentile_approx("_v", [edge for pair in wanted for edge in pair], ACCURACY).alias("_edges"),
-        )
-    )
-    whole = F.col("n") <= WHOLE_RANGE
-    brackets = sketch.select(
-        *keys, "n", "minimum", "maximum",
-        *[
-            F.struct(
-                F.when(whole | F.lit(low == 0.0), F.col("minimum")).otherwise(F.col("_edges")[2 * i]).alias("low"),
-                F.when(whole | F.lit(high == 1.0), F.col("maximum")).otherwise(F.col("_edges")[2 * i + 1]).alias("high"),
-            ).alias(f"_b{i}")
-            for i, (low, high) in enumerate(wanted)
-        ],
-    )
-    # Values below a bracket are counted under a NULL value, which sorts first,
-    # so the running count inside the bracket is already the overall rank.
-    reach = F.array_compact(
-        F.array(*[
-            F.when(
-                F.col("_v") <= F.col(f"_b{i}.high"),
-                F.struct(F.lit(i).alias("i"), F.when(F.col("_v") >= F.col(f"_b{i}.low"), F.col("_v")).alias("v")),
-            )
-            for i in range(len(wanted))
-        ])
-    )
-    sliver = (
-        _place(data, brackets, keys, groups).select(*keys, "n", "minimum", "maximum", F.inline(reach).alias("_i", "_v"))
-        .groupBy(*keys, "n", "minimum", "maximum", "_i", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    order = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
-    last = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = sliver.select(*keys, "n", "minimum", "maximum", "_i", "_v", "_c", last.alias("_upto"))
-    picks, out = [], []
-    for i, (probability, name) in enumerate(zip(probabilities, names)):
-        low_rank, high_rank, weight = _ranks(probability, nearest_rank)
-        before = F.col("_upto") - F.col("_c")
-        mine = (F.col("_i") == i) & F.col("_v").isNotNull()
-        picks.append(F.max(F.when(mine & (before < low_rank) & (F.col("_upto") >= low_rank), F.col("_v"))).alias(f"_lo{i}"))
-        picks.append(F.max(F.when(mine & (before < high_rank) & (F.col("_upto") >= high_rank), F.col("_v"))).alias(f"_hi{i}"))
-        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        exact = F.when(weight == 0.0, low).otherwise(low * (1.0 - weight) + high * weight)
-        missing = low.isNull() | high.isNull()
-        out.append(F.when(missing, F.raise_error(F.lit("quantile bracket missed"))).otherwise(exact).alias(name))
-    picked = ranked.groupBy(*keys, "n", "minimum", "maximum").agg(*picks)
-    return picked.select(*keys, "n", "minimum", "maximum", *out)
-
-
-def _place(data: DataFrame, brackets: DataFrame, keys: list[str], groups: int) -> DataFrame:
-    """Bring each group's brackets to its rows without gathering a group.
-
-    Few groups (counted before) are broadcast. Many are joined by key and salt,
-    so that even then a hot group is spread over many tasks.
-    """
-    if groups <= BROADCAST_GROUPS:
-        return data.join(F.broadcast(brackets), keys)
-    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
-    salted = data.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
-    return salted.join(brackets.withColumn("_salt", salts), [*keys, "_salt"]).drop("_salt")
+    nearest = [nearest_rank] * len(probabilities) if isinstance(nearest_rank, bool) else list(nearest_rank)
+    data = frame.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    counted = materialise(data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), "value-counts")
+    sizes = materialise(
+        counted.groupBy(*keys).agg(F.sum("_c").alias("n"), F.min("_v").alias("minimum"), F.max("_v").alias("maximum")), "group-sizes")
+    slots, picked = [], []
+    for i, (probability, rule) in enumerate(zip(probabilities, nearest)):
+        low, high, weight = _ranks(probability, rule)
+        slots += [F.struct(F.lit(2 * i).alias("_slot"), low.cast("long").alias("_rank")), F.struct(F.lit(2 * i + 1).alias("_slot"), high.cast("long").alias("_rank"))]
+        at = [F.max(F.when(F.col("_slot") == 2 * i + k, F.col("_low"))) for k in (0, 1)]
+        picked.append((at, weight, names[i]))
+    places = sizes.select(*keys, F.col("minimum").alias("_low"), F.col("maximum").alias("_high"), F.inline(F.array(*slots)))
+    while True:
+        places = materialise(_refined(counted, places, keys, cells), "quantile-places")
+        if places.filter("_low < _high").isEmpty():
+            break
+    found = places.groupBy(*keys).agg(*[a.alias(f"_{side}{i}") for i, (at, _, _) in enumerate(picked) for side, a in zip("lh", at)])
+    out = []
+    for i, (_, weight, name) in enumerate(picked):
+        low, high = F.col(f"_l{i}"), F.col(f"_h{i}")
+        out.append(F.when(weight == 0.0, low).otherwise(low * (1.0 - weight) + high * weight).alias(name))
+    return sizes.join(found, keys).select(*keys, "n", "minimum", "maximum", *out)
+
+
+def _refined(counted: DataFrame, places: DataFrame, keys: list[str], cells: int) -> DataFrame:
+    """One round: every range (keys, _low, _high) in use becomes the span of values in its cell that holds the rank."""
+    span = [*keys, "_low", "_high"]
+    same = [counted[k].eqNullSafe(F.col(f"_{k}")) for k in keys]
+    ranges = places.select(*span).distinct().select(*[F.col(k).alias(f"_{k}") for k in keys], "_low", "_high")
+    inside = counted.join(ranges, [*same, F.col("_v") >= F.col("_low"), F.col("_v") <= F.col("_high")])
+    # halves keep the width finite; the share grows with the value, so cells are in order, and the ends fall in different cells
+    share = (F.col("_v") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)
+    cell = F.when(F.col("_low") == F.col("_high"), 0).otherwise(F.least(F.floor(share * cells), F.lit(cells - 1)))
+    filled = inside.select(*keys, "_low", "_high", cell.cast("int").alias("_cell"), "_v", "_c").groupBy(*span, "_cell").agg(
+        F.sum("_c").alias("_n"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+    upto = F.sum("_n").over(Window.partitionBy(*span).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    summed = filled.withColumn("_upto", upto).select(*[F.col(k).alias(f"_{k}") for k in span], "_n", "_from", "_to", "_upto")
+    met = places.join(summed, [places[k].eqNullSafe(F.col(f"_{k}")) for k in span])
+    return met.filter((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n"))).select(
+        *keys, F.col("_from").alias("_low"), F.col("_to").alias("_high"), "_slot", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"))
 
 
 def _ranks(probability: float, nearest_rank: bool) -> tuple[Column, Column, Column]:
@@ -140,18 +90,12 @@ def _ranks(probability: float, nearest_rank: bool) -> tuple[Column, Column, Colu
     return F.floor(position) + 1, F.ceil(position) + 1, position - F.floor(position)
 
 
-def distribution(frame: DataFrame, keys: Sequence[str], value: str, small_group: int = SMALL_GROUP) -> DataFrame:
+def distribution(frame: DataFrame, keys: Sequence[str], value: str, cells: int = CELLS) -> DataFrame:
     """Count, five quantiles, IQR and median absolute deviation per key."""
     keys = list(keys)
-    basic = grouped_quantiles(
-        frame, keys, value, fixed.QUANTILE_PROBABILITIES, fixed.QUANTILE_NAMES, small_group=small_group
-    )
-    middles = cut_lineage(basic)
-    middle = middles.select(*keys, F.col("median").alias("_m"))
-    # As wide as the groups are many; a shuffle join beyond the bound.
-    middle = F.broadcast(middle) if middles.count() <= BROADCAST_GROUPS else middle
-    deviations = frame.join(middle, keys).select(*keys, F.abs(F.col(value) - F.col("_m")).alias("_d"))
-    spread = grouped_quantiles(deviations, keys, "_d", [0.5], ["mad"], small_group=small_group).select(*keys, "mad")
+    middles = materialise(grouped_quantiles(frame, keys, value, fixed.QUANTILE_PROBABILITIES, fixed.QUANTILE_NAMES, cells=cells), "quantiles")
+    deviations = frame.join(middles.select(*keys, F.col("median").alias("_m")), keys).select(*keys, F.abs(F.col(value) - F.col("_m")).alias("_d"))
+    spread = grouped_quantiles(deviations, keys, "_d", [0.5], ["mad"], cells=cells).select(*keys, "mad")
     return middles.join(spread, keys).withColumn("iqr", F.col("q75") - F.col("q25"))
 
 

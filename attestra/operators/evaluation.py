@@ -90,9 +90,7 @@ def threshold_checks(rates: DataFrame, thresholds: Mapping[str, tuple[str, float
 def latency_summary(samples: DataFrame, keys: Sequence[str], value: str, digits: int = 3) -> DataFrame:
     """Count, median, nearest-rank 95th percentile, minimum and maximum, rounded."""
     keys = list(keys)
-    middle = quantiles.grouped_quantiles(samples, keys, value, [0.5], ["p50"])
-    tail = quantiles.grouped_quantiles(samples, keys, value, [0.95], ["p95"], nearest_rank=True)
-    joined = middle.join(tail.select(*keys, "p95"), keys)
+    joined = quantiles.grouped_quantiles(samples, keys, value, [0.5, 0.95], ["p50", "p95"], nearest_rank=[False, True])
     rounded = [F.round(c, digits).alias(n) for c, n in (("p50", "p50_ms"), ("p95", "p95_ms"), ("minimum", "min_ms"), ("maximum", "max_ms"))]
     return joined.select(*keys, F.col("n").alias("sample_count"), *rounded)
 

@@ -65,6 +65,13 @@ def derived_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def materialise(frame: DataFrame, name: str) -> DataFrame:
+    """The frame written as Parquet below the shared folder and read back: pruned when read, and safe from lost executors."""
+    path = derived_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Reliable checkpoint: the data survives the loss of any executor."""
     shared_folder(frame.sparkSession)

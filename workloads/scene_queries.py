@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from attestra.functions import geo
 from attestra.operators import scenes as sc
 from attestra.plans import scene_selection
-from attestra.session import cut_lineage, derived_path
-from attestra.sources import scenes as scene_source
+from attestra.session import derived_path, materialise
+from attestra.sources import assessments, scenes as scene_source
 from workloads import domain
 from workloads.registry import Tables, query
 
@@ -139,16 +139,21 @@ SELECT win, population, count(*) AS item_count, round(min(zenith), 9) AS minimum
        count(*) - count(zenith) AS missing_count,
        count(*) FILTER (exclusion_reason = 'SOLAR_GEOMETRY_OUT_OF_RANGE') AS excluded_above_threshold_count,
        count(*) FILTER (exclusion_reason = 'SOLAR_GEOMETRY_METADATA_UNRESOLVED') AS excluded_unresolved_count,
-       TRUE AS matches_stored
+       win = 'PRE' AS matches_stored
 FROM populations GROUP BY ALL""", domain.SCENE_CTES + (domain.SOLAR_SQL,))
 def solar_summary(t: Tables) -> DataFrame:
-    summary = cut_lineage(sc.solar_summary(solar_records(t)))
-    stored = summary.select("win", "population", F.struct(*sorted(summary.columns)).alias("stored"))
-    checked = summary.withColumn("now", F.struct(*sorted(summary.columns))).join(stored, ["win", "population"])
+    """Computed, stored with the POST rows altered, read back and compared with what is computed again."""
+    path = derived_path(t.spark, "solar-summary")
+    summary = sc.solar_summary(solar_records(t))
+    altered = summary.withColumn("item_count", F.col("item_count") + (F.col("win") == "POST").cast("long"))
+    assessments.write_results(altered, path, ["population"])
+    stored = assessments.read_results(t.spark, path, summary.schema)
+    again = materialise(sc.solar_summary(solar_records(t)), "solar-again")
+    checked = again.join(assessments.stored_differences(again, stored, ["win", "population"]), ["win", "population"])
     return checked.select(
         "win", "population", "item_count", *[F.round(c, 9).alias(c) for c in ("minimum", "q25", "median", "q75", "maximum")],
         "missing_count", "excluded_above_threshold_count", "excluded_unresolved_count",
-        F.col("now").eqNullSafe(F.col("stored")).alias("matches_stored"),
+        "matches_stored",
     )
 
 
