@@ -58,6 +58,12 @@ def sorted_json(document: Column) -> Column:
     return F.to_json(F.try_parse_json(document))
 
 
+def record_sha256(fields: list[str]) -> Column:
+    """Hash of the named fields of a row as canonical JSON, null fields included."""
+    document = F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"})
+    return sha256_text(canonical_json(document))
+
+
 def tree_digest(frame: DataFrame, keys: list[str], identifier: str, digest: str, name: str = "tree_sha256") -> DataFrame:
     """Order-free digest of (identifier, digest) rows per key, in bounded groups.
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attestra import fixed_values as fixed
-from attestra.functions import text
+from attestra.functions import hashing, text
 from attestra.operators import evidence as ev
 
 OBSERVATIONAL = "OBSERVATIONAL_CONSISTENCY"
@@ -139,3 +139,48 @@ def trace(results: DataFrame, ranked: DataFrame) -> DataFrame:
         "request_id", text.tokens(F.col("question")).alias("query_tokens"), "candidate_fact_count",
         F.coalesce("selected_fact_ids", F.array().cast("array<string>")).alias("selected_fact_ids"),
     )
+
+
+def result_records(
+    results: DataFrame, ranked: DataFrame, limitations: Sequence[str] = (), must_not_claim: Sequence[str] = (),
+) -> DataFrame:
+    """The whole result of each request in one row: verdict, statement, references, trace, limitations and its own hash.
+
+    ``ranked`` holds every selected fact of the requests with its rank and the
+    fields of a reference. A passed request whose statement lacks a parameter
+    becomes an error. ``memory_snapshot_sha256`` is the hash of the documents
+    the facts come from; ``result_sha256`` is the hash of all other fields.
+    ``limitations`` and ``must_not_claim`` are the policy's own texts.
+    """
+    memory = ranked.select("request_id", "evidence_id", "document_sha256").distinct()
+    snapshots = hashing.snapshot_sha256(memory, ["request_id"]).select("request_id", "memory_snapshot_sha256")
+    listed = ranked.groupBy("request_id").agg(ev.evidence_refs(ranked, ["fact_rank"]).alias("evidence_refs"))
+    joined = (
+        results.join(statements(results, ranked), "request_id", "left").join(listed, "request_id", "left").join(snapshots, "request_id", "left")
+    )
+    failed = F.col("statement_error").isNotNull()
+    passed = F.col("workflow_status").isin("QUALIFIED", "ABSTAINED") & ~failed
+    refs = F.when(passed, F.col("evidence_refs"))
+    whole = joined.select(
+        "request_id", "claim_family",
+        F.when(failed, "ERROR").otherwise(F.col("workflow_status")).alias("workflow_status"),
+        F.when(~failed, F.col("qualification")).alias("qualification"),
+        F.when(failed, F.array("statement_error")).otherwise(F.col("reason_codes")).alias("reason_codes"),
+        F.when(passed, F.col("bounded_statement")).alias("bounded_statement"),
+        refs.alias("evidence_refs"),
+        F.struct(
+            text.tokens(F.col("question")).alias("query_tokens"), "candidate_fact_count",
+            F.transform(F.col("evidence_refs"), lambda r: r["fact_id"]).alias("selected_fact_ids"),
+        ).alias("retrieval_trace"),
+        "assurance_checks",
+        F.when(passed, F.array(*[F.lit(x) for x in limitations]).cast("array<string>")).alias("limitations"),
+        F.array(*[F.lit(x) for x in must_not_claim]).cast("array<string>").alias("must_not_claim"),
+        "memory_snapshot_sha256",
+    )
+    return whole.withColumn("result_sha256", hashing.record_sha256(whole.columns))
+
+
+def result_hash_violations(records: DataFrame) -> DataFrame:
+    """Requests whose stored hash is not that of their other fields."""
+    fields = [c for c in records.columns if c != "result_sha256"]
+    return records.filter(~hashing.record_sha256(fields).eqNullSafe(F.col("result_sha256"))).select("request_id")

@@ -206,6 +206,14 @@ def _subject_type(key: str):
     return F.when(k <= 1, "ACCU_PROJECT").when(k == 2, "SAFEGUARD_FACILITY").otherwise("UNIT_CONCEPTS")
 
 
+# attributes that statements are filled from: name, first letter, column
+ATTRIBUTES = [
+    ("project_id", "P", "l_orderkey"), ("project_name", "N", "l_partkey"), ("method_type", "M", "l_suppkey"), ("reporting_period", "R", "l_suppkey"),
+    ("facility_name", "F", "l_partkey"), ("baseline_emissions", "B", "l_suppkey"), ("covered_emissions", "C", "l_partkey"), ("smcs_issued", "S", "l_suppkey"),
+    ("pre_median_ndvi", "a", "l_partkey"), ("post_median_ndvi", "b", "l_partkey"), ("primary_tau", "t", "l_suppkey"),
+]
+
+
 def facts(t: Tables) -> DataFrame:
     subject = _subject_type("l_orderkey")
     line = F.col("l_linenumber")
@@ -235,6 +243,9 @@ def facts(t: Tables) -> DataFrame:
         F.create_map(
             F.lit("commit"), F.concat(F.lit("c"), F.col("l_suppkey") % 2), F.lit("run"), F.concat(F.lit("r"), F.col("l_partkey") % 2),
             F.lit("reason_code"), F.when(F.col("l_partkey") % 3 == 0, "VALID_OBSERVATION_COVERAGE_LOW").otherwise("EFFECT_WITHIN_OPERATIONAL_INDIFFERENCE_BAND"),
+            *[x for name, letter, key in ATTRIBUTES for x in (F.lit(name), F.concat(F.lit(letter), key))],
+            F.lit("project_location"), F.when(line % 3 != 0, F.concat(F.lit("L"), line)),
+            F.lit("delta_ndvi"), F.when(line == 2, F.concat(F.lit("d"), "l_suppkey")),
         ).alias("attributes"),
         F.concat_ws(" ", F.lit("part"), "l_partkey", F.lit("status"), "l_linestatus").alias("text"),
     )
@@ -270,6 +281,7 @@ facts AS (
               ELSE 'PUBLIC_REGISTRY_FACTS' END AS authority_scope,
          CAST(l_shipdate AS DATE) AS accessed_on, CASE WHEN l_discount >= 5e-2 THEN 'method' END AS assertion_key, l_returnflag AS assertion_value,
          CASE l_linenumber WHEN 1 THEN 'INTEGRITY' WHEN 2 THEN 'OBSERVATION' END AS role,
+         l_partkey AS part, l_suppkey AS supp, l_linenumber AS line,
          concat('c', l_suppkey % 2) AS commit_value, concat('r', l_partkey % 2) AS run_value,
          CASE WHEN l_partkey % 3 = 0 THEN 'VALID_OBSERVATION_COVERAGE_LOW' ELSE 'EFFECT_WITHIN_OPERATIONAL_INDIFFERENCE_BAND' END AS reason_code,
          concat_ws(' ', 'part', l_partkey, 'status', l_linestatus) AS text

@@ -9,7 +9,7 @@ from attestra.functions import hashing, uri
 from attestra.operators import evidence as ev
 from attestra.plans import qualification
 from attestra.session import derived_path
-from attestra.sources import artifacts, evidence as source, registries
+from attestra.sources import artifacts, assessments, evidence as source, registries
 from workloads import domain
 from workloads.registry import Tables, query
 
@@ -77,10 +77,12 @@ def strict_json(t: Tables) -> DataFrame:
 SELECT event_id, '{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || '}' AS canonical,
        sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || '}') AS canonical_sha256 FROM events""")
 def canonical_json_rows(t: Tables) -> DataFrame:
-    document = F.to_json(F.struct("user_id", "event_type", "event_id"))
-    return t.events.select("event_id", hashing.canonical_json(document).alias("canonical")).withColumn(
-        "canonical_sha256", hashing.sha256_text(F.col("canonical"))
-    )
+    """Written as canonical JSON files and read back as text."""
+    path = derived_path(t.spark, "canonical")
+    artifacts.write_canonical_json(t.events.select("user_id", "event_type", "event_id"), path)
+    lines = t.spark.read.text(path).withColumnRenamed("value", "canonical")
+    return lines.select(
+        F.get_json_object("canonical", "$.event_id").cast("long").alias("event_id"), "canonical", hashing.sha256_text(F.col("canonical")).alias("canonical_sha256"))
 
 
 @query("row_checksums", "SELECT doc_id, sha256(text) AS text_sha256 FROM documents")
@@ -294,6 +296,67 @@ def evidence_references(t: Tables) -> DataFrame:
     )
 
 
+RANKED_SQL = """
+, ranked AS (SELECT q.request_id, c.*, row_number() OVER (PARTITION BY q.request_id ORDER BY
+         100 * len(c.hit) + 20 + len(list_intersect(list_distinct(regexp_extract_all(lower(q.question), '[a-z0-9]+')),
+           list_distinct(regexp_extract_all(lower(c.text || ' ' || array_to_string(c.tags, ' ')), '[a-z0-9]+')))) DESC, c.fact_id) AS fact_rank
+  FROM requests q JOIN chosen c USING (subject_type, subject_id, claim_family)),
+firsts AS (SELECT request_id, string_agg(fact_id, ',' ORDER BY fact_rank) AS refs,
+  arg_min(struct_pack(part, supp, line), fact_rank) FILTER (list_contains(tags, 'project_identity')) AS p,
+  arg_min(struct_pack(part, supp, line), fact_rank) FILTER (list_contains(tags, 'facility_identity')) AS f,
+  arg_min(struct_pack(part, supp, line), fact_rank) FILTER (list_contains(tags, 'frozen_observation') AND line = 2) AS o FROM ranked GROUP BY request_id),
+memory AS (SELECT request_id, sha256('[' || string_agg('{"document_sha256":"' || sha256(subject_id) || '","evidence_id":"' || subject_id || '"}', ',') || ']') AS snapshot
+  FROM (SELECT DISTINCT request_id, subject_id FROM ranked) GROUP BY request_id),
+stated AS (SELECT j.*, refs, snapshot, failure = '' AND claim_family <> 'POLICY_APPLICABILITY' AS passed, CASE
+    WHEN claim_family = 'REGISTRY_FACTS' THEN 'The CER public record identifies P' || j.subject_id || ' as N' || p.part || ', a M' || p.supp || ' project in L' ||
+      CASE WHEN p.line % 3 <> 0 THEN p.line END || ', with model start date not listed. This is a registry-fact restatement, not a project-quality conclusion.'
+    WHEN claim_family = 'SAFEGUARD_FACILITY_FACTS' THEN 'For the R' || f.supp || ' Safeguard publication, the CER record lists F' || f.part || ' with baseline emissions B' || f.supp ||
+      ', covered emissions C' || f.part || ', and S' || f.supp || ' in the SMCs-issued field. This restates one cited CSV row; the repository does not independently prove an issuance event. It is a facility-period record, not an ACCU project record or a general prediction of future SMC eligibility.'
+    WHEN claim_family = 'OBSERVATIONAL_CONSISTENCY' THEN 'For ' || j.subject_id || ', the frozen Step 2B assessment recorded PRE median NDVI a' || o.part || ', POST median NDVI b' || o.part ||
+      ', and POST-minus-PRE delta d' || o.supp || '. Under the frozen primary tau of t' || o.supp || ', the evidence disposition is INCONCLUSIVE. This is a bounded observational result and does not establish causality, carbon quantity, credit quality, compliance, or financial suitability.'
+    END AS statement
+  FROM judged j LEFT JOIN firsts USING (request_id) LEFT JOIN memory USING (request_id))
+"""
+
+
+def _records(t: Tables) -> DataFrame:
+    rules = registries.claim_rules(t.spark)
+    facts = domain.facts(t).select(
+        "*", F.lit("SRC").alias("source_id"), F.concat(F.lit("https://host/"), "evidence_id").alias("canonical_uri"),
+        hashing.sha256_text(F.col("evidence_id")).alias("document_sha256"))
+    gathered = qualification.gather(facts, rules, domain.BINDINGS, role=F.col("role"))
+    results = qualification.qualify(domain.requests(t), gathered, rules)
+    ranked = ev.ranked_facts(ev.scored_facts(ev.request_facts(domain.requests(t), facts), rules))
+    return qualification.result_records(results, ranked, ["Restates public records."], ["No carbon quantity."])
+
+
+@query("qualification_results", QUALIFY_SQL + RANKED_SQL + """
+SELECT request_id, CASE WHEN refused_code IS NOT NULL THEN 'REFUSED' WHEN NOT passed OR statement IS NULL THEN 'ERROR'
+            WHEN claim_family = 'OBSERVATIONAL_CONSISTENCY' THEN 'ABSTAINED' ELSE 'QUALIFIED' END AS workflow_status,
+       CASE WHEN passed AND statement IS NULL THEN 'REQUIRED_FIELD_MISSING' WHEN failure <> '' THEN failure WHEN NOT passed THEN 'DETERMINISTIC_PROCESSING_ERROR'
+            WHEN claim_family = 'OBSERVATIONAL_CONSISTENCY' THEN observed ELSE '' END AS reasons,
+       CASE WHEN passed THEN statement END AS bounded_statement, CASE WHEN passed AND statement IS NOT NULL THEN refs END AS reference_ids,
+       CASE WHEN passed AND statement IS NOT NULL THEN 'SRC|https://host/' || subject_id || '|' || sha256(subject_id) END AS first_reference,
+       refs AS traced_ids, snapshot AS memory_snapshot_sha256 FROM stated""", domain.QUALIFY_CTES)
+def qualification_results(t: Tables) -> DataFrame:
+    ids = lambda refs: F.array_join(F.transform(refs, lambda r: r["fact_id"]), ",")
+    first = F.get(F.col("evidence_refs"), F.lit(0))
+    return _records(t).select(
+        "request_id", "workflow_status", F.array_join("reason_codes", ",").alias("reasons"), "bounded_statement", ids(F.col("evidence_refs")).alias("reference_ids"),
+        F.when(first.isNotNull(), F.concat_ws("|", first["source_id"], first["canonical_uri"], first["document_sha256"])).alias("first_reference"),
+        F.array_join("retrieval_trace.selected_fact_ids", ",").alias("traced_ids"), "memory_snapshot_sha256")
+
+
+@query("result_hash_check", "SELECT o_orderkey AS request_id FROM orders WHERE o_orderkey % 11 = 0")
+def result_hash_check(t: Tables) -> DataFrame:
+    """Results stored, one in eleven altered afterwards, and checked when read back."""
+    path = derived_path(t.spark, "results")
+    altered = F.when(F.col("request_id") % 11 == 0, F.lit("ALTERED")).otherwise(F.col("workflow_status"))
+    records = _records(t)
+    assessments.write_results(records.withColumn("workflow_status", altered), path, ["claim_family"])
+    return qualification.result_hash_violations(assessments.read_results(t.spark, path, records.schema))
+
+
 @query("frozen_binding", """
 SELECT subject_id, coalesce(bool_or(role = 'INTEGRITY' AND commit_value = 'c0'), FALSE) AS integrity_bound,
        coalesce(bool_or(role = 'OBSERVATION' AND run_value = 'r0'), FALSE) AS observation_bound FROM facts GROUP BY subject_id""", (domain.FACTS_SQL,))

@@ -174,6 +174,11 @@ def coverage_gap(t: Tables) -> DataFrame:
     return px.coverage_gap(domain.pixels(t), F.col("tile") <= 4).select("win", "acquisition", "pixel_id")
 
 
+@query("footprint_union", "SELECT DISTINCT case_id, win, acquisition, pixel_id FROM pixels", (domain.PIXELS_SQL,))
+def footprint_union(t: Tables) -> DataFrame:
+    return px.footprint_union(domain.pixels(t))
+
+
 @query("pixel_window_aggregation", """
 SELECT c.case_id, aoi_total_pixels, aoi_valid_pixels, round(aoi_valid_pixels / aoi_total_pixels, 9) AS aoi_valid_fraction,
        round(pre_m, 9) AS pre_window_ndvi_median, round(post_m, 9) AS post_window_ndvi_median,
