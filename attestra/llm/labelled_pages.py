@@ -33,4 +33,21 @@ I read it twice and will tell my friends about it.</p></article></div><footer><d
 <section class="story" data-main="1"><h1>On walking</h1><p>Walk slowly. The path is older than the map, and the map has been wrong before.</p><p>Rest where others rested.</p><address>By the gate.</address></section>
 <section class="discussion" id="replies"><h2>Replies</h2><div><p>This is so true, I walked there in May and the map was wrong indeed.</p></div></section><div class="social"><ul><li><a href="#">Follow</a></li></ul></div>
 <footer>Since 1999.</footer></body></html>""",
+    """<html><body><nav><a href="/">Start</a></nav><article data-main="1"><header><h1>The long walk home</h1></header><p>They set out before light, and by noon
+they had passed the second lake and the hut where the road ends.</p><aside data-main="0"><p>Also read: the short walk, and how to pack for it.</p></aside><p>Nobody spoke.</p>
+<form data-main="0"><p>Leave your address and we write to you once a month about walks.</p><input><button>Send</button></form><p>At the pass the wind met them, cold and full of sand,
+and they lay down behind a wall until it dropped.</p><div class="notice" data-main="0">Some parts of this story are for members only, please sign in to read on.</div><p>Then they went on.</p>
+<nav class="pager" data-main="0"><a href="/2">Next page</a></nav><section class="comments" data-main="0"><h3>Readers say</h3><p>I walked this way once and the hut was open then, with soup on the stove.</p>
+<p>Nice.</p></section><footer data-main="0"><p>Filed under walks. Written in May.</p></footer></article><aside><h2>More</h2><p>The best maps of the year, seen and judged by our own people.</p></aside>
+<footer>All rights reserved.</footer></body></html>""",
+    """<html><body><header><p>Good news for the valley, every day since the war.</p><form><input></form></header><main data-main="1"><h1>New school</h1><p>The old school had four rooms and
+one stove. The new one has twelve rooms, and in each of them it is warm.</p><div class="advertisement" data-main="0"><p>Shoes for small feet, now at the corner shop, two for one.</p></div>
+<h2>Who paid</h2><ul><li>The town paid half.</li><li>The parents paid the rest.</li></ul><div class="related" data-main="0"><h4>See also</h4><ul><li><a href="/r">The old school sold</a></li></ul></div>
+<p>It opens in autumn.</p><aside class="newsletter" data-main="0"><form><p>News by mail, every Friday, free.</p></form></aside><table><tr><td>Rooms</td><td>12</td></tr></table>
+<div id="comments" data-main="0"><div class="comment"><p>Our children walk too far now, and the road has no light at all in winter.</p></div><form><p>Write a comment</p></form></div>
+<footer data-main="0">Last changed on Monday.</footer></main><footer><nav><a href="/i">Imprint</a></nav></footer></body></html>""",
+    """<html><body><article class="post" data-main="1"><h1>Bread</h1><p>Flour, water, salt, and time; the last is the one people leave out when they are in a hurry.</p><div class="cookie-banner" data-main="0"><p>This
+page keeps small files on your machine, agree or leave.</p></div><blockquote>Wait.</blockquote><p>Bake it dark.</p><form class="search" data-main="0">Search recipes</form><div class="sidebar" data-main="0"><p>Ten
+more breads that we bake each week of the year in our own oven.</p></div><section class="discussion" data-main="0"><p>Mine was flat, what did I do wrong?</p></section><div class="ad" data-main="0">Ovens.</div>
+<footer class="tags" data-main="0">bread, salt</footer></article></body></html>""",
 ]
