@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 13
 #: Labelled documents per language that the machines are fitted on, at most.
 TRAINING_ROWS = 400
 #: Documents of these bytes in total are scored at a time, to bound memory.
@@ -44,7 +44,7 @@ def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     x = np.frombuffer(b"".join(data) + b"  ", dtype=np.uint8).astype(np.uint32)
     code = (x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]
     code *= np.uint32(2654435769)
-    return (code >> np.uint32(18)).astype(np.int32), starts
+    return (code >> np.uint32(19)).astype(np.int32), starts
 
 
 def vectors(texts: list[str]) -> np.ndarray:
@@ -56,26 +56,27 @@ def vectors(texts: list[str]) -> np.ndarray:
     return out
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, passes: int = 12, seed: int = 7) -> np.ndarray:
-    """A linear support vector machine by dual coordinate descent; the last weight is the constant's.
+def linear_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 4.0, passes: int = 12, seed: int = 7) -> np.ndarray:
+    """A linear support vector machine on the given rows, by dual coordinate descent; the last weight is the constant's.
 
-    Classes weigh alike, however many rows they have.
+    Classes weigh alike, however many rows they have. The rows are read in
+    place: the vectors are held once, however many machines are fitted.
     """
-    scale = 1.0 / max(float(np.sqrt((x * x).sum(axis=1)).mean()), 1e-12)
-    x = np.hstack([x * np.float32(scale), np.ones((len(x), 1), dtype=np.float32)])
-    w, alpha = np.zeros(x.shape[1], dtype=np.float32), np.zeros(len(x))
-    square = (x * x).sum(axis=1)
+    square = np.einsum("ij,ij->i", x, x)[rows].astype(float)
+    scale = 1.0 / max(float(np.sqrt(square).mean()), 1e-12)  # as if every row were about one long, beside a constant of one
+    square = square * scale * scale + 1
+    w, constant, alpha = np.zeros(x.shape[1], dtype=np.float32), 0.0, np.zeros(len(rows))
     limit = np.where(y > 0, cost * len(y) / (2 * max((y > 0).sum(), 1)), cost * len(y) / (2 * max((y < 0).sum(), 1)))
     rng = np.random.default_rng(seed)
     for _ in range(passes):
-        for i in rng.permutation(len(x)):
-            gradient = y[i] * float(x[i] @ w) - 1
+        for i in rng.permutation(len(rows)):
+            gradient = y[i] * (scale * float(x[rows[i]] @ w) + constant) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), limit[i])
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                w += np.float32((new - alpha[i]) * y[i] * scale) * x[rows[i]]
+                constant += (new - alpha[i]) * y[i]
                 alpha[i] = new
-    w[:-1] *= scale
-    return w
+    return np.append(w * np.float32(scale), np.float32(constant))
 
 
 class Machines:
@@ -88,11 +89,11 @@ class Machines:
         kin = np.array([family(c) for c in langs], dtype=object)
         columns = []
         if len(self.families) > 1:
-            columns += [linear_svm(x, np.where(kin == f, 1, -1)) for f in self.families]
+            columns += [linear_svm(x, np.arange(len(x)), np.where(kin == f, 1, -1)) for f in self.families]
         self.pairs = [(a, b) for a, b in combinations(self.langs, 2) if family(a) == family(b)]
         for a, b in self.pairs:
-            mine = (label == a) | (label == b)
-            columns.append(linear_svm(x[mine], np.where(label[mine] == a, 1, -1)))
+            mine = np.flatnonzero((label == a) | (label == b))
+            columns.append(linear_svm(x, mine, np.where(label[mine] == a, 1, -1)))
         weights = np.stack(columns, axis=1) if columns else np.zeros((BUCKETS + 1, 0), dtype=np.float32)
         self.weights, self.constant = np.ascontiguousarray(weights[:-1]), weights[-1]
 
@@ -138,8 +139,13 @@ def train(docs: DataFrame, most: int = TRAINING_ROWS) -> Machines | None:
     Whole texts. The bound keeps the driver's share fixed: languages times
     ``most`` rows. None without labelled documents.
     """
-    usable = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(
-        F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(
+        F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    # a share of each language by hash first, about four times what is wanted, so that no language meets in one task
+    counts = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_rows"))
+    # a row per labelled language, some thousands if every language there is were labelled
+    near = labelled.join(F.broadcast(counts), F.col("lang") == F.col("_lang")).filter(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("_rows")) < 4 * most)
+    usable = near.filter(F.col("text").rlike(r"\p{L}"))
     drawn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = usable.withColumn("_n", F.row_number().over(drawn)).filter(F.col("_n") <= most).orderBy("lang", "_n").select("text", "lang").collect()
     return Machines([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
