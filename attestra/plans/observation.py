@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -108,7 +108,12 @@ def terminal_assessment(runs: DataFrame) -> DataFrame:
 
 
 def invariant_violations(assessments: DataFrame) -> DataFrame:
-    """(case, rule) rows for each broken arithmetic rule of an assessment."""
+    """(case, rule) rows for each broken arithmetic or classification rule of an assessment.
+
+    Where the rows have ``reason_codes``, ``policy_id`` with ``frozen_policy_id``,
+    or ``sensitivity_results`` (tau, status, disposition and codes in order of
+    tau), complete rows are held to those too.
+    """
     total, valid, frac = F.col("aoi_total_pixels"), F.col("aoi_valid_pixels"), F.col("aoi_valid_fraction")
     pre, post, delta = F.col("pre_window_ndvi_median"), F.col("post_window_ndvi_median"), F.col("delta_ndvi")
     primary = decision.classify(delta, F.lit(float(fixed.PRIMARY_TAU)))
@@ -126,5 +131,54 @@ def invariant_violations(assessments: DataFrame) -> DataFrame:
         "STATUS_MISMATCH": complete & (F.col("execution_status") != primary["execution_status"]),
         "DISPOSITION_MISMATCH": complete & (F.col("evidence_disposition") != primary["evidence_disposition"]),
     }
+    if "reason_codes" in assessments.columns:
+        rules["REASONS_MISMATCH"] = complete & ~F.col("reason_codes").eqNullSafe(primary["reason_codes"])
+    if "policy_id" in assessments.columns:
+        rules["POLICY_MISMATCH"] = complete & ~F.col("policy_id").eqNullSafe(F.col("frozen_policy_id"))
+    if "sensitivity_results" in assessments.columns:
+        rules["SENSITIVITY_MISMATCH"] = complete & ~F.col("sensitivity_results").eqNullSafe(sensitivities(delta))
+    broken = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
+    return assessments.select("case_id", F.explode(broken).alias("rule"))
+
+
+def sensitivities(delta: Column) -> Column:
+    """The verdicts of the secondary bands as a result stores them."""
+    others = F.filter(decision.classifications(delta), lambda c: ~c["is_primary"])
+    return F.transform(others, lambda c: F.struct(
+        c["tau"].alias("tau"), c["verdict"]["execution_status"].alias("execution_status"),
+        c["verdict"]["evidence_disposition"].alias("evidence_disposition"), c["verdict"]["reason_codes"].alias("reason_codes")))
+
+
+SCOPE = ("project_id", "analysis_boundary_role", "pre_window", "post_window", "seasonal_rule_id", "aggregation", "eligible_population",
+         "indifference_policy_id", "qualification_policy_version")
+
+
+def completed_violations(assessments: DataFrame, forbidden: Sequence[str]) -> DataFrame:
+    """(case, rule) rows for what a stored assessment must hold beyond its numbers.
+
+    Every assessment names its manifest and lists all ``forbidden`` claims once,
+    in order. A completed one also has the template of its disposition, the
+    case's own scope among its parameters, and exactly the text the template
+    gives, without forbidden words. Rows hold statement_parameters and
+    case_scope (string maps), must_not_claim and provenance_manifest_ref.
+    """
+    completed = F.col("execution_status") == "COMPLETED"
+    disposition, parameters = F.col("evidence_disposition"), F.col("statement_parameters")
+    rendered = F.lit(None).cast("string")
+    for name, template in fixed.STATEMENT_TEMPLATES.items():
+        values = {p: F.element_at(parameters, F.lit(p)) for p in (*SCOPE, "pre_value", "post_value", "delta_value", "primary_tau")}
+        rendered = F.when(disposition == name, text.fill_template(F.lit(template), values)).otherwise(rendered)
+    same_scope = F.lit(True)
+    for p in SCOPE:
+        same_scope = same_scope & F.element_at(parameters, F.lit(p)).eqNullSafe(F.element_at("case_scope", F.lit(p)))
+    statement = F.col("supported_statement")
+    rules = {
+        "MANIFEST_REF_MISSING": F.coalesce(F.length(F.trim("provenance_manifest_ref")), F.lit(0)) == 0,
+        "MUST_NOT_CLAIM_INCOMPLETE": ~F.col("must_not_claim").eqNullSafe(F.array(*[F.lit(c) for c in forbidden])),
+        "TEMPLATE_MISMATCH": completed & ~F.col("statement_template_id").eqNullSafe(F.concat(F.lit("OBSERVATIONAL_COMPARISON_"), disposition, F.lit("_V2"))),
+        "SCOPE_MISMATCH": completed & ~same_scope,
+        "STATEMENT_NOT_RENDERED": completed & ~statement.eqNullSafe(rendered),
+        "FORBIDDEN_LANGUAGE": completed & F.coalesce(text.forbidden_language(statement), F.lit(False)),
+    }
     broken = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
     return assessments.select("case_id", F.explode(broken).alias("rule"))

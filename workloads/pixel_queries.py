@@ -308,24 +308,76 @@ def render_statement(t: Tables) -> DataFrame:
 
 
 @query("observation_invariants", """
-, broken AS (
+, cases AS (
   SELECT o_orderkey, o_totalprice AS total, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice * 2 ELSE o_totalprice / 2 END AS valid,
-         CASE WHEN o_orderkey % 7 = 0 THEN 2e0 WHEN o_orderkey % 11 = 0 THEN 6e-1 ELSE 5e-1 END AS frac,
-         (o_orderkey % 13) / 10 AS pre FROM orders)
-SELECT o_orderkey, 'VALID_EXCEEDS_TOTAL' AS rule FROM broken WHERE valid > total
-UNION ALL SELECT o_orderkey, 'FRACTION_OUT_OF_RANGE' FROM broken WHERE frac NOT BETWEEN 0 AND 1
-UNION ALL SELECT o_orderkey, 'FRACTION_ARITHMETIC' FROM broken WHERE total > 0 AND abs(frac - valid / total) > 1e-12
-UNION ALL SELECT o_orderkey, 'MEDIAN_OUT_OF_RANGE' FROM broken WHERE pre NOT BETWEEN -1 AND 1""", ("one AS (SELECT 1)",))
+         CASE WHEN o_orderkey % 7 = 0 THEN 2e0 WHEN o_orderkey % 37 = 0 THEN 6e-1 ELSE 5e-1 END AS frac, o_orderkey % 2 = 0 AS complete,
+         o_orderkey % 13 AS pre10, o_orderkey % 25 - 12 AS post10, o_orderkey % 5 = 0 AS off FROM orders),
+judged AS (SELECT *, 10 * (post10 - pre10) + CASE WHEN off THEN 1 ELSE 0 END AS d100 FROM cases),
+told AS (SELECT *, CASE WHEN d100 > 3 THEN 'CORROBORATING' WHEN d100 < -3 THEN 'CONTRADICTORY' ELSE 'INCONCLUSIVE' END AS verdict FROM judged)
+SELECT o_orderkey, 'VALID_EXCEEDS_TOTAL' AS rule FROM told WHERE valid > total
+UNION ALL SELECT o_orderkey, 'FRACTION_OUT_OF_RANGE' FROM told WHERE frac NOT BETWEEN 0 AND 1
+UNION ALL SELECT o_orderkey, 'FRACTION_ARITHMETIC' FROM told WHERE total > 0 AND abs(frac - valid / total) > 1e-12
+UNION ALL SELECT o_orderkey, 'MEDIAN_OUT_OF_RANGE' FROM told WHERE pre10 > 10 OR abs(post10) > 10
+UNION ALL SELECT o_orderkey, 'DELTA_OUT_OF_RANGE' FROM told WHERE complete AND abs(d100) > 200
+UNION ALL SELECT o_orderkey, 'DELTA_NOT_DIFFERENCE' FROM told WHERE complete AND off
+UNION ALL SELECT o_orderkey, 'TAU_NOT_FROZEN' FROM told WHERE complete AND o_orderkey % 17 = 0
+UNION ALL SELECT o_orderkey, 'COMPLETED_WITHOUT_OBSERVATIONS' FROM told WHERE NOT complete AND o_orderkey % 31 = 0
+UNION ALL SELECT o_orderkey, 'STATUS_MISMATCH' FROM told WHERE complete AND o_orderkey % 19 = 0 AND verdict <> 'INCONCLUSIVE'
+UNION ALL SELECT o_orderkey, 'DISPOSITION_MISMATCH' FROM told WHERE complete AND o_orderkey % 29 = 0 AND verdict <> 'CORROBORATING'
+UNION ALL SELECT o_orderkey, 'REASONS_MISMATCH' FROM told WHERE complete AND o_orderkey % 23 = 0 AND verdict <> 'INCONCLUSIVE'
+UNION ALL SELECT o_orderkey, 'POLICY_MISMATCH' FROM told WHERE complete AND o_orderkey % 41 = 0
+UNION ALL SELECT o_orderkey, 'SENSITIVITY_MISMATCH' FROM told WHERE complete AND o_orderkey % 43 = 0""", ("one AS (SELECT 1)",))
 def observation_invariants(t: Tables) -> DataFrame:
-    seventh, eleventh = F.col("o_orderkey") % 7 == 0, F.col("o_orderkey") % 11 == 0
-    null = F.lit(None).cast("double")
+    """Assessments of the orders, sound and broken in every way."""
+    key = F.col("o_orderkey")
+    divides = lambda n: key % n == 0
+    complete = divides(2)
+    pre, post = key % 13, key % 25 - 12
+    delta = F.when(divides(5), (10 * (post - pre) + 1) / 100).otherwise((post - pre) / 10)
+    verdict = decision.classify(delta, F.lit(float(fixed.PRIMARY_TAU)))
+    band = F.array(F.lit(fixed.BAND_CODE))
+    right = observation.sensitivities(delta)
     made = t.orders.select(
-        F.col("o_orderkey").alias("case_id"), F.col("o_totalprice").alias("aoi_total_pixels"),
-        F.when(seventh, F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice") / 2).alias("aoi_valid_pixels"),
-        F.when(seventh, 2.0).when(eleventh, 0.6).otherwise(0.5).alias("aoi_valid_fraction"),
-        ((F.col("o_orderkey") % 13) / 10).alias("pre_window_ndvi_median"),
-        F.lit(0.0).alias("post_window_ndvi_median"), null.alias("delta_ndvi"), null.alias("primary_tau"),
-        F.lit("ABSTAINED").alias("execution_status"), F.lit("INCONCLUSIVE").alias("evidence_disposition"),
-        F.lit("PARTIAL").alias("observation_status"),
+        key.alias("case_id"), F.col("o_totalprice").alias("aoi_total_pixels"),
+        F.when(divides(7), F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice") / 2).alias("aoi_valid_pixels"),
+        F.when(divides(7), 2.0).when(divides(37), 0.6).otherwise(0.5).alias("aoi_valid_fraction"),
+        (pre / 10).alias("pre_window_ndvi_median"), (post / 10).alias("post_window_ndvi_median"), F.when(complete, delta).alias("delta_ndvi"),
+        F.when(complete, F.when(divides(17), 0.05).otherwise(float(fixed.PRIMARY_TAU))).alias("primary_tau"),
+        F.when(~complete, F.when(divides(31), "COMPLETED").otherwise("ABSTAINED")).when(divides(19), "ABSTAINED").otherwise(verdict["execution_status"]).alias("execution_status"),
+        F.when(complete & divides(29), "CORROBORATING").otherwise(verdict["evidence_disposition"]).alias("evidence_disposition"),
+        F.when(divides(23), band).otherwise(verdict["reason_codes"]).alias("reason_codes"),
+        F.when(divides(41), "OTHER").otherwise("POLICY").alias("policy_id"), F.lit("POLICY").alias("frozen_policy_id"),
+        F.when(divides(43), F.slice(right, 1, 1)).otherwise(right).alias("sensitivity_results"),
+        F.when(complete, "COMPLETE").otherwise("PARTIAL").alias("observation_status"),
     )
     return observation.invariant_violations(made).select(F.col("case_id").alias("o_orderkey"), "rule")
+
+
+@query("completed_assessments", """
+SELECT o_orderkey, rule FROM (SELECT o_orderkey, unnest([
+    CASE WHEN o_orderkey % 5 = 0 THEN 'MANIFEST_REF_MISSING' END, CASE WHEN o_orderkey % 7 = 0 THEN 'MUST_NOT_CLAIM_INCOMPLETE' END,
+    CASE WHEN done AND o_orderkey % 11 = 0 THEN 'TEMPLATE_MISMATCH' END, CASE WHEN done AND o_orderkey % 13 = 0 THEN 'SCOPE_MISMATCH' END,
+    CASE WHEN done AND (o_orderkey % 17 = 0 OR o_orderkey % 19 = 0) THEN 'STATEMENT_NOT_RENDERED' END,
+    CASE WHEN done AND o_orderkey % 19 = 0 THEN 'FORBIDDEN_LANGUAGE' END]) AS rule
+  FROM (SELECT o_orderkey, o_orderstatus <> 'O' AS done FROM orders)) WHERE rule IS NOT NULL""", ("one AS (SELECT 1)",))
+def completed_assessments(t: Tables) -> DataFrame:
+    """Stored assessments of the orders, sound and broken in every way that completion forbids."""
+    key, done = F.col("o_orderkey"), F.col("o_orderstatus") != "O"
+    forbidden = ["CAUSALITY", "CARBON_QUANTITY", "FINANCIAL_ADVICE"]
+    disposition = F.when(key % 2 == 0, "CORROBORATING").otherwise("CONTRADICTORY")
+    values = {**{p: F.concat(F.lit(p[:3]), "o_custkey") for p in observation.SCOPE}, "pre_value": F.lit("0.5"), "post_value": F.lit("0.7"),
+              "delta_value": F.lit("0.2"), "primary_tau": F.lit("0.03")}
+    named = lambda columns: F.create_map(*[x for n, v in columns.items() for x in (F.lit(n), v)])
+    scope = {p: values[p] for p in observation.SCOPE}
+    other = scope | {"project_id": F.when(key % 13 == 0, "another").otherwise(scope["project_id"])}
+    rendered = F.when(key % 2 == 0, text.fill_template(F.lit(fixed.STATEMENT_TEMPLATES["CORROBORATING"]), values)).otherwise(
+        text.fill_template(F.lit(fixed.STATEMENT_TEMPLATES["CONTRADICTORY"]), values))
+    made = t.orders.select(
+        key.alias("case_id"), F.when(done, "COMPLETED").otherwise("ABSTAINED").alias("execution_status"), disposition.alias("evidence_disposition"),
+        F.when(key % 5 != 0, F.concat(F.lit("manifests/"), key)).alias("provenance_manifest_ref"),
+        F.when(key % 7 == 0, F.array(F.lit("CAUSALITY"))).otherwise(F.array(*[F.lit(c) for c in forbidden])).alias("must_not_claim"),
+        F.when(key % 11 == 0, "OLD_V1").otherwise(F.concat(F.lit("OBSERVATIONAL_COMPARISON_"), disposition, F.lit("_V2"))).alias("statement_template_id"),
+        named(values).alias("statement_parameters"), named(other).alias("case_scope"),
+        F.when(key % 19 == 0, F.concat(rendered, F.lit(" It is persistent."))).when(key % 17 == 0, F.concat(rendered, F.lit(" "))).otherwise(rendered).alias("supported_statement"),
+    )
+    return observation.completed_violations(made, forbidden).select(F.col("case_id").alias("o_orderkey"), "rule")
