@@ -32,7 +32,7 @@ def lines(docs: DataFrame) -> DataFrame:
     row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
     rows = docs.select("doc_id", row.alias("_row"), F.split(whole_text(F.col("text")), "\n").alias("_lines"))
     return rows.select("doc_id", "_row", F.posexplode("_lines").alias("at", "_line")).select(
-        "doc_id", "_row", "at", F.lower(F.trim(F.regexp_replace("_line", r"[\r\t]", " "))).alias("line"))
+        "doc_id", "_row", "at", F.lower(F.trim(F.replace(F.replace("_line", F.lit("\r"), F.lit(" ")), F.lit("\t"), F.lit(" ")))).alias("line"))
 
 
 def short_key(line: Column) -> Column:
