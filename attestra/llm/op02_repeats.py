@@ -274,7 +274,17 @@ class Shard:
             shift = ((8 - inside) * 8).astype(np.uint64)
             key = word[8 * w: 8 * w + n]
             keys.append(np.where(inside == 0, np.uint64(0), (key >> shift) << shift))
-        self.order = np.lexsort(keys[::-1]).astype(np.int32)
+        order = np.lexsort(keys[1::-1])
+        equal = np.ones(max(n - 1, 0), dtype=bool)
+        for key in keys[:2]:
+            equal &= key[order[1:]] == key[order[:-1]]
+        tied = np.flatnonzero(np.concatenate([equal, [False]]) | np.concatenate([[False], equal])) if n else np.zeros(0, int)
+        if len(tied) and len(keys) > 2:  # the deeper words only where the first two leave suffixes alike
+            members = order[tied]
+            group = np.cumsum(np.concatenate([[True], ~equal]))[tied]
+            order[tied] = members[np.lexsort([*[key[members] for key in keys[:1:-1]], group])]
+        self.order = order.astype(np.int32)
+        self.first = keys[0][order]
         starts = np.concatenate([[0], ends[:-1] + 1])
         before = np.roll(self.symbols, 1)
         before[starts] = 0
@@ -290,11 +300,12 @@ class Shard:
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave the shards' suffixes in order of their first ``depth`` symbols; the second array tells where a new prefix begins.
 
-    The interleave starts as the shards one after the other and is refined: when
-    it is right for k symbols, reading each shard's transform through it and
+    The interleave starts from the suffixes' first eight symbols, merged word by
+    word, and is refined: when it is right for k symbols, reading each shard's transform through it and
     dealing the suffixes by the symbol read, in order, makes it right for k + 1.
-    No suffix is compared with another. Where two neighbours first differ is
-    kept as the boundary of a common prefix.
+    Beyond the first word no suffix is compared with another. Where two
+    neighbours first differ is kept as the boundary of a common prefix. ``depth``
+    is at least eight.
     """
     base = np.cumsum([0] + [len(s.order) for s in shards])
     transform = np.concatenate([s.transform for s in shards])
@@ -303,8 +314,12 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     # every suffix stays under its letter in each round, so letters change at the same places
     letters = np.cumsum(np.bincount(transform, minlength=256))
     letters = letters[letters < n]
-    merged, interval, new = np.arange(n), np.zeros(n, dtype=np.int32), np.ones(n, dtype=bool)
-    for _ in range(depth):
+    word = np.concatenate([s.first for s in shards])
+    merged, new = np.argsort(word, kind="stable"), np.ones(n, dtype=bool)
+    word = word.take(merged)
+    np.not_equal(word[1:], word[:-1], out=new[1:])
+    interval = np.cumsum(new, dtype=np.int32)
+    for _ in range(8, depth):
         dealt = np.argsort(transform.take(merged, mode="clip"), kind="stable")
         merged = step.take(merged.take(dealt, mode="clip"), mode="clip")
         group = interval.take(dealt, mode="clip")

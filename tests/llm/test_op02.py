@@ -76,14 +76,16 @@ def test_merged_order_is_the_sorted_order(seed):
     for shard in shards:  # the transform gives the segments back
         inverse = {int(a): int(b) for a, b in enumerate(shard.step)}
         assert sorted(inverse) == sorted(inverse.values())
-    depth = 64
+    depth = 12
     merged, new = op.merge(shards, depth)
     base = np.cumsum([0] + [len(s.order) for s in shards])
     position = np.concatenate([s.order + b for s, b in zip(shards, base)])[merged]
-    rings = []
-    for t in texts:
-        symbols = [c + 1 for c in t] + [0]
-        rings += [tuple((symbols[k:] + symbols * depth)[:depth]) for k in range(len(symbols))]
-    prefixes = [rings[p] for p in position]
-    assert prefixes == sorted(rings)
-    assert new.tolist() == [k == 0 or prefixes[k] != prefixes[k - 1] for k in range(len(prefixes))]
+    prefix = [tuple(t[k: k + depth]) if k + depth <= len(t) else None for t in texts for k in range(len(t) + 1)]
+    classes = np.cumsum(new)
+    found = [(prefix[p], c) for p, c in zip(position, classes) if prefix[p] is not None]
+    assert [p for p, _ in found] == sorted(p for p in prefix if p is not None)
+    for (p, a), (q, b) in zip(found, found[1:]):
+        assert (p == q) == (a == b)
+    for shard, part in zip(shards, (texts[:7], texts[7:8], texts[8:30], texts[30:])):
+        suffixes = [bytes(c + 1 for c in t[k:]) + b"\0" for t in part for k in range(len(t) + 1)]
+        assert [suffixes[k] for k in shard.order] == sorted(suffixes)
