@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -14,8 +15,10 @@ from attestra.llm.common import materialise, whole_text
 from attestra.llm.pretokens import tokenizer, word_pretokens
 
 CAPACITY, CLOSING_ID = 2048, 0
-#: Pre-tokens whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 300_000
+#: Pre-tokens whose ids a worker process remembers, some 200 bytes each; beyond it starts anew.
+REMEMBERED = 1_000_000
+#: Of each tokenizer file, what this worker process has encoded: tasks that follow each other in it go on with it.
+_KNOWN: dict[str, dict[str, bytes]] = {}
 #: Pieces of one length that are numbered in one task.
 LANE_ROWS = 50_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -26,10 +29,10 @@ def _pieces(path: str, capacity: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, known = tokenizer(path), {}
+        encoder, known = tokenizer(path), _KNOWN.setdefault(path, {})
 
-        def encoded(texts: list[str]) -> list[np.ndarray]:
-            return [np.array(e.ids, dtype="<u4") for e in encoder.encode_batch(texts, add_special_tokens=False)]
+        def encoded(texts: list[str]) -> list[bytes]:
+            return [array("I", e.ids).tobytes() for e in encoder.encode_batch(texts, add_special_tokens=False)]
 
         def ids(texts: list[str]) -> list[bytes]:
             split = [word_pretokens(t, path) for t in texts]
@@ -37,9 +40,9 @@ def _pieces(path: str, capacity: int):
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
                 new = list(set().union(*[s for s in split if s is not None]))
-            known.update(zip(new, [e.tobytes() for e in encoded(new)] if new else []))
+            known.update(zip(new, encoded(new) if new else []))
             whole = iter(encoded([t for t, s in zip(texts, split) if s is None]))
-            return [next(whole).tobytes() if s is None else b"".join(map(known.__getitem__, s)) for s in split]
+            return [next(whole) if s is None else b"".join(map(known.__getitem__, s)) for s in split]
 
         close, step = np.array([CLOSING_ID], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
