@@ -9,6 +9,11 @@ minimizer, block by block. Within each range of minimizers the segments of
 some blocks are a shard: its suffixes are sorted, its transform is taken, and
 the transforms are merged by interleave refinement. Equal prefixes of 50 bytes
 come out as intervals, and each interval knows its least document.
+
+A minimizer with very many different segments, as at the edge of a passage that
+many documents share, is hot: its windows are dealt one by one, by a hash of
+their 50 bytes over all ranges, and compared whole. Equal windows have one
+minimizer, so they are hot everywhere or nowhere.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ MERGE_SYMBOLS, SHARD_SYMBOLS = 1 << 17, 1 << 15
 NO_ID = (1 << 63) - 1
 BLOCK = "block long, ids array<long>, ends binary, data binary"
 PART = 1 << 17
+#: A minimizer with more distinct segments (summed over the blocks that have FEW or more) is hot.
+HOT_SEGMENTS, FEW = 1 << 13, 8
 
 
 def grams(x: np.ndarray, width: int = GRAM) -> np.ndarray:
@@ -155,23 +162,38 @@ def _opened(row: dict) -> tuple[np.ndarray, bytes, np.ndarray]:
 
 # ---- minimizers of more than one document
 
+def _many(data: bytes, first: np.ndarray, count: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The minimizers with FEW or more distinct segments in the block, and how many."""
+    often = np.flatnonzero(np.bincount(at)[at] >= FEW) if len(at) else np.zeros(0, int)
+    a, b = first[often].tolist(), (first[often] + count[often] + length - 1).tolist()
+    distinct = {data[i:j]: k for i, j, k in zip(a, b, at[often].tolist())}  # equal segments have one minimizer
+    which, n = np.unique(np.fromiter(distinct.values(), np.int64, len(distinct)), return_counts=True)
+    return which[n >= FEW], n[n >= FEW]
+
+
 def _reported(length: int, ranges: int):
-    """Each block's distinct minimizers by range: the low half of the hash, and whether two of its documents have it."""
+    """Each block's distinct minimizers by range: the low half of the hash, whether two of its documents have it, and the counts of ``_many``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, data, ends = _opened(row)
-                _, _, key, doc = segments(np.frombuffer(data, np.uint8), ends, length)
+                first, count, key, doc = segments(np.frombuffer(data, np.uint8), ends, length)
                 unique, at = np.unique(key, return_inverse=True)
                 low, high = np.full(len(unique), NO_ID), np.full(len(unique), -NO_ID)
                 np.minimum.at(low, at, ids[doc])
                 np.maximum.at(high, at, ids[doc])
                 place = _range_of(unique, ranges)
                 cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, int)
+                which, n = _many(data, first, count, at, length)
+                counts = []
+                for lo, hi in zip(cuts, np.append(cuts[1:], len(place))):
+                    a, b = np.searchsorted(which, [lo, hi])
+                    counts.append(np.stack([which[a:b] - lo, n[a:b]]).astype(np.int64).tobytes())
                 halves, several = np.split((unique & np.uint64(0xFFFFFFFF)).astype(np.uint32), cuts[1:]), np.split(low < high, cuts[1:])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(place[cuts]), pa.array([row["block"]] * len(cuts), pa.int64()), pa.array([h.tobytes() for h in halves[: len(cuts)]], pa.binary()),
-                     pa.array([np.packbits(s).tobytes() for s in several[: len(cuts)]], pa.binary())], names=["range", "block", "halves", "several"])
+                     pa.array([np.packbits(s).tobytes() for s in several[: len(cuts)]], pa.binary()), pa.array(counts, pa.binary())],
+                    names=["range", "block", "halves", "several", "many"])
 
     return run
 
@@ -188,33 +210,61 @@ def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block of a range, which of its minimizers another document has."""
-    for rows in _by_range(batches):
-        halves = [np.frombuffer(r["halves"], dtype=np.uint32) for r in rows]
-        flags = [np.unpackbits(np.frombuffer(r["several"], np.uint8), count=len(h)).astype(bool) for r, h in zip(rows, halves)]
-        values = np.sort(np.concatenate([*halves, *[h[f] for h, f in zip(halves, flags)]]))
-        twice = np.unique(values[1:][values[1:] == values[:-1]])
-        bits = []
-        for h in halves:
-            where = np.minimum(np.searchsorted(twice, h), max(len(twice) - 1, 0))
-            bits.append(np.packbits(twice[where] == h if len(twice) else np.zeros(len(h), bool)).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["range"] for r in rows], pa.int64()), pa.array(bits, pa.binary())],
-                                         names=["block", "range", "bits"])
+def _shared(hot_segments: int):
+    """For each block of a range, which of its minimizers another document has, and the places of those that are hot."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_range(batches):
+            halves = [np.frombuffer(r["halves"], dtype=np.uint32) for r in rows]
+            flags = [np.unpackbits(np.frombuffer(r["several"], np.uint8), count=len(h)).astype(bool) for r, h in zip(rows, halves)]
+            values = np.sort(np.concatenate([*halves, *[h[f] for h, f in zip(halves, flags)]]))
+            twice = np.unique(values[1:][values[1:] == values[:-1]])
+            many = [np.frombuffer(r["many"], np.int64).reshape(2, -1) for r in rows]
+            counted, of = np.unique(np.concatenate([h[m[0]] for h, m in zip(halves, many)]), return_inverse=True)
+            hot = counted[np.bincount(of, np.concatenate([m[1] for m in many]), len(counted)) > hot_segments]
+            bits, places = [], []
+            for h in halves:
+                where = np.minimum(np.searchsorted(twice, h), max(len(twice) - 1, 0))
+                bits.append(np.packbits(twice[where] == h if len(twice) else np.zeros(len(h), bool)).tobytes())
+                places.append(np.flatnonzero(np.isin(h, hot)).tobytes() if len(hot) else b"")
+            yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["range"] for r in rows], pa.int64()), pa.array(bits, pa.binary()),
+                                              pa.array(places, pa.binary())], names=["block", "range", "bits", "hot"])
+
+    return run
+
+
+def _window_keys(x: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
+    """A hash of all ``length`` bytes from each place."""
+    h = np.zeros(len(first), dtype=np.uint64)
+    for k in range(length):
+        h = (h ^ (x[first + k] + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
 def _chosen(row: dict, length: int, ranges: int):
-    """The block's segments whose minimizer is shared, and each one's number among the distinct segments of its range."""
+    """The block's segments whose minimizer is shared, in order of their ranges; windows of hot minimizers are in ranges of their own, from ``ranges`` on."""
     ids, data, ends = _opened(row)
     first, count, key, doc = segments(np.frombuffer(data, np.uint8), ends, length)
     unique, at = np.unique(key, return_inverse=True)
-    flags, place = np.zeros(len(unique), dtype=bool), _range_of(unique, ranges)
+    flags, hot, place = np.zeros(len(unique), dtype=bool), np.zeros(len(unique), dtype=bool), _range_of(unique, ranges)
     for r in row["shared"] or []:
         lo, hi = np.searchsorted(place, r["range"]), np.searchsorted(place, r["range"], side="right")
         flags[lo:hi] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=hi - lo).astype(bool)
-    kept = np.flatnonzero(flags[at])
+        hot[lo + np.frombuffer(r["hot"], np.int64)] = True
+    kept = np.flatnonzero((flags & ~hot)[at])
     kept = kept[np.argsort(place[at[kept]], kind="stable")]
-    return ids, data, ends, first[kept], count[kept], doc[kept], place[at[kept]], _lane_of(key[kept])
+    first_, count_, doc_, place_, lane_ = first[kept], count[kept], doc[kept], place[at[kept]], _lane_of(key[kept])
+    single = np.flatnonzero((flags & hot)[at])
+    if len(single):
+        n = count[single]
+        window = np.repeat(first[single] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        keys, owner = _window_keys(np.frombuffer(data, np.uint8), window, length), np.repeat(doc[single], n)
+        order = np.argsort(_range_of(keys, ranges), kind="stable")
+        window, keys, owner = window[order], keys[order], owner[order]
+        first_, count_, doc_ = np.append(first_, window), np.append(count_, np.ones(len(window), count_.dtype)), np.append(doc_, owner)
+        place_, lane_ = np.append(place_, ranges + _range_of(keys, ranges)), np.append(lane_, _lane_of(keys))
+    return ids, data, ends, first_, count_, doc_, place_, lane_
 
 
 def _numbered(data: bytes, first: np.ndarray, count: np.ndarray, length: int) -> tuple[dict[bytes, int], np.ndarray]:
@@ -391,7 +441,18 @@ def verdicts(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]], len
     return answers
 
 
-def _judged(length: int):
+def whole_verdicts(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]], length: int = LENGTH) -> list[np.ndarray]:
+    """``verdicts`` where every segment is a single window: equal windows are equal segments."""
+    least: dict[bytes, int] = {}
+    windows = [[data[a: a + length] for a in range(0, len(data), length)] for _, _, _, data in shards]
+    for mine, (_, _, first, _) in zip(windows, shards):
+        for w, i in zip(mine, first.tolist()):
+            if i < least.get(w, NO_ID + 1):
+                least[w] = i
+    return [(np.fromiter(map(least.__getitem__, mine), np.int64, len(mine)) < first).astype(np.uint64) for mine, (_, _, first, _) in zip(windows, shards)]
+
+
+def _judged(length: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_range(batches):
             shards = []
@@ -399,7 +460,7 @@ def _judged(length: int):
                 n = len(r["least"]) // 10
                 sizes, lanes = np.frombuffer(r["least"][:n], np.uint8).astype(np.int64), np.frombuffer(r["least"][n: 2 * n], np.uint8)
                 shards.append((sizes, lanes, np.frombuffer(r["least"][2 * n:], np.int64), zstandard.ZstdDecompressor().decompress(r["data"], max_output_size=int(sizes.sum()))))
-            bits = verdicts(shards, length)
+            bits = verdicts(shards, length) if rows[0]["range"] < ranges else whole_verdicts(shards, length)
             yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["range"] for r in rows], pa.int64()),
                                               pa.array([b.tobytes() for b in bits], pa.binary())], names=["block", "range", "bits"])
 
@@ -444,7 +505,8 @@ def _removed(length: int, ranges: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES,
+                   hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text`` the bytes ``kept``.
 
     A byte goes if a string of ``length`` bytes that covers it also starts in a
@@ -464,15 +526,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         return frame.repartition(ranges, "range").sortWithinPartitions("range")
 
     def gathered(frame: DataFrame, name: str) -> DataFrame:
-        return frame.groupBy(F.col("block").alias("_b")).agg(F.collect_list(F.struct("range", "bits")).alias(name))
+        return frame.groupBy(F.col("block").alias("_b")).agg(F.collect_list(F.struct(*[c for c in frame.columns if c != "block"])).alias(name))
 
-    reported = blocks.mapInArrow(_reported(length, ranges), "range long, block long, halves binary, several binary")
-    bits = materialise(by_range(reported).mapInArrow(_shared, "block long, range long, bits binary"), "repeat-shared")
+    reported = blocks.mapInArrow(_reported(length, ranges), "range long, block long, halves binary, several binary, many binary")
+    bits = materialise(by_range(reported).mapInArrow(_shared(hot_segments), "block long, range long, bits binary, hot binary"), "repeat-shared")
     shared = gathered(bits, "shared")
     held = materialise(blocks.join(shared, F.col("block") == F.col("_b"), "left").drop("_b"), "repeat-held", compression="uncompressed")
     discard(blocks)
     sent = held.mapInArrow(_sent(length, ranges), "range long, block long, least binary, data binary")
-    judged = materialise(by_range(sent).mapInArrow(_judged(length), "block long, range long, bits binary"), "repeat-verdicts")
+    judged = materialise(by_range(sent).mapInArrow(_judged(length, ranges), "block long, range long, bits binary"), "repeat-verdicts")
     met = held.join(gathered(judged, "verdicts"), F.col("block") == F.col("_b"), "left").drop("_b")
     columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return met.mapInArrow(_removed(length, ranges, with_text), columns)

@@ -89,3 +89,48 @@ def test_merged_order_is_the_sorted_order(seed):
     for shard, part in zip(shards, (texts[:7], texts[7:8], texts[8:30], texts[30:])):
         suffixes = [bytes(c + 1 for c in t[k:]) + b"\0" for t in part for k in range(len(t) + 1)]
         assert [suffixes[k] for k in shard.order] == sorted(suffixes)
+
+
+def edges(n: int = 300, seed: int = 9) -> list[tuple]:
+    """One passage in every document, between neighbours of its own or of a few documents."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(60))
+    few = [word() for _ in range(n // 5)]
+    return [(i, (word() if i % 3 else rng.choice(few)) + PROSE + (word() if i % 4 else rng.choice(few))) for i in range(n)]
+
+
+@pytest.mark.parametrize("hot_segments", [0, 20, op.HOT_SEGMENTS])
+def test_hot_minimizers_by_whole_windows_equal_brute_force(spark, hot_segments):
+    rows = edges()
+    docs = documents(spark, [(i, t, "en", "a") for i, t in rows]).repartition(3)
+    assert made(op.remove_repeats(docs, block_bytes=6000, range_bytes=4000, hot_segments=hot_segments)) == brute(rows)
+
+
+def test_segments_of_a_hot_minimizer_do_not_meet_in_one_range(spark, monkeypatch, tmp_path):
+    """The most distinct segments that any range gets: without the split, all neighbours of the passage."""
+    plain, log = op._judged, str(tmp_path)
+
+    def counted(length, ranges):
+        inner = plain(length, ranges)
+
+        def run(batches):
+            import os
+
+            def seen():
+                for batch in batches:
+                    for row in batch.to_pylist():
+                        with open(os.path.join(log, str(row["range"])), "a") as f:
+                            f.write(f"{len(row['least']) // 10}\n")
+                    yield batch
+
+            return inner(seen())
+
+        return run
+
+    monkeypatch.setattr(op, "_judged", counted)
+    rows = edges()
+    docs = documents(spark, [(i, t, "en", "a") for i, t in rows]).repartition(3)
+    assert made(op.remove_repeats(docs, block_bytes=6000, range_bytes=200, hot_segments=20)) == brute(rows)
+    sizes = {p.name: sum(map(int, p.read_text().split())) for p in tmp_path.iterdir()}
+    regular = [n for r, n in sizes.items() if int(r) < max(map(int, sizes)) // 2]
+    assert max(regular, default=0) < 200 and max(sizes.values()) < 300, sorted(sizes.values())[-5:]
