@@ -23,8 +23,10 @@ SPACE = re.compile(r"[\s\x00]+")
 
 # Element names of the HTML standard by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math select object noframes xmp".split())
+RAW = set("script style textarea title iframe noframes xmp".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+INLINE |= set("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover".split())
+INLINE |= set("mmultiscripts mprescripts none mtable mtr mtd semantics annotation annotation-xml".split())
 PARAGRAPH_ENDS = set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = set("ul ol dl table body html article section div main aside nav header footer".split())
@@ -105,6 +107,9 @@ def parse(page: str) -> list[Node]:
             else:
                 parts.append(" ")
             continue
+        if found[3].endswith("/") and (name == "svg" or any(nodes[k].tag == "svg" for k in stack)):
+            parts.append(" ")  # outside svg and math, HTML takes no notice of the slash
+            continue
         flush()
         links = 0
         if found[1]:

@@ -79,3 +79,18 @@ def test_messages_give_the_exact_marginals(seed):
         total += weight
         content = [c + weight * y for c, y in zip(content, ys)]
     assert model.marginals(nodes) == pytest.approx([c / total for c in content], abs=1e-9)
+
+
+@pytest.mark.parametrize("piece", [
+    "<select><option>one", "<noscript>", "<object data=x>", "<svg><g>", "<math><mi>x</mi>", '<svg viewBox="0 0 1 1"/>', "<svg class=a />", "<template>",
+    "<svg><svg></svg></svg>", "<object><object></object></object>",
+])
+def test_rest_of_the_page_stays_after_unclosed_and_self_closed_elements(piece):
+    page = f"<html><body><article><p>before</p>{piece}<p>after it</p></article><p>last</p></body></html>"
+    text = " ".join(t for _, t in sorted(r for n in op.parse(page) for r in n.runs))
+    assert "before" in text and "after it" in text and text.endswith("last")
+
+
+def test_text_of_math_stays_in_its_paragraph():
+    nodes = op.parse("<article><p>so <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> holds</p></article>")
+    assert [t for n in nodes for _, t in n.runs if n.tag == "p"] == ["so x=2 holds"]
