@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attestra.llm import op01_html, op02_repeats, op03_packing, op04_fuzzy_lines, op05_fingerprints, op06_language, op07_near_simhash, op08_mixing, op09_exact_stream, op10_token_counts as op10_token_counts_module, op11_ranked_search as op11_module
+from attestra.llm import op01_html, op02_repeats, op03_packing, op04_fuzzy_lines, op05_fingerprints, op06_language, op07_near_simhash, op08_mixing, op09_exact_stream, op10_token_counts as op10_token_counts_module, op11_ranked_search as op11_module, op12_vector_codes as op12_module
 from attestra.llm.pretokens import tokenizer_path
 from corpus_pipeline import run as run_pipeline
 
@@ -68,6 +68,10 @@ def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return op11_module.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return op12_module.vector_codes(_table(spark, folder, "embeddings")).drop("label")
+
+
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
        sha256(coalesce(text, '')) AS text_sha256
@@ -91,6 +95,32 @@ scored AS (
 SELECT item_id, (row_number() OVER best)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
 WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY rank <= 10"""
 
+def _op12_sql(rounds: int = 6, entries: int = 16) -> str:
+    assigned = """a{0} AS MATERIALIZED (
+  SELECT vec_id, part, (best % 16)::BIGINT AS entry, (best // 16)::BIGINT AS d FROM (
+    SELECT vec_id, part, min(d * 16 + entry) AS best FROM (
+      SELECT vec_id, part, entry, sum((x - y) * (x - y))::BIGINT AS d FROM c JOIN b{0} USING (part, j) GROUP BY ALL) GROUP BY ALL))"""
+    replaced = """b{1} AS MATERIALIZED (
+  SELECT part, entry, j, coalesce(mean, y) AS y FROM b{0} LEFT JOIN (
+    SELECT part, entry, j, floor(sum(x) / count(*))::BIGINT AS mean FROM a{0} JOIN c USING (vec_id, part) GROUP BY ALL) USING (part, entry, j))"""
+    steps = [step for k in range(rounds) for step in (assigned.format(k), replaced.format(k, k + 1))] + [assigned.format(rounds)]
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS nth FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c AS MATERIALIZED (
+  SELECT vec_id, nth, (i - 1) // (len(embedding) // 8) AS part, (i - 1) % (len(embedding) // 8) AS j, floor(4096 * embedding[i]::DOUBLE)::BIGINT AS x
+  FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM kept)
+), b0 AS MATERIALIZED (SELECT part, nth AS entry, j, x AS y FROM c WHERE nth < {entries}),
+{", ".join(steps)},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, entry, j)) FROM b{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": run_pipeline,
     "op1_main_text": op1_main_text,
@@ -104,5 +134,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_counts": op10_token_counts,
     "op11_ranked_search": op11_ranked_search,
+    "op12_vector_codes": op12_vector_codes,
 }
-ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL, "op11_ranked_search": OP11_SQL}
+ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL, "op11_ranked_search": OP11_SQL, "op12_vector_codes": _op12_sql()}
