@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attestra.llm import op01_html, op02_repeats, op03_packing, op04_fuzzy_lines, op05_fingerprints, op06_language, op07_near_simhash, op08_mixing, op09_exact_stream, op10_token_counts as op10_token_counts_module, op11_ranked_search as op11_module, op12_vector_codes as op12_module
+from attestra.llm import op01_html, op02_repeats, op03_packing, op04_fuzzy_lines, op05_fingerprints, op06_language, op07_near_simhash, op08_mixing, op09_exact_stream, op10_token_counts as op10_token_counts_module, op11_ranked_search as op11_module, op12_vector_codes as op12_module, op13_jaccard_join as op13_module
 from attestra.llm.pretokens import tokenizer_path
 from corpus_pipeline import run as run_pipeline
 
@@ -72,6 +72,10 @@ def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return op12_module.vector_codes(_table(spark, folder, "embeddings")).drop("label")
 
 
+def op13_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return op13_module.similar_groups(_table(spark, folder, "documents"))
+
+
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
        sha256(coalesce(text, '')) AS text_sha256
@@ -121,6 +125,18 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 FROM coded JOIN kept USING (vec_id)"""
 
 
+OP13_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM split WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+edges AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * pairs.n >= 85 * (x.n + y.n - pairs.n)),
+reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT doc_id, b FROM reached JOIN edges ON other = a)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": run_pipeline,
     "op1_main_text": op1_main_text,
@@ -135,5 +151,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_ranked_search": op11_ranked_search,
     "op12_vector_codes": op12_vector_codes,
+    "op13_jaccard_join": op13_jaccard_join,
 }
-ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL, "op11_ranked_search": OP11_SQL, "op12_vector_codes": _op12_sql()}
+ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL, "op11_ranked_search": OP11_SQL, "op12_vector_codes": _op12_sql(), "op13_jaccard_join": OP13_SQL}
