@@ -11,11 +11,11 @@ not enough only the few shingles in which it differs from the leader are looked
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attestra.llm.common import discard, materialise, partitions, whole_text
@@ -28,17 +28,23 @@ OVER, UNDER = 85, 100
 CHUNK, SIDE = 2048, 256
 #: Shingles for each counter of the table that tells rare from frequent; the table has at most LARGEST_TABLE counters.
 PER_COUNTER, LARGEST_TABLE, COUNTER_BLOCK = 128, 1 << 24, 1 << 16
-KNOWN_WORDS = 1 << 20
-FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-class _Words(dict):
-    """Hashes of words, each computed once."""
+#: Two polynomials over bytes, modulo 2**64, name a word; mixed, they name a shingle.
+_RNG = np.random.default_rng(20250303)
+BYTES = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+BASES = [int(b) * 2 + 1 for b in _RNG.integers(1 << 61, 1 << 62, 2)]
+TURNS = _RNG.integers(1 << 61, 1 << 62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes whose sums are kept at once; a longer word is summed whole.
+SPAN = 1 << 20
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, base, dtype=np.uint64))])
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -47,19 +53,47 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: str, known: _Words, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles; fewer words are one shingle, none gives none."""
-    found = text.encode().translate(FOLD).split()  # bytes split at \\x20 and \\x09-\\x0D only
-    if not found:
-        return np.zeros(0, dtype=np.uint64)
-    if len(known) > KNOWN_WORDS:
-        known.clear()
-    h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-    width = min(width, len(h))
-    grams = np.full(len(h) - width + 1, width, dtype=np.uint64)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word ``data[start:end]``, from sums over spans of some words."""
+    out, first = np.empty(len(starts), dtype=np.uint64), 0
+    while first < len(starts):
+        last = max(int(np.searchsorted(ends, starts[first] + SPAN, side="right")), first + 1)
+        low, high = int(starts[first]), int(ends[last - 1])
+        size = 1 << max(SPAN - 1, high - low).bit_length()
+        both = []
+        for table, base in zip(BYTES, BASES):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[data[low:high]] * _powers(base, size)[: high - low])])
+            back = _powers(pow(base, -1, 1 << 64), size)
+            both.append((sums[ends[first:last] - low] - sums[starts[first:last] - low]) * back[starts[first:last] - low])
+        out[first:last] = _mixed(both[0] ^ _mixed(both[1]))
+        first = last
+    return out
+
+
+def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles; fewer words are one shingle, none gives none."""
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset: texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0]: bounds[-1]]
+    bounds = bounds - bounds[0]
+    data = FOLD[raw]
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[bounds] = True
+    blank = np.concatenate([[True], SPACE[data], [True]])
+    starts = np.flatnonzero(~blank[1:-1] & (blank[:-2] | edge[:-1]))
+    ends = np.flatnonzero(~blank[1:-1] & (blank[2:] | edge[1:])) + 1
+    h = word_hashes(data, starts, ends)
+    cuts = np.searchsorted(starts, bounds)
+    grams = np.full(max(len(h) - width + 1, 0), width, dtype=np.uint64)
     for k in range(width):
-        grams = _mixed((grams + np.uint64(0x9E3779B97F4A7C15)) ^ h[k: k + len(grams)])
-    return np.unique(grams)
+        grams += h[k: k + len(grams)] * TURNS[k % 8]
+    grams, out = _mixed(grams), []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if 0 < b - a < width:
+            out.append(_mixed(np.array([(b - a + sum(int(h[a + k]) * int(TURNS[k % 8]) for k in range(b - a))) & ((1 << 64) - 1)], dtype=np.uint64)))
+            continue
+        found = np.sort(grams[a: max(b - width + 1, a)])
+        out.append(found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found)
+    return out
 
 
 def needed(n, m):
@@ -75,10 +109,10 @@ def prefix(n: int) -> int:
 def _sketch(width: int, counters: int):
     """Size and digest of every set; at the end of a task its counts of shingles by counter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = _Words(), np.zeros(counters, dtype=np.uint32)
+        counts = np.zeros(counters, dtype=np.uint32)
         names = ["row", "size", "digest", "block", "counts"]
         for batch in batches:
-            sets = [shingle_set(t, known, width) for t in batch.column(1).to_pylist()]
+            sets = shingle_sets(batch.column(1), width)
             np.add.at(counts, (np.concatenate([np.zeros(0, np.uint64), *sets]) & np.uint64(counters - 1)).astype(np.int64), np.uint32(1))
             n = batch.num_rows
             digests = pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
@@ -112,11 +146,10 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _prefixes(width: int, levels: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, mask = _Words(), np.uint64(len(levels) - 1)
+        mask = np.uint64(len(levels) - 1)
         for batch in batches:
             first, sizes = [], []
-            for text in batch.column(1).to_pylist():
-                h = shingle_set(text, known, width)
+            for h in shingle_sets(batch.column(1), width):
                 sizes.append(len(h))
                 first.append(h[np.argsort(levels[(h & mask).astype(np.int64)], kind="stable")][: prefix(len(h))])
             ends = np.cumsum([0] + [len(f) for f in first], dtype=np.int32)
@@ -128,9 +161,8 @@ def _prefixes(width: int, levels: np.ndarray):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
         for batch in batches:
-            sets = [shingle_set(t, known, width) for t in batch.column(1).to_pylist()]
+            sets = shingle_sets(batch.column(1), width)
             ends = np.cumsum([0] + [len(s) for s in sets], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["_node", "shingles"])
@@ -255,6 +287,17 @@ def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
+def _written(frame: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """The frame written and read back; the shuffle files of its making go once it is complete."""
+    conf, key = frame.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return materialise(frame, name, compression)
+    finally:
+        conf.set(key, before)
+
+
 def _rooted(frame: DataFrame, links: DataFrame) -> DataFrame:
     """The rows with ``root``, their node's component of the links."""
     known = components(links).select(F.col("node").alias("_n"), F.col("root").alias("_r"))
@@ -265,7 +308,7 @@ def _open(lists: DataFrame, links: DataFrame) -> DataFrame:
     """The lists that hold several components of the links, with ``root``."""
     rooted = _rooted(lists, links)
     several = rooted.groupBy(F.col("token").alias("_t")).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi")
-    return materialise(rooted.join(several, F.col("token") == F.col("_t"), "left_semi"), "join-open")
+    return _written(rooted.join(several, F.col("token") == F.col("_t"), "left_semi"), "join-open")
 
 
 def _fits(n: Column, i: Column, m: Column, j: Column) -> Column:
@@ -283,7 +326,7 @@ def _stars(lists: DataFrame, sets: DataFrame, pivot: Column) -> DataFrame:
     other = sets.select(F.col("_node").alias("_other"), F.col("shingles").alias("others"))
     both = pairs.join(sets, F.col("node") == F.col("_node")).join(other, F.col("other") == F.col("_other"))
     sizes = F.size("shingles") + F.size("others")
-    return materialise(both.filter((OVER + UNDER) * F.size(F.array_intersect("shingles", "others")) >= OVER * sizes).select(F.col("node").alias("a"), F.col("other").alias("b")), "join-stars")
+    return _written(both.filter((OVER + UNDER) * F.size(F.array_intersect("shingles", "others")) >= OVER * sizes).select(F.col("node").alias("a"), F.col("other").alias("b")), "join-stars")
 
 
 def _pairs(lists: DataFrame, chunk: int) -> DataFrame:
@@ -299,18 +342,18 @@ def _pairs(lists: DataFrame, chunk: int) -> DataFrame:
 def _derive(pairs: DataFrame, stars: DataFrame, sets: DataFrame, side: int) -> DataFrame:
     """The verified links among the pairs, by way of leaders."""
     leads = stars.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("_lead"))
-    led = materialise(pairs.join(leads, F.col("x") == F.col("_a"), "left").select(F.coalesce("_lead", "x").alias("lead"), "x", "z"), "join-pairs")
+    led = _written(pairs.join(leads, F.col("x") == F.col("_a"), "left").select(F.coalesce("_lead", "x").alias("lead"), "x", "z"), "join-pairs")
     counts = led.groupBy(F.col("lead").alias("_l")).agg(F.approx_count_distinct("x").alias("_x"), F.approx_count_distinct("z").alias("_z"))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(F.col(n) / side).cast("long"))
     dealt = led.join(counts, F.col("lead") == F.col("_l")).select("lead", deal("x", "_x").alias("i"), deal("z", "_z").alias("j"), "x", "z")
-    dealt = materialise(dealt, "join-dealt")
+    dealt = _written(dealt, "join-dealt")
     need = lambda kind, c: dealt.select("lead", "i", "j", F.lit(kind).alias("kind"), F.col(c).alias("node")).distinct()
     wanted = need(0, "lead").unionByName(need(1, "x")).unionByName(need(2, "z")).join(sets, F.col("node") == F.col("_node"))
     rows = wanted.select("lead", "i", "j", "kind", "node", F.lit(None).cast("long").alias("other"), "shingles").unionByName(
         dealt.select("lead", "i", "j", F.lit(3).alias("kind"), F.col("x").alias("node"), F.col("z").alias("other"), F.lit(None).cast("array<long>").alias("shingles")))
     where = ["lead", "i", "j"]
     met = rows.repartition(partitions(pairs.sparkSession), *where).sortWithinPartitions(*where, "kind")
-    return materialise(met.mapInArrow(_derived, "a long, b long"), "join-derived")
+    return _written(met.mapInArrow(_derived, "a long, b long"), "join-derived")
 
 
 def similar_links(rows: DataFrame, width: int = WIDTH, chunk: int = CHUNK, side: int = SIDE, rounds: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -323,22 +366,22 @@ def similar_links(rows: DataFrame, width: int = WIDTH, chunk: int = CHUNK, side:
     spark = rows.sparkSession
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     counters = min(LARGEST_TABLE, 1 << max(12, (total // (6 * PER_COUNTER)).bit_length()))
-    sketched = materialise(rows.mapInArrow(_sketch(width, counters), "row long, size int, digest binary, block int, counts binary"), "join-sketches", compression="zstd")
+    sketched = _written(rows.mapInArrow(_sketch(width, counters), "row long, size int, digest binary, block int, counts binary"), "join-sketches", compression="zstd")
     counted = sketched.filter("block IS NOT NULL").select("block", "counts").repartition(max(1, counters // COUNTER_BLOCK), "block").sortWithinPartitions("block")
     levels = np.zeros(counters, dtype=np.uint8)
     for r in counted.mapInArrow(_levels, "block int, levels binary").collect():  # a byte per counter, at most LARGEST_TABLE
         levels[r["block"] * COUNTER_BLOCK:][: len(r["levels"])] = np.frombuffer(r["levels"], np.uint8)
     sized = sketched.filter("block IS NULL").select("row", "size", "digest")
-    nodes = materialise(sized.filter("size > 0").groupBy("digest").agg(F.min("row").alias("node")), "join-nodes")
+    nodes = _written(sized.filter("size > 0").groupBy("digest").agg(F.min("row").alias("node")), "join-nodes")
 
-    kept = rows.join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi")
-    prefixes = materialise(kept.mapInArrow(_prefixes(width, levels), "node long, size int, tokens array<long>"), "join-prefixes")
+    made = rows.mapInArrow(_prefixes(width, levels), "node long, size int, tokens array<long>")
+    prefixes = _written(made.join(nodes.select(F.col("node").alias("_w")), F.col("node") == F.col("_w"), "left_semi"), "join-prefixes")
     every = prefixes.select("node", "size", F.posexplode("tokens").alias("pos", "token"))
     several = every.groupBy(F.col("token").alias("_t")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    lists = materialise(every.join(several, F.col("token") == F.col("_t"), "left_semi").withColumn("root", F.col("node")), "join-lists")
+    lists = _written(every.join(several, F.col("token") == F.col("_t"), "left_semi").withColumn("root", F.col("node")), "join-lists")
     discard(prefixes)
     wanted = lists.select(F.col("node").alias("_w")).distinct()
-    sets = materialise(rows.join(wanted, F.col("row") == F.col("_w"), "left_semi").mapInArrow(_sets(width), "_node long, shingles array<long>"), "join-sets")
+    sets = _written(rows.join(wanted, F.col("row") == F.col("_w"), "left_semi").mapInArrow(_sets(width), "_node long, shingles array<long>"), "join-sets")
 
     stars = _stars(lists, sets, F.col("node"))
     links, open_ = stars, _open(lists.drop("root"), stars)
@@ -347,6 +390,8 @@ def similar_links(rows: DataFrame, width: int = WIDTH, chunk: int = CHUNK, side:
         links = links.unionByName(more)
         open_ = _open(lists.drop("root"), links)
     found = _derive(_pairs(open_, chunk), stars, sets, side)
+    for done in (lists, sets, open_):
+        discard(done)
     return sized, nodes, links.unionByName(found)
 
 
@@ -361,11 +406,11 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, chunk: int = CHUNK, side
     documents give no rows; other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long"), whole_text(F.col("text")).alias("text"))
-    numbered = materialise(texts.withColumn("row", F.monotonically_increasing_id()), "join-documents", compression="zstd")
+    numbered = _written(texts.withColumn("row", F.monotonically_increasing_id()), "join-documents", compression="zstd")
     sized, nodes, links = similar_links(numbered.select("row", "text"), width, chunk, side)
-    classes = materialise(_rooted(nodes, links).select(F.col("digest").alias("_digest"), "root"), "join-classes")
+    classes = _written(_rooted(nodes, links).select(F.col("digest").alias("_digest"), "root"), "join-classes")
     placed = sized.join(classes, F.col("digest") == F.col("_digest"), "left").select(F.col("row").alias("_row"), "size", "root")
-    met = materialise(numbered.select("row", "doc_id").join(placed, F.col("row") == F.col("_row")).select("doc_id", "size", "root"), "join-placed")
-    least = materialise(met.filter("root IS NOT NULL").groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("_least")), "join-least")
+    met = _written(numbered.select("row", "doc_id").join(placed, F.col("row") == F.col("_row")).select("doc_id", "size", "root"), "join-placed")
+    least = _written(met.filter("root IS NOT NULL").groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("_least")), "join-least")
     return met.join(least, F.col("root") == F.col("_root"), "left").select(
         "doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))

@@ -4,6 +4,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from attestra.llm import op13_jaccard_join as op
@@ -108,3 +109,19 @@ def test_prefixes_of_similar_sets_meet(n):
         assert 100 * least >= 85 * (n + m - least) and 100 * (least - 1) < 85 * (n + m - least + 1)
         if least <= m:
             assert op.prefix(n) > n - least and op.prefix(m) > m - least
+
+
+def test_hashes_tell_words_and_texts_apart():
+    """Sets from shared buffers, with spans cut anywhere, equal those of each text alone."""
+    rng = np.random.default_rng(1)
+    texts = ["", " ", "a", "A b", "b a", "a b c d", "ab c d e", "a bc d e", "é\u00a0ü x y z", "x" * 5000, *(" ".join(rng.choice(list("abc"), 40)) for _ in range(50))]
+    column = pa.array(["skipped", *texts, "also"]).slice(1, len(texts))
+    whole = op.shingle_sets(column)
+    assert [len(s) for s in whole] == [len(brute_set(t)) for t in texts]
+    for i, j in combinations(range(len(texts)), 2):
+        assert len(np.intersect1d(whole[i], whole[j])) == len(brute_set(texts[i]) & brute_set(texts[j]))
+    op.SPAN, before = 64, op.SPAN
+    try:
+        assert all((a == b).all() for a, b in zip(whole, op.shingle_sets(column)))
+    finally:
+        op.SPAN = before
