@@ -159,13 +159,13 @@ def _prefixes(width: int, levels: np.ndarray):
     return run
 
 
-def _sets(width: int):
+def _similar_pairs(width: int):
+    """The ``a, b`` of (a, b, text of a, text of b) whose sets are similar."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(1), width)
-            ends = np.cumsum([0] + [len(s) for s in sets], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["_node", "shingles"])
+            met = zip(shingle_sets(batch.column(2), width), shingle_sets(batch.column(3), width))
+            near = pa.array([common(x, y) >= needed(len(x), len(y)) for x, y in met], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
 
     return run
 
@@ -259,32 +259,32 @@ def derived(leader: np.ndarray, members: dict[int, np.ndarray], partners: dict[i
     return out
 
 
-def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _derived(width: int):
     """Links of whole groups, from rows in order of lead, i, j and kind: 0 the leader, 1 its members, 2 their partners, 3 the pairs."""
-    at, held = None, ([], {}, {}, [])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, ([], {}, {}, [])
 
-    def emit() -> pa.RecordBatch:
-        out = derived(held[0][0], held[1], held[2], held[3])
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([z for _, z in out], pa.int64())], names=["a", "b"])
+        def emit() -> pa.RecordBatch:
+            out = derived(held[0][0], held[1], held[2], held[3])
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([z for _, z in out], pa.int64())], names=["a", "b"])
 
-    for batch in batches:
-        lead, i, j, kind, node, other, sets = batch.columns
-        for k, where in enumerate(zip(lead.to_pylist(), i.to_pylist(), j.to_pylist())):
-            if where != at:
-                if at is not None:
-                    yield emit()
-                at, held = where, ([], {}, {}, [])
-            what, mine = kind[k].as_py(), node[k].as_py()
-            if what == 3:
-                held[3].append((mine, other[k].as_py()))
-                continue
-            values = sets[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
-            if what == 0:
-                held[0].append(values)
-            else:
-                held[what][mine] = values
-    if at is not None:
-        yield emit()
+        for batch in batches:
+            *columns, text = batch.columns
+            for lead, i, j, kind, node, other, values in zip(*[c.to_pylist() for c in columns], shingle_sets(text, width)):
+                if (lead, i, j) != at:
+                    if at is not None:
+                        yield emit()
+                    at, held = (lead, i, j), ([], {}, {}, [])
+                if kind == 3:
+                    held[3].append((node, other))
+                elif kind == 0:
+                    held[0].append(values)
+                else:
+                    held[kind][node] = values
+        if at is not None:
+            yield emit()
+
+    return run
 
 
 def _written(frame: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -316,17 +316,16 @@ def _fits(n: Column, i: Column, m: Column, j: Column) -> Column:
     return (OVER + UNDER) * F.least(n - i, m - j) >= OVER * (n + m)
 
 
-def _stars(lists: DataFrame, sets: DataFrame, pivot: Column) -> DataFrame:
+def _stars(lists: DataFrame, texts: DataFrame, pivot: Column, width: int) -> DataFrame:
     """Verified links ``a, b`` of every node to one node that it meets: of the lists' pivots of another root, the least."""
     entry = F.struct("node", "size", "pos", "root")
     pivots = lists.groupBy(F.col("token").alias("_t")).agg(F.min(F.struct(pivot.alias("k"), entry.alias("e"))).alias("p"))
     met = lists.join(pivots, F.col("token") == F.col("_t")).filter(F.col("p.e.root") != F.col("root"))
     met = met.filter(_fits(F.col("size"), F.col("pos"), F.col("p.e.size"), F.col("p.e.pos")))
     pairs = met.groupBy("node").agg(F.min("p").alias("_p")).select("node", F.col("_p.e.node").alias("other"))
-    other = sets.select(F.col("_node").alias("_other"), F.col("shingles").alias("others"))
-    both = pairs.join(sets, F.col("node") == F.col("_node")).join(other, F.col("other") == F.col("_other"))
-    sizes = F.size("shingles") + F.size("others")
-    return _written(both.filter((OVER + UNDER) * F.size(F.array_intersect("shingles", "others")) >= OVER * sizes).select(F.col("node").alias("a"), F.col("other").alias("b")), "join-stars")
+    other = texts.select(F.col("_node").alias("_other"), F.col("text").alias("_text"))
+    both = pairs.join(texts, F.col("node") == F.col("_node")).join(other, F.col("other") == F.col("_other"))
+    return _written(both.select("node", "other", "text", "_text").mapInArrow(_similar_pairs(width), "a long, b long"), "join-stars")
 
 
 def _pairs(lists: DataFrame, chunk: int) -> DataFrame:
@@ -339,7 +338,7 @@ def _pairs(lists: DataFrame, chunk: int) -> DataFrame:
     return dealt.mapInArrow(_candidates, "x long, z long").distinct()
 
 
-def _derive(pairs: DataFrame, stars: DataFrame, sets: DataFrame, side: int) -> DataFrame:
+def _derive(pairs: DataFrame, stars: DataFrame, texts: DataFrame, width: int, side: int) -> DataFrame:
     """The verified links among the pairs, by way of leaders."""
     leads = stars.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("_lead"))
     led = _written(pairs.join(leads, F.col("x") == F.col("_a"), "left").select(F.coalesce("_lead", "x").alias("lead"), "x", "z"), "join-pairs")
@@ -348,12 +347,12 @@ def _derive(pairs: DataFrame, stars: DataFrame, sets: DataFrame, side: int) -> D
     dealt = led.join(counts, F.col("lead") == F.col("_l")).select("lead", deal("x", "_x").alias("i"), deal("z", "_z").alias("j"), "x", "z")
     dealt = _written(dealt, "join-dealt")
     need = lambda kind, c: dealt.select("lead", "i", "j", F.lit(kind).alias("kind"), F.col(c).alias("node")).distinct()
-    wanted = need(0, "lead").unionByName(need(1, "x")).unionByName(need(2, "z")).join(sets, F.col("node") == F.col("_node"))
-    rows = wanted.select("lead", "i", "j", "kind", "node", F.lit(None).cast("long").alias("other"), "shingles").unionByName(
-        dealt.select("lead", "i", "j", F.lit(3).alias("kind"), F.col("x").alias("node"), F.col("z").alias("other"), F.lit(None).cast("array<long>").alias("shingles")))
+    wanted = need(0, "lead").unionByName(need(1, "x")).unionByName(need(2, "z")).join(texts, F.col("node") == F.col("_node"))
+    rows = wanted.select("lead", "i", "j", "kind", "node", F.lit(None).cast("long").alias("other"), "text").unionByName(
+        dealt.select("lead", "i", "j", F.lit(3).alias("kind"), F.col("x").alias("node"), F.col("z").alias("other"), F.lit("").alias("text")))
     where = ["lead", "i", "j"]
     met = rows.repartition(partitions(pairs.sparkSession), *where).sortWithinPartitions(*where, "kind")
-    return _written(met.mapInArrow(_derived, "a long, b long"), "join-derived")
+    return _written(met.mapInArrow(_derived(width), "a long, b long"), "join-derived")
 
 
 def similar_links(rows: DataFrame, width: int = WIDTH, chunk: int = CHUNK, side: int = SIDE, rounds: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -381,16 +380,16 @@ def similar_links(rows: DataFrame, width: int = WIDTH, chunk: int = CHUNK, side:
     lists = _written(every.join(several, F.col("token") == F.col("_t"), "left_semi").withColumn("root", F.col("node")), "join-lists")
     discard(prefixes)
     wanted = lists.select(F.col("node").alias("_w")).distinct()
-    sets = _written(rows.join(wanted, F.col("row") == F.col("_w"), "left_semi").mapInArrow(_sets(width), "_node long, shingles array<long>"), "join-sets")
+    texts = _written(rows.join(wanted, F.col("row") == F.col("_w"), "left_semi").select(F.col("row").alias("_node"), "text"), "join-texts", compression="zstd")
 
-    stars = _stars(lists, sets, F.col("node"))
+    stars = _stars(lists, texts, F.col("node"), width)
     links, open_ = stars, _open(lists.drop("root"), stars)
     for k in range(1, rounds):  # other pivots
-        more = _stars(open_, sets, F.xxhash64("node", F.lit(k)))
+        more = _stars(open_, texts, F.xxhash64("node", F.lit(k)), width)
         links = links.unionByName(more)
         open_ = _open(lists.drop("root"), links)
-    found = _derive(_pairs(open_, chunk), stars, sets, side)
-    for done in (lists, sets, open_):
+    found = _derive(_pairs(open_, chunk), stars, texts, width, side)
+    for done in (lists, texts, open_):
         discard(done)
     return sized, nodes, links.unionByName(found)
 
