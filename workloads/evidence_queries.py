@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from attestra import fixed_values as fixed
 from attestra.functions import hashing, uri
@@ -14,7 +14,7 @@ from workloads import domain
 from workloads.registry import Tables, query
 
 
-def _documents(t: Tables) -> DataFrame:
+def _documents(t: Tables, repeated: Column | bool = False) -> DataFrame:
     """Evidence documents written by Spark from orders and their lines, then read back strictly."""
     fact = F.struct(
         "fact_id", "text", "claim_families", "tags", "subject_type", "subject_id", "authority_scope", "assertion_key",
@@ -32,21 +32,25 @@ def _documents(t: Tables) -> DataFrame:
         F.struct(F.lit("ACCU_PROJECT").alias("subject_type"), F.col("o_orderkey").cast("string").alias("subject_id")).alias("subject"),
     )
     path = derived_path(t.spark, "evidence")
-    head.join(grouped, "evidence_id").write.json(path)
+    made = head.join(grouped, "evidence_id", "left").withColumn("facts", F.coalesce("facts", F.array()))
+    made.unionByName(made.filter(F.lit(repeated))).write.json(path)
     return source.read_documents(t.spark, path)
 
 
 @query("evidence_scan", """
 SELECT CAST(o_orderkey AS VARCHAR) AS evidence_id, concat('SRC', o_custkey % 5) AS source_id, strftime(o_orderdate, '%Y-%m-%d') AS accessed_on,
-       n AS fact_count, TRUE AS hashed FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+       coalesce(n, 0) AS fact_count, TRUE AS hashed, CASE WHEN o_orderkey % 50 = 0 THEN 'DUPLICATE_EVIDENCE_ID' END AS violation
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey,
+     (VALUES (1), (2)) copies(copy) WHERE copy = 1 OR o_orderkey % 50 = 0""")
 def evidence_scan(t: Tables) -> DataFrame:
-    documents = _documents(t)
-    bad = source.document_violations(documents).select("evidence_id").distinct()
+    """Every document, with the rule that it breaks; every fiftieth is filed twice."""
+    documents = _documents(t, F.col("evidence_id").cast("long") % 50 == 0)
+    bad = source.document_violations(documents).select("evidence_id", "violation").distinct()
     return documents.select(
         F.col("document.evidence_id").alias("evidence_id"), F.col("document.source.source_id").alias("source_id"),
         F.col("document.source.accessed_on").cast("string").alias("accessed_on"), F.size("document.facts").cast("long").alias("fact_count"),
         (F.length("document_sha256") == 64).alias("hashed"),
-    ).join(bad, "evidence_id", "left_anti")
+    ).join(bad, "evidence_id", "left")
 
 
 @query("facts_flatten", """

@@ -116,9 +116,10 @@ def signed_url_scan(t: Tables) -> DataFrame:
 
 @query("url_redact", """
 SELECT page_id, regexp_replace(url, '[?#].*$', '') AS page_url, 'see ' || url AS note,
-       'failed for ' || regexp_replace(url, '[?#].*$', '') || ' twice' AS message FROM pages WHERE url LIKE 'https:%'""")
+       'failed for ' || CASE WHEN url LIKE 'https:%' THEN regexp_replace(url, '[?#].*$', '') ELSE url END || ' twice' AS message FROM pages""")
 def url_redact(t: Tables) -> DataFrame:
-    rows = t.pages.filter(F.col("url").startswith("https:")).select(
+    """Columns lose the query of every web address; messages only that of the https ones, which are all that may be cited."""
+    rows = t.pages.select(
         "page_id", F.col("url").alias("page_url"), F.concat(F.lit("see "), "url").alias("note"),
         F.concat(F.lit("failed for "), "url", F.lit(" twice")).alias("raw_message"),
     )
