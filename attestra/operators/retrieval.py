@@ -1,10 +1,13 @@
 """Ranking facts for questions: token overlap, TF-IDF cosine, and their mean.
 
 Every token counts once, so a fact's vector is the idf of its distinct tokens.
-The corpus is tokenised, spread by document and written once. Question tokens
-and idf are broadcast only after their rows were counted; beyond the bound they
-are joined by shuffle. Pairs combine map-side before they are shuffled, and the
-final top-k is pruned per partition first.
+Nothing is scored that cannot matter. Documents fall into blocks by size, so a
+(token, block) has a bound on the score of any document whose rarest token in
+common with the question it is. A few documents of the most promising blocks
+are scored first; their k-th best score, or the expected document's own, is the
+score to reach, and only blocks whose bound reaches it are read. What their
+documents share is summed map-side, bounded again by each document's own size
+and norm, and only what is left meets its document to be scored exactly.
 """
 
 from __future__ import annotations
@@ -18,6 +21,9 @@ from attestra.session import cut_lineage, small_side
 
 MODES = ("lexical", "vector", "hybrid")
 BROADCAST_TOKENS = 400_000
+#: Blocks of a question from which documents are scored first.
+SEED_BLOCKS = 24
+_ROOM = 1e-9  # what rounding may take from a bound
 _DIGITS = 12  # scores are compared after rounding, so summation order cannot reorder ties
 
 
@@ -50,37 +56,106 @@ def token_weights(documents: DataFrame) -> DataFrame:
     return small_side(idf(documents).select("token", (F.col("idf") * F.col("idf")).alias("w")), BROADCAST_TOKENS)
 
 
-def pair_scores(
-    documents: DataFrame, questions: DataFrame, subject: Sequence[str] = (), weights: DataFrame | None = None
-) -> DataFrame:
-    """Scores of all three modes for every pair sharing a token (and the subject).
+def _bucket(size: Column) -> Column:
+    """Half octaves of a document's token count: at most some sixty blocks, whatever the corpus."""
+    return F.floor(2 * F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int")
 
-    Pairs sharing none score zero in each mode and are left out. ``weights``
-    are those of the whole corpus when ``documents`` are only part of it.
-    """
-    subject = list(subject)
-    weights = token_weights(documents) if weights is None else weights
+
+def norms(documents: DataFrame, weights: DataFrame) -> DataFrame:
+    """``id, d_size, d_norm2, bucket`` of every document with tokens, written once."""
+    each = documents.select("id", F.explode("tokens").alias("token")).join(weights, "token")
+    summed = each.groupBy("id").agg(F.count(F.lit(1)).alias("d_size"), F.sum("w").alias("d_norm2"))
+    return cut_lineage(summed.withColumn("bucket", _bucket(F.col("d_size"))))
+
+
+def terms(questions: DataFrame, weights: DataFrame, subject: Sequence[str] = ()) -> DataFrame:
+    """A question's tokens that the corpus has, rarest first, with what it and the tokens behind it can give: ``c`` tokens of weight ``cw``."""
     asked = questions.select(F.col("id").alias("question_id"), *subject, F.explode("tokens").alias("token")).join(weights, "token", "left")
-    wanted = small_side(asked, BROADCAST_TOKENS)
-    norms = small_side(
-        wanted.groupBy("question_id").agg(F.count(F.lit(1)).alias("q_size"), F.sum(F.coalesce("w", F.lit(1.0))).alias("q_norm2"))
+    whole = Window.partitionBy("question_id")
+    behind = whole.orderBy(F.col("w").desc_nulls_last(), "token").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    sized = asked.select(
+        "*", F.count(F.lit(1)).over(whole).alias("q_size"), F.sum(F.coalesce("w", F.lit(1.0))).over(whole).alias("q_norm2"),
+        F.count("w").over(behind).alias("c"), F.sum("w").over(behind).alias("cw"),
     )
+    return small_side(sized.filter("w IS NOT NULL"), BROADCAST_TOKENS)
 
-    exploded = documents.select("id", *subject, F.explode("tokens").alias("token"))
-    document_norms = exploded.join(weights, "token").groupBy("id").agg(
-        F.count(F.lit(1)).alias("d_size"), F.sum("w").alias("d_norm2")
-    )
-    shared = exploded.join(wanted, ["token", *subject]).groupBy("id", "question_id").agg(
-        F.count(F.lit(1)).alias("shared"), F.sum("w").alias("dot")
-    )
-    scored = shared.join(document_norms, "id").join(norms, "question_id")
-    lexical = F.col("shared") / (F.col("d_size") + F.col("q_size") - F.col("shared"))
-    vector = F.col("dot") / (F.sqrt("q_norm2") * F.sqrt("d_norm2"))
-    return scored.select(
-        "question_id", F.col("id").alias("document_id"),
-        F.round(lexical, _DIGITS).alias("lexical"), F.round(vector, _DIGITS).alias("vector"),
-        F.round(0.5 * lexical + 0.5 * vector, _DIGITS).alias("hybrid"),
-    )
+
+def _scores(shared: Column, dot: Column, size: Column, norm2: Column) -> dict[str, Column]:
+    lexical = shared / (size + F.col("q_size") - shared)
+    vector = dot / (F.sqrt("q_norm2") * F.sqrt(norm2))
+    return {"lexical": lexical, "vector": vector, "hybrid": 0.5 * lexical + 0.5 * vector}
+
+
+def _postings(documents: DataFrame, subject: Sequence[str]) -> DataFrame:
+    return documents.select("id", *subject, F.explode("tokens").alias("token"), _bucket(F.size("tokens")).alias("bucket"))
+
+
+def blocks(documents: DataFrame, measured: DataFrame, asked: DataFrame, subject: Sequence[str] = ()) -> DataFrame:
+    """Every (question, token) by block of documents that hold the token, with their count ``held`` and the bound ``most_<mode>`` of each score.
+
+    A document of the block whose rarest shared token this is shares at most
+    the tokens from here on. It has at least the block's least size and norm,
+    and at least those of what it shares.
+    """
+    least = measured.groupBy("bucket").agg(F.min("d_size").alias("least_size"), F.min("d_norm2").alias("least_norm2"))
+    every = least.agg(F.collect_list(F.struct("bucket", "least_size", "least_norm2")).alias("all")).scalar()
+    met = asked.withColumn("_b", F.explode(every)).select(*asked.columns, "_b.*")
+    most = _scores(F.col("c"), F.col("cw"), F.greatest("least_size", "c"), F.greatest("least_norm2", "cw"))
+    bounded = met.select("*", *[column.alias(f"most_{mode}") for mode, column in most.items()])
+    keys = ["token", *subject]
+    wanted = small_side(asked.select(*keys).distinct(), BROADCAST_TOKENS)
+    held = _postings(documents, subject).join(wanted, keys, "left_semi").groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("held"))
+    return cut_lineage(bounded.join(held, [*keys, "bucket"]))
+
+
+def _reaches(bounds: dict[str, Column], least: dict[str, Column]) -> Column:
+    """Can a score bounded so reach the least one, in any mode asked for? Rounding is left room."""
+    able = F.lit(False)
+    for mode, column in least.items():
+        able = able | (bounds[mode] + _ROOM >= column)
+    return able
+
+
+def candidates(documents: DataFrame, measured: DataFrame, bounded: DataFrame, least: DataFrame, modes: Sequence[str], subject: Sequence[str] = ()) -> DataFrame:
+    """``question_id, id`` of every pair sharing a token whose score can reach ``least`` (question_id and ``least_<mode>``; none counts as 0) in some mode."""
+    wanted = {m: F.coalesce(f"least_{m}", F.lit(0.0)) for m in modes}
+    judged = bounded.join(least, "question_id", "left").withColumn("_read", _reaches({m: F.col(f"most_{m}") for m in modes}, wanted))
+    judged = small_side(judged, BROADCAST_TOKENS)
+    # bounds fall along a question's tokens, so those not read are its last ones
+    # and tokens whose block holds no document give nothing
+    rest = small_side(judged.groupBy("question_id", "bucket").agg(
+        F.max(F.when(~F.col("_read"), F.col("c"))).alias("_c"), F.max(F.when(~F.col("_read"), F.col("cw"))).alias("_cw"),
+        *[F.first(c).alias(c) for c in ("q_size", "q_norm2", *(f"least_{m}" for m in modes))]), BROADCAST_TOKENS)
+    read = judged.filter("_read").select("question_id", *subject, "token", "bucket", "w")
+    met = _postings(documents, subject).join(read, ["token", "bucket", *subject]).groupBy("id", "question_id").agg(F.count(F.lit(1)).alias("_shared"), F.sum("w").alias("_dot"))
+    known = met.join(measured, "id").join(rest, ["question_id", "bucket"])
+    shared = F.least(F.col("_shared") + F.coalesce("_c", F.lit(0)), F.col("d_size"))
+    dot = F.least(F.col("_dot") + F.coalesce("_cw", F.lit(0.0)), F.col("d_norm2"))
+    return known.filter(_reaches(_scores(shared, dot, F.col("d_size"), F.col("d_norm2")), wanted)).select("question_id", "id")
+
+
+def exact_scores(pairs: DataFrame, documents: DataFrame, measured: DataFrame, asked: DataFrame) -> DataFrame:
+    """The scores of all modes of (question_id, id) pairs, from the document's own tokens."""
+    weighed = small_side(asked.groupBy("question_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("_w"), F.first("q_size").alias("q_size"), F.first("q_norm2").alias("q_norm2")))
+    met = pairs.join(documents.select("id", "tokens"), "id").join(measured, "id").join(weighed, "question_id")
+    both = met.withColumn("_both", F.array_intersect("tokens", F.map_keys("_w")))
+    dot = F.aggregate("_both", F.lit(0.0), lambda total, token: total + F.element_at("_w", token))
+    made = _scores(F.size("_both"), dot, F.col("d_size"), F.col("d_norm2"))
+    return both.filter(F.size("_both") > 0).select(
+        "question_id", F.col("id").alias("document_id"), *[F.round(column, _DIGITS).alias(mode) for mode, column in made.items()])
+
+
+def _score_to_reach(documents: DataFrame, measured: DataFrame, asked: DataFrame, bounded: DataFrame, mode: str, limit: int, subject: Sequence[str]) -> DataFrame:
+    """Per question the ``limit``-th best score of some documents of its most promising blocks, a few of each; none where there are fewer."""
+    best = Window.partitionBy("question_id").orderBy(F.col(f"most_{mode}").desc(), F.col("c").desc(), "bucket")
+    chosen = bounded.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= SEED_BLOCKS)
+    every = F.greatest(F.lit(1), F.floor(F.col("held") / (4 * limit))).cast("long")
+    chosen = small_side(chosen.select("question_id", *subject, "token", "bucket", every.alias("_every")), BROADCAST_TOKENS)
+    seeds = _postings(documents, subject).join(chosen, ["token", "bucket", *subject]).filter(F.pmod(F.xxhash64("id"), F.col("_every")) == 0)
+    scored = _first(exact_scores(seeds.select("question_id", "id").distinct(), documents, measured, asked).select(
+        "question_id", "document_id", F.col(mode).alias("score")), ["question_id"], limit)
+    return small_side(scored.filter(F.col("rank") == limit).select("question_id", F.col("score").alias(f"least_{mode}")))
 
 
 def rank(
@@ -91,8 +166,13 @@ def rank(
         raise ValueError(f"unknown retrieval mode: {mode}")
     keys = list(subject)
     documents = index(documents)
-    scored = pair_scores(documents, questions, subject).select("question_id", "document_id", F.col(mode).alias("score"))
-    best = _first(scored, ["question_id"], limit)
+    weights = token_weights(documents)
+    measured, asked = norms(documents, weights), terms(questions, weights, keys)
+    bounded = blocks(documents, measured, asked, keys)
+    least = _score_to_reach(documents, measured, asked, bounded, mode, limit, keys)
+    pairs = candidates(documents, measured, bounded, least, [mode], keys)
+    scored = exact_scores(pairs, documents, measured, asked).select("question_id", "document_id", F.col(mode).alias("score"))
+    best = cut_lineage(_first(scored, ["question_id"], limit))
     filler = _zero_scores(documents, questions, best, limit, keys)
     return _first(best.select("question_id", "document_id", "score").unionByName(filler), ["question_id"], limit)
 
@@ -127,35 +207,36 @@ def expected_ranks(documents: DataFrame, cases: DataFrame, subject: Sequence[str
     """Per case and mode: the expected document's rank among its subject's candidates.
 
     ``cases`` holds id, subject columns, tokens, expected_id. The rank is one
-    plus the candidates that beat the expected one, so nothing is sorted. A
+    plus the candidates that beat the expected one, so nothing is sorted, and
+    only documents that can reach the expected one's score are looked at. A
     missing expected document has a NULL rank.
     """
     subject = list(subject)
     documents = index(documents)
     weights = token_weights(documents)
-    scored = pair_scores(documents, cases, subject, weights)
+    measured, asked = norms(documents, weights), terms(cases, weights, subject)
     targets = small_side(cases.select(F.col("id").alias("question_id"), *subject, "expected_id"))
     population = documents.select("id", *subject).join(targets, subject).groupBy("question_id").agg(
         F.count(F.lit(1)).alias("candidate_count"),
         F.count_if(F.col("id") < F.col("expected_id")).alias("_ids_before"),
         F.max(F.col("id") == F.col("expected_id")).alias("_present"),
     )
-    answers = documents.join(targets.select(F.col("expected_id").alias("id")).distinct(), "id", "left_semi")
-    expected = pair_scores(answers, cases, subject, weights).join(targets.select("question_id", "expected_id"), "question_id").filter(
-        F.col("document_id") == F.col("expected_id")
-    ).select("question_id", *[F.col(m).alias(f"_{m}") for m in MODES])
-    marks = targets.select("question_id", "expected_id").join(small_side(expected), "question_id", "left")
-    compared = scored.join(small_side(marks), "question_id")
-    beats = lambda m: (F.col(m) > F.coalesce(f"_{m}", F.lit(0.0))) | (
-        (F.col(m) == F.coalesce(f"_{m}", F.lit(0.0))) & (F.col("document_id") < F.col("expected_id"))
+    answers = documents.join(targets.select(*subject, F.col("expected_id").alias("id"), "question_id"), ["id", *subject]).select("question_id", "id")
+    least = small_side(exact_scores(answers, documents, measured, asked).select("question_id", *[F.col(m).alias(f"least_{m}") for m in MODES]))
+    pairs = candidates(documents, measured, blocks(documents, measured, asked, subject), least, MODES, subject)
+    marks = targets.select("question_id", "expected_id").join(least, "question_id", "left")
+    compared = exact_scores(pairs, documents, measured, asked).join(small_side(marks), "question_id")
+    beats = lambda m: (F.col(m) > F.coalesce(f"least_{m}", F.lit(0.0))) | (
+        (F.col(m) == F.coalesce(f"least_{m}", F.lit(0.0))) & (F.col("document_id") < F.col("expected_id"))
     )
     counted = compared.groupBy("question_id").agg(
         *[F.count_if(beats(m)).alias(f"_better_{m}") for m in MODES],
         F.count_if(F.col("document_id") < F.col("expected_id")).alias("_matched_before"),
-        F.max(F.coalesce("_lexical", F.lit(0.0))).alias("_lexical"),
+        F.max(F.coalesce("least_lexical", F.lit(0.0))).alias("_lexical"),
     )
     joined = cases.select(F.col("id").alias("question_id")).join(population, "question_id", "left").join(counted, "question_id", "left")
     unmatched = F.coalesce("_lexical", F.lit(0.0)) == 0
+    # an expected document that shares nothing is beaten by all that share something; for it every such pair is a candidate
     zeros_before = F.when(unmatched, F.coalesce("_ids_before", F.lit(0)) - F.coalesce("_matched_before", F.lit(0))).otherwise(F.lit(0))
     ranks = F.array(*[
         F.struct(

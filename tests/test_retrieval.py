@@ -95,3 +95,22 @@ def test_split_leakage(spark):
     cases = spark.createDataFrame([("A", "g1", ["P1", "P2"]), ("B", "g2", ["P2"])], "split string, g string, keys array<string>")
     keys = evaluation.partition_keys(cases, {"group": F.array("g"), "subject": F.col("keys")})
     assert [(r.dimension, r.key) for r in evaluation.split_leakage(keys).collect()] == [("subject", "P2")]
+
+
+@pytest.mark.parametrize("mode", retrieval.MODES)
+def test_few_pairs_are_candidates(spark, mode):
+    """Most documents are never paired with a question, and the ranks are those of a full comparison."""
+    rng = random.Random(9)
+    common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(4000)]
+    held = {i: rng.choices(common, k=8) + rng.choices(rare, k=rng.choice((6, 40, 160))) for i in range(3000)}
+    asked = {q: sorted(rng.sample(held[q * 50], len(held[q * 50]) * 3 // 4)) for q in range(40)}
+    docs = retrieval.index(prepared(spark, [(i, " ".join(t), "") for i, t in held.items()]))
+    questions = prepared(spark, [(q, " ".join(t), "") for q, t in asked.items()])
+    weights = retrieval.token_weights(docs)
+    measured, terms = retrieval.norms(docs, weights), retrieval.terms(questions, weights)
+    bounded = retrieval.blocks(docs, measured, terms)
+    least = retrieval._score_to_reach(docs, measured, terms, bounded, mode, 1, [])
+    pairs = retrieval.candidates(docs, measured, bounded, least, [mode])
+    sharing = sum(bool(set(t) & set(d)) for t in asked.values() for d in held.values())
+    assert sharing > 0.8 * len(asked) * len(held) and pairs.count() < 0.05 * len(asked) * len(held)
+    assert {r.question_id: r.document_id for r in retrieval.rank(docs, questions, mode, 1).collect()} == {q: q * 50 for q in asked}
