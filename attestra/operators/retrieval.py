@@ -94,13 +94,15 @@ def blocks(documents: DataFrame, measured: DataFrame, asked: DataFrame, subject:
     """Every (question, token) by block of documents that hold the token, with their count ``held`` and the bound ``most_<mode>`` of each score.
 
     A document of the block whose rarest shared token this is shares at most
-    the tokens from here on. It has at least the block's least size and norm,
-    and at least those of what it shares.
+    the tokens from here on, and no more than the block's largest size and norm.
+    It has at least the block's least size and norm, and at least those of what
+    it shares.
     """
-    least = measured.groupBy("bucket").agg(F.min("d_size").alias("least_size"), F.min("d_norm2").alias("least_norm2"))
-    every = least.agg(F.collect_list(F.struct("bucket", "least_size", "least_norm2")).alias("all")).scalar()
+    ends = [f(c).alias(f"{end}_{name}") for end, f in (("least", F.min), ("most", F.max)) for name, c in (("size", "d_size"), ("norm2", "d_norm2"))]
+    every = measured.groupBy("bucket").agg(*ends).agg(F.collect_list(F.struct("bucket", "least_size", "least_norm2", "most_size", "most_norm2")).alias("all")).scalar()
     met = asked.withColumn("_b", F.explode(every)).select(*asked.columns, "_b.*")
-    most = _scores(F.col("c"), F.col("cw"), F.greatest("least_size", "c"), F.greatest("least_norm2", "cw"))
+    shared, dot = F.least("c", "most_size"), F.least("cw", "most_norm2")
+    most = _scores(shared, dot, F.greatest("least_size", shared), F.greatest("least_norm2", dot))
     bounded = met.select("*", *[column.alias(f"most_{mode}") for mode, column in most.items()])
     keys = ["token", *subject]
     wanted = small_side(asked.select(*keys).distinct(), BROADCAST_TOKENS)
@@ -147,14 +149,21 @@ def exact_scores(pairs: DataFrame, documents: DataFrame, measured: DataFrame, as
 
 
 def _score_to_reach(documents: DataFrame, measured: DataFrame, asked: DataFrame, bounded: DataFrame, mode: str, limit: int, subject: Sequence[str]) -> DataFrame:
-    """Per question the ``limit``-th best score of some documents of its most promising blocks, a few of each; none where there are fewer."""
+    """Per question the ``limit``-th best score of some documents; none where there are fewer.
+
+    They come from its most promising blocks, some hundreds at most of each, and
+    those with the most in common so far are scored. Any documents would do: a
+    better choice only raises the score to reach.
+    """
     best = Window.partitionBy("question_id").orderBy(F.col(f"most_{mode}").desc(), F.col("c").desc(), "bucket")
     chosen = bounded.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= SEED_BLOCKS)
-    every = F.greatest(F.lit(1), F.floor(F.col("held") / (4 * limit))).cast("long")
-    chosen = small_side(chosen.select("question_id", *subject, "token", "bucket", every.alias("_every")), BROADCAST_TOKENS)
-    seeds = _postings(documents, subject).join(chosen, ["token", "bucket", *subject]).filter(F.pmod(F.xxhash64("id"), F.col("_every")) == 0)
-    scored = _first(exact_scores(seeds.select("question_id", "id").distinct(), documents, measured, asked).select(
-        "question_id", "document_id", F.col(mode).alias("score")), ["question_id"], limit)
+    every = F.greatest(F.lit(1), F.floor(F.col("held") / (100 * limit))).cast("long")
+    chosen = small_side(chosen.select("question_id", *subject, "token", "bucket", "w", every.alias("_every")), BROADCAST_TOKENS)
+    some = _postings(documents, subject).join(chosen, ["token", "bucket", *subject]).filter(F.pmod(F.xxhash64("id"), F.col("_every")) == 0)
+    shared = some.groupBy("question_id", "id").agg(F.sum("w").alias("_dot"))
+    most = Window.partitionBy("question_id").orderBy(F.col("_dot").desc(), "id")
+    seeds = small_side(shared.withColumn("_n", F.row_number().over(most)).filter(F.col("_n") <= 8 * limit).select("question_id", "id"), BROADCAST_TOKENS)
+    scored = _first(exact_scores(seeds, documents, measured, asked).select("question_id", "document_id", F.col(mode).alias("score")), ["question_id"], limit)
     return small_side(scored.filter(F.col("rank") == limit).select("question_id", F.col("score").alias(f"least_{mode}")))
 
 
