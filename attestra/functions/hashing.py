@@ -5,12 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from attestra import fixed_values as fixed
+from attestra.session import cut_lineage, small_side
 
 
 def sha256_text(text: Column) -> Column:
@@ -64,59 +67,89 @@ def record_sha256(fields: list[str]) -> Column:
     return sha256_text(canonical_json(document))
 
 
-def tree_digest(frame: DataFrame, keys: list[str], identifier: str, digest: str, name: str = "tree_sha256") -> DataFrame:
+#: Distinct rows that a leaf of a digest tree holds on average at most.
+LEAF_ROWS = 4096
+
+
+def leaf_depth(rows: Column, leaf_rows: int = LEAF_ROWS) -> Column:
+    """Hex digits of a leaf's name, so that a set of so many rows has leaves of at most ``leaf_rows`` on average."""
+    return reduce(lambda total, more: total + more, [(rows > leaf_rows * 16 ** k).cast("int") for k in range(12)])
+
+
+def tree_digest(
+    frame: DataFrame, keys: list[str], identifier: str, digest: str, name: str = "tree_sha256", leaf_rows: int = LEAF_ROWS
+) -> DataFrame:
     """Order-free digest of (identifier, digest) rows per key, in bounded groups.
 
-    Rows fall into 65,536 leaves by the hash of their identifier, leaves into
-    256 branches, branches into one root. No task ever holds more than a
-    65,536th of one key's rows, so a key with a third of all rows is fine.
+    Equal rows are counted first. Rows fall into leaves by their hash; how many
+    follows from the key's own number of rows, so a leaf stays small at any
+    size, and a key with a third of all rows is fine. Leaves combine to nodes of
+    two hex digits less at a time (at most 256 in one), the last ones to the
+    root. The digest depends on the key's rows alone.
     """
-    leaf = F.substring(sha256_text(F.col(identifier).cast("string")), 1, 4)
     row = F.concat_ws(":", F.col(identifier).cast("string"), F.col(digest))
-    leaves = (
-        frame.select(*keys, leaf.alias("_leaf"), row.alias("_row"))
-        .groupBy(*keys, "_leaf")
-        .agg(_digest_of("_row").alias("_hash"), F.count(F.lit(1)).alias("_n"))
-    )
-    branches = (
-        leaves.withColumn("_row", F.concat_ws(":", "_leaf", "_hash"))
-        .withColumn("_branch", F.substring("_leaf", 1, 2))
-        .groupBy(*keys, "_branch")
-        .agg(_digest_of("_row").alias("_hash"), F.sum("_n").alias("_n"))
-    )
-    return (
-        branches.withColumn("_row", F.concat_ws(":", "_branch", "_hash"))
-        .groupBy(*keys)
-        .agg(_digest_of("_row").alias(name), F.sum("_n").alias("member_count"))
-    )
+    counted = cut_lineage(frame.select(*keys, row.alias("_row")).groupBy(*keys, "_row").agg(F.count(F.lit(1)).alias("_n")))
+    sizes = counted.groupBy(*keys).agg(leaf_depth(F.count(F.lit(1)), leaf_rows).alias("_depth"))
+    sizes = small_side(sizes.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_depth"))
+    deepest = sizes.agg(F.max("_depth")).first()[0] or 0
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    entry = F.when(F.col("_n") > 1, F.concat_ws("*", "_row", "_n")).otherwise(F.col("_row"))
+    placed = counted.join(sizes, same).select(*keys, F.substr(sha256_text(F.col("_row")), F.lit(1), F.col("_depth")).alias("_at"), entry.alias("_row"), "_n")
+    nodes = placed.groupBy(*keys, "_at").agg(_digest_of("_row").alias("_hash"), F.sum("_n").alias("_n"))
+    for length in range((deepest - 1) // 2 * 2, 0, -2):
+        # a key whose nodes are named so briefly already has one node here, which passes unchanged
+        above = nodes.select(*keys, F.substring("_at", 1, length).alias("_up"), "_at", "_hash", F.concat_ws(":", "_at", "_hash").alias("_row"), "_n")
+        made = F.when(F.max(F.length("_at")) > length, _digest_of("_row")).otherwise(F.first("_hash"))
+        nodes = above.groupBy(*keys, "_up").agg(made.alias("_hash"), F.sum("_n").alias("_n")).withColumnRenamed("_up", "_at")
+    return nodes.withColumn("_row", F.concat_ws(":", "_at", "_hash")).groupBy(*keys).agg(_digest_of("_row").alias(name), F.sum("_n").alias("member_count"))
 
 
 def _digest_of(column: str) -> Column:
     return sha256_text(F.array_join(F.array_sort(F.collect_list(column)), ","))
 
 
+def _snapshots(keys: int):
+    """One running hash per key, fed entry by entry from rows in order of their keys."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, count, state, types = None, 0, None, None
+
+        def emit() -> pa.RecordBatch:
+            state.update(b"]")
+            made = [pa.array([k], t) for k, t in zip(at, types)] + [pa.array([count], pa.int64()), pa.array([state.hexdigest()])]
+            return pa.RecordBatch.from_arrays(made, names=[f"c{i}" for i in range(len(made))])
+
+        for batch in batches:
+            types = types or [c.type for c in batch.columns[:keys]]
+            entries = batch.column(keys).to_pylist()
+            for where, entry in zip(zip(*[c.to_pylist() for c in batch.columns[:keys]]), entries):
+                if where != at:
+                    if at is not None:
+                        yield emit()
+                    at, count, state = where, 0, hashlib.sha256(b"[")
+                state.update((b"," if count else b"") + entry.encode())
+                count += 1
+        if at is not None:
+            yield emit()
+
+    return run
+
+
 def snapshot_sha256(documents: DataFrame, keys: list[str], limit: int = fixed.MAX_EVIDENCE_DOCUMENTS) -> DataFrame:
     """Flat snapshot hash of one evidence memory: canonical JSON of its sorted documents.
 
     Every memory has its hash; ``over_limit`` marks one of more than ``limit``
-    documents. The flat form hashes one text per memory: for memories of
-    unbounded size use :func:`tree_digest`.
+    documents. The flat form is one hash over all of a memory in order, so a
+    memory is read by one task; its rows are sorted by Spark, which spills, and
+    pass through the hash one after the other, never held together.
     """
     entry = F.concat(
         F.lit('{"document_sha256":"'), F.col("document_sha256"),
         F.lit('","evidence_id":"'), F.col("evidence_id"), F.lit('"}'),
     )
-    hashed = documents.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("document_count"),
-        F.array_sort(F.collect_list(F.struct(F.col("evidence_id"), entry.alias("entry")))).alias("entries"),
-    )
-    return hashed.select(
-        *keys, "document_count",
-        sha256_text(
-            F.concat(F.lit("["), F.array_join(F.transform("entries", lambda e: e["entry"]), ","), F.lit("]"))
-        ).alias("memory_snapshot_sha256"),
-        (F.col("document_count") > limit).alias("over_limit"),
-    )
+    ordered = documents.select(*keys, entry.alias("_entry"), F.col("evidence_id").alias("_id")).filter(F.col("_entry").isNotNull())
+    ordered = ordered.repartition(*keys).sortWithinPartitions(*keys, "_id", "_entry").drop("_id")
+    schema = T.StructType([f for f in ordered.schema if f.name in keys]).add("document_count", "long").add("memory_snapshot_sha256", "string")
+    return ordered.mapInArrow(_snapshots(len(keys)), schema).withColumn("over_limit", F.col("document_count") > limit)
 
 
 # the declared kinds: how cells are stored, and the name the header gives that

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import hashlib
+import json
+from collections import Counter
 from datetime import date
 
 import pytest
@@ -115,8 +118,6 @@ def test_canonical_json_golden(spark):
     text = '{"z": [3, {"é": "雪"}], "a": {"b": 2, "a": 1}}'
     row = spark.createDataFrame([(text,)], "t string").select(hashing.canonical_json(F.col("t"), "utf8").alias("c")).first()
     assert row.c == '{"a":{"a":1,"b":2},"z":[3,{"é":"雪"}]}'
-    import hashlib
-
     assert hashlib.sha256(row.c.encode()).hexdigest() == "cbf7bc415d0584a204e08a5013fcadd055013d48875c1872ba17b652573682ab"
 
 
@@ -137,3 +138,45 @@ def test_tree_digest_ignores_order_but_not_content(spark):
     assert one == hashing.tree_digest(rows.repartition(9, "d"), ["k"], "id", "d").first() and one.member_count == 1000
     changed = rows.withColumn("d", F.when(F.col("id") == 7, "x").otherwise(F.col("d")))
     assert hashing.tree_digest(changed, ["k"], "id", "d").first().tree_sha256 != one.tree_sha256
+
+
+def test_tree_digest_by_size_alone(spark):
+    """Trees of several levels equal a plain computation; a key's digest does not depend on the other keys beside it."""
+    def plain(rows, leaf_rows):
+        counts = Counter(rows)
+        depth = sum(len(counts) > leaf_rows * 16 ** k for k in range(12))
+        sha = lambda texts: hashlib.sha256(",".join(sorted(texts)).encode()).hexdigest()
+        nodes = {}
+        for row, n in counts.items():
+            nodes.setdefault(hashlib.sha256(row.encode()).hexdigest()[:depth], []).append(row if n == 1 else f"{row}*{n}")
+        nodes = {at: sha(found) for at, found in nodes.items()}
+        for length in range((depth - 1) // 2 * 2, 0, -2):
+            above = {}
+            for at, h in nodes.items():
+                above.setdefault(at[:length], []).append(f"{at}:{h}")
+            nodes = {at: sha(found) for at, found in above.items()}
+        return sha(f"{at}:{h}" for at, h in nodes.items())
+
+    sizes = {"large": 3000, "middle": 90, "small": 1, None: 40}
+    rows = [(k, i, f"d{i}") for k, n in sizes.items() for i in range(n)] + [("middle", 5, "d5")] * 7
+    frame = spark.createDataFrame(rows, "k string, id long, d string")
+    got = {r.k: (r.tree_sha256, r.member_count) for r in hashing.tree_digest(frame, ["k"], "id", "d", leaf_rows=2).collect()}
+    assert got == {k: (plain([f"{i}:{d}" for x, i, d in rows if x == k], 2), sum(x == k for x, _, _ in rows)) for k in sizes}
+    alone = hashing.tree_digest(frame.filter("k = 'middle'"), ["k"], "id", "d", leaf_rows=2).first()
+    assert (alone.tree_sha256, alone.member_count) == got["middle"]
+
+
+def test_leaves_stay_small_at_any_size(spark):
+    sizes = [1, 4096, 4097, 10**6, 10**9, 10**12]
+    depths = [r.d for r in spark.createDataFrame([(n,) for n in sizes], "n long").select(hashing.leaf_depth(F.col("n")).alias("d")).collect()]
+    assert depths == [0, 0, 1, 2, 5, 7] and all(n / 16 ** d <= hashing.LEAF_ROWS for n, d in zip(sizes, depths))
+
+
+def test_snapshot_is_one_hash_over_sorted_entries(spark):
+    rows = [(k, f"e{i:04d}", f"h{i % 7}") for k, n in (("a", 500), (None, 3), ("b", 1)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "k string, evidence_id string, document_sha256 string").repartition(5, "document_sha256")
+    got = {r.k: (r.document_count, r.memory_snapshot_sha256) for r in hashing.snapshot_sha256(frame, ["k"]).collect()}
+    text = lambda k: json.dumps([{"document_sha256": h, "evidence_id": e} for x, e, h in rows if x == k], separators=(",", ":"))
+    assert got == {k: (sum(x == k for x, _, _ in rows), hashlib.sha256(text(k).encode()).hexdigest()) for k in ("a", None, "b")}
+    plan = hashing.snapshot_sha256(frame, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan

@@ -114,13 +114,17 @@ def snapshot_put(t: Tables) -> DataFrame:
     )
 
 
+# leaves of 4,096 rows on average at most, by three hex digits here; nodes of more than two digits combine to two
 TREE_SQL = """
-leaves AS (SELECT {key}, left(sha256(id), 4) AS leaf, sha256(string_agg(id || ':' || digest, ',' ORDER BY id || ':' || digest)) AS h, count(*) AS n
-           FROM members GROUP BY ALL),
-branches AS (SELECT {key}, left(leaf, 2) AS branch, sha256(string_agg(leaf || ':' || h, ',' ORDER BY leaf || ':' || h)) AS h, sum(n) AS n
-             FROM leaves GROUP BY ALL),
-roots AS (SELECT {key}, sha256(string_agg(branch || ':' || h, ',' ORDER BY branch || ':' || h)) AS tree_sha256, CAST(sum(n) AS BIGINT) AS member_count
-          FROM branches GROUP BY ALL)"""
+counted AS (SELECT {key}, id || ':' || digest AS r, count(*) AS c FROM members GROUP BY ALL),
+entries AS (SELECT *, count(*) OVER (PARTITION BY {key}) AS size FROM counted),
+leaves AS (SELECT {key}, left(sha256(r), CAST(size > 4096 AS INT) + CAST(size > 65536 AS INT) + CAST(size > 1048576 AS INT)) AS node,
+                  sha256(string_agg(r || CASE WHEN c > 1 THEN '*' || c ELSE '' END, ',' ORDER BY r || CASE WHEN c > 1 THEN '*' || c ELSE '' END)) AS h, sum(c) AS n
+           FROM entries GROUP BY ALL),
+nodes AS (SELECT {key}, left(node, 2) AS node, CASE WHEN max(length(node)) > 2 THEN sha256(string_agg(node || ':' || h, ',' ORDER BY node || ':' || h)) ELSE any_value(h) END AS h,
+                 sum(n) AS n FROM leaves l GROUP BY {key}, left(l.node, 2)),
+roots AS (SELECT {key}, sha256(string_agg(node || ':' || h, ',' ORDER BY node || ':' || h)) AS tree_sha256, CAST(sum(n) AS BIGINT) AS member_count
+          FROM nodes GROUP BY ALL)"""
 
 
 @query("snapshot_hash", """
