@@ -23,19 +23,27 @@ def retryable(http_code: Column) -> Column:
 
 
 def attempt_stats(attempts: DataFrame, key: str, order: Sequence[str], outcome: str) -> DataFrame:
-    """Attempts, first and terminal outcome and the delay before each attempt, per request.
+    """Attempts, first and terminal outcome, and the delays before the attempts, per request.
 
-    Attempts beyond the schedule wait its last delay; ``over_limit`` marks
-    requests with more attempts than allowed.
+    ``scheduled_delays`` are those of the schedule that were waited; attempts
+    beyond it each wait its last delay. ``last_delay`` came before the last
+    attempt and ``waited_seconds`` is the sum of all, so a row is as short for a
+    request of any number of attempts. ``over_limit`` marks requests with more
+    attempts than allowed.
     """
-    delays = F.array(*[F.lit(d) for d in fixed.RETRY_DELAYS_SECONDS])
+    schedule = list(fixed.RETRY_DELAYS_SECONDS)
     moment = F.struct(*order)
     made = attempts.groupBy(key).agg(
         F.count(F.lit(1)).alias("attempt_count"), F.min_by(outcome, moment).alias("first_outcome"),
         F.max_by(outcome, moment).alias("terminal_outcome"),
     )
-    waited = F.transform(F.sequence(F.lit(1), F.col("attempt_count").cast("int")), lambda i: F.element_at(delays, F.least(i, F.size(delays))))
-    return made.withColumn("retry_delays", waited).withColumn("over_limit", F.col("attempt_count") > fixed.NETWORK_MAX_ATTEMPTS)
+    within = F.least(F.col("attempt_count"), F.lit(len(schedule))).cast("int")
+    waited = F.slice(F.array(*[F.lit(d) for d in schedule]), F.lit(1), within)
+    total = F.aggregate("scheduled_delays", F.lit(0).cast("long"), lambda x, d: x + d) + (F.col("attempt_count") - within) * schedule[-1]
+    return made.withColumn("scheduled_delays", waited).select(
+        "*", F.element_at("scheduled_delays", -1).alias("last_delay"), total.alias("waited_seconds"),
+        (F.col("attempt_count") > fixed.NETWORK_MAX_ATTEMPTS).alias("over_limit"),
+    )
 
 
 def first_last(events: DataFrame, key: str, order: Sequence[str], identifier: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from attestra import fixed_values as fixed
 from attestra.operators import scenes
+from attestra.session import cut_lineage
 
 
 def evaluate_windows(
@@ -22,7 +23,7 @@ def evaluate_windows(
     them and changes nothing else.
     """
     raw = items.groupBy("win").agg(F.count(F.lit(1)).alias("raw_item_count"))
-    components = scenes.canonical_components(scenes.selection_input(items))
+    components = cut_lineage(scenes.canonical_components(scenes.selection_input(items)))  # read by the groups and by the stops
     groups = scenes.acquisition_groups(components)
     per_window = groups.groupBy("win").agg(
         F.sum(F.size("component_item_ids")).alias("_components"),
