@@ -107,3 +107,39 @@ def test_stream_append_no_op_collision_and_restart(spark):
     run()
     assert sorted((r.sequence, r.state) for r in sinks.stored(spark, out, ledgers.APPEND_SCHEMA).collect()) == [(1, "a"), (2, "c")]
     assert [(r.state, r.reason) for r in sinks.stored(spark, rejects, ledgers.REJECT_SCHEMA).collect()] == [("b", "COLLISION")]
+
+
+def test_every_manifest_rule_is_broken_by_some_and_kept_by_others(spark):
+    """The registered case reaches every rule that the plan can report."""
+    import inspect
+    import re
+
+    from attestra.plans import manifest
+    from workloads import load
+
+    found = load()["manifest_violations"].run(spark, "/root/testdata/sf0.01").groupBy("rule").agg(F.count_distinct("run_id").alias("n")).collect()
+    rules = set(re.findall(r'"([A-Z]+(?:_[A-Z]+)+)"', inspect.getsource(manifest))) - {
+        "SOLAR_GEOMETRY_OUT_OF_RANGE", "SOLAR_GEOMETRY_METADATA_UNRESOLVED"}
+    assert {r.rule for r in found} == rules and len(rules) > 25
+    assert all(0 < r.n < 15000 for r in found)
+
+
+def test_manifest_without_violations(spark):
+    from attestra import fixed_values as fixed
+    from attestra.plans import manifest
+
+    steps = [(1, i + 1, s, "COMPLETED", "urn:x:p", "f", ["a"], ["b"], []) for i, s in enumerate(fixed.STAGES)]
+    tables = [
+        manifest.identities(spark.createDataFrame([(1, "p", "p", "p", "i", "i", "EXECUTION", ["spark"])],
+                            "run_id long, approved_policy string, start_policy string, final_policy string, start_input string, final_input string, runtime_mode string, environment array<string>")),
+        manifest.sources(spark.createDataFrame([(1, "S", "https://h/a", None)], "run_id long, source_id string, canonical_uri string, retrieval_uri string"), ["S"]),
+        manifest.solar(spark.createDataFrame([(1, "PRE", "i", 70.0, True, None, "PASS")],
+                       "run_id long, win string, item_id string, value double, admissible boolean, reason string, cross_check string")),
+        manifest.transformations(spark.createDataFrame(steps, "run_id long, sequence int, transformation_id string, status string, parameter_ref string, "
+                                 "parameter_sha256 string, inputs array<string>, outputs array<string>, reason_codes array<string>")),
+        manifest.artifacts(spark.createDataFrame([(1, "a"), (1, "b")], "run_id long, artifact_id string")),
+        manifest.terminals(spark.createDataFrame([(1, "COMPLETED", "b", [])], "run_id long, execution_status string, assessment_ref string, reason_codes array<string>")),
+    ]
+    assert manifest.violations(tables).collect() == []
+    dangling = tables[:-1] + [manifest.terminals(spark.createDataFrame([(1, "COMPLETED", None, ["R"])], "run_id long, execution_status string, assessment_ref string, reason_codes array<string>"))]
+    assert {(r.kind, r.rule) for r in manifest.violations(dangling).collect()} == {("terminal", "COMPLETED_WITH_REASONS"), ("terminal", "UNRESOLVED_REFERENCE")}

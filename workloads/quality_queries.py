@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from attestra import fixed_values as fixed
 from attestra.functions import decision, hashing, numeric, text, uri
 from attestra.operators import ledger, quality
-from attestra.plans import provenance
+from attestra.plans import manifest, provenance
 from workloads.evidence_queries import TREE_SQL
 from workloads.registry import Tables, query
 
@@ -450,3 +450,96 @@ def manifest_rollup(t: Tables) -> DataFrame:
         t.lineitem, "artifact", F.col("l_orderkey"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey"), F.concat_ws("|", "l_returnflag", "l_linestatus")
     )
     return provenance.manifest_rollup([sources, artifacts])
+
+
+MANIFEST_SQL = """
+m AS (SELECT *, o_orderkey AS k FROM orders),
+src AS (SELECT m.k, 'SRC' || k % 6 AS id FROM m WHERE k % 7 <> 0),
+steps AS (SELECT k, CASE WHEN k % 23 = 0 AND s = 12 THEN 13 ELSE s END AS sequence,
+                 CASE WHEN k % 29 = 0 AND s = 2 THEN 'OTHER' ELSE ({stages})[s] END AS id, CASE WHEN k % 4 = 1 AND s = 12 THEN 'FAILED' ELSE 'COMPLETED' END AS status, s
+          FROM m, (SELECT unnest(range(1, 13)) AS s)),
+sol AS (SELECT l_orderkey AS k, CASE WHEN l_linenumber % 2 = 1 THEN 'PRE' ELSE 'POST' END || '|' || l_partkey AS id, l_quantity <= 36 AS admitted,
+               CASE WHEN l_tax = 0.08 AND l_quantity > 36 THEN 10 ELSE l_quantity * 2 END AS v,
+               CASE WHEN l_quantity > 48 THEN 'OTHER' WHEN l_quantity > 36 THEN 'SOLAR_GEOMETRY_OUT_OF_RANGE' END AS reason, l_discount = 0.1 AS crossed
+        FROM lineitem WHERE l_linenumber <= 3),
+rad AS (SELECT l_orderkey AS k, l_partkey || '|B04' AS id, l_suppkey % 3 > 0 AS unstable, l_suppkey % 4 = 0 AS signed, l_discount = 0.1 AS crossed FROM lineitem WHERE l_linenumber = 4),
+found AS (
+  SELECT k, 'identity' AS kind, CAST(k AS VARCHAR) AS id, 'POLICY_HASHES_DIFFER' AS rule FROM m WHERE k % 11 = 0
+  UNION SELECT k, 'identity', CAST(k AS VARCHAR), 'INPUT_HASHES_DIFFER' FROM m WHERE k % 13 = 0
+  UNION SELECT k, 'identity', CAST(k AS VARCHAR), 'FIXTURE_SOFTWARE' FROM m WHERE k % 17 = 0 AND k % 2 = 0
+  UNION SELECT k, 'source', id, 'UNKNOWN_SOURCE' FROM src WHERE k % 6 = 5
+  UNION SELECT k, 'source', id, 'SOURCE_URI_INSECURE' FROM src WHERE k % 5 = 1
+  UNION SELECT k, 'source', id, 'SOURCE_URI_CREDENTIALS' FROM src WHERE k % 5 = 2
+  UNION SELECT k, 'source', id, 'SOURCE_URI_QUERY' FROM src WHERE k % 5 = 3
+  UNION SELECT k, 'source', id, 'RETRIEVAL_URI_INSECURE' FROM src WHERE k % 9 = 0
+  UNION SELECT k, 'source', id, 'DUPLICATE_RECORD' FROM src WHERE k % 19 = 0
+  UNION SELECT k, 'radiometry', id, 'ASSET_IDENTITY_UNSTABLE' FROM rad WHERE unstable
+  UNION SELECT k, 'radiometry', id, 'RETRIEVAL_CREDENTIALS' FROM rad WHERE signed
+  UNION SELECT k, 'radiometry', id, 'CROSS_CHECK_NOT_PASSED' FROM rad WHERE crossed
+  UNION SELECT k, 'solar', id, 'ADMITTED_BEYOND_LIMIT' FROM sol WHERE admitted AND (v > 70 OR crossed)
+  UNION SELECT k, 'solar', id, 'EXCLUDED_WITHOUT_REASON' FROM sol WHERE NOT admitted AND reason = 'OTHER'
+  UNION SELECT k, 'solar', id, 'OUT_OF_RANGE_WITHIN_LIMIT' FROM sol WHERE reason = 'SOLAR_GEOMETRY_OUT_OF_RANGE' AND v <= 70
+  UNION SELECT k, 'solar', id, 'DUPLICATE_RECORD' FROM sol GROUP BY k, id HAVING count(*) > 1
+  UNION SELECT k, 'qualification', 'V4|0.05', 'PRIMARY_NOT_FROZEN' FROM m WHERE k % 12 = 0
+  UNION SELECT k, 'run', CAST(k AS VARCHAR), 'QUALIFICATION_COUNT' FROM m WHERE k % 15 = 0
+  UNION SELECT k, 'transformation', sequence || '|' || id, 'UNKNOWN_TRANSFORMATION' FROM steps WHERE id = 'OTHER'
+  UNION SELECT k, 'transformation', sequence || '|' || id, 'UNKNOWN_REASON' FROM steps WHERE k % 47 = 0 AND s = 7
+  UNION SELECT k, 'transformation', sequence || '|' || id, 'PARAMETER_REFERENCE_UNSTABLE' FROM steps WHERE k % 31 = 0 AND s = 3
+  UNION SELECT k, 'transformation', sequence || '|' || id, 'COMPLETED_WITHOUT_PARAMETERS' FROM steps WHERE k % 37 = 0 AND s = 4
+  UNION SELECT k, 'transformation', sequence || '|' || id, 'COMPLETED_WITHOUT_LINEAGE' FROM steps WHERE k % 41 = 0 AND s = 5
+  UNION SELECT k, 'transformation', sequence || '|' || id, 'REASON_MISSING' FROM steps WHERE status = 'FAILED' AND k % 8 = 1
+  UNION SELECT k, 'transformation', sequence || '|' || id, 'UNRESOLVED_REFERENCE' FROM steps WHERE k % 43 = 0 AND s = 6
+  UNION SELECT k, 'artifact', 'a1', 'DUPLICATE_RECORD' FROM m WHERE k % 53 = 0
+  UNION SELECT k, 'terminal', CAST(k AS VARCHAR), 'UNRESOLVED_REFERENCE' FROM m WHERE k % 59 = 0
+  UNION SELECT k, 'terminal', CAST(k AS VARCHAR), 'COMPLETED_WITH_REASONS' FROM m WHERE k % 61 = 0 AND k % 4 < 2
+  UNION SELECT k, 'run', CAST(k AS VARCHAR), 'SEQUENCE_NOT_CONTIGUOUS' FROM m WHERE k % 23 = 0
+  UNION SELECT k, 'run', CAST(k AS VARCHAR), 'ORDER_NOT_REGISTERED' FROM m WHERE k % 23 = 0 OR k % 29 = 0
+  UNION SELECT k, 'run', CAST(k AS VARCHAR), 'COMPLETED_INCOMPLETE' FROM m WHERE k % 4 < 2 AND (k % 7 = 0 OR k % 4 = 1)
+  UNION SELECT k, 'run', CAST(k AS VARCHAR), 'SOLAR_PROVENANCE_MISSING' FROM m WHERE k % 4 = 0 AND k NOT IN (SELECT k FROM sol))""".format(
+    stages="[" + ", ".join(f"'{s}'" for s in fixed.STAGES) + "]")
+
+
+@query("manifest_violations", "SELECT k AS run_id, kind, id AS record_id, rule FROM found", (MANIFEST_SQL,))
+def manifest_violations(t: Tables) -> DataFrame:
+    """Every order is a run with a manifest; each rule is broken by some of its records and kept by the others."""
+    k, every = F.col("run_id"), lambda n: F.col("run_id") % n == 0
+    runs = t.orders.select(F.col("o_orderkey").alias("run_id"))
+    texts = lambda *values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    identity = runs.select(
+        "run_id", F.lit("p").alias("approved_policy"), F.lit("p").alias("start_policy"), F.when(every(11), "q").otherwise("p").alias("final_policy"),
+        F.lit("i").alias("start_input"), F.when(every(13), "j").otherwise("i").alias("final_input"), F.when(every(2), "EXECUTION").otherwise("REPLAY").alias("runtime_mode"),
+        F.array(F.lit("spark 4"), F.when(every(17), "Fixture 1").otherwise("python 3")).alias("environment"))
+    addresses = texts("https://host/a", "http://host/a", "https://host/a?sig=1", "https://host/a?page=2", None)
+    named = runs.filter(k % 7 != 0).select(
+        "run_id", F.concat(F.lit("SRC"), k % 6).alias("source_id"), F.get(addresses, (k % 5).cast("int")).alias("canonical_uri"),
+        F.when(every(9), "ftp://x/y").otherwise("https://host/r").alias("retrieval_uri"))
+    named = named.unionByName(named.filter(every(19)))
+    lines = t.lineitem.withColumn("run_id", F.col("l_orderkey"))
+    rad = lines.filter("l_linenumber = 4").select(
+        "run_id", F.col("l_partkey").cast("string").alias("item_id"), F.lit("B04").alias("asset_key"),
+        F.get(texts("https://h/a", "http://h/a", "https://h/a?x=1"), (F.col("l_suppkey") % 3).cast("int")).alias("canonical_asset_identity"),
+        F.when(F.col("l_suppkey") % 4 == 0, "https://h/r?sig=1").otherwise("https://h/r").alias("retrieval_uri"), F.when(F.col("l_discount") == 0.1, "FAIL").otherwise("PASS").alias("cross_check"))
+    quantity = F.col("l_quantity")
+    sun = lines.filter("l_linenumber <= 3").select(
+        "run_id", F.when(F.col("l_linenumber") % 2 == 1, "PRE").otherwise("POST").alias("win"), F.col("l_partkey").cast("string").alias("item_id"),
+        F.when((F.col("l_tax") == 0.08) & (quantity > 36), 10).otherwise(quantity * 2).alias("value"), (quantity <= 36).alias("admissible"),
+        F.when(quantity > 48, "OTHER").when(quantity > 36, "SOLAR_GEOMETRY_OUT_OF_RANGE").alias("reason"), F.when(F.col("l_discount") == 0.1, "FAIL").otherwise("PASS").alias("cross_check"))
+    primary = F.when(every(12), "0.05").otherwise("0.03")
+    judged = runs.filter(every(3)).select("run_id", F.lit("V4").alias("policy_id"), F.posexplode(F.array(primary, F.lit("0.01"), F.lit("0.02"), F.lit("0.04"))).alias("_i", "tau"))
+    judged = judged.filter(~(every(15) & (F.col("_i") == 3))).withColumn("is_primary", F.col("_i") == 0)
+    at = F.col("_i") + 1
+    stages = runs.select("run_id", F.posexplode(texts(*fixed.STAGES)).alias("_i", "stage"))
+    failed = (k % 4 == 1) & (at == 12)
+    steps = stages.select(
+        "run_id", F.when(every(23) & (at == 12), 13).otherwise(at).alias("sequence"), F.when(every(29) & (at == 2), "OTHER").otherwise(F.col("stage")).alias("transformation_id"),
+        F.when(failed, "FAILED").otherwise("COMPLETED").alias("status"), F.when(every(31) & (at == 3), "http://x").otherwise("urn:x:p").alias("parameter_ref"),
+        F.when(~(every(37) & (at == 4)), F.lit("f" * 64)).alias("parameter_sha256"),
+        F.when(every(41) & (at == 5), texts()).when(every(43) & (at == 6), texts("missing")).otherwise(texts("a1")).alias("inputs"), texts("a2").alias("outputs"),
+        F.when(failed & (k % 8 != 1), texts("RESOURCE_LIMIT_EXCEEDED")).when(every(47) & (at == 7), texts("MADE_UP")).otherwise(texts()).alias("reason_codes"))
+    made = runs.select("run_id", F.explode(F.when(every(53), texts("a1", "a1", "a2", "a3")).otherwise(texts("a1", "a2", "a3"))).alias("artifact_id"))
+    ended = runs.select(
+        "run_id", F.when(k % 4 < 2, "COMPLETED").otherwise("STOPPED").alias("execution_status"), F.when(every(59), "nope").otherwise("a3").alias("assessment_ref"),
+        F.when(every(61), texts("RESOURCE_LIMIT_EXCEEDED")).otherwise(texts()).alias("reason_codes"))
+    return manifest.violations([
+        manifest.identities(identity), manifest.sources(named, [f"SRC{i}" for i in range(5)]), manifest.radiometry(rad), manifest.solar(sun),
+        manifest.qualifications(judged, "V4"), manifest.transformations(steps), manifest.artifacts(made), manifest.terminals(ended)])
