@@ -143,3 +143,13 @@ def test_manifest_without_violations(spark):
     assert manifest.violations(tables).collect() == []
     dangling = tables[:-1] + [manifest.terminals(spark.createDataFrame([(1, "COMPLETED", None, ["R"])], "run_id long, execution_status string, assessment_ref string, reason_codes array<string>"))]
     assert {(r.kind, r.rule) for r in manifest.violations(dangling).collect()} == {("terminal", "COMPLETED_WITH_REASONS"), ("terminal", "UNRESOLVED_REFERENCE")}
+
+
+def test_replay_finds_altered_inputs_policies_and_results(spark):
+    from workloads import load
+
+    found = {r.run_id: r for r in load()["replay_runs"].run(spark, "/root/testdata/sf0.01").collect()}
+    assert {r.replay_status for r in found.values()} == {"REPLAYED", "INPUT_ALTERED", "POLICY_ALTERED", "RESULT_DIFFERS"}
+    for run, r in found.items():
+        assert r.inputs_equal == (run % 7 != 0) and r.policy_equal == (run % 11 != 0)
+        assert r.result_equal or run % 7 == 0 or run % 11 == 0 or run % 13 == 0

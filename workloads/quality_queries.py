@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from attestra import fixed_values as fixed
 from attestra.functions import decision, hashing, numeric, text, uri
 from attestra.operators import ledger, quality
-from attestra.plans import manifest, provenance
+from attestra.plans import manifest, provenance, replay
+from attestra.session import derived_path
+from attestra.sources import assessments
 from workloads.evidence_queries import TREE_SQL
 from workloads.registry import Tables, query
 
@@ -543,3 +545,39 @@ def manifest_violations(t: Tables) -> DataFrame:
     return manifest.violations([
         manifest.identities(identity), manifest.sources(named, [f"SRC{i}" for i in range(5)]), manifest.radiometry(rad), manifest.solar(sun),
         manifest.qualifications(judged, "V4"), manifest.transformations(steps), manifest.artifacts(made), manifest.terminals(ended)])
+
+
+REPLAY_SQL = """
+medians AS (SELECT l_suppkey AS run_id, median(l_quantity) FILTER (l_linenumber <= 3) AS pre, median(l_quantity) FILTER (l_linenumber > 3) AS post FROM lineitem GROUP BY 1),
+live AS (SELECT run_id, post - pre AS d, 0.03 AS tau FROM medians),
+later AS (SELECT run_id, CASE WHEN run_id % 7 = 0 THEN post - 2 * pre ELSE post - pre END AS d, CASE WHEN run_id % 11 = 0 THEN 9.5 ELSE 0.03 END AS tau FROM medians),
+both_ AS (SELECT l.run_id, l.d = n.d AND CASE WHEN l.d > l.tau THEN 1 WHEN l.d < -l.tau THEN -1 ELSE 0 END = CASE WHEN n.d > n.tau THEN 1 WHEN n.d < -n.tau THEN -1 ELSE 0 END
+                 AND l.run_id % 13 <> 0 AS result_equal FROM live l JOIN later n USING (run_id))"""
+
+
+@query("replay_runs", """
+SELECT run_id, run_id % 7 <> 0 AS inputs_equal, run_id % 11 <> 0 AS policy_equal, result_equal,
+       CASE WHEN run_id % 7 = 0 THEN 'INPUT_ALTERED' WHEN run_id % 11 = 0 THEN 'POLICY_ALTERED' WHEN NOT result_equal THEN 'RESULT_DIFFERS' ELSE 'REPLAYED' END AS replay_status
+FROM both_""", (REPLAY_SQL,))
+def replay_runs(t: Tables) -> DataFrame:
+    """Every supplier is a run over its lines; later some inputs, policies and results are no longer what was sealed."""
+    run = F.col("run_id")
+    identity = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("line")
+    inputs = t.lineitem.select(F.col("l_suppkey").alias("run_id"), identity, F.when(F.col("l_linenumber") <= 3, "PRE").otherwise("POST").alias("win"), F.col("l_quantity").alias("value"))
+    policies = inputs.select("run_id").distinct().withColumn("tau", F.lit("0.03"))
+
+    def compute(rows: DataFrame, rules: DataFrame) -> DataFrame:
+        of = lambda win: F.median(F.when(F.col("win") == win, F.col("value")))
+        deltas = rows.groupBy("run_id").agg(of("PRE").alias("pre"), of("POST").alias("post")).withColumn("delta", numeric.exact_difference(F.col("post"), F.col("pre")))
+        verdict = decision.classify(F.col("delta"), F.col("tau").cast("double"))["evidence_disposition"]
+        return deltas.join(rules, "run_id").select("run_id", F.col("delta").cast("double").alias("delta"), verdict.alias("disposition"))
+
+    what = F.concat_ws("|", "win", "value")
+    sealed = replay.seal(inputs, policies, ["run_id"], "line", what, F.col("tau"))
+    path = derived_path(t.spark, "sealed-results")
+    results = compute(inputs, policies).withColumn("disposition", F.when(run % 13 == 0, "ALTERED").otherwise(F.col("disposition")))
+    assessments.write_results(results, path, ["disposition"])
+    later = inputs.withColumn("value", F.when((run % 7 == 0) & (F.col("win") == "PRE"), F.col("value") * 2).otherwise(F.col("value")))
+    changed = policies.withColumn("tau", F.when(run % 11 == 0, "9.5").otherwise(F.col("tau")))
+    stored = assessments.read_results(t.spark, path, results.schema)
+    return replay.replay(sealed, later, changed, stored, ["run_id"], "line", what, F.col("tau"), compute)
