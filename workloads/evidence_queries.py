@@ -102,13 +102,15 @@ def corpus_manifest(t: Tables) -> DataFrame:
 
 
 @query("snapshot_put", """
-SELECT sha256(text) AS digest, bool_or(doc_id % 2 = 0) AS in_first_put, FALSE AS corrupt FROM documents GROUP BY text""")
+SELECT sha256(text) AS digest, bool_or(doc_id % 2 = 0) AS in_first_put, left(sha256(text), 1) = '0' AS corrupt FROM documents GROUP BY text""")
 def snapshot_put(t: Tables) -> DataFrame:
-    path = derived_path(t.spark, "snapshots")
+    """Even documents are put, then all; of a copy of the store, contents whose digest begins with 0 are damaged."""
+    path, damaged = derived_path(t.spark, "snapshots"), derived_path(t.spark, "damaged")
     first = source.put_snapshots(t.documents.filter("doc_id % 2 = 0"), "text", path)
     source.put_snapshots(t.documents, "text", path)
     stored = source.store_rows(t.spark, path)
-    corrupt = source.corrupt_snapshots(t.spark, path).select("digest", F.lit(True).alias("corrupt"))
+    stored.withColumn("content", F.when(F.col("digest").startswith("0"), F.concat("content", F.lit("!"))).otherwise(F.col("content"))).write.parquet(damaged)
+    corrupt = source.corrupt_snapshots(t.spark, damaged).select("digest", F.lit(True).alias("corrupt"))
     return stored.join(first.select("digest", F.lit(True).alias("early")), "digest", "left").join(corrupt, "digest", "left").select(
         "digest", F.coalesce("early", F.lit(False)).alias("in_first_put"), F.coalesce("corrupt", F.lit(False)).alias("corrupt")
     )
@@ -418,12 +420,14 @@ def artifact_records(t: Tables) -> DataFrame:
 
 
 @query("file_checksums", """
-SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS total_bytes, 0 AS differences FROM documents""")
+SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS total_bytes, 1 AS differences FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark)""")
 def file_checksums(t: Tables) -> DataFrame:
+    """A tree of files and its manifest; then one more file comes, which the manifest lacks."""
     folder, manifest = derived_path(t.spark, "tree"), derived_path(t.spark, "checksums")
     t.documents.repartition(8, "doc_id").select("text").write.text(folder)
+    artifacts.write_checksums(artifacts.file_checksums(t.spark, folder), manifest)
+    t.benchmark.select("text").coalesce(1).write.mode("append").text(folder)
     actual = artifacts.file_checksums(t.spark, folder)
-    artifacts.write_checksums(actual, manifest)
     found = artifacts.checksum_differences(artifacts.read_checksums(t.spark, manifest), actual)
     total = actual.select(F.col("bytes"), F.lit(0).alias("difference"))
     wrong = found.select(F.lit(0).cast("long").alias("bytes"), F.lit(1).alias("difference"))
