@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -67,69 +68,56 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
 
 def sweeps(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Best fit over length classes: runs ``(length, first_rank, rows, first_sequence, offset)``.
+    """Best fit decreasing over length classes: runs ``(length, first_rank, rows, first_sequence, offset)``.
 
     Pieces of one length are alike, so a corpus of any size is at most
-    ``capacity`` classes, and sequences with equal gaps form runs. One round
-    sweeps lengths and gaps in descending order of size: gaps are stacked as
-    they come, and each length takes the gaps on top, which are the smallest
-    that hold it. Where lengths want the same gaps, rank decides: the longer
-    first, and within a length the first ranks take the first sequences. A
-    sequence is given one piece a round. Then the gaps are updated and the sweep
-    repeats. Only when the longest piece left fits no gap are sequences opened,
-    as few as the pieces that fit no gap need at least.
+    ``capacity`` classes, and sequences with equal gaps form runs; a step adds
+    at most three runs. Lengths are swept in descending order. All pieces of a
+    length look for their successor at once: the smallest gap that holds them.
+    Where they want the same gaps, rank decides: the first ranks take the first
+    sequences, each as many pieces as its gap holds, for what is left of it
+    would be the smallest fitting gap again. Then the gaps are updated and the
+    rest of the length repeats with the next gap. Only when no gap holds the
+    length are sequences opened, as few as its pieces need.
     """
-    left = {length: [0, n] for length, n in counts.items() if n}  # length -> [first unplaced rank, how many]
     gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap -> runs of (first sequence, how many)
+    in_use: list[int] = []  # the gaps that have runs, ascending
     opened, placed = 0, []
-    while left:
-        widest = max(gaps, default=0)
-        stuck = [(length, n) for length, (_, n) in left.items() if length > widest]
-        if stuck:
-            large = sum(n for length, n in stuck if 2 * length > capacity)
-            new = max(-(-sum(length * n for length, n in stuck) // capacity), large)
-            gaps[capacity].append((opened, new))
-            opened += new
-        stack: list[list] = []
-        after: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        events = sorted({*((g, 1) for g in gaps), *((length, 0) for length in left)}, reverse=True)
-        for size, is_gap in events:
-            if is_gap:
-                stack += [[size, first, n] for first, n in reversed(gaps[size])]
+
+    def give(gap: int, first: int, n: int) -> None:
+        if gap and n:
+            if not gaps[gap]:
+                insort(in_use, gap)
+            gaps[gap].append((first, n))
+
+    for length in sorted((length for length, n in counts.items() if n), reverse=True):
+        rank, left = 0, counts[length]
+        while left:
+            at = bisect_left(in_use, length)
+            if at == len(in_use):
+                new = -(-left // (capacity // length))
+                give(capacity, opened, new)
+                opened += new
                 continue
-            rank, n = left[size]
-            while n and stack:
-                gap, first, there = stack[-1]
-                take = min(n, there)
-                placed.append((size, rank, take, first, capacity - gap))
-                if gap > size:
-                    after[gap - size].append((first, take))
-                rank, n = rank + take, n - take
-                if take == there:
-                    stack.pop()
-                else:
-                    stack[-1] = [gap, first + take, there - take]
-            if n:
-                left[size] = [rank, n]
-            else:
-                del left[size]
-        for gap, first, n in stack:
-            after[gap].append((first, n))
-        gaps = defaultdict(list, {gap: _merged(runs) for gap, runs in after.items()})
+            gap = in_use[at]
+            first, there = gaps[gap].pop()
+            if not gaps[gap]:
+                del in_use[at]
+            holds, filled = gap // length, capacity - gap
+            full = min(there, left // holds)
+            last = min(left - full * holds, holds - 1) if there > full else 0  # the rest of the length, in one more sequence
+            for sequence, n, pieces_each in ((first, full, holds), (first + full, 1, last)):
+                if n:
+                    placed += [(length, rank + k * n, n, sequence, filled + k * length) for k in range(pieces_each)]
+                    rank, left = rank + n * pieces_each, left - n * pieces_each
+            give(gap - holds * length, first, full)
+            used = full + (last > 0)
+            if last:
+                give(gap - last * length, first + full, 1)
+            give(gap, first + used, there - used)
     return placed
 
 
-def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Runs of neighbouring sequences as one."""
-    out: list[tuple[int, int]] = []
-    for first, n in sorted(runs):
-        if out and out[-1][0] + out[-1][1] == first:
-            out[-1] = (out[-1][0], out[-1][1] + n)
-        else:
-            out.append((first, n))
-    return out
-
-
 def _placed(runs: np.ndarray):
     """Look up the run that holds each (length, rank)."""
     keys = runs[:, 0] * (1 << 44) + runs[:, 1]

@@ -76,3 +76,33 @@ def test_sweeps_fill_sequences(seed):
     for parts in filled.values():
         ends = [0] + [o + n for o, n in sorted(parts)]
         assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 100
+
+
+def decreasing(counts, capacity):
+    """Best fit decreasing, piece by piece: how many sequences."""
+    gaps = []
+    for length in sorted((k for k, n in counts.items() for _ in range(n)), reverse=True):
+        fits = [g for g in gaps if g >= length]
+        if fits:
+            gaps.remove(min(fits))
+            gaps.append(min(fits) - length)
+        else:
+            gaps.append(capacity - length)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("low, high, capacity", [(1, 100, 100), (30, 55, 100), (600, 1100, 2048), (1, 12, 100), (90, 100, 100)])
+@pytest.mark.parametrize("seed", range(4))
+def test_as_few_sequences_as_best_fit_decreasing(low, high, capacity, seed):
+    rng = random.Random(seed)
+    counts = {}
+    for _ in range(rng.randint(1, 600)):
+        length = rng.randint(low, high)
+        counts[length] = counts.get(length, 0) + 1
+    used = {sequence + k for _, _, n, sequence, _ in op.sweeps(counts, capacity) for k in range(n)}
+    assert used == set(range(decreasing(counts, capacity)))
+
+
+def test_sweeps_stay_small_on_many_pieces():
+    runs = op.sweeps({length: 1_000_003 * length for length in range(1, 2049)})
+    assert len(runs) < 200_000
