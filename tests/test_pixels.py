@@ -138,3 +138,23 @@ def test_order_and_partitioning_do_not_matter(spark):
     one = observation.aggregate_cases(ndvi_rows(spark, rows), aoi(spark)).first()
     two = observation.aggregate_cases(ndvi_rows(spark, rows[::-1]).repartition(7), aoi(spark)).first()
     assert one == two
+
+
+def test_rounds_follow_the_number_of_values(spark, monkeypatch):
+    from attestra.functions import quantiles
+
+    written = []
+    plain = quantiles.materialise
+    monkeypatch.setattr(quantiles, "materialise", lambda frame, name: written.append(name) or plain(frame, name))
+    frame = spark.range(3000).selectExpr("id % 2 AS k", "cast(id AS double) * id AS v")
+    rounds = {}
+    for cells in (16, 4096):
+        written.clear()
+        got = {r.k: r.m for r in quantiles.grouped_quantiles(frame, ["k"], "v", [0.5], ["m"], cells=cells).collect()}
+        assert got == {k: float(np.median([i * i for i in range(k, 3000, 2)])) for k in (0, 1)}
+        rounds[cells] = written.count("quantile-places")
+    assert rounds[4096] == 0 and rounds[16] >= 2
+    spread = {r.k: r.mad for r in quantiles.distribution(frame, ["k"], "v", cells=16).collect()}
+    for k in (0, 1):
+        values = np.array([float(i * i) for i in range(k, 3000, 2)])
+        assert spread[k] == float(np.median(np.abs(values - np.median(values))))
