@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from attestra.functions import quantiles, text
+from attestra.functions import hashing, quantiles, text
 from attestra.functions.hashing import tree_digest
 from attestra.functions.numeric import rate
 
@@ -39,25 +39,33 @@ def unsupported(non_inference: Column, status: Column, reference_count: Column,
     )
 
 
-def compare_outcomes(cases: DataFrame, results: DataFrame, replayed: DataFrame) -> DataFrame:
-    """Case outcomes from expectations, a first and a second run of the qualification."""
-    shape = lambda frame, prefix: frame.select(
-        "request_id", F.struct("workflow_status", "qualification", "reason_codes").alias(prefix),
-        F.col("assurance_checks.non_inference").alias(f"{prefix}_inference"), F.col("selected_fact_count").alias(f"{prefix}_refs"),
+def compare_outcomes(cases: DataFrame, stored: DataFrame, recomputed: DataFrame, unsupported_ids: DataFrame) -> DataFrame:
+    """Case outcomes from expectations, the stored result records and the records computed again.
+
+    ``replay_equal``: all fields of both records have one hash. ``unsupported_ids``
+    are the requests whose stored statement their citations do not carry. A case
+    without a stored result is neither exact nor replayed, and asserts nothing.
+    """
+    fields = sorted(c for c in recomputed.columns if c != "result_sha256")
+    first = stored.select(
+        "request_id", F.struct("workflow_status", "qualification", "reason_codes").alias("first"), F.col("assurance_checks.non_inference").alias("_inference"),
+        F.coalesce(F.size("evidence_refs"), F.lit(0)).alias("_refs"), F.col("bounded_statement").alias("_statement"), hashing.record_sha256(fields).alias("_hash"),
     )
-    joined = cases.join(shape(results, "first"), "request_id", "left").join(shape(replayed, "second"), "request_id", "left")
+    second = recomputed.select("request_id", hashing.record_sha256(fields).alias("_again"))
+    unfounded = unsupported_ids.select("request_id", F.lit(True).alias("_unfounded"))
+    joined = cases.join(first, "request_id", "left").join(second, "request_id", "left").join(unfounded, "request_id", "left")
     expected = F.struct(
         F.col("expected_workflow_status").alias("workflow_status"), F.col("expected_qualification").alias("qualification"),
         F.col("expected_reason_codes").alias("reason_codes"),
     )
     status = F.col("first.workflow_status")
+    never = lambda condition: F.coalesce(condition, F.lit(False))
     return joined.select(
-        *cases.columns, expected.eqNullSafe(F.col("first")).alias("exact"),
-        F.col("first").eqNullSafe(F.col("second")).alias("replay_equal"),
-        F.coalesce(unsupported(F.col("first_inference"), status, F.col("first_refs"), F.lit(None).cast("string")), F.lit(False)).alias("unsupported"),
-        (F.col("first_inference") == "PASS").alias("non_inference_ok"),
+        *cases.columns, expected.eqNullSafe(F.col("first")).alias("exact"), never(F.col("_hash") == F.col("_again")).alias("replay_equal"),
+        (never(unsupported(F.col("_inference"), status, F.col("_refs"), F.col("_statement"))) | never(F.col("_unfounded"))).alias("unsupported"),
+        never(F.col("_inference") == "PASS").alias("non_inference_ok"),
         (F.col("expected_workflow_status") == "REFUSED").alias("expected_refused"),
-        ((status == "REFUSED") & (F.col("first_refs") == 0)).alias("refused_clean"),
+        never((status == "REFUSED") & (F.col("_refs") == 0)).alias("refused_clean"),
     )
 
 

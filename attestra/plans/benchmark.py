@@ -1,4 +1,4 @@
-"""Benchmark evaluation end to end: qualify every case twice, compare, rate."""
+"""Benchmark evaluation end to end: stored results against expectations, a second run and the facts they cite."""
 
 from __future__ import annotations
 
@@ -10,9 +10,12 @@ from attestra.operators import evaluation
 from attestra.plans import qualification
 
 
-def evaluate(cases: DataFrame, gathered: DataFrame, rules: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Outcome rates of cases (request columns plus expectations), replayed on reshuffled requests."""
-    requests = cases.select("request_id", "subject_type", "subject_id", "claim_family", "question", "minimum_source_date")
-    first = qualification.qualify(requests, gathered, rules)
-    second = qualification.qualify(requests.repartition("subject_id"), gathered, rules)
-    return evaluation.outcome_rates(evaluation.compare_outcomes(cases, first, second), by)
+def evaluate(cases: DataFrame, stored: DataFrame, recomputed: DataFrame, facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Outcome rates of cases (request columns plus expectations).
+
+    ``stored`` holds the results as they were kept, ``recomputed`` those of a run
+    on the same requests now (both as `qualification.result_records` makes them).
+    A stored statement counts as unsupported where its cited facts do not say it.
+    """
+    unsupported = qualification.unsupported_statements(stored, cases, facts)
+    return evaluation.outcome_rates(evaluation.compare_outcomes(cases, stored, recomputed, unsupported), by)

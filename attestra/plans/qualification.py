@@ -102,14 +102,8 @@ def _checks() -> Column:
     return F.struct(*[values.get(name, F.lit("PASS")).alias(name) for name in fixed.ASSURANCE_CHECKS])
 
 
-def statements(results: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Bounded statement per passed request, and ``statement_error`` where a parameter is missing.
-
-    All parameters of a tag come from one fact: the first-ranked that has the
-    tag; of an observation's facts, the first that holds the observed values.
-    An attribute that fact lacks is not taken from another. ``ranked`` holds
-    request_id, fact_rank, tags and attributes (a string map).
-    """
+def _filled(requests: DataFrame, ranked: DataFrame) -> DataFrame:
+    """``request_id, bounded_statement`` of every request with facts: its family's template with the parameters those facts give."""
     def first(tag: str) -> Column:
         fits = F.array_contains("tags", tag)
         if tag == "frozen_observation":
@@ -118,7 +112,6 @@ def statements(results: DataFrame, ranked: DataFrame) -> DataFrame:
 
     wanted = sorted({tag for _, parameters in fixed.FAMILY_STATEMENTS.values() for tag, _, _ in parameters.values() if tag})
     sources = ranked.groupBy("request_id").agg(*[first(tag).alias(f"_{tag}") for tag in wanted])
-    passed = results.filter(F.col("workflow_status").isin("QUALIFIED", "ABSTAINED")).join(sources, "request_id")
     statement = F.lit(None).cast("string")
     for family, (template, parameters) in fixed.FAMILY_STATEMENTS.items():
         values = {}
@@ -126,10 +119,36 @@ def statements(results: DataFrame, ranked: DataFrame) -> DataFrame:
             value = F.element_at(f"_{tag}", F.lit(attribute)) if tag else F.col(attribute)
             values[name] = value if default is None else F.coalesce(value, F.lit(default))
         statement = F.when(F.col("claim_family") == family, text.fill_template(F.lit(template), values)).otherwise(statement)
-    filled = passed.select("request_id", statement.alias("bounded_statement"))
+    return requests.join(sources, "request_id").select("request_id", statement.alias("bounded_statement"))
+
+
+def statements(results: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Bounded statement per passed request, and ``statement_error`` where a parameter is missing.
+
+    All parameters of a tag come from one fact: the first-ranked that has the
+    tag; of an observation's facts, the first that holds the observed values.
+    An attribute that fact lacks is not taken from another. ``ranked`` holds
+    request_id, fact_rank, tags and attributes (a string map).
+    """
+    filled = _filled(results.filter(F.col("workflow_status").isin("QUALIFIED", "ABSTAINED")), ranked)
     return filled.withColumn("statement_error", F.when(F.col("bounded_statement").isNull(), "REQUIRED_FIELD_MISSING"))
 
 
+def unsupported_statements(stored: DataFrame, requests: DataFrame, facts: DataFrame) -> DataFrame:
+    """``request_id`` of stored results whose statement is not what the facts they cite say.
+
+    The cited facts are looked up by id and the statement is filled from them
+    again. A statement without citations, with a citation no fact has the
+    attributes for, or with any other wording is unsupported; a result without a
+    statement asserts nothing.
+    """
+    cited = stored.select("request_id", F.posexplode("evidence_refs").alias("fact_rank", "_ref")).select(
+        "request_id", "fact_rank", F.col("_ref.fact_id").alias("fact_id"))
+    said = _filled(requests, cited.join(facts.select("fact_id", "tags", "attributes"), "fact_id")).withColumnRenamed("bounded_statement", "_said")
+    stating = stored.filter(F.col("bounded_statement").isNotNull()).select("request_id", "bounded_statement")
+    return stating.join(said, "request_id", "left").filter(~F.col("bounded_statement").eqNullSafe(F.col("_said"))).select("request_id")
+
+
 def trace(results: DataFrame, ranked: DataFrame) -> DataFrame:
     """Retrieval trace per request: query tokens and the selected fact ids in rank order."""
     listed = ranked.groupBy("request_id").agg(

@@ -180,3 +180,25 @@ def test_snapshot_is_one_hash_over_sorted_entries(spark):
     assert got == {k: (sum(x == k for x, _, _ in rows), hashlib.sha256(text(k).encode()).hexdigest()) for k in ("a", None, "b")}
     plan = hashing.snapshot_sha256(frame, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_statement_is_what_its_cited_facts_say(spark):
+    from attestra import fixed_values as fixed
+    from attestra.plans import qualification
+
+    family = "REGISTRY_FACTS"
+    parameters = fixed.FAMILY_STATEMENTS[family][1]
+    tags = sorted({tag for tag, _, _ in parameters.values() if tag})
+    values = lambda mark: {attribute: f"{mark}{i}" for i, (tag, attribute, _) in enumerate(parameters.values()) if tag}
+    facts = spark.createDataFrame([("f1", tags, values("a")), ("f2", tags, values("b"))], "fact_id string, tags array<string>, attributes map<string,string>")
+    requests = spark.createDataFrame([(i, family, "S") for i in range(7)], "request_id long, claim_family string, subject_id string")
+    ranked = facts.filter("fact_id = 'f1'").selectExpr("0L AS request_id", "1 AS fact_rank", "tags", "attributes")
+    passed = requests.selectExpr("*", "'QUALIFIED' AS workflow_status")
+    said = qualification.statements(passed, ranked).first().bounded_statement
+    assert said is not None
+    stored = spark.createDataFrame([
+        (0, said, [("f1",)]), (1, said, [("f1",), ("f2",)]), (2, said, [("f2",), ("f1",)]), (3, said, []), (4, said, None), (5, said + " More.", [("f1",)]), (6, None, [("f1",)]),
+    ], "request_id long, bounded_statement string, evidence_refs array<struct<fact_id:string>>")
+    assert {r.request_id for r in qualification.unsupported_statements(stored, requests, facts).collect()} == {2, 3, 4, 5}
+    unknown = stored.selectExpr("request_id", "bounded_statement", "array(named_struct('fact_id', 'gone')) AS evidence_refs")
+    assert qualification.unsupported_statements(unknown, requests, facts).count() == 6

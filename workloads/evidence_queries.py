@@ -329,7 +329,7 @@ stated AS (SELECT j.*, refs, snapshot, failure = '' AND claim_family <> 'POLICY_
 """
 
 
-def _records(t: Tables) -> DataFrame:
+def records(t: Tables) -> DataFrame:
     rules = registries.claim_rules(t.spark)
     facts = domain.facts(t).select(
         "*", F.lit("SRC").alias("source_id"), F.concat(F.lit("https://host/"), "evidence_id").alias("canonical_uri"),
@@ -351,7 +351,7 @@ SELECT request_id, CASE WHEN refused_code IS NOT NULL THEN 'REFUSED' WHEN NOT pa
 def qualification_results(t: Tables) -> DataFrame:
     ids = lambda refs: F.array_join(F.transform(refs, lambda r: r["fact_id"]), ",")
     first = F.get(F.col("evidence_refs"), F.lit(0))
-    return _records(t).select(
+    return records(t).select(
         "request_id", "workflow_status", F.array_join("reason_codes", ",").alias("reasons"), "bounded_statement", ids(F.col("evidence_refs")).alias("reference_ids"),
         F.when(first.isNotNull(), F.concat_ws("|", first["source_id"], first["canonical_uri"], first["document_sha256"])).alias("first_reference"),
         F.array_join("retrieval_trace.selected_fact_ids", ",").alias("traced_ids"), "memory_snapshot_sha256")
@@ -362,9 +362,9 @@ def result_hash_check(t: Tables) -> DataFrame:
     """Results stored, one in eleven altered afterwards, and checked when read back."""
     path = derived_path(t.spark, "results")
     altered = F.when(F.col("request_id") % 11 == 0, F.lit("ALTERED")).otherwise(F.col("workflow_status"))
-    records = _records(t)
-    assessments.write_results(records.withColumn("workflow_status", altered), path, ["claim_family"])
-    return qualification.result_hash_violations(assessments.read_results(t.spark, path, records.schema))
+    made = records(t)
+    assessments.write_results(made.withColumn("workflow_status", altered), path, ["claim_family"])
+    return qualification.result_hash_violations(assessments.read_results(t.spark, path, made.schema))
 
 
 @query("frozen_binding", """

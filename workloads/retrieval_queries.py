@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from attestra.functions import text
 from attestra.operators import evaluation, retrieval
-from attestra.plans import benchmark as benchmark_plan, qualification, retrieval as retrieval_plan
-from attestra.sources import registries
+from attestra.plans import benchmark as benchmark_plan, retrieval as retrieval_plan
+from attestra.session import derived_path
+from attestra.sources import assessments
 from workloads import domain, evidence_queries
 from workloads.registry import Tables, query
 
@@ -182,29 +183,50 @@ def eval_thresholds(t: Tables) -> DataFrame:
     return evaluation.threshold_checks(_rates(t), THRESHOLDS, ["split"])
 
 
-@query("benchmark_evaluation", evidence_queries.QUALIFY_SQL + """
-, outcome AS (
-  SELECT CASE WHEN refused_code IS NOT NULL THEN 'REFUSED' WHEN failure <> '' OR claim_family = 'POLICY_APPLICABILITY' THEN 'ERROR'
-              WHEN claim_family = 'OBSERVATIONAL_CONSISTENCY' THEN 'ABSTAINED' ELSE 'QUALIFIED' END AS status,
-         CASE WHEN failure <> '' THEN failure WHEN claim_family = 'OBSERVATIONAL_CONSISTENCY' THEN observed
-              WHEN claim_family = 'POLICY_APPLICABILITY' THEN 'DETERMINISTIC_PROCESSING_ERROR' ELSE '' END AS reason, refused_code FROM judged)
-SELECT count(*) AS case_count, round(count(*) FILTER (status = coalesce(CASE WHEN refused_code IS NOT NULL THEN 'REFUSED' END, 'ERROR')
-         AND reason = coalesce(refused_code, 'REQUIRED_EVIDENCE_MISSING')) / count(*), 9) AS exact_outcome_rate,
-       1e0 AS forbidden_request_refusal_rate, 1e0 AS deterministic_replay_rate, 0e0 AS unsupported_assertion_rate, 1e0 AS security_case_pass_rate
-FROM outcome""", domain.QUALIFY_CTES)
+@query("benchmark_evaluation", evidence_queries.QUALIFY_SQL + evidence_queries.RANKED_SQL + """
+, made AS (
+  SELECT request_id, refused_code, CASE WHEN refused_code IS NOT NULL THEN 'REFUSED' WHEN NOT passed OR statement IS NULL THEN 'ERROR'
+              WHEN claim_family = 'OBSERVATIONAL_CONSISTENCY' THEN 'ABSTAINED' ELSE 'QUALIFIED' END AS made_status,
+         CASE WHEN passed AND statement IS NULL THEN 'REQUIRED_FIELD_MISSING' WHEN failure <> '' THEN failure WHEN NOT passed THEN 'DETERMINISTIC_PROCESSING_ERROR'
+              WHEN claim_family = 'OBSERVATIONAL_CONSISTENCY' THEN observed ELSE '' END AS reason, passed AND statement IS NOT NULL AS states FROM stated),
+kept AS (SELECT *, CASE WHEN request_id % 29 = 0 THEN 'ERROR' ELSE made_status END AS status, request_id % 23 = 0 AS inferred,
+         (states AND (request_id % 13 = 0 OR request_id % 17 = 0)) OR (made_status = 'REFUSED' AND request_id % 19 = 0) AS unfounded FROM made),
+judged_cases AS (SELECT *, status = CASE WHEN refused_code IS NOT NULL THEN 'REFUSED' ELSE 'ERROR' END
+         AND reason = coalesce(refused_code, 'REQUIRED_EVIDENCE_MISSING') AS exact FROM kept)
+SELECT concat('S', request_id % 3) AS split, count(*) AS case_count, round(count(*) FILTER (exact) / count(*), 9) AS exact_outcome_rate,
+       round(count(*) FILTER (refused_code IS NOT NULL AND status = 'REFUSED') / count(*) FILTER (refused_code IS NOT NULL), 9) AS forbidden_request_refusal_rate,
+       round(count(*) FILTER (NOT inferred AND NOT unfounded AND status = made_status) / count(*), 9) AS deterministic_replay_rate,
+       round(count(*) FILTER (inferred OR unfounded) / count(*), 9) AS unsupported_assertion_rate,
+       round(count(*) FILTER (refused_code IS NOT NULL AND exact AND NOT inferred) / count(*) FILTER (refused_code IS NOT NULL), 9) AS security_case_pass_rate
+FROM judged_cases GROUP BY ALL""", domain.QUALIFY_CTES)
 def benchmark_evaluation(t: Tables) -> DataFrame:
-    """Every request as a case that expects refusal of refused families and missing evidence else."""
-    rules = registries.claim_rules(t.spark)
-    gathered = qualification.gather(domain.facts(t), rules, domain.BINDINGS, role=F.col("role"))
+    """Stored results, some altered after they were made, as cases that expect refusal of refused families and missing evidence else.
+
+    The alterations: another wording (13), no citations (17), a refusal that
+    states something (19), a failed inference check (23), another status (29).
+    """
     refused = F.col("claim_family").isin("CARBON_QUANTITY", "FINANCIAL_ACTION")
     code = F.when(F.col("claim_family") == "CARBON_QUANTITY", "CARBON_QUANTITY_UNSUPPORTED").when(
         F.col("claim_family") == "FINANCIAL_ACTION", "FINANCIAL_DECISION_UNSUPPORTED").otherwise("REQUIRED_EVIDENCE_MISSING")
     cases = domain.requests(t).select(
         "*", F.when(refused, "REFUSED").otherwise("ERROR").alias("expected_workflow_status"),
         F.lit(None).cast("string").alias("expected_qualification"), F.array(code).alias("expected_reason_codes"),
-        refused.alias("security_case"),
+        refused.alias("security_case"), F.concat(F.lit("S"), F.col("request_id") % 3).alias("split"),
     )
-    return benchmark_plan.evaluate(cases, gathered, rules).select("case_count", *[F.round(r, 9).alias(r) for r in RATES])
+    records = evidence_queries.records(t)
+    every = lambda n: F.col("request_id") % n == 0
+    statement = F.col("bounded_statement")
+    altered = records.select("*", F.col("workflow_status").alias("_made")).withColumns({
+        "bounded_statement": F.when(every(19) & (F.col("_made") == "REFUSED"), "It is granted.").when(every(13), F.concat(statement, F.lit(" It is certified."))).otherwise(statement),
+        "evidence_refs": F.when(every(17) & F.col("evidence_refs").isNotNull(), F.slice("evidence_refs", 1, 0)).otherwise(F.col("evidence_refs")),
+        "assurance_checks": F.when(every(23), F.col("assurance_checks").withField("non_inference", F.lit("FAIL"))).otherwise(F.col("assurance_checks")),
+        "workflow_status": F.when(every(29), "ERROR").otherwise(F.col("workflow_status")),
+    }).drop("_made")
+    path = derived_path(t.spark, "benchmark-results")
+    assessments.write_results(altered, path, ["claim_family"])
+    stored = assessments.read_results(t.spark, path, records.schema)
+    rates = benchmark_plan.evaluate(cases, stored, records, domain.facts(t), ["split"])
+    return rates.select("split", "case_count", *[F.round(r, 9).alias(r) for r in RATES])
 
 
 @query("denominators", """
