@@ -17,6 +17,14 @@ def materialise(frame: DataFrame, name: str, compression: str = "snappy") -> Dat
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def free_name(frame: DataFrame, wanted: str) -> str:
+    """``wanted``, lengthened by underscores until no column of the frame has that name (case aside)."""
+    taken = {c.lower() for c in frame.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def discard(frame: DataFrame) -> None:
     """Remove the files of a materialised table that nothing will read again."""
     spark = frame.sparkSession

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from attestra.llm.common import materialise, partitions
+from attestra.llm.common import free_name, materialise, partitions
 from attestra.llm.components import components
 from attestra.llm.op07_near_simhash import tokens
 
@@ -26,7 +26,6 @@ OVER, UNDER = 4, 5
 BANDS, ROWS = 20, 3
 #: Sets of one bucket that are verified together; a larger bucket is dealt into parts.
 CHUNK = 256
-ROW = "__near_row"
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -212,12 +211,13 @@ def keep_one(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, per_band:
     in lower case (ASCII), have a Jaccard similarity of at least 0.8. All
     columns stay, whatever their names.
     """
-    numbered = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "near-documents")
-    rows = numbered.select(F.col(ROW).alias("row"), F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+    place, kept = free_name(docs, "__near_row"), free_name(docs, "__kept")
+    numbered = materialise(docs.withColumn(place, F.monotonically_increasing_id()), "near-documents")
+    rows = numbered.select(F.col(place).alias("row"), F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
     classes, links = near_links(rows, width, bands, per_band, chunk)
     rooted = components(links).select(F.col("node").alias("_n"), F.col("root").alias("_root"))
-    ids = numbered.select(F.col(ROW).alias("_row"), "doc_id")
+    ids = numbered.select(F.col(place).alias("_row"), "doc_id")
     placed = classes.join(rooted, F.col("node") == F.col("_n"), "left").select("row", F.coalesce("_root", "node").alias("root")).join(ids, F.col("row") == F.col("_row"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("row").alias("r"))
-    chosen = placed.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.r").alias("__kept"))
-    return numbered.join(chosen, F.col(ROW) == F.col("__kept"), "left_semi").select(*docs.columns)
+    chosen = placed.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.r").alias(kept))
+    return numbered.join(chosen, F.col(place) == F.col(kept), "left_semi").select(*docs.columns)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from attestra.llm.common import materialise, partitions, whole_text
+from attestra.llm.common import free_name, materialise, partitions, whole_text
 from attestra.llm.components import components
 
 SHINGLE, SIMILARITY = 8, 0.8
@@ -21,16 +21,15 @@ RANGE_BYTES = 32 << 20
 CHARS = 1 << 17
 
 
-ROW = "__line_row"
 
 
-def lines(docs: DataFrame) -> DataFrame:
+def lines(docs: DataFrame, row: str | None = None) -> DataFrame:
     """``doc_id, _row, at, line``: every line of every text, trimmed and in lower case; lines end at \\n.
 
-    ``_row`` is the column ROW where the documents have it, else a number of the row's place.
+    ``_row`` is the column ``row`` of the documents if one is named, else a number of the row's place.
     """
-    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
-    rows = docs.select("doc_id", row.alias("_row"), F.split(whole_text(F.col("text")), "\n").alias("_lines"))
+    place = F.col(row) if row else F.monotonically_increasing_id()
+    rows = docs.select("doc_id", place.alias("_row"), F.split(whole_text(F.col("text")), "\n").alias("_lines"))
     return rows.select("doc_id", "_row", F.posexplode("_lines").alias("at", "_line")).select(
         "doc_id", "_row", "at", F.lower(F.trim(F.replace(F.replace("_line", F.lit("\r"), F.lit(" ")), F.lit("\t"), F.lit(" ")))).alias("line"))
 
@@ -221,7 +220,9 @@ def line_links(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, r
     return met.mapInArrow(_verified(least), "a string, b string")
 
 
-def line_decisions(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK) -> DataFrame:
+def line_decisions(
+    docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK, row: str | None = None,
+) -> DataFrame:
     """One row per document: doc_id, ``_row``, n_lines, n_dropped and ``dropped``, the positions of the lines that go.
 
     Lines are compared trimmed and in lower case. Of a component of similar
@@ -231,7 +232,7 @@ def line_decisions(docs: DataFrame, least: float = SIMILARITY, bands: int = BAND
     of one of them stay.
     """
     rooted = components(line_links(docs, least, bands, rows, chunk)).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    at = lines(docs).select("doc_id", "_row", "at", F.when(F.col("line") != "", identity(F.col("line"))).alias("name"))
+    at = lines(docs, row).select("doc_id", "_row", "at", F.when(F.col("line") != "", identity(F.col("line"))).alias("name"))
     occurrences = materialise(at, "line-places")
     named = occurrences.filter("name IS NOT NULL").join(materialise(rooted, "line-roots"), F.col("name") == F.col("_node"), "left")
     placed = named.select("doc_id", "_row", "at", F.coalesce("_root", "name").alias("root"))
@@ -248,10 +249,11 @@ def line_decisions(docs: DataFrame, least: float = SIMILARITY, bands: int = BAND
 
 def drop_lines(docs: DataFrame, **parameters) -> DataFrame:
     """The documents with their similar lines gone, all columns as they are but ``text``; a text may become empty, a null stays null."""
-    numbered = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered-documents")
-    made = materialise(line_decisions(numbered, **parameters).select(F.col("_row").alias("__row"), F.col("dropped").alias("__dropped")), "line-decisions")
-    met = numbered.join(made, F.col(ROW) == F.col("__row"))
+    place, row, dropped = (free_name(docs, name) for name in ("__line_row", "__row", "__dropped"))
+    numbered = materialise(docs.withColumn(place, F.monotonically_increasing_id()), "numbered-documents")
+    made = materialise(line_decisions(numbered, **parameters, row=place).select(F.col("_row").alias(row), F.col("dropped").alias(dropped)), "line-decisions")
+    met = numbered.join(made, F.col(place) == F.col(row))
     parts = F.split(numbered["text"], "\n")
-    left = F.filter(F.arrays_zip(parts.alias("line"), F.sequence(F.lit(0), F.size(parts) - 1).alias("at")), lambda x: ~F.array_contains(F.col("__dropped"), x["at"]))
+    left = F.filter(F.arrays_zip(parts.alias("line"), F.sequence(F.lit(0), F.size(parts) - 1).alias("at")), lambda x: ~F.array_contains(F.col(dropped), x["at"]))
     text = F.when(numbered["text"].isNotNull(), F.array_join(F.transform(left, lambda x: x["line"]), "\n"))
     return met.select(*[text.alias(c) if c == "text" else numbered[c] for c in docs.columns])

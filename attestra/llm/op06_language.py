@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from attestra.llm.common import free_name
+
 BUCKETS = 1 << 13
 #: Labelled documents per language that the machines are fitted on, at most.
 TRAINING_ROWS = 400
@@ -212,10 +214,11 @@ def keep_known(docs: DataFrame, least: float = 0.0, machines: Machines | None =
 
     Rejected are texts that are ``und`` and those below the score. The default
     asks for a language only: a clean document is not lost to a doubtful score.
+    Where nothing is labelled, nothing can be told: the texts with a letter stay.
     """
     machines = machines or train(docs)
-    if machines is None:
-        return docs.limit(0)
     lettered = F.coalesce(docs["text"].cast("string").rlike(r"\p{L}"), F.lit(False))
-    marked = docs.select("*", lettered.alias("__lettered"))
+    if machines is None:
+        return docs.filter(lettered)
+    marked = docs.select("*", lettered.alias(free_name(docs, "__lettered")))
     return marked.mapInArrow(_known(machines, docs.columns.index("text"), least), docs.schema)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from attestra.llm.common import materialise, partitions, whole_text, words
+from attestra.llm.common import free_name, materialise, partitions, whole_text, words
 from attestra.llm.components import components
 from attestra.llm.simhash import fingerprints
 
@@ -212,9 +212,10 @@ def keep_one(docs: DataFrame, width: int = 4, radius: int = RADIUS, blocks: int
     """
     grouped = near_groups(docs, width, radius, blocks)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("content").alias("c"))
-    chosen = grouped.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.i").alias("__keep_id"), F.col("k.c").alias("__keep_content"))
+    keep_id, keep_content, nth = (free_name(docs, name) for name in ("__keep_id", "__keep_content", "__nth"))
+    chosen = grouped.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.i").alias(keep_id), F.col("k.c").alias(keep_content))
     text = whole_text(docs["text"])
     content = F.xxhash64(text, F.length(text))
-    met = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["__keep_id"]) & (content == chosen["__keep_content"]))
-    same = Window.partitionBy("__keep_id", "__keep_content").orderBy(F.lit(0))
-    return met.withColumn("__nth", F.row_number().over(same)).filter("__nth = 1").select(*[docs[c] for c in docs.columns])
+    met = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen[keep_id]) & (content == chosen[keep_content]))
+    same = Window.partitionBy(keep_id, keep_content).orderBy(F.lit(0))
+    return met.withColumn(nth, F.row_number().over(same)).filter(F.col(nth) == 1).select(*[docs[c] for c in docs.columns])

@@ -6,20 +6,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from attestra.llm.common import WORD, materialise, ordered, whole_text
+from attestra.llm.common import WORD, free_name, materialise, ordered, whole_text
 
 MOST_COPIES, GROUP, SEED = 3, 4096, 20240229
-ROW = "__mix_row"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
+def sizes(docs: DataFrame, row: str | None = None) -> DataFrame:
     """``_row``, doc_id, source, ``size`` in words, and ``_tie``, a hash of id and text that fixes the order of the draw.
 
-    ``_row`` is the column ROW where the documents have it, else a number of the row's place.
+    ``_row`` is the column ``row`` of the documents if one is named, else a number of the row's place.
     """
     text = whole_text(F.col("text"))
-    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
-    return docs.select(row.alias("_row"), "doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+    place = F.col(row) if row else F.monotonically_increasing_id()
+    return docs.select(place.alias("_row"), "doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
                        F.xxhash64(F.lit(SEED), F.coalesce("doc_id", F.lit(0)), text).alias("_tie"))
 
 
@@ -81,7 +80,7 @@ def _round_group(level: int):
     return run
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES, group: int = GROUP) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES, group: int = GROUP, row: str | None = None) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, copies, taken, ``_row``, ``_tie``.
 
     Every document of a source owes the same number of copies, target over size.
@@ -92,7 +91,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_
     than one document. Documents without words are never taken. Null sources are
     one source; repeated rows are documents of their own; reruns agree.
     """
-    sized = materialise(sizes(docs), "sizes")
+    sized = materialise(sizes(docs, row), "sizes")
     wanted = materialise(targets(sized, weights, most), "targets")
     per = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = sized.withColumnRenamed("source", "_s").join(F.broadcast(wanted) if wanted.count() <= 1000 else wanted, F.col("_s").eqNullSafe(F.col("source")))
@@ -125,7 +124,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_
 
 def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES, group: int = GROUP) -> DataFrame:
     """The mix itself: every document as many times as it is taken, all columns as they are."""
-    numbered = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered-documents", compression="zstd")
-    mixed = mix(numbered, weights, most, group).filter("copies > 0").select(F.col("_row").alias("__taken"), F.col("copies").cast("int").alias("__copies"))
-    met = numbered.join(mixed, F.col(ROW) == F.col("__taken")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    place, taken, copies, copy = (free_name(docs, name) for name in ("__mix_row", "__taken", "__copies", "__copy"))
+    numbered = materialise(docs.withColumn(place, F.monotonically_increasing_id()), "numbered-documents", compression="zstd")
+    mixed = mix(numbered, weights, most, group, place).filter("copies > 0").select(F.col("_row").alias(taken), F.col("copies").cast("int").alias(copies))
+    met = numbered.join(mixed, F.col(place) == F.col(taken)).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return met.select(*[numbered[c] for c in docs.columns])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from attestra.llm.common import materialise, whole_text
+from attestra.llm.common import free_name, materialise, whole_text
 from attestra.session import derived_path
 
 STATE = {
@@ -96,8 +96,9 @@ def decisions(docs: DataFrame, digest: Callable[[Column], Column] = sha256, byte
 
 def keep_one(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """The documents with one row of each text, all columns as they are; of rows repeated with the same doc_id any one stays."""
-    made = decisions(docs, digest).filter("kept").select(F.col("keep_id").alias("__keep_id"), F.col("digest").alias("__keep_digest")).distinct()
+    keep_id, keep_digest, keep_text, nth = (free_name(docs, name) for name in ("__keep_id", "__keep_digest", "__keep_text", "__nth"))
+    made = decisions(docs, digest).filter("kept").select(F.col("keep_id").alias(keep_id), F.col("digest").alias(keep_digest)).distinct()
     text = whole_text(docs["text"])
-    met = docs.join(made, docs["doc_id"].eqNullSafe(made["__keep_id"]) & (digest(text) == made["__keep_digest"])).withColumn("__keep_text", whole_text(docs["text"]))
-    same = Window.partitionBy("__keep_id", "__keep_digest").orderBy("__keep_text")
-    return met.withColumn("__nth", F.row_number().over(same)).filter("__nth = 1").select(*[docs[c] for c in docs.columns])
+    met = docs.join(made, docs["doc_id"].eqNullSafe(made[keep_id]) & (digest(text) == made[keep_digest])).withColumn(keep_text, whole_text(docs["text"]))
+    same = Window.partitionBy(keep_id, keep_digest).orderBy(keep_text)
+    return met.withColumn(nth, F.row_number().over(same)).filter(F.col(nth) == 1).select(*[docs[c] for c in docs.columns])
