@@ -148,7 +148,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(held)
 
 
-def _mixed_buckets(shared: DataFrame, links: DataFrame, name: str) -> DataFrame:
+def mixed_buckets(shared: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """``bucket, node, root`` of the buckets that hold more than one component of the links."""
     rooted = components(links).select(F.col("node").alias("_n"), F.col("root").alias("_root"))
     known = shared.join(rooted, F.col("node") == F.col("_n"), "left").select("bucket", "node", F.coalesce("_root", "node").alias("root"))
@@ -156,6 +156,29 @@ def _mixed_buckets(shared: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return materialise(known.join(several, F.col("bucket") == F.col("_bucket"), "left_semi"), name)
 
 
+def open_runs(open_: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``bucket, i, j, node, root``: the runs in which the members of ``open_(bucket, node, root)`` are compared.
+
+    The members of a bucket's largest component meet the others, and the others
+    one another, in parts of about ``chunk``.
+    """
+    counts = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("_n"))
+    dealt = counts.groupBy(F.col("bucket").alias("_b")).agg(F.max(F.struct("_n", "root")).alias("_most"), F.sum("_n").alias("_all"))
+    parts = lambda n: F.ceil(n / chunk).cast("long")
+    dealt = dealt.select("_b", F.col("_most.root").alias("_main"), parts(F.col("_most._n")).alias("_q"), parts(F.col("_all") - F.col("_most._n")).alias("_r"))
+    placed = open_.join(dealt, F.col("bucket") == F.col("_b"))
+    main, hashed = F.col("root") == F.col("_main"), F.xxhash64("node")
+    own = F.pmod(hashed, F.when(main, F.col("_q")).otherwise(F.col("_r")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    run = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    # run (i, j): part i of the others with part j of the main component; from _q on, with another part of the others
+    of_main = F.transform(upto("_r"), lambda i: run(i, F.col("_own")))
+    of_rest = F.concat(F.transform(upto("_q"), lambda j: run(F.col("_own"), j)),
+                       F.transform(F.filter(upto("_r"), lambda o: o != F.col("_own")), lambda o: run(F.least(o, F.col("_own")), F.col("_q") + F.greatest(o, F.col("_own")))))
+    runs = placed.withColumn("_own", own).select("bucket", "node", "root", F.explode(F.when(main, of_main).otherwise(of_rest)).alias("_run"))
+    return runs.select("bucket", "_run.i", "_run.j", "node", "root")
+
+
 def near_links(rows: DataFrame, width: int = WIDTH, bands: int = BANDS, per_band: int = ROWS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """From ``row, words`` (hashes): every row's ``node``, one row of each distinct shingle set, and the verified edges ``(a, b)`` of nodes.
 
@@ -183,22 +206,8 @@ def near_links(rows: DataFrame, width: int = WIDTH, bands: int = BANDS, per_band
     near = similar(F.size(F.array_intersect("shingles", "others")), F.size("shingles") + F.size("others"))
     stars = materialise(both.filter(near).select(F.col("node").alias("a"), F.col("other").alias("b")), "near-stars")
 
-    open_ = _mixed_buckets(met.select("bucket", "node"), stars, "near-open")
-    counts = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("_n"))
-    dealt = counts.groupBy(F.col("bucket").alias("_b")).agg(F.max(F.struct("_n", "root")).alias("_most"), F.sum("_n").alias("_all"))
-    parts = lambda n: F.ceil(n / chunk).cast("long")
-    dealt = dealt.select("_b", F.col("_most.root").alias("_main"), parts(F.col("_most._n")).alias("_q"), parts(F.col("_all") - F.col("_most._n")).alias("_r"))
-    placed = open_.join(dealt, F.col("bucket") == F.col("_b"))
-    main, hashed = F.col("root") == F.col("_main"), F.xxhash64("node")
-    own = F.pmod(hashed, F.when(main, F.col("_q")).otherwise(F.col("_r")))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    run = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
-    # run (i, j): part i of the others with part j of the main component; from _q on, with another part of the others
-    of_main = F.transform(upto("_r"), lambda i: run(i, F.col("_own")))
-    of_rest = F.concat(F.transform(upto("_q"), lambda j: run(F.col("_own"), j)),
-                       F.transform(F.filter(upto("_r"), lambda o: o != F.col("_own")), lambda o: run(F.least(o, F.col("_own")), F.col("_q") + F.greatest(o, F.col("_own")))))
-    runs = placed.withColumn("_own", own).select("bucket", "node", "root", F.explode(F.when(main, of_main).otherwise(of_rest)).alias("_run"))
-    held = runs.select("bucket", "_run.i", "_run.j", "node", "root").join(sets, F.col("node") == F.col("_node")).select("bucket", "i", "j", "node", "root", "shingles")
+    open_ = mixed_buckets(met.select("bucket", "node"), stars, "near-open")
+    held = open_runs(open_, chunk).join(sets, F.col("node") == F.col("_node")).select("bucket", "i", "j", "node", "root", "shingles")
     where = ["bucket", "i", "j"]
     checked = held.repartition(partitions(spark), *where).sortWithinPartitions(*where).mapInArrow(_verified, "a long, b long")
     return classes, stars.unionByName(materialise(checked, "near-checked"))

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from attestra.llm.common import free_name, materialise, partitions, whole_text
+from attestra.llm.common import discard, free_name, materialise, partitions, whole_text
 from attestra.llm.components import components
+from attestra.llm.near_jaccard import mixed_buckets, open_runs
 
 SHINGLE, SIMILARITY = 8, 0.8
 #: 8 bands of 3 minima find a pair of similarity 0.8 with a chance of 0.997, one of 0.9 with 0.99999.
@@ -21,17 +22,15 @@ RANGE_BYTES = 32 << 20
 CHARS = 1 << 17
 
 
-
-
 def lines(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """``doc_id, _row, at, line``: every line of every text, trimmed and in lower case; lines end at \\n.
+    """``doc_id, _row, n_lines, at, line``: every line of every text, trimmed and in lower case; lines end at \\n.
 
-    ``_row`` is the column ``row`` of the documents if one is named, else a number of the row's place.
+    ``n_lines`` is how many lines the text has, ``_row`` is the column ``row`` of the documents if one is named, else a number of the row's place.
     """
     place = F.col(row) if row else F.monotonically_increasing_id()
     rows = docs.select("doc_id", place.alias("_row"), F.split(whole_text(F.col("text")), "\n").alias("_lines"))
-    return rows.select("doc_id", "_row", F.posexplode("_lines").alias("at", "_line")).select(
-        "doc_id", "_row", "at", F.lower(F.trim(F.replace(F.replace("_line", F.lit("\r"), F.lit(" ")), F.lit("\t"), F.lit(" ")))).alias("line"))
+    return rows.select("doc_id", "_row", F.size("_lines").alias("n_lines"), F.posexplode("_lines").alias("at", "_line")).select(
+        "doc_id", "_row", "n_lines", "at", F.lower(F.trim(F.replace(F.replace("_line", F.lit("\r"), F.lit(" ")), F.lit("\t"), F.lit(" ")))).alias("line"))
 
 
 def short_key(line: Column) -> Column:
@@ -86,6 +85,14 @@ def _grouped(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs, same[1:] | same[:-1]
 
 
+SKETCH = pa.schema([("range", pa.int64()), ("pairs", pa.binary()), ("bucket", pa.int64()), ("key", pa.int64()), ("line", pa.string())])
+
+
+def _rows(**given: pa.Array) -> pa.RecordBatch:
+    n = len(next(iter(given.values())))
+    return pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(n, f.type)) for f in SKETCH], schema=SKETCH)
+
+
 def _sketch(bands: int, rows: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,12 +113,11 @@ def _sketch(bands: int, rows: int, ranges: int):
             sent = pairs[~again]
             place = (sent[:, 0] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
             cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, int)
+            yield _rows(key=pa.array(keys), line=pa.array(texts, pa.string()))
             parts = [place[cuts].astype(np.int64), [p.tobytes() for p in np.split(sent, cuts[1:])] if len(cuts) else []]
-            yield pa.RecordBatch.from_arrays([pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.binary()), pa.nulls(len(cuts), pa.int64()), pa.nulls(len(cuts), pa.int64())],
-                                             names=["range", "pairs", "bucket", "key"])
+            yield _rows(range=pa.array(parts[0], pa.int64()), pairs=pa.array(parts[1], pa.binary()))
             direct = pairs[shared].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(direct), pa.int64()), pa.nulls(len(direct), pa.binary()), pa.array(direct[:, 0]), pa.array(direct[:, 1])],
-                                             names=["range", "pairs", "bucket", "key"])
+            yield _rows(bucket=pa.array(direct[:, 0]), key=pa.array(direct[:, 1]))
 
     return run
 
@@ -147,54 +153,78 @@ def similar(a: frozenset, b: frozenset, least: float) -> bool:
     return both >= least * (small + large - both) - 1e-9
 
 
-def forest(names: list[str], texts: list[str], least: float) -> list[tuple[str, str]]:
-    """Verified links that connect what is similar, directly or through others; pairs already connected are not compared."""
-    groups: list[list[int]] = []
-    sets = [shingles(t) for t in texts]
-    edges = []
-    for i in range(len(names)):
-        mine, rest = [i], []
+def forest(nodes: list[int], sets: list[frozenset], roots: list[int], least: float) -> list[tuple[int, int]]:
+    """Verified links that connect what is similar, directly or through others; what is connected already is not compared."""
+    start: dict[int, list[int]] = {}
+    for i, root in enumerate(roots):
+        start.setdefault(root, []).append(i)
+    groups, edges = [], []
+    for mine in start.values():
+        rest = []
         for members in groups:
-            met = next((j for j in members if similar(sets[i], sets[j], least)), None)
+            met = next(((i, j) for i in mine for j in members if similar(sets[i], sets[j], least)), None)
             if met is None:
                 rest.append(members)
             else:
-                edges.append((names[i], names[met]))
+                edges.append((nodes[met[0]], nodes[met[1]]))
                 mine = members + mine
         groups = rest + [mine]
     return edges
 
 
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], names=["a", "b"])
+
+
+def _centred(least: float):
+    """Of ``a, b, line, other``, the pairs whose lines are similar; a run of one ``b`` makes its shingles once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, around = None, frozenset()
+        for batch in batches:
+            found = []
+            for a, b, line, other in zip(*[c.to_pylist() for c in batch.columns]):
+                if b != centre:
+                    centre, around = b, shingles(other)
+                if similar(shingles(line), around, least):
+                    found.append((a, b))
+            yield _edges(found)
+
+    return run
+
+
 def _verified(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(run_names: list[str], run_texts: list[str]) -> list[tuple[str, str]]:
-            known = dict(zip(run_names, run_texts))
-            return forest(list(known), list(known.values()), least)
+        def emit() -> pa.RecordBatch:
+            return _edges(forest(list(held), [s for _, s in held.values()], [r for r, _ in held.values()], least))
 
-        at, names, texts = None, [], []
+        at, held = None, {}
         for batch in batches:
-            out: list[tuple[str, str]] = []
-            columns = [c.to_pylist() for c in batch.columns]
-            for bucket, low, high, name, text in zip(*columns):
-                if (bucket, low, high) != at:
-                    out += emit(names, texts)
-                    at, names, texts = (bucket, low, high), [], []
-                names.append(name)
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.string()), pa.array([e[1] for e in out], pa.string())], names=["a", "b"])
-        out = emit(names, texts)
-        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.string()), pa.array([e[1] for e in out], pa.string())], names=["a", "b"])
+            for *where, node, root, line in zip(*[c.to_pylist() for c in batch.columns]):
+                if where != at:
+                    if len(held) > 1:
+                        yield emit()
+                    at, held = where, {}
+                held[node] = (root, shingles(line))
+        if len(held) > 1:
+            yield emit()
 
     return run
 
 
-def line_links(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK) -> DataFrame:
-    """Edges ``(a, b)`` between identities of lines whose shingle sets have a Jaccard similarity of at least ``least``.
+def line_links(
+    docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK,
+) -> tuple[DataFrame, DataFrame]:
+    """``node, key, line``, the distinct lines that share a bucket, and edges ``(a, b)`` between nodes of lines whose shingle sets have
+    a Jaccard similarity of at least ``least``.
 
     Each task reports every bucket of its lines to the bucket's range once, and
     hands on at once the lines of buckets it fills with two or more, so a bucket
-    that holds a share of the corpus sends a few pairs per batch. Lines of
-    shared buckets meet their text again and are verified exactly.
+    that holds a share of the corpus sends a few pairs per batch; a line that
+    occurs often is written once per batch. Lines of shared buckets meet their
+    text again. Each is verified against the least line of its part of every
+    bucket, each such pair once; this decides buckets of two. Greater buckets
+    that then hold several components are compared in full, in parts, but for
+    what is one component already.
     """
     spark = docs.sparkSession
     every = lines(docs).select("line")
@@ -202,22 +232,37 @@ def line_links(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, r
     # a pair is 16 bytes; a line that counts has 8 characters or more
     ranges = max(partitions(spark), -(-total * bands * 16 // (40 * RANGE_BYTES)))
     long = every.filter(F.length("line") >= SHINGLE).select(short_key(F.col("line")), "line")
-    sketched = materialise(long.mapInArrow(_sketch(bands, rows, ranges), "range long, pairs binary, bucket long, key long"), "line-buckets")
+    sketched = materialise(long.mapInArrow(_sketch(bands, rows, ranges), "range long, pairs binary, bucket long, key long, line string"), "line-buckets")
     dealt = sketched.filter("range IS NOT NULL").select("range", "pairs").repartition(ranges, "range").sortWithinPartitions("range")
     shared = dealt.mapInArrow(_shared, "bucket long, key long").unionByName(sketched.filter("bucket IS NOT NULL").select("bucket", "key")).distinct()
     kept = materialise(shared, "shared-buckets")
 
-    wanted = materialise(kept.select(F.col("key").alias("_key")).distinct(), "shared-lines")
-    keyed = every.filter(F.length("line") >= SHINGLE).select(short_key(F.col("line")).alias("_k"), "line")
-    texts = materialise(keyed.join(wanted, F.col("_k") == F.col("_key"), "left_semi").distinct(), "line-texts")
-    sizes = materialise(kept.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("_parts")).withColumnRenamed("bucket", "_bucket"), "bucket-sizes")
-    sized = kept.join(sizes, F.col("bucket") == F.col("_bucket"))
-    own = F.pmod(F.xxhash64("key"), F.col("_parts"))
-    parted = sized.select("bucket", "key", own.alias("_own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_other"))
-    runs = parted.select("bucket", F.least("_own", "_other").alias("low"), F.greatest("_own", "_other").alias("high"), "key").join(texts, F.col("key") == F.col("_k"))
-    where = ["bucket", "low", "high"]
-    met = runs.select(*where, identity(F.col("line")).alias("name"), "line").repartition(partitions(spark), *where).sortWithinPartitions(*where)
-    return met.mapInArrow(_verified(least), "a string, b string")
+    wanted = kept.select(F.col("key").alias("_key")).distinct()
+    written = sketched.filter("line IS NOT NULL").select("key", "line")
+    several = written.join(wanted, F.col("key") == F.col("_key"), "left_semi").distinct()
+    texts = materialise(several.withColumn("node", F.monotonically_increasing_id()), "line-texts")
+    discard(sketched)
+
+    named = kept.join(texts.select("node", F.col("key").alias("_key")), F.col("key") == F.col("_key")).select("bucket", "node")
+    sizes = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("_least")).withColumnRenamed("bucket", "_bucket")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / chunk).cast("long"))
+    met = materialise(named.join(sizes, F.col("bucket") == F.col("_bucket")).select("bucket", "node", part.alias("part"), "_least", "_n"), "line-members")
+    discard(kept)
+    centres = met.groupBy("bucket", "part").agg(F.min("node").alias("_centre"), F.min("_least").alias("_least"))
+    inner = met.filter(F.col("_n") > chunk).drop("_least").join(centres, ["bucket", "part"]).select(F.col("node").alias("a"), F.col("_centre").alias("b"))
+    outer = centres.select(F.col("_centre").alias("a"), F.col("_least").alias("b"))
+    whole = met.filter(F.col("_n") <= chunk).select(F.col("node").alias("a"), F.col("_least").alias("b"))
+    pairs = whole.unionByName(inner).unionByName(outer).filter("a > b").distinct()
+    line_of = lambda node, line: texts.select(F.col("node").alias(node), F.col("line").alias(line))
+    both = pairs.join(line_of("_a", "_line"), F.col("a") == F.col("_a")).join(line_of("_b", "_other"), F.col("b") == F.col("_b"))
+    centred = both.select("a", "b", "_line", "_other").mapInArrow(_centred(least), "a long, b long")
+    stars = materialise(centred, "line-stars")
+
+    open_ = mixed_buckets(met.filter("_n > 2").select("bucket", "node"), stars, "line-open")
+    held = open_runs(open_, chunk).join(line_of("_node", "line"), F.col("node") == F.col("_node")).select("bucket", "i", "j", "node", "root", "line")
+    where = ["bucket", "i", "j"]
+    checked = held.repartition(partitions(spark), *where).sortWithinPartitions(*where).mapInArrow(_verified(least), "a long, b long")
+    return texts, stars.unionByName(materialise(checked, "line-checked"))
 
 
 def line_decisions(
@@ -231,17 +276,22 @@ def line_decisions(
     text is one blank line. Repeated rows are documents of their own: the lines
     of one of them stay.
     """
-    rooted = components(line_links(docs, least, bands, rows, chunk)).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    at = lines(docs, row).select("doc_id", "_row", "at", F.when(F.col("line") != "", identity(F.col("line"))).alias("name"))
+    texts, links = line_links(docs, least, bands, rows, chunk)
+    rooted = components(links)
+    every = rooted.select("node", "root").unionByName(rooted.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "_n")
+    # names of lines are hexadecimal, those of components are not
+    linked = texts.join(every, F.col("node") == F.col("_n")).select(
+        identity(F.col("line")).alias("_node"), F.concat(F.lit("c"), F.col("root").cast("string"), F.lit(".")).alias("_root"))
+    at = lines(docs, row).select("doc_id", "_row", "n_lines", "at", F.when(F.col("line") != "", identity(F.col("line"))).alias("name"))
     occurrences = materialise(at, "line-places")
-    named = occurrences.filter("name IS NOT NULL").join(materialise(rooted, "line-roots"), F.col("name") == F.col("_node"), "left")
+    named = occurrences.filter("name IS NOT NULL").join(materialise(linked, "line-roots"), F.col("name") == F.col("_node"), "left")
     placed = named.select("doc_id", "_row", "at", F.coalesce("_root", "name").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_row").alias("r"), F.col("at").alias("a"))
     first = placed.groupBy("root").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(
         F.col("root").alias("_r"), F.col("_first.r").alias("_first_row"), F.col("_first.a").alias("_first_at"))
     gone = placed.join(materialise(first, "line-firsts"), F.col("root") == F.col("_r")).filter((F.col("_row") != F.col("_first_row")) | (F.col("at") != F.col("_first_at")))
     lost = gone.groupBy("_row").agg(F.sort_array(F.collect_list("at")).alias("dropped"))
-    counted = occurrences.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_lines"))
+    counted = occurrences.filter("at = 0").select("_row", "doc_id", F.col("n_lines").cast("long").alias("n_lines"))
     none = F.array().cast("array<int>")
     return counted.join(lost.withColumnRenamed("_row", "_lost"), F.col("_row") == F.col("_lost"), "left").select(
         "doc_id", "_row", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), F.coalesce("dropped", none).alias("dropped"))
