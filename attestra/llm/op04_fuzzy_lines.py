@@ -80,12 +80,13 @@ def signatures(texts: list[str], bands: int, rows: int, width: int = SHINGLE) ->
 
 def _grouped(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (bucket, line) pairs in order, and which of them stand in a bucket with another line."""
-    pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])] if len(pairs) else pairs
     same = np.concatenate([[False], pairs[1:, 0] == pairs[:-1, 0], [False]]) if len(pairs) else np.zeros(1, bool)
     return pairs, same[1:] | same[:-1]
 
 
-SKETCH = pa.schema([("range", pa.int64()), ("pairs", pa.binary()), ("bucket", pa.int64()), ("key", pa.int64()), ("line", pa.string())])
+SKETCH = pa.schema([("range", pa.int64()), ("pairs", pa.binary()), ("bucket", pa.int64()), ("key", pa.int64())])
 
 
 def _rows(**given: pa.Array) -> pa.RecordBatch:
@@ -113,7 +114,6 @@ def _sketch(bands: int, rows: int, ranges: int):
             sent = pairs[~again]
             place = (sent[:, 0] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
             cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, int)
-            yield _rows(key=pa.array(keys), line=pa.array(texts, pa.string()))
             parts = [place[cuts].astype(np.int64), [p.tobytes() for p in np.split(sent, cuts[1:])] if len(cuts) else []]
             yield _rows(range=pa.array(parts[0], pa.int64()), pairs=pa.array(parts[1], pa.binary()))
             direct = pairs[shared].view(np.int64)
@@ -219,9 +219,8 @@ def line_links(
 
     Each task reports every bucket of its lines to the bucket's range once, and
     hands on at once the lines of buckets it fills with two or more, so a bucket
-    that holds a share of the corpus sends a few pairs per batch; a line that
-    occurs often is written once per batch. Lines of shared buckets meet their
-    text again. Each is verified against the least line of its part of every
+    that holds a share of the corpus sends a few pairs per batch. Lines of
+    shared buckets meet their text again. Each is verified against the least line of its part of every
     bucket, each such pair once; this decides buckets of two. Greater buckets
     that then hold several components are compared in full, in parts, but for
     what is one component already.
@@ -232,16 +231,18 @@ def line_links(
     # a pair is 16 bytes; a line that counts has 8 characters or more
     ranges = max(partitions(spark), -(-total * bands * 16 // (40 * RANGE_BYTES)))
     long = every.filter(F.length("line") >= SHINGLE).select(short_key(F.col("line")), "line")
-    sketched = materialise(long.mapInArrow(_sketch(bands, rows, ranges), "range long, pairs binary, bucket long, key long, line string"), "line-buckets")
+    sketched = materialise(long.mapInArrow(_sketch(bands, rows, ranges), "range long, pairs binary, bucket long, key long"), "line-buckets")
     dealt = sketched.filter("range IS NOT NULL").select("range", "pairs").repartition(ranges, "range").sortWithinPartitions("range")
     shared = dealt.mapInArrow(_shared, "bucket long, key long").unionByName(sketched.filter("bucket IS NOT NULL").select("bucket", "key")).distinct()
     kept = materialise(shared, "shared-buckets")
 
-    wanted = kept.select(F.col("key").alias("_key")).distinct()
-    written = sketched.filter("line IS NOT NULL").select("key", "line")
-    several = written.join(wanted, F.col("key") == F.col("_key"), "left_semi").distinct()
-    texts = materialise(several.withColumn("node", F.monotonically_increasing_id()), "line-texts")
     discard(sketched)
+    wanted = kept.select(F.col("key").alias("_key")).distinct()
+    keyed = long.withColumnRenamed(long.columns[0], "key")
+    # written before equal lines are combined, so that the join may split a line that occurs often
+    several = materialise(keyed.join(wanted, F.col("key") == F.col("_key"), "left_semi"), "shared-lines")
+    texts = materialise(several.distinct().withColumn("node", F.monotonically_increasing_id()), "line-texts")
+    discard(several)
 
     named = kept.join(texts.select("node", F.col("key").alias("_key")), F.col("key") == F.col("_key")).select("bucket", "node")
     sizes = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("_least")).withColumnRenamed("bucket", "_bucket")
