@@ -89,6 +89,34 @@ def test_polygon_with_hole_area_and_containment(spark):
     assert [(r.x, r.y) for r in cells.orderBy("point_id").collect()][:4] == [(5.0, 15.0), (15.0, 15.0), (25.0, 15.0), (5.0, 5.0)]
 
 
+def test_containment_in_polygons_of_any_extent(spark):
+    import random
+
+    rng = random.Random(7)
+    shapes = {}
+    for polygon, size in enumerate([0.5, 3.0, 40.0, 1000.0, 65536.0]):
+        x, y = rng.uniform(-50, 50), rng.uniform(-50, 50)
+        shape = [(x, y), (x + size, y), (x + size, y + size), (x + size / 2, y + size / 3), (x, y + size)]
+        shapes[polygon] = shape + shape[:1]
+    corners = [(p, i, float(x), float(y)) for p, shape in shapes.items() for i, (x, y) in enumerate(shape)]
+    lines = geometry.edges(spark.createDataFrame(corners, "polygon_id int, seq int, x double, y double"), ["polygon_id"])
+    places = [(i, rng.uniform(-60, 120), rng.uniform(-60, 120)) for i in range(300)]
+    places += [(300 + i, rng.uniform(0, 70000), rng.uniform(0, 70000)) for i in range(100)] + [(400, *shapes[2][0]), (401, *shapes[2][2])]
+
+    def inside(x, y, shape):
+        odd = False
+        for (x1, y1), (x2, y2) in zip(shape, shape[1:]):
+            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                odd = not odd
+        return odd
+
+    points = spark.createDataFrame(places, "point_id long, x double, y double")
+    made = sorted((r.point_id, r.polygon_id) for r in geometry.contained(points, lines, "polygon_id", 50.0).collect())
+    assert made == sorted((i, p) for i, x, y in places for p, shape in shapes.items() if inside(x, y, shape))
+    cells = geometry.cover(lines, "polygon_id", 50.0).groupBy("polygon_id", "border").count().collect()
+    assert all(r["count"] <= 17 * 17 for r in cells) and any(not r.border for r in cells if r.polygon_id == 4)
+
+
 def test_boundary_at_the_central_meridian(spark):
     p = one(spark, geo.utm54(F.lit(141.0), F.lit(-36.0)))
     assert p.x == pytest.approx(500000.0) and 6_010_000 < p.y < 6_020_000
