@@ -46,3 +46,11 @@ def test_pixel_scan_prunes_partitions_and_columns(spark):
 
 def test_derived_tables_go_to_the_shared_folder(spark):
     assert derived_path(spark, "x").startswith(shared_folder(spark))
+
+
+@pytest.mark.parametrize("name", ["mosaic", "qualify_requests", "source_allowlist"])
+def test_fixed_policy_rows_are_broadcast(spark, name):
+    """A shuffle by their few keys would bring a third of all rows to one task."""
+    text = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().sparkPlan().toString()
+    fixed = [line for line in text.splitlines() if "Join" in line and any(key in line for key in ("[platform#", "[claim_family#", "[source_id#"))]
+    assert fixed and all("BroadcastHashJoin" in line for line in fixed), text
