@@ -17,7 +17,8 @@ def append_sequences(stream: DataFrame, path: str, rejects: str, checkpoint: str
     """Idempotent append of (workflow, sequence, state).
 
     The same state again is a no-op; another state for a stored sequence, an
-    unsafe id or a sequence below one is written to ``rejects``. Gaps are
+    unsafe id or a sequence below one is written to ``rejects``. Rows without a
+    usable place name nothing, so equal ones are rejected one by one. Gaps are
     reported on the stored table by :func:`attestra.operators.ledger.sequence_gaps`.
     """
     key = ["workflow_id", "sequence"]
@@ -25,18 +26,20 @@ def append_sequences(stream: DataFrame, path: str, rejects: str, checkpoint: str
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         usable = safe_identifier(F.col("workflow_id")) & (F.col("sequence") >= 1)
-        rows = batch.select(*key, "state").distinct().withColumn("_usable", F.coalesce(usable, F.lit(False)))
+        delivered = batch.select(*key, "state", F.coalesce(usable, F.lit(False)).alias("_usable"))
+        rows = delivered.filter("_usable").distinct()
         known = stored(spark, path, APPEND_SCHEMA, before=batch_id, like=rows, key="workflow_id").select(*key, F.col("state").alias("_stored"))
-        firsts = rows.filter("_usable").groupBy(*key).agg(F.min("state").alias("_first"))
+        firsts = rows.groupBy(*key).agg(F.min("state").alias("_first"))
         judged = rows.join(known, key, "left").join(firsts, key, "left")
         reason = (
-            F.when(~F.col("_usable"), "UNSAFE_KEY")
-            .when(F.col("_stored").isNotNull() & (F.col("_stored") != F.col("state")), "COLLISION")
+            F.when(F.col("_stored").isNotNull() & (F.col("_stored") != F.col("state")), "COLLISION")
             .when(F.col("_stored").isNull() & (F.col("_first") != F.col("state")), "COLLISION")
         )
         judged = judged.withColumn("reason", reason)
         write_batch(judged.filter("reason IS NULL AND _stored IS NULL").select(*key, "state"), path, batch_id, "workflow_id")
-        write_batch(judged.filter("reason IS NOT NULL").select(*key, "state", "reason"), rejects, batch_id, "workflow_id")
+        unplaced = delivered.filter("NOT _usable").select(*key, "state", F.lit("UNSAFE_KEY").alias("reason"))
+        collided = judged.filter("reason IS NOT NULL").select(*key, "state", "reason")
+        write_batch(collided.unionByName(unplaced), rejects, batch_id, "workflow_id")
 
     drain(stream, each, checkpoint=checkpoint)
 

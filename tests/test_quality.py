@@ -181,3 +181,14 @@ def test_replay_finds_altered_inputs_policies_and_results(spark):
     for run, r in found.items():
         assert r.inputs_equal == (run % 7 != 0) and r.policy_equal == (run % 11 != 0)
         assert r.result_equal or run % 7 == 0 or run % 11 == 0 or run % 13 == 0
+
+
+def test_every_row_without_a_usable_place_is_rejected(spark, tmp_path):
+    """Equal rows from different sources are as many rejections; a collision counts once."""
+    path, rejects, source = str(tmp_path / "kept"), str(tmp_path / "rejected"), str(tmp_path / "in")
+    rows = [("-bad", 1, "x"), ("-bad", 1, "x"), ("w", 0, "x"), ("w", 0, "x"), ("w", 1, "a"), ("w", 1, "b"), ("w", 1, "b"), ("w", 1, "a")]
+    spark.createDataFrame(rows, ledgers.APPEND_SCHEMA).coalesce(1).write.parquet(source)
+    ledgers.append_sequences(sinks.read_stream(spark, source, ledgers.APPEND_SCHEMA), path, rejects, str(tmp_path / "checkpoint"))
+    bad = sorted((r.workflow_id, r.sequence, r.reason) for r in sinks.stored(spark, rejects, ledgers.REJECT_SCHEMA).collect())
+    assert bad == [("-bad", 1, "UNSAFE_KEY")] * 2 + [("w", 0, "UNSAFE_KEY")] * 2 + [("w", 1, "COLLISION")]
+    assert [r.state for r in sinks.stored(spark, path, ledgers.APPEND_SCHEMA).collect()] == ["a"]
