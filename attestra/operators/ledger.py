@@ -25,11 +25,11 @@ def retryable(http_code: Column) -> Column:
 def attempt_stats(attempts: DataFrame, key: str, order: Sequence[str], outcome: str) -> DataFrame:
     """Attempts, first and terminal outcome, and the delays before the attempts, per request.
 
-    ``scheduled_delays`` are those of the schedule that were waited; attempts
-    beyond it each wait its last delay. ``last_delay`` came before the last
-    attempt and ``waited_seconds`` is the sum of all, so a row is as short for a
-    request of any number of attempts. ``over_limit`` marks requests with more
-    attempts than allowed.
+    ``delays`` lists the delay before every attempt, joined by commas; attempts
+    beyond the schedule each wait its last delay. The list follows from the
+    count alone, so no attempts are gathered for it. ``last_delay`` came before
+    the last attempt and ``waited_seconds`` is the sum of all. ``over_limit``
+    marks requests with more attempts than allowed.
     """
     schedule = list(fixed.RETRY_DELAYS_SECONDS)
     moment = F.struct(*order)
@@ -40,10 +40,12 @@ def attempt_stats(attempts: DataFrame, key: str, order: Sequence[str], outcome:
     within = F.least(F.col("attempt_count"), F.lit(len(schedule))).cast("int")
     waited = F.slice(F.array(*[F.lit(d) for d in schedule]), F.lit(1), within)
     total = F.aggregate("scheduled_delays", F.lit(0).cast("long"), lambda x, d: x + d) + (F.col("attempt_count") - within) * schedule[-1]
+    beyond = F.repeat(F.lit(f",{schedule[-1]}"), (F.col("attempt_count") - within).cast("int"))
     return made.withColumn("scheduled_delays", waited).select(
-        "*", F.element_at("scheduled_delays", -1).alias("last_delay"), total.alias("waited_seconds"),
+        "*", F.concat(F.array_join("scheduled_delays", ","), beyond).alias("delays"),
+        F.element_at("scheduled_delays", -1).alias("last_delay"), total.alias("waited_seconds"),
         (F.col("attempt_count") > fixed.NETWORK_MAX_ATTEMPTS).alias("over_limit"),
-    )
+    ).drop("scheduled_delays")
 
 
 def first_last(events: DataFrame, key: str, order: Sequence[str], identifier: str) -> DataFrame:

@@ -192,3 +192,9 @@ def test_every_row_without_a_usable_place_is_rejected(spark, tmp_path):
     bad = sorted((r.workflow_id, r.sequence, r.reason) for r in sinks.stored(spark, rejects, ledgers.REJECT_SCHEMA).collect())
     assert bad == [("-bad", 1, "UNSAFE_KEY")] * 2 + [("w", 0, "UNSAFE_KEY")] * 2 + [("w", 1, "COLLISION")]
     assert [r.state for r in sinks.stored(spark, path, ledgers.APPEND_SCHEMA).collect()] == ["a"]
+
+
+def test_a_delay_before_every_attempt(spark):
+    rows = spark.createDataFrame([(n, i, "x") for n in (1, 2, 3, 6) for i in range(n)], "k int, ts int, outcome string")
+    made = {r.k: r.delays for r in ledger.attempt_stats(rows, "k", ["ts"], "outcome").collect()}
+    assert made == {1: "0", 2: "0,2", 3: "0,2,5", 6: "0,2,5,5,5,5"}

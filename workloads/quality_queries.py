@@ -307,13 +307,13 @@ def reason_semantics(t: Tables) -> DataFrame:
 
 @query("attempt_stats", """
 SELECT user_id, count(*) AS attempt_count, arg_min(event_type, (ts, event_id)) AS first_outcome, arg_max(event_type, (ts, event_id)) AS terminal_outcome,
-       '0' || CASE WHEN count(*) >= 2 THEN ',2' ELSE '' END || CASE WHEN count(*) >= 3 THEN ',5' ELSE '' END AS delays,
+       '0' || CASE WHEN count(*) >= 2 THEN ',2' ELSE '' END || repeat(',5', greatest(count(*) - 2, 0)) AS delays,
        CASE WHEN count(*) = 1 THEN 0 WHEN count(*) = 2 THEN 2 ELSE 5 END AS last_delay,
        CASE WHEN count(*) = 1 THEN 0 ELSE 2 + 5 * (count(*) - 2) END AS waited_seconds, count(*) > 3 AS over_limit
 FROM events GROUP BY user_id""")
 def attempt_stats(t: Tables) -> DataFrame:
     made = ledger.attempt_stats(t.events, "user_id", ["ts", "event_id"], "event_type")
-    return made.select("user_id", "attempt_count", "first_outcome", "terminal_outcome", F.array_join("scheduled_delays", ",").alias("delays"),
+    return made.select("user_id", "attempt_count", "first_outcome", "terminal_outcome", "delays",
                        F.col("last_delay").cast("int").alias("last_delay"), F.col("waited_seconds").cast("long").alias("waited_seconds"), "over_limit")
 
 
