@@ -198,3 +198,15 @@ def test_a_delay_before_every_attempt(spark):
     rows = spark.createDataFrame([(n, i, "x") for n in (1, 2, 3, 6) for i in range(n)], "k int, ts int, outcome string")
     made = {r.k: r.delays for r in ledger.attempt_stats(rows, "k", ["ts"], "outcome").collect()}
     assert made == {1: "0", 2: "0,2", 3: "0,2,5", 6: "0,2,5,5,5,5"}
+
+
+def test_equal_places_and_equal_polygons_are_tested_once(spark, monkeypatch):
+    square = lambda k, d: [(k, d, d, d + 4, d), (k, d + 4, d, d + 4, d + 4), (k, d + 4, d + 4, d, d + 4), (k, d, d + 4, d, d)]
+    edges = spark.createDataFrame([tuple(map(float, e[1:])) + (e[0],) for k, d in ((1, 0), (2, 0), (3, 0), (4, 3)) for e in square(k, d)],
+                                  "x1 double, y1 double, x2 double, y2 double, polygon_id long")
+    points = spark.createDataFrame([(7, 1.0, 1.0), (8, 1.0, 1.0), (9, 3.5, 3.5), (10, 9.0, 9.0)], "point_id long, x double, y double")
+    covered, cover = [], geometry.cover
+    monkeypatch.setattr(geometry, "cover", lambda found, key, *rest: covered.append(found.select(key).distinct().count()) or cover(found, key, *rest))
+    pairs = {(r.point_id, r.polygon_id) for r in geometry.contained(points, edges, "polygon_id", 2.0).collect()}
+    assert pairs == {(p, k) for p in (7, 8, 9) for k in (1, 2, 3)} | {(9, 4)}
+    assert covered == [2]
