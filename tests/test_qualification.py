@@ -202,3 +202,11 @@ def test_statement_is_what_its_cited_facts_say(spark):
     assert {r.request_id for r in qualification.unsupported_statements(stored, requests, facts).collect()} == {2, 3, 4, 5}
     unknown = stored.selectExpr("request_id", "bounded_statement", "array(named_struct('fact_id', 'gone')) AS evidence_refs")
     assert qualification.unsupported_statements(unknown, requests, facts).count() == 6
+
+
+def test_frozen_values_are_read_without_making_the_map(spark):
+    made = F.create_map(F.lit("commit"), F.concat(F.lit("c"), "id"), F.lit("run"), F.concat(F.lit("r"), "id")).alias("attributes")
+    facts = spark.range(3).select(F.lit("INTEGRITY").alias("role"), made)
+    flags = facts.select(*ev.frozen_flags(F.col("role"), F.col("attributes"), {"INTEGRITY": {"commit": "c1"}}))
+    assert [r.frozen_0 for r in flags.collect()] == [False, True, False]
+    assert "map(" not in flags._jdf.queryExecution().optimizedPlan().toString()
