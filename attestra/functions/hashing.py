@@ -134,6 +134,18 @@ def _snapshots(keys: int):
     return run
 
 
+def _snapshot_entry(document_sha256: Column, evidence_id: Column) -> Column:
+    return F.concat(F.lit('{"document_sha256":"'), document_sha256, F.lit('","evidence_id":"'), evidence_id, F.lit('"}'))
+
+
+def listed_snapshot_sha256(refs: Column) -> Column:
+    """The flat snapshot hash of the distinct documents that one row's references name; NULL where there is none."""
+    entries = F.transform(refs, lambda r: F.struct(r["evidence_id"].alias("id"), _snapshot_entry(r["document_sha256"], r["evidence_id"]).alias("entry")))
+    held = F.array_sort(F.array_distinct(F.filter(entries, lambda e: e["entry"].isNotNull())))
+    listed = F.array_join(F.transform(held, lambda e: e["entry"]), ",")
+    return F.when(F.size(held) > 0, sha256_text(F.concat(F.lit("["), listed, F.lit("]"))))
+
+
 def snapshot_sha256(documents: DataFrame, keys: list[str], limit: int = fixed.MAX_EVIDENCE_DOCUMENTS) -> DataFrame:
     """Flat snapshot hash of one evidence memory: canonical JSON of its sorted documents.
 
@@ -142,10 +154,7 @@ def snapshot_sha256(documents: DataFrame, keys: list[str], limit: int = fixed.MA
     memory is read by one task; its rows are sorted by Spark, which spills, and
     pass through the hash one after the other, never held together.
     """
-    entry = F.concat(
-        F.lit('{"document_sha256":"'), F.col("document_sha256"),
-        F.lit('","evidence_id":"'), F.col("evidence_id"), F.lit('"}'),
-    )
+    entry = _snapshot_entry(F.col("document_sha256"), F.col("evidence_id"))
     ordered = documents.select(*keys, entry.alias("_entry"), F.col("evidence_id").alias("_id")).filter(F.col("_entry").isNotNull())
     ordered = ordered.repartition(*keys).sortWithinPartitions(*keys, "_id", "_entry").drop("_id")
     schema = T.StructType([f for f in ordered.schema if f.name in keys]).add("document_count", "long").add("memory_snapshot_sha256", "string")

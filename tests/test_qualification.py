@@ -210,3 +210,36 @@ def test_frozen_values_are_read_without_making_the_map(spark):
     flags = facts.select(*ev.frozen_flags(F.col("role"), F.col("attributes"), {"INTEGRITY": {"commit": "c1"}}))
     assert [r.frozen_0 for r in flags.collect()] == [False, True, False]
     assert "map(" not in flags._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_records_from_one_aggregation_equal_those_from_ranked_facts(spark):
+    facts = spark.createDataFrame(
+        registry("P1") + observation() + registry("P2", key="method_type", value='"Waste"')
+        + [fact("X1", "P2", "REGISTRY_FACTS", ["registry"], "PUBLIC_REGISTRY_FACTS", key="method_type", value='"Vegetation"'),
+           fact("N", "P4", "REGISTRY_FACTS", ["registry", "project_identity"], "PUBLIC_REGISTRY_FACTS"), fact("T", "P5", "REGISTRY_FACTS", ["else"], "PUBLIC_REGISTRY_FACTS")],
+        FACTS).selectExpr("*", "concat('E', subject_id, right(fact_id, 1)) AS evidence_id", "sha2(subject_id, 256) AS document_sha256")
+    asked = spark.createDataFrame(
+        [ask(f"R{i}", subject, "REGISTRY_FACTS") for i, subject in enumerate(("P1", "P2", "P4", "P5", "P6", "P1"))]
+        + [ask("O", "EOP101132", "OBSERVATIONAL_CONSISTENCY"), ask("C", "P1", "CARBON_QUANTITY"), ask("U", "P1", "NO_FAMILY"), ask("M", "P1", "REGISTRY_FACTS", minimum=date(2027, 1, 1))], REQUESTS)
+    rules = registries.claim_rules(spark)
+    results = qualification.qualify(asked, qualification.gather(facts, rules, BINDINGS), rules)
+    ranked = ev.ranked_facts(ev.scored_facts(ev.request_facts(asked, facts), rules))
+    expected = qualification.result_records(results, ranked, ["a"], ["b"])
+    pairs = ev.request_facts(ev.asked_requests(asked, rules), facts).filter("fact_id IS NOT NULL")
+    made = qualification.request_records(asked, qualification.request_evidence(pairs, BINDINGS), rules, ["a"], ["b"])
+    by_id = lambda frame: {r.request_id: r.asDict(True) for r in frame.collect()}
+    got = by_id(made)
+    assert got == by_id(expected) and len(got) == 10
+    assert {k: r["workflow_status"] for k, r in got.items() if r["bounded_statement"]} == {"R0": "QUALIFIED", "R5": "QUALIFIED", "O": "ABSTAINED"}
+    assert got["R2"]["reason_codes"] == ["REQUIRED_FIELD_MISSING"] and got["R1"]["reason_codes"] == ["EVIDENCE_CONFLICT_UNRESOLVED"]
+    memory = facts.filter("subject_id = 'P1'").select("subject_id", "evidence_id", "document_sha256")
+    assert got["R0"]["memory_snapshot_sha256"] == hashing.snapshot_sha256(memory, ["subject_id"]).first().memory_snapshot_sha256
+
+
+def test_facts_meet_their_requests_once(spark):
+    from workloads.evidence_queries import records
+    from workloads.registry import Tables
+
+    plan = records(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_extendedprice") > 0 and sum("Relation" in line and "l_orderkey" in line for line in plan.splitlines()) == 1
+    assert "Window" not in plan and "MapInArrow" not in plan
