@@ -1,16 +1,16 @@
 """Scene metadata XML: solar zenith and per-band calibration.
 
-Each document is parsed once, in Arrow batches, to the few texts that matter;
+Each document is parsed once, and equal ones of an Arrow batch together, to the few texts that matter;
 the rules on those texts are columns. (The JVM's ``xpath`` function parses the
 document anew for every path and took about a hundred times as long.)
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from attestra import fixed_values as fixed
@@ -33,27 +33,34 @@ def _root(document: str | None):
 
 
 _TEXTS = T.ArrayType(T.StringType())
-_CALIBRATION = T.StructType([T.StructField(n, _TEXTS) for n in ("quantification", "B04", "B08", "nodata")])
+_PARTS = ("quantification", "B04", "B08", "nodata")
+_CALIBRATION = T.StructType([T.StructField(n, _TEXTS) for n in _PARTS])
 
 
-@F.pandas_udf(_TEXTS)
-def _zenith_texts(documents: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _parsed_once(documents: Iterator[pa.Array], one: Callable[[str | None], object], kind: pa.DataType) -> Iterator[pa.Array]:
+    """Equal documents of a batch are parsed once."""
+    for batch in documents:
+        distinct = batch.dictionary_encode(null_encoding="encode")
+        yield pa.array([one(d) for d in distinct.dictionary.to_pylist()], kind).take(distinct.indices)
+
+
+@F.arrow_udf(_TEXTS)
+def _zenith_texts(documents: Iterator[pa.Array]) -> Iterator[pa.Array]:
     def one(document):
         root = _root(document)
         if root is None:
             return []
         return sorted({t for mean in _named(root, "Mean_Sun_Angle") for t in _texts(_named(mean, "ZENITH_ANGLE"))})
 
-    for batch in documents:
-        yield batch.map(one)
+    yield from _parsed_once(documents, one, pa.list_(pa.string()))
 
 
-@F.pandas_udf(_CALIBRATION)
-def _calibration_texts(documents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+@F.arrow_udf(_CALIBRATION)
+def _calibration_texts(documents: Iterator[pa.Array]) -> Iterator[pa.Array]:
     def one(document):
         root = _root(document)
         if root is None:
-            return [], [], [], []
+            return dict.fromkeys(_PARTS, [])
         offsets = list(_named(root, "BOA_ADD_OFFSET"))
         of_band = lambda band: _texts(e for e in offsets if e.get("band_id") == fixed.BAND_IDS[band])
         nodata = set()
@@ -61,10 +68,9 @@ def _calibration_texts(documents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]
             label = _texts(_named(special, "SPECIAL_VALUE_TEXT"))
             if label and label[0].upper() == "NODATA":
                 nodata.update(_texts(_named(special, "SPECIAL_VALUE_INDEX")))
-        return _texts(_named(root, "BOA_QUANTIFICATION_VALUE")), of_band("B04"), of_band("B08"), sorted(nodata)
+        return dict(zip(_PARTS, (_texts(_named(root, "BOA_QUANTIFICATION_VALUE")), of_band("B04"), of_band("B08"), sorted(nodata))))
 
-    for batch in documents:
-        yield pd.DataFrame([one(d) for d in batch], columns=["quantification", "B04", "B08", "nodata"])
+    yield from _parsed_once(documents, one, pa.struct([(name, pa.list_(pa.string())) for name in _PARTS]))
 
 
 def _only_number(texts: Column) -> Column:

@@ -112,3 +112,15 @@ def test_xml_metadata(spark):
     assert [r.mean_solar_zenith_angle for r in got] == [42.5, None, None]
     assert got[0].radiometry["B04"].offset == pytest.approx(-0.1) and got[0].radiometry["B08"].offset == 0.0
     assert got[1].radiometry["B04"] is None and got[2].radiometry["B08"] is None
+
+
+def test_equal_metadata_documents_are_parsed_once():
+    import pyarrow as pa
+
+    from attestra.functions import xmlmeta
+
+    seen = []
+    one = lambda d: seen.append(d) or ([] if d is None else [d])
+    got = list(xmlmeta._parsed_once(iter([pa.array(["a", None, "b", "a", "a", None]), pa.array([], pa.string())]), one, pa.list_(pa.string())))
+    assert [g.to_pylist() for g in got] == [[["a"], [], ["b"], ["a"], ["a"], []], []]
+    assert sorted(seen, key=str) == [None, "a", "b"]
