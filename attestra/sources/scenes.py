@@ -73,5 +73,5 @@ def nested_as_json(frame: DataFrame) -> DataFrame:
     return frame.select(*flat)
 
 
-def write_csv(frame: DataFrame, path: str) -> None:
-    nested_as_json(frame).write.option("header", True).option("escape", '"').csv(path)
+def write_csv(frame: DataFrame, path: str, **options: str | int) -> None:
+    nested_as_json(frame).write.option("header", True).option("escape", '"').options(**options).csv(path)

@@ -124,3 +124,16 @@ def test_equal_metadata_documents_are_parsed_once():
     got = list(xmlmeta._parsed_once(iter([pa.array(["a", None, "b", "a", "a", None]), pa.array([], pa.string())]), one, pa.list_(pa.string())))
     assert [g.to_pylist() for g in got] == [[["a"], [], ["b"], ["a"], ["a"], []], []]
     assert sorted(seen, key=str) == [None, "a", "b"]
+
+
+def test_pages_are_written_compressed_from_narrow_lines(spark):
+    import os
+
+    from workloads.registry import Tables
+    from workloads.scene_queries import _feature_pages, inventory_csv
+
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    folder = _feature_pages(tables).removeprefix("file:")
+    parts = [name for name in os.listdir(folder) if name.startswith("part-")]
+    assert parts and all(name.endswith(".json.gz") for name in parts)
+    assert all(name.endswith(".csv.gz") for name in inventory_csv(tables).inputFiles())

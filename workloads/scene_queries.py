@@ -34,7 +34,11 @@ def _feature_pages(t: Tables) -> str:
         F.create_map(F.lit("B08"), href("nir"), F.lit("B04"), href("red"), F.lit("SCL"), href("scl")).alias("assets"),
     )
     path = derived_path(t.spark, "feature-pages")
-    t.lineitem.groupBy("l_orderkey").agg(F.collect_list(item).alias("features")).select("features").write.json(path)
+    # lines are dealt as they are and become items, which are far wider, only where the pages are written
+    dealt = t.lineitem.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    pages = dealt.groupBy("l_orderkey").agg(F.collect_list(item).alias("features")).select("features")
+    # compressed files are not split when read, so each holds a bounded number of pages
+    pages.write.option("compression", "gzip").option("maxRecordsPerFile", 50_000).json(path)
     return path
 
 
@@ -60,7 +64,7 @@ def inventory_csv(t: Tables) -> DataFrame:
     rows = scene_source.inventory_rows(scene_source.read_feature_pages(t.spark, _feature_pages(t)), F.lit("pre"))
     path = derived_path(t.spark, "inventory-csv")
     kept = rows.select("item_id", "platform", "asset_keys", "exclusion_reasons")
-    scene_source.write_csv(kept, path)
+    scene_source.write_csv(kept, path, compression="gzip", maxRecordsPerFile=1_000_000)
     declared = "item_id string, platform string, asset_keys string, exclusion_reasons string"
     return t.spark.read.schema(declared).option("header", True).option("escape", '"').csv(path)
 
