@@ -58,6 +58,16 @@ def identity_conflicts(items: DataFrame) -> DataFrame:
     return by_id.unionByName(by_acquisition).filter("variants > 1")
 
 
+def unclear_windows(items: DataFrame) -> DataFrame:
+    """Windows with an item or an acquisition of :func:`identity_conflicts`, from the least and greatest identity of each: one shuffle, no counting."""
+    whole = items.dropna(subset=["platform", "datatake_id", "mgrs_tile", "datetime"])
+    identity = F.struct("platform", "datatake_id", "mgrs_tile", "datetime")
+    by_id = whole.groupBy("win", "id").agg((F.min(identity) != F.max(identity)).alias("_differ"))
+    by_acquisition = items.groupBy("win", F.concat_ws("/", "platform", "datatake_id").alias("key")).agg(
+        F.coalesce(F.min("datetime") != F.max("datetime"), F.lit(False)).alias("_differ"))
+    return by_id.select("win", "_differ").unionByName(by_acquisition.select("win", "_differ")).filter("_differ").select("win").distinct()
+
+
 def identity_violation(collection: str | None = None) -> Column:
     """First unusable identity field of an item, as a reason code, or NULL."""
     blank = lambda c: F.coalesce(F.length(F.trim(F.col(c).cast("string"))), F.lit(0)) == 0
@@ -79,7 +89,7 @@ def window_stops(items: DataFrame, components: DataFrame, collection: str | None
     rank with different assets.
     """
     unusable = items.select("win", identity_violation(collection).alias("code"), F.lit(1).alias("place")).filter("code IS NOT NULL").distinct()
-    unclear = identity_conflicts(items).select("win", F.lit("ACQUISITION_IDENTITY_UNRESOLVED").alias("code"), F.lit(2).alias("place")).distinct()
+    unclear = unclear_windows(items).select("win", F.lit("ACQUISITION_IDENTITY_UNRESOLVED").alias("code"), F.lit(2).alias("place"))
     equal = components.filter("ambiguous").select("win", F.lit("ACQUISITION_REPRESENTATION_AMBIGUOUS").alias("code"), F.lit(3).alias("place")).distinct()
     found = unusable.unionByName(unclear).unionByName(equal).groupBy("win", "code").agg(F.min("place").alias("place"))
     return found.groupBy("win").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "code"))), lambda c: c["code"]).alias("stop_codes"))
@@ -199,6 +209,27 @@ def canonical_components(items: DataFrame) -> DataFrame:
     time, map-side, so a component of any size is fine. Run after
     :func:`dedupe`: ids must be unique.
     """
+    best = F.max_by(F.struct("_first", "_count", "_ambiguous"), F.struct("_baseline", "_time"))
+    return _ties(items).groupBy(*COMPONENT).agg(best.alias("_best"), F.sum("_count").alias("candidate_count")).select(
+        *COMPONENT,
+        F.col("_best._first.id").alias("selected_item_id"),
+        F.col("_best._first.datetime").alias("datetime"),
+        F.col("_best._first.reasons").alias("exclusion_reasons"),
+        F.col("_best._count").alias("finalist_count"),
+        F.col("_best._ambiguous").alias("ambiguous"),
+        "candidate_count",
+    )
+
+
+def component_gates(items: DataFrame) -> DataFrame:
+    """Per component of :func:`canonical_components` only whether the chosen item is admissible and whether it is ambiguous."""
+    gates = F.struct((F.size("_first.reasons") == 0).alias("admissible"), "_ambiguous")
+    best = _ties(items).groupBy(*COMPONENT).agg(F.max_by(gates, F.struct("_baseline", "_time")).alias("_best"))
+    return best.select(*COMPONENT, F.col("_best.admissible").alias("admissible"), F.col("_best._ambiguous").alias("ambiguous"))
+
+
+def _ties(items: DataFrame) -> DataFrame:
+    """Candidates of equal baseline and time: the one of least id, how many there are and whether their assets differ."""
     ties = items.groupBy(
         *COMPONENT, version_key(F.col("processing_baseline")).alias("_baseline"), F.col("processing_datetime").alias("_time")
     ).agg(
@@ -209,19 +240,7 @@ def canonical_components(items: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_count"),
         F.min(asset_identity(F.col("assets"))).alias("_low"), F.max(asset_identity(F.col("assets"))).alias("_high"),
     )
-    best = F.max_by(
-        F.struct("_first", F.col("_count"), (~F.col("_low").eqNullSafe(F.col("_high"))).alias("_ambiguous")),
-        F.struct("_baseline", "_time"),
-    )
-    return ties.groupBy(*COMPONENT).agg(best.alias("_best"), F.sum("_count").alias("candidate_count")).select(
-        *COMPONENT,
-        F.col("_best._first.id").alias("selected_item_id"),
-        F.col("_best._first.datetime").alias("datetime"),
-        F.col("_best._first.reasons").alias("exclusion_reasons"),
-        F.col("_best._count").alias("finalist_count"),
-        F.col("_best._ambiguous").alias("ambiguous"),
-        "candidate_count",
-    )
+    return ties.withColumn("_ambiguous", ~F.col("_low").eqNullSafe(F.col("_high"))).drop("_low", "_high")
 
 
 def representation_status(items: DataFrame, components: DataFrame) -> DataFrame:

@@ -23,10 +23,10 @@ def evaluate_windows(
     them and changes nothing else.
     """
     raw = items.groupBy("win").agg(F.count(F.lit(1)).alias("raw_item_count"))
-    components = cut_lineage(scenes.canonical_components(scenes.selection_input(items)))  # read by the groups and by the stops
-    groups = scenes.acquisition_groups(components)
+    components = cut_lineage(scenes.component_gates(scenes.selection_input(items)))  # read by the groups and by the stops
+    groups = components.groupBy(*scenes.ACQUISITION).agg(F.count(F.lit(1)).alias("_chosen"), F.bool_and("admissible").alias("metadata_admissible"))
     per_window = groups.groupBy("win").agg(
-        F.sum(F.size("component_item_ids")).alias("_components"),
+        F.sum("_chosen").alias("_components"),
         F.count(F.lit(1)).alias("_groups"),
         F.count_if("metadata_admissible").alias("_admissible"),
     )

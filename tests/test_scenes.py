@@ -137,3 +137,19 @@ def test_pages_are_written_compressed_from_narrow_lines(spark):
     parts = [name for name in os.listdir(folder) if name.startswith("part-")]
     assert parts and all(name.endswith(".json.gz") for name in parts)
     assert all(name.endswith(".csv.gz") for name in inventory_csv(tables).inputFiles())
+
+
+def test_window_counts_need_neither_ids_nor_lists(spark):
+    from attestra.plans import scene_selection
+    from workloads.registry import Tables
+    from workloads.scene_queries import short_windows
+
+    items = short_windows(Tables(spark, "/root/testdata/sf0.001"))
+    gates = sc.component_gates(sc.selection_input(items))
+    whole = sc.canonical_components(sc.selection_input(items)).select(*gates.columns[:4], (F.size("exclusion_reasons") == 0).alias("admissible"), "ambiguous")
+    assert sorted(gates.collect()) == sorted(whole.collect())
+    odd = items.limit(300).unionByName(items.limit(300).withColumn("platform", F.lit(None).cast("string")))
+    for frame in (items, odd, items.withColumn("id", F.lit("same"))):
+        assert {r.win for r in sc.unclear_windows(frame).collect()} == {r.win for r in sc.identity_conflicts(frame).collect()}
+    plan = scene_selection.evaluate_windows(items)._jdf.queryExecution().optimizedPlan().toString()
+    assert "selected_item_id" not in plan and "count(distinct" not in plan
