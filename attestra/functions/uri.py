@@ -11,6 +11,9 @@ from pyspark.sql import Column, functions as F
 from attestra import fixed_values as fixed
 
 _GENERIC = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+#: Plain forms that one match decides; whatever has another form goes by its parts.
+_PLAIN_HTTPS = r"^https://[A-Za-z0-9.-]+(?:[/?#][\x21-\x7E]*)?\z"
+_PLAIN_REFERENCE = r"^(?:urn:|https://[A-Za-z0-9.-]+(?=/|\z))[\x21\x22\x24-\x3E\x40-\x7E]*\z"
 
 
 def scheme(uri: Column) -> Column:
@@ -46,18 +49,23 @@ def has_port(uri: Column) -> Column:
     return authority(uri).rlike(r":[0-9]+$")
 
 
+def _if_queried(uri: Column, names: Column) -> Column:
+    """``names`` where the URI has a question mark; without one there is no query to read."""
+    return F.when(uri.contains("?"), names).when(uri.isNotNull(), F.array().cast("array<string>"))
+
+
 def query_names(uri: Column) -> Column:
     """Parameter names in order of appearance; an empty query has none."""
     pairs = F.filter(F.split(query(uri), "&"), lambda p: F.length(p) > 0)
-    return F.transform(pairs, lambda p: F.substring_index(p, "=", 1))
+    return _if_queried(uri, F.transform(pairs, lambda p: F.substring_index(p, "=", 1)))
 
 
 def credential_names(uri: Column) -> Column:
     """Query parameters that carry a signature, token or expiry."""
-    return F.filter(
+    return _if_queried(uri, F.filter(
         F.transform(query_names(uri), lambda n: F.lower(n)),
         lambda n: n.isin(*fixed.CREDENTIAL_QUERY_NAMES) | n.startswith(fixed.CREDENTIAL_QUERY_PREFIX),
-    )
+    ))
 
 
 def signed_url_names(uri: Column) -> Column:
@@ -80,6 +88,11 @@ def host_allowed(uri: Column, hosts: tuple[str, ...] | Column) -> Column:
     return (scheme(uri) == "https") & member & ~has_userinfo(uri)
 
 
+def secure_address(uri: Column) -> Column:
+    """An https URI that names a host."""
+    return uri.rlike(_PLAIN_HTTPS) | ((scheme(uri) == "https") & (host(uri) != ""))
+
+
 def stable_reference(reference: Column) -> Column:
     """An absolute https URI or URN without white space, query or fragment."""
     plain = ~reference.rlike(r"\s") & (F.length(reference) > 0)
@@ -87,7 +100,7 @@ def stable_reference(reference: Column) -> Column:
     secure = (scheme(reference) == "urn") | (
         (scheme(reference) == "https") & ~has_userinfo(reference) & ~has_port(reference)
     )
-    return F.coalesce(plain & bare & secure, F.lit(False))
+    return F.coalesce(reference.rlike(_PLAIN_REFERENCE) | (plain & bare & secure), F.lit(False))
 
 
 def identity_violation(

@@ -210,3 +210,87 @@ def test_equal_places_and_equal_polygons_are_tested_once(spark, monkeypatch):
     pairs = {(r.point_id, r.polygon_id) for r in geometry.contained(points, edges, "polygon_id", 2.0).collect()}
     assert pairs == {(p, k) for p in (7, 8, 9) for k in (1, 2, 3)} | {(9, 4)}
     assert covered == [2]
+
+
+def manifest_tables(spark, seed: int, runs: list):
+    """Records of many forms for the given runs: odd addresses, null ids and references, repeated and far sequences."""
+    import random
+
+    from attestra import fixed_values as fixed
+    from attestra.plans import manifest
+
+    rng = random.Random(seed)
+    pick = lambda *values: rng.choice(values)
+    reference = lambda: pick("urn:x:p", "URN:x", "https://h.x", "https://h/a/b", "https://u@h/a", "https://h:1/a", "https://h/a?b=1", "https://h/a#f", "https://h/a?", "http://h", "", "x y", "https:", "https://h/é", None)
+    address = lambda: pick("https://h/a", "HTTPS://h", "http://h/a", "https://", "https://u@/a", "https://h?sig=1&x=2", "https://h?Token=3", "https://h?", "https://h?&", "ftp://x", "", None)
+    names = lambda: pick([], ["a"], ["a", "b"], ["b", "nope"], ["a", None], None)
+    steps, artifacts, ended, sources = [], [], [], []
+    for run in runs:
+        order = list(enumerate(fixed.STAGES, 1))
+        far = pick(0, 0, 60, 10 ** 6)
+        for n, stage in order[:pick(12, 12, 11)] + pick([], [], [(3, "RESOLVE"), (None, "X")], [(70 + i, "FAR") for i in range(4)] * 2):
+            steps.append((run, n and n + far, stage, pick("COMPLETED", "COMPLETED", "FAILED", None), reference(), pick("f", "", None), names(), names(), pick([], ["RESOURCE_LIMIT_EXCEEDED"], ["OTHER"], [None], None)))
+        artifacts += [(run, a) for a in pick(["a", "b"], ["a", "a", "b"], ["b", None, None], [])]
+        ended.append((run, pick("COMPLETED", "STOPPED", None), pick("a", "b", "c", None), pick([], ["R"], None)))
+        sources += [(run, pick("S", "T", None), address(), address()) for _ in range(pick(0, 1, 3))]
+    array = "array<string>"
+    tables = {
+        "steps": spark.createDataFrame(steps, f"run_id long, sequence int, transformation_id string, status string, parameter_ref string, parameter_sha256 string, inputs {array}, outputs {array}, reason_codes {array}"),
+        "artifacts": spark.createDataFrame(artifacts, "run_id long, artifact_id string"),
+        "ended": spark.createDataFrame(ended, f"run_id long, execution_status string, assessment_ref string, reason_codes {array}"),
+        "sources": spark.createDataFrame(sources, "run_id long, source_id string, canonical_uri string, retrieval_uri string"),
+    }
+    tagged = [manifest.transformations(tables["steps"]), manifest.artifacts(tables["artifacts"]), manifest.terminals(tables["ended"]), manifest.sources(tables["sources"], ["S"])]
+    return tagged, steps, artifacts, ended
+
+
+def test_manifest_references_and_sequences_of_odd_runs(spark):
+    """Null ids equal nothing, every record with a missing name is listed, and sequences count whatever their size."""
+    from attestra.plans import manifest
+
+    tagged, steps, artifacts, ended = manifest_tables(spark, 5, [*range(60), None])
+    found = {(r.run_id, r.kind, r.record_id, r.rule) for r in manifest.violations(tagged).collect()}
+    held = {(run, a) for run, a in artifacts if run is not None and a is not None}
+    wanted = set()
+    for run, n, stage, status, _, _, inputs, outputs, _ in steps:
+        if inputs is not None and outputs is not None and any((run, r) not in held for r in inputs + outputs):
+            wanted.add((run, "transformation", "|".join(str(x) for x in (n, stage) if x is not None), "UNRESOLVED_REFERENCE"))
+    wanted |= {(run, "terminal", None if run is None else str(run), "UNRESOLVED_REFERENCE") for run, _, ref, _ in ended if (run, ref) not in held}
+    assert {f for f in found if f[3] == "UNRESOLVED_REFERENCE"} == wanted
+    assert {f[:3] for f in found if f[3] == "DUPLICATE_RECORD" and f[1] == "artifact"} == {(r, "artifact", a) for r, a in artifacts if artifacts.count((r, a)) > 1}
+    for run in {s[0] for s in steps}:
+        mine = [s[1] for s in steps if s[0] == run]
+        contiguous = None not in mine and sorted(mine) == list(range(1, len(mine) + 1))
+        assert ((run, "run", None if run is None else str(run), "SEQUENCE_NOT_CONTIGUOUS") in found) != contiguous
+
+
+def test_manifest_references_are_combined_before_they_are_dealt(spark):
+    """A run's records that name the same artifacts meet them once; what is listed is not every record's every reference."""
+    import re
+
+    from attestra.plans import manifest
+
+    tagged, *_ = manifest_tables(spark, 1, list(range(20)))
+    plan = manifest.violations(tagged)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in plan and "BroadcastHashJoin" in plan
+    assert not re.search(r"partial_count\(distinct", plan)
+
+
+def test_uri_shortcuts_agree_with_the_parts(spark):
+    """The plain forms that one match decides are decided as their parts are."""
+    import random
+
+    from attestra.functions import uri
+
+    rng = random.Random(2)
+    parts = ["https:", "urn:", "HTTPS:", "//", "/", "h.x", "u@", ":80", "?", "#", "a=1", "&", "sig=2", " ", "\n", "é", " ", "x"]
+    texts = [None, ""] + ["".join(rng.choices(parts, k=rng.randint(1, 7))) for _ in range(3000)] + ["".join(rng.choice([[a], [a, b]][rng.randint(0, 1)])) for a in parts for b in parts]
+    c = F.col("u")
+    bare = (uri.query(c) == "") & (uri.fragment(c) == "")
+    secure = (uri.scheme(c) == "urn") | ((uri.scheme(c) == "https") & ~uri.has_userinfo(c) & ~uri.has_port(c))
+    names = F.transform(F.filter(F.split(uri.query(c), "&"), lambda p: F.length(p) > 0), lambda p: F.substring_index(p, "=", 1))
+    frame = spark.createDataFrame([(t,) for t in texts], "u string").select(
+        "u", uri.stable_reference(c).alias("s"), F.coalesce(~c.rlike(r"\s") & (F.length(c) > 0) & bare & secure, F.lit(False)).alias("s0"),
+        uri.secure_address(c).alias("a"), ((uri.scheme(c) == "https") & (uri.host(c) != "")).alias("a0"), uri.query_names(c).alias("n"), names.alias("n0"))
+    for r in frame.collect():
+        assert (r.s, r.a, r.n) == (r.s0, r.a0, r.n0), r
