@@ -1,9 +1,10 @@
-"""Near copies by the Jaccard similarity of their word shingles.
+"""Near copies by SimHash and by the Jaccard similarity of their word shingles.
 
-Candidates meet in MinHash buckets and every link is verified on the whole
+Candidates are the texts whose SimHash codes op7's bit-sliced comparison links,
+and those that meet in MinHash buckets; every link is verified on the whole
 shingle sets. A SimHash of 64 bits differs in about 10 bits at similarity 0.8;
 tables that find all codes that far apart hold nearly every pair. MinHash bands
-find the same pairs selectively, with a chance that is known.
+find the pairs beyond the SimHash radius selectively, with a chance that is known.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from attestra.llm.common import free_name, materialise, partitions
 from attestra.llm.components import components
+from attestra.llm import op07_near_simhash
 from attestra.llm.op07_near_simhash import tokens
+from attestra.llm.simhash import fingerprints
 
 WIDTH = 5
 #: Similarity as a fraction, so that a pair at exactly 0.8 is in.
@@ -179,11 +182,29 @@ def open_runs(open_: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return runs.select("bucket", "_run.i", "_run.j", "node", "root")
 
 
-def near_links(rows: DataFrame, width: int = WIDTH, bands: int = BANDS, per_band: int = ROWS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """From ``row, words`` (hashes): every row's ``node``, one row of each distinct shingle set, and the verified edges ``(a, b)`` of nodes.
+def simhash_pairs(coded: DataFrame) -> DataFrame:
+    """From ``node, code``: pairs ``(node, other)``, ``other`` less, of nodes whose codes are equal or linked within op7's radius.
 
-    First every node is verified against one other node of its buckets, the
-    least. Components of these links are known when the buckets that still hold
+    A code's nodes meet its least one, and of linked codes the least nodes meet:
+    no more pairs than nodes and links of codes.
+    """
+    least = materialise(coded.groupBy("code").agg(F.min("node").alias("least")), "near-codes")
+    same = coded.join(least.select(F.col("code").alias("_c"), F.col("least").alias("other")), F.col("code") == F.col("_c")).select("node", "other")
+    links = op07_near_simhash.near_links(least.select("code")).distinct()
+    of = lambda code, name: least.select(F.col("code").alias(code), F.col("least").alias(name))
+    met = links.join(of("_a", "_of_a"), F.col("a") == F.col("_a")).join(of("_b", "_of_b"), F.col("b") == F.col("_b"))
+    linked = met.select(F.greatest("_of_a", "_of_b").alias("node"), F.least("_of_a", "_of_b").alias("other"))
+    return same.unionByName(linked).filter("other < node").distinct()
+
+
+def near_links(
+    rows: DataFrame, codes: DataFrame, width: int = WIDTH, bands: int = BANDS, per_band: int = ROWS, chunk: int = CHUNK,
+) -> tuple[DataFrame, DataFrame]:
+    """From ``row, words`` (hashes) and ``row, code`` (SimHash): every row's ``node``, one row of each distinct shingle set, and the verified edges
+    ``(a, b)`` of nodes.
+
+    First the pairs that SimHash finds are verified, and every node against one
+    other node of its buckets, the least. Components of these links are known when the buckets that still hold
     several components are compared in full: the members of a bucket's largest
     component with the others, and the others among themselves, in parts. What
     is one component already, as a great group of near copies, is not compared
@@ -197,10 +218,12 @@ def near_links(rows: DataFrame, width: int = WIDTH, bands: int = BANDS, per_band
     every = sketched.join(nodes, F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), F.explode("buckets").alias("bucket"))
     sizes = every.groupBy("bucket").agg(F.min("node").alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").withColumnRenamed("bucket", "_bucket")
     met = materialise(every.join(sizes, F.col("bucket") == F.col("_bucket")).select("bucket", "node", F.col("_least").alias("least")), "near-buckets")
-    wanted = met.select(F.col("node").alias("_wanted")).distinct()
+    coded = codes.join(nodes.withColumnRenamed("node", "_node"), F.col("row") == F.col("_node"), "left_semi").select(F.col("row").alias("node"), "code")
+    linked = materialise(simhash_pairs(materialise(coded, "near-coded")), "near-linked")
+    wanted = met.select("node").unionByName(linked.select("node")).unionByName(linked.select(F.col("other").alias("node"))).distinct().withColumnRenamed("node", "_wanted")
     sets = materialise(rows.join(wanted, F.col("row") == F.col("_wanted"), "left_semi").mapInArrow(_sets(width), "_node long, shingles array<long>"), "near-sets")
 
-    pairs = met.groupBy("node").agg(F.min("least").alias("other")).filter("other < node")
+    pairs = met.groupBy("node").agg(F.min("least").alias("other")).filter("other < node").unionByName(linked).distinct()
     other = sets.select(F.col("_node").alias("_other"), F.col("shingles").alias("others"))
     both = pairs.join(sets, F.col("node") == F.col("_node")).join(other, F.col("other") == F.col("_other"))
     near = similar(F.size(F.array_intersect("shingles", "others")), F.size("shingles") + F.size("others"))
@@ -223,7 +246,8 @@ def keep_one(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, per_band:
     place, kept = free_name(docs, "__near_row"), free_name(docs, "__kept")
     numbered = materialise(docs.withColumn(place, F.monotonically_increasing_id()), "near-documents")
     rows = numbered.select(F.col(place).alias("row"), F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
-    classes, links = near_links(rows, width, bands, per_band, chunk)
+    codes = fingerprints(numbered, tokens(F.col("text")), width, [place]).select(F.col(place).alias("row"), F.col("fingerprint").alias("code"))
+    classes, links = near_links(rows, codes, width, bands, per_band, chunk)
     rooted = components(links).select(F.col("node").alias("_n"), F.col("root").alias("_root"))
     ids = numbered.select(F.col(place).alias("_row"), "doc_id")
     placed = classes.join(rooted, F.col("node") == F.col("_n"), "left").select("row", F.coalesce("_root", "node").alias("root")).join(ids, F.col("row") == F.col("_row"))

@@ -29,7 +29,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard of at least 0.8) the document with the least doc_id stays."""
+    """Of each group of near copies the document with the least doc_id stays: five-word shingles, SimHash and MinHash candidates, a Jaccard of at least 0.8."""
     return near_jaccard.keep_one(docs)
 
 

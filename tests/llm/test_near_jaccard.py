@@ -96,3 +96,40 @@ def test_buckets_find_pairs_at_the_least_similarity():
         a, b = op.buckets([np.sort(h[:162]), np.sort(np.concatenate([h[:144], h[162:]]))])  # 144 of 180: 0.8
         missed += not (a == b).any()
     assert missed == 0
+
+
+def test_simhash_alone_links_what_lies_within_its_radius(spark, monkeypatch):
+    """Without any MinHash bucket the stage still links copies whose SimHash codes are near: op7's comparison is part of the method."""
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(5000)}" for _ in range(900)]
+    near = [*words[:450], "other", *words[451:]]
+    rows = [(0, " ".join(words)), (1, " ".join(near)), (2, " ".join(f"z{rng.randrange(5000)}" for _ in range(900)))]
+    monkeypatch.setattr(op, "_sketch", lone_buckets(op._sketch))
+    docs = documents(spark, [(i, t, "en", "a") for i, t in rows])
+    assert kept(op.keep_one(docs)) == brute_kept(rows) == [0, 2]
+
+
+def lone_buckets(sketch):
+    """The sketches with bucket numbers that no two rows share."""
+    def made(*parameters):
+        inner = sketch(*parameters)
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in inner(batches):
+                alone = pa.array([[r] for r in batch.column(0).to_pylist()], batch.column(2).type)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), alone], names=batch.schema.names)
+
+        return run
+
+    return made
+
+
+def test_simhash_pairs_of_equal_and_near_codes(spark):
+    rng = random.Random(3)
+    codes = [rng.getrandbits(64) for _ in range(20)]
+    codes += [codes[0] ^ 0b1011, codes[1], codes[1], codes[2] ^ (1 << 63 | 1 << 20), codes[3] ^ 0b111111]
+    signed = [c - (1 << 64) if c >> 63 else c for c in codes]
+    made = op.simhash_pairs(spark.createDataFrame(list(enumerate(signed)), "node long, code long")).collect()
+    assert {(r.node, r.other) for r in made} == {(20, 0), (21, 1), (22, 1), (23, 2)}
