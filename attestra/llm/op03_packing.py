@@ -3,47 +3,120 @@
 from __future__ import annotations
 
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from attestra.llm.common import materialise, whole_text
-from attestra.llm.pretokens import tokenizer, word_pretokens
+from attestra.llm.pretokens import WORD_PATTERN, tokenizer, word_runs
 
 CAPACITY, CLOSING_ID = 2048, 0
-#: Pre-tokens whose ids a worker process remembers, some 200 bytes each; beyond it starts anew.
+#: Words and pre-tokens whose ids a worker process remembers, some 200 bytes each; with more it starts anew at the next batch.
 REMEMBERED = 1_000_000
-#: Of each tokenizer file, what this worker process has encoded: tasks that follow each other in it go on with it.
-_KNOWN: dict[str, dict[str, bytes]] = {}
 #: Pieces of one length that are numbered in one task.
 LANE_ROWS = 50_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class _Encoded(dict):
+    """The place of every word and pre-token this worker process has met; the ids of place p are ``count[p]`` ones of ``flat`` from ``first[p]``.
+
+    What is asked for the first time takes the next place and waits in ``new`` for its ids.
+    """
+
+    def __init__(self, path: str):
+        self.encoder = tokenizer(path)
+        vocabulary = self.encoder.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # the ids that end a pre-token
+        self.closes[[i for token, i in vocabulary.items() if token.endswith(self.encoder.model.end_of_word_suffix)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.first, self.count, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4")
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = place = len(self)
+        return place
+
+    def places(self, words: Iterable[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encoded(self, pretokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pre-tokens and how many each has: all in one text, cut behind the ids that end one."""
+        if not pretokens:
+            return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+        ids = self.whole([" ".join(pretokens)])[0]
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(pretokens) or ends[-1] != len(ids):
+            each = self.whole(pretokens)
+            return np.concatenate(each), np.array([len(e) for e in each])
+        return ids, np.diff(ends, prepend=0)
+
+    def gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these places, one after the other, and where each ends; the first end is 0."""
+        n = self.count[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return self.flat[np.arange(ends[-1]) + np.repeat(self.first[at] - ends[:-1], n)], ends
+
+    def hold(self, at: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        self.first[at], self.count[at] = len(self.flat) + np.cumsum(count) - count, count
+        self.flat = np.concatenate([self.flat, ids])
+
+    def learn(self) -> None:
+        """Give ids to what is new: pre-tokens are encoded, words of several are put together from them."""
+        if not self.new:
+            return
+        before, parts = len(self.first), [WORD_PATTERN.findall(w) for w in self.new]
+        several = np.array([k for k, (w, p) in enumerate(zip(self.new, parts)) if p != [w]], dtype=np.int64)
+        split = [parts[k] for k in several]
+        inside = self.places(chain.from_iterable(split))  # may add pre-tokens to what is new
+        one = np.setdiff1d(np.arange(len(self.new)), several, assume_unique=True)
+        more = np.zeros(len(self.new), dtype=np.int64)
+        self.first, self.count = np.concatenate([self.first, more]), np.concatenate([self.count, more])
+        self.hold(before + one, *self.encoded([self.new[k] for k in one]))
+        ids, ends = self.gathered(inside)
+        self.hold(before + several, ids, np.diff(ends[np.cumsum([0, *map(len, split)])]))
+        self.new = []
+
+    def ids(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The ids of each list of words."""
+        if self.new or len(self) > REMEMBERED:  # what is new here was left by a task that failed
+            self.forget()
+        at = self.places(chain.from_iterable(texts))
+        self.learn()
+        found, ends = self.gathered(at)
+        return np.split(found, ends[np.cumsum([len(t) for t in texts])][:-1]) if texts else []
+
+
+#: By tokenizer file; tasks that follow each other in a worker process go on with what it has encoded.
+_KNOWN: dict[str, _Encoded] = {}
+
+
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, known = tokenizer(path), _KNOWN.setdefault(path, {})
-
-        def encoded(texts: list[str]) -> list[bytes]:
-            return [array("I", e.ids).tobytes() for e in encoder.encode_batch(texts, add_special_tokens=False)]
+        if path not in _KNOWN:
+            _KNOWN[path] = _Encoded(path)
+        known = _KNOWN[path]
 
         def ids(texts: list[str]) -> list[bytes]:
-            split = [word_pretokens(t, path) for t in texts]
-            new = list(set().union(*[s for s in split if s is not None]).difference(known))
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set().union(*[s for s in split if s is not None]))
-            known.update(zip(new, encoded(new) if new else []))
-            whole = iter(encoded([t for t, s in zip(texts, split) if s is None]))
-            return [next(whole) if s is None else b"".join(map(known.__getitem__, s)) for s in split]
+            split = [word_runs(t, path) for t in texts]
+            looked_up = iter(known.ids([s for s in split if s is not None]))
+            whole = iter(known.whole([t for t, s in zip(texts, split) if s is None]))
+            return [next(whole if s is None else looked_up).tobytes() for s in split]
 
         close, step = np.array([CLOSING_ID], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:

@@ -13,6 +13,8 @@ from functools import lru_cache
 
 LAST_LATIN = 0x17F
 LATIN = re.compile(rf"[\x00-\u{LAST_LATIN:04x}]*\Z")
+#: Latin without the four separators, which are white space to ``str.split`` but not to the tokenizers.
+PLAIN = re.compile(rf"[\x00-\x1b\x20-\u{LAST_LATIN:04x}]*\Z")
 
 
 def _class(test) -> str:
@@ -68,3 +70,10 @@ def word_pretokens(text: str, path: str) -> list[str] | None:
     if not LATIN.match(text) or "İ" in text or any(s in text for s in specials(path)):
         return None
     return WORD_PATTERN.findall(text.lower())
+
+
+def word_runs(text: str, path: str) -> list[str] | None:
+    """Runs of whole pre-tokens of the lower-casing word tokenizer, mostly the words between white space; None as above."""
+    if not PLAIN.match(text) or "İ" in text or any(s in text for s in specials(path)):
+        return word_pretokens(text, path)
+    return text.lower().split()

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 
 from attestra.llm import op03_packing as op
-from attestra.llm.pretokens import tokenizer, word_pretokens
+from attestra.llm.pretokens import tokenizer, word_pretokens, word_runs
 from tests.llm.fixtures import ODD, documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +62,26 @@ def test_latin_split_is_the_librarys():
             assert [i for p in split for i in encoder.encode(p, add_special_tokens=False).ids] == encoder.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_have_the_librarys_ids(monkeypatch):
+    """New words are encoded in one text per batch, not one by one, and a worker that forgets gives the same ids."""
+    encoder, rng, known = tokenizer(PATH), random.Random(4), op._Encoded(PATH)
+    alphabet = [chr(c) for c in range(0x180) if chr(c) != "İ"] + ["'s", "'re", " ", "\n", "  ", "the", "don't", "</w>"]
+    given, whole = [], known.whole
+    monkeypatch.setattr(known, "whole", lambda texts: given.append(len(texts)) or whole(texts))
+    for most in (1_000_000, 500):
+        monkeypatch.setattr(op, "REMEMBERED", most)
+        given.clear()
+        for _ in range(20):
+            texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(60)]
+            split = [word_runs(t, PATH) for t in texts]
+            assert [i.tolist() for i in known.ids(split)] == [encoder.encode(t, add_special_tokens=False).ids for t in texts]
+        assert set(given) == {1}
+        assert len(known) == len(known.first) == len(known.count)
+    known["left by a failed task"], known.new = len(known), ["left by a failed task"]
+    assert [i.tolist() for i in known.ids([["the"], [], ["the"]])] == [encoder.encode(t, add_special_tokens=False).ids for t in ("the", "", "the")]
+    assert known.ids([]) == []
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_sweeps_fill_sequences(seed):
     rng = random.Random(seed)
