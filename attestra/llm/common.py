@@ -8,6 +8,8 @@ from attestra.session import derived_path
 
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits that mark the keys another table has: 262,144 words at most, whatever its size.
+BITMAP = 1 << 24
 
 
 def materialise(frame: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -43,6 +45,23 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES), "")
 
 
+def marked(rows: DataFrame, keys: list[str], asked: DataFrame, theirs: list[str]) -> DataFrame:
+    """The rows whose ``keys`` may be ``theirs`` of a row of ``asked``: all that are, and few others while those are few.
+
+    The keys asked for are marked in a bitmap of bounded size, which is
+    broadcast, so that other rows are left out where they are read; what it lets
+    through is for a join to decide. Keys are of the same types on both sides.
+    """
+    def place(names: list[str]) -> tuple[Column, Column]:
+        at = F.pmod(F.xxhash64(*names), F.lit(BITMAP))
+        return F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+
+    word, bit = place(theirs)
+    words = asked.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    at, mine = place(keys)
+    return rows.join(F.broadcast(words), at == F.col("_word")).filter(F.col("_bits").bitwiseAND(mine) != 0).select(*rows.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from attestra.llm.common import discard, free_name, materialise, partitions, whole_text
+from attestra.llm.common import discard, free_name, marked, materialise, partitions, whole_text
 from attestra.llm.components import components
 from attestra.llm.near_jaccard import mixed_buckets, open_runs
 
@@ -20,6 +20,8 @@ CHUNK = 256
 #: Bytes of (bucket, line) pairs that one task sorts.
 RANGE_BYTES = 32 << 20
 CHARS = 1 << 17
+#: Shingles of a bucket that are compared at once, a column each.
+COLUMNS = 1 << 13
 
 
 def lines(docs: DataFrame, row: str | None = None) -> DataFrame:
@@ -145,12 +147,69 @@ def shingles(line: str, width: int = SHINGLE) -> frozenset[str]:
     return frozenset(line[i: i + width] for i in range(max(1, len(line) - width + 1)))
 
 
+def _enough(both, one, other, least: float):
+    """Whether sets of these sizes and so much in common are similar; numbers or arrays."""
+    return both >= least * (one + other - both) - 1e-9
+
+
 def similar(a: frozenset, b: frozenset, least: float) -> bool:
+    small, large = sorted((len(a), len(b)))
+    return small >= least * large and _enough(len(a & b), small, large, least)
+
+
+def latin_shingles(line: str) -> np.ndarray | None:
+    """The distinct shingles of a line of Latin-1 characters, ascending: eight characters are one 64-bit number. None for any other line."""
+    try:
+        data = line.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    if len(data) < SHINGLE:
+        return None
+    every = np.ndarray((len(data) - SHINGLE + 1,), "<u8", data, strides=(1,)).copy()
+    every.sort()
+    first = np.ones(len(every), dtype=bool)
+    np.not_equal(every[1:], every[:-1], out=first[1:])
+    return every[first]
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """``similar`` for sets of ``latin_shingles``."""
     small, large = sorted((len(a), len(b)))
     if small < least * large:
         return False
-    both = len(a & b)
-    return both >= least * (small + large - both) - 1e-9
+    merged = np.concatenate((a, b))
+    merged.sort()
+    return bool(_enough(np.count_nonzero(merged[1:] == merged[:-1]), small, large, least))
+
+
+def latin_forest(nodes: list[int], sets: list[np.ndarray], roots: list[int], least: float) -> list[tuple[int, int]]:
+    """``forest`` for sets of ``latin_shingles``: all sizes in common come from products of 0/1 matrices."""
+    sizes = np.array([len(x) for x in sets])
+    row, every = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    row, every = row[order], every[order]
+    column = np.cumsum(np.concatenate([[False], every[1:] != every[:-1]]))
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for first in range(0, int(column[-1]) + 1, COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        held = np.zeros((len(sets), int(column[b - 1]) - first + 1), dtype=np.float32)
+        held[row[a:b], column[a:b] - first] = 1
+        common += held @ held.T
+    group, edges = {r: r for r in roots}, []
+
+    def find(r: int) -> int:
+        while group[r] != r:
+            group[r] = r = group[group[r]]
+        return r
+
+    _, root = np.unique(roots, return_inverse=True)
+    linked = _enough(common.astype(np.float64), sizes[:, None], sizes[None, :], least) & (root[:, None] != root[None, :])
+    for i, j in np.argwhere(np.triu(linked)).tolist():
+        x, y = find(roots[i]), find(roots[j])
+        if x != y:
+            group[x] = y
+            edges.append((nodes[i], nodes[j]))
+    return edges
 
 
 def forest(nodes: list[int], sets: list[frozenset], roots: list[int], least: float) -> list[tuple[int, int]]:
@@ -179,13 +238,14 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
 def _centred(least: float):
     """Of ``a, b, line, other``, the pairs whose lines are similar; a run of one ``b`` makes its shingles once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, around = None, frozenset()
+        centre, around = None, None
         for batch in batches:
             found = []
             for a, b, line, other in zip(*[c.to_pylist() for c in batch.columns]):
                 if b != centre:
-                    centre, around = b, shingles(other)
-                if similar(shingles(line), around, least):
+                    centre, around = b, latin_shingles(other)
+                mine = None if around is None else latin_shingles(line)
+                if similar(shingles(line), shingles(other), least) if mine is None else alike(mine, around, least):
                     found.append((a, b))
             yield _edges(found)
 
@@ -195,7 +255,11 @@ def _centred(least: float):
 def _verified(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit() -> pa.RecordBatch:
-            return _edges(forest(list(held), [s for _, s in held.values()], [r for r, _ in held.values()], least))
+            nodes, roots, texts = list(held), [r for r, _ in held.values()], [line for _, line in held.values()]
+            latin = [latin_shingles(line) for line in texts]
+            if all(x is not None for x in latin):
+                return _edges(latin_forest(nodes, latin, roots, least))
+            return _edges(forest(nodes, [shingles(line) for line in texts], roots, least))
 
         at, held = None, {}
         for batch in batches:
@@ -204,7 +268,7 @@ def _verified(least: float):
                     if len(held) > 1:
                         yield emit()
                     at, held = where, {}
-                held[node] = (root, shingles(line))
+                held[node] = (root, line)
         if len(held) > 1:
             yield emit()
 
@@ -238,7 +302,7 @@ def line_links(
 
     discard(sketched)
     wanted = kept.select(F.col("key").alias("_key")).distinct()
-    keyed = long.withColumnRenamed(long.columns[0], "key")
+    keyed = marked(long.withColumnRenamed(long.columns[0], "key"), ["key"], wanted, ["_key"])
     # written before equal lines are combined, so that the join may split a line that occurs often
     several = materialise(keyed.join(wanted, F.col("key") == F.col("_key"), "left_semi"), "shared-lines")
     texts = materialise(several.distinct().withColumn("node", F.monotonically_increasing_id()), "line-texts")

@@ -10,14 +10,12 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from attestra.llm.common import SPACES, materialise, partitions, whole_text
+from attestra.llm.common import SPACES, marked, materialise, partitions, whole_text
 from attestra.llm.simhash import ballot, verdict
 
 BITS, RADIUS, BLOCKS = 128, 6, 8
 #: Longest term weight, in characters.
 HEAVIEST = 24
-#: Bits that mark the fronts of query codes: 262,144 words at most, whatever the number of queries.
-BITMAP = 1 << 24
 
 
 def terms(text: Column) -> Column:
@@ -108,22 +106,6 @@ def edited(docs: DataFrame) -> DataFrame:
     return met.select("_range", "_nth", "doc_id", "_text", new.alias("_edited"), following.alias("_next"))
 
 
-def marked(there: DataFrame, asked: DataFrame) -> DataFrame:
-    """The rows of ``there(_table, _h, _l, ...)`` whose front may be one of ``asked(q_table, q_h, q_l)``: all that is, and little else.
-
-    The fronts asked for are marked in a bitmap of bounded size, which is
-    broadcast, so that most codes are left out where they are read.
-    """
-    def place(*front: str) -> tuple[Column, Column]:
-        at = F.pmod(F.xxhash64(*front), F.lit(BITMAP))
-        return F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
-
-    word, bit = place("q_table", "q_h", "q_l")
-    words = asked.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    at, mine = place("_table", "_h", "_l")
-    return there.join(F.broadcast(words), at == F.col("_word")).filter(F.col("_bits").bitwiseAND(mine) != 0).select(*there.columns)
-
-
 def within(codes: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """``(q_hi, q_lo, hi, lo, rows)``: for each distinct query code, every distinct code of ``codes(hi, lo, rows)`` within the radius.
 
@@ -149,7 +131,7 @@ def within(codes: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: i
         return tabled.select("hi", "lo", *more, "_table", F.col("hi").bitwiseAND(F.col("_m.h")).alias("_h"), F.col("lo").bitwiseAND(F.col("_m.l")).alias("_l"))
 
     asked = dealt(queries.select("hi", "lo").distinct()).select(*[F.col(c).alias("q" + c) for c in ("hi", "lo", "_table", "_h", "_l")])
-    there = marked(dealt(codes, "rows"), asked)
+    there = marked(dealt(codes, "rows"), ["_table", "_h", "_l"], asked, ["q_table", "q_h", "q_l"])
     x, y = F.col("hi").bitwiseXOR(F.col("qhi")), F.col("lo").bitwiseXOR(F.col("qlo"))
     agree = F.transform(F.arrays_zip(high.alias("h"), low.alias("l")), lambda m: (x.bitwiseAND(m["h"]) == 0) & (y.bitwiseAND(m["l"]) == 0))
     met = there.join(asked, (F.col("_table") == F.col("q_table")) & (F.col("_h") == F.col("q_h")) & (F.col("_l") == F.col("q_l"))

@@ -46,6 +46,44 @@ def varied(seed: int, n: int):
     return rows
 
 
+def joined(edges, nodes, roots):
+    """Which nodes are together by the edges and their roots."""
+    group = {n: {n} | {m for m, r in zip(nodes, roots) if r == q} for n, q in zip(nodes, roots)}
+    for a, b in edges:
+        both = group[a] | group[b]
+        for n in both:
+            group[n] = both
+    return {frozenset(g) for g in group.values()}
+
+
+def test_latin_lines_are_compared_as_numbers():
+    texts = sorted({line for _, t in varied(5, 60) for line in t.split("\n") if len(line) >= op.SHINGLE} | {"é" * 9, "\x00" * 8, "\x00" * 9, "ÿ" * 30, "abcdefgh"})
+    sets, numbers = [op.shingles(t) for t in texts], [op.latin_shingles(t) for t in texts]
+    assert [len(x) for x in numbers] == [len(x) for x in sets]
+    assert op.latin_shingles("short") is None and op.latin_shingles("longer than eight — yes") is None
+    for a, x in zip(sets, numbers):
+        for b, y in zip(sets, numbers):
+            assert op.similar(a, b, 0.8) == op.alike(x, y, 0.8)
+    nodes = list(range(100, 100 + len(texts)))
+    for roots in (nodes, [n - n % 7 for n in nodes]):
+        edges = op.latin_forest(nodes, numbers, roots, 0.8)
+        wanted = op.forest(nodes, sets, roots, 0.8)
+        assert joined(edges, nodes, roots) == joined(wanted, nodes, roots) and len(edges) == len(wanted)
+
+
+def test_shingles_beyond_one_block_are_all_compared(monkeypatch):
+    monkeypatch.setattr(op, "COLUMNS", 3)
+    texts = ["the old mill stood by the river", "the old mill stood by the rivers", "nobody had ground corn there", "nobody had ground corn there!"]
+    assert op.latin_forest([1, 2, 3, 4], [op.latin_shingles(t) for t in texts], [1, 2, 3, 4], 0.8) == [(1, 2), (3, 4)]
+
+
+def test_lines_beyond_latin(spark):
+    rows = [(1, "the old mill — stood by the river there\nthe old mill stood by the river there"), (2, "the old mill — stood by the river there!\nthe old mill stood by the river there!"),
+            (3, "старая мельница стояла у реки с тех пор\nстарая мельница стояла у реки с тех пор!")]
+    made = {r["doc_id"]: r["dropped"] for r in op.line_decisions(documents(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
+    assert made == brute(rows)
+
+
 def test_components_equal_brute_force(spark):
     rows = varied(3, 150)
     docs = documents(spark, [(i, t, "en", "a") for i, t in rows])

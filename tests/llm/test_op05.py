@@ -80,7 +80,7 @@ def test_only_fronts_that_are_asked_for_are_shuffled(spark):
 
     there = spark.range(100_000).select((F.col("id") % 28).cast("int").alias("_table"), F.col("id").alias("_h"), F.xxhash64("id").alias("_l"), F.lit(1).alias("rows"))
     asked = there.filter("_h % 1000 = 0").select(F.col("_table").alias("q_table"), F.col("_h").alias("q_h"), F.col("_l").alias("q_l"))
-    left = op.marked(there, asked)
+    left = op.marked(there, ["_table", "_h", "_l"], asked, ["q_table", "q_h", "q_l"])
     assert left.columns == there.columns
     assert left.filter("_h % 1000 = 0").count() == 100 and left.count() <= 110
     plan = op.report(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().optimizedPlan().toString()
