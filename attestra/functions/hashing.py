@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -25,16 +25,19 @@ def event_id(prefix: str, seed: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(sha256_text(seed), 1, 32))
 
 
+def _dumped(documents: Iterator[pd.Series], ascii_only: bool) -> Iterator[pd.Series]:
+    for batch in documents:
+        yield batch.map(lambda d: None if d is None else _dump(d, ascii_only)) if batch.notna().any() else batch
+
+
 @F.pandas_udf(T.StringType())
 def _ascii_json(documents: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in documents:
-        yield batch.map(lambda d: None if d is None else _dump(d, True))
+    yield from _dumped(documents, True)
 
 
 @F.pandas_udf(T.StringType())
 def _utf8_json(documents: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in documents:
-        yield batch.map(lambda d: None if d is None else _dump(d, False))
+    yield from _dumped(documents, False)
 
 
 def _dump(document: str, ascii_only: bool) -> str:
@@ -61,10 +64,38 @@ def sorted_json(document: Column) -> Column:
     return F.to_json(F.try_parse_json(document))
 
 
-def record_sha256(fields: list[str]) -> Column:
-    """Hash of the named fields of a row as canonical JSON, null fields included."""
-    document = F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"})
-    return sha256_text(canonical_json(document))
+def _by_name(value: Column, kind: T.DataType) -> Column | None:
+    """The value with the fields of all its structs in order of their names; None where Spark may print a value otherwise than Python."""
+    if isinstance(kind, (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return value
+    if isinstance(kind, T.ArrayType):
+        if not isinstance(kind.elementType, (T.ArrayType, T.StructType)):
+            return None if _by_name(value, kind.elementType) is None else value
+        if _by_name(F.lit(None), kind.elementType) is None:
+            return None
+        return F.transform(value, lambda entry: _by_name(entry, kind.elementType))
+    if not isinstance(kind, T.StructType) or len(set(kind.names)) < len(kind.names):
+        return None
+    fields = [(f.name, _by_name(value.getField(f.name), f.dataType)) for f in sorted(kind, key=lambda f: f.name)]
+    if any(column is None for _, column in fields):
+        return None
+    return F.when(value.isNotNull(), F.struct(*[column.alias(name) for name, column in fields]))
+
+
+def with_record_sha256(frame: DataFrame, fields: Sequence[str], name: str) -> DataFrame:
+    """Add the hash of the named fields of a row as canonical JSON, null fields included.
+
+    Where the fields hold text, integers and truth values, Spark's own JSON of
+    fields in order of their names is the canonical one, unless it has
+    characters that either side escapes; only those rows go through Python.
+    """
+    columns = {f: _by_name(F.col(f), frame.schema[f].dataType) for f in sorted(fields)}
+    direct = all(c is not None for c in columns.values())
+    document = F.to_json(F.struct(*[c.alias(f) if direct else F.col(f) for f, c in columns.items()]), {"ignoreNullFields": "false"})
+    made, text = frame.withColumn(f"{name}_json", document), F.col(f"{name}_json")
+    plain = F.lit(direct) & (F.octet_length(text) == F.length(text)) & ~text.contains("\\u") & ~text.contains("\x7f")
+    canonical = F.coalesce(F.when(plain, text), canonical_json(F.when(~plain, text)))
+    return made.withColumn(name, sha256_text(canonical)).drop(f"{name}_json")
 
 
 #: Distinct rows that a leaf of a digest tree holds on average at most.

@@ -47,11 +47,11 @@ def compare_outcomes(cases: DataFrame, stored: DataFrame, recomputed: DataFrame,
     without a stored result is neither exact nor replayed, and asserts nothing.
     """
     fields = sorted(c for c in recomputed.columns if c != "result_sha256")
-    first = stored.select(
+    first = hashing.with_record_sha256(stored, fields, "_hash").select(
         "request_id", F.struct("workflow_status", "qualification", "reason_codes").alias("first"), F.col("assurance_checks.non_inference").alias("_inference"),
-        F.coalesce(F.size("evidence_refs"), F.lit(0)).alias("_refs"), F.col("bounded_statement").alias("_statement"), hashing.record_sha256(fields).alias("_hash"),
+        F.coalesce(F.size("evidence_refs"), F.lit(0)).alias("_refs"), F.col("bounded_statement").alias("_statement"), "_hash",
     )
-    second = recomputed.select("request_id", hashing.record_sha256(fields).alias("_again"))
+    second = hashing.with_record_sha256(recomputed, fields, "_again").select("request_id", "_again")
     unfounded = unsupported_ids.select("request_id", F.lit(True).alias("_unfounded"))
     joined = cases.join(first, "request_id", "left").join(second, "request_id", "left").join(unfounded, "request_id", "left")
     expected = F.struct(

@@ -243,3 +243,21 @@ def test_facts_meet_their_requests_once(spark):
     plan = records(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_extendedprice") > 0 and sum("Relation" in line and "l_orderkey" in line for line in plan.splitlines()) == 1
     assert "Window" not in plan and "MapInArrow" not in plan
+
+
+def test_record_hash_is_that_of_python_json(spark):
+    """Plain records are hashed from Spark's own JSON, in order of their names at every depth; others as Python prints them."""
+    schema = "id string, b struct<z:string,a:long,m:boolean>, list array<struct<y:string,x:array<string>>>, words array<string>"
+    refs = [{"y": "1", "x": ["p", None]}, None]
+    texts = ["plain", 'quote " slash / back \\', "tab\tline\n", "bell\x07 del\x7f", "é 雪 🙂", "\\u0041", "", None]
+    rows = [(t, {"z": t, "a": i, "m": i % 2 == 0} if i % 3 else None, refs if i % 2 else None, [t, None]) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, schema).repartition(2)
+    said = lambda value: json.dumps(value, sort_keys=True, separators=(",", ":"))
+    expected = {said(dict(zip(("id", "b", "list", "words"), row))) for row in rows}
+    hashes = {hashlib.sha256(text.encode()).hexdigest() for text in expected}
+    assert {r.h for r in hashing.with_record_sha256(frame, ["words", "id", "list", "b"], "h").collect()} == hashes
+    real = spark.createDataFrame([(1.10, {"k": 1})], "d double, m map<string,int>")
+    assert hashing.with_record_sha256(real, ["m", "d"], "h").first().h == hashlib.sha256(b'{"d":1.1,"m":{"k":1}}').hexdigest()
+    # of plain records none goes to Python: the function is given nulls
+    plan = hashing.with_record_sha256(frame, ["id", "words"], "h")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_ascii_json(CASE WHEN" in plan
