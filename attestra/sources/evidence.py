@@ -26,6 +26,12 @@ def read_documents(spark: SparkSession, path: str, *, one_per_file: bool = False
     )
 
 
+def scanned(documents: DataFrame) -> DataFrame:
+    """Each document with its identity, source and number of facts, written once: whatever is asked of the rows, a text is read and parsed a single time."""
+    head = F.struct("document.evidence_id", "document.source", F.size("document.facts").alias("fact_count"))
+    return cut_lineage(documents.select("path", "document_bytes", "document_sha256", F.when(F.col("document").isNotNull(), head).alias("document")))
+
+
 def document_violations(documents: DataFrame, max_bytes: int = fixed.MAX_EVIDENCE_BYTES) -> DataFrame:
     """Malformed or oversized documents and evidence ids used twice."""
     identifier = F.col("document.evidence_id")
