@@ -398,13 +398,24 @@ def _earliest(texts: list[bytes], sizes: np.ndarray, least: np.ndarray, length:
     return out
 
 
+def _alone(texts: list[bytes], length: int) -> np.ndarray:
+    """Whether no other text has the minimizer of a segment, so that no other can have one of its windows."""
+    least = []
+    for a in range(0, len(texts), PART // length):  # arrays that stay in the cache
+        firsts = np.frombuffer(b"".join([t[:length] for t in texts[a: a + PART // length]]), np.uint8)
+        least.append(least_of(grams(firsts), length - GRAM + 1)[::length])  # a segment's windows have one minimizer
+    _, of, n = np.unique(np.concatenate(least), return_inverse=True, return_counts=True)
+    return n[of] == 1
+
+
 def verdicts(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]], length: int = LENGTH, merge_symbols: int = MERGE_SYMBOLS,
              shard_symbols: int = SHARD_SYMBOLS) -> list[np.ndarray]:
     """For each block's segments a word of bits: bit w is set if window w also starts in a document before the segment's first.
 
     ``shards`` are (sizes, lanes, least document, bytes) of the distinct segments
     of each block. Segments that several blocks have become one, with the least
-    of their documents. Lanes share no window, so they are merged some at a time.
+    of their documents; one that then is its minimizer's only one meets no other.
+    Lanes share no window, so the others are merged some at a time.
     """
     known: dict[bytes, int] = {}
     numbers = []
@@ -417,10 +428,13 @@ def verdicts(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]], len
         np.minimum.at(least, number, first)
         lane[number] = lanes
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    alone = _alone(texts, length) if texts else np.zeros(0, bool)
+    windows = np.uint64(0xFFFFFFFFFFFFFFFF) >> (MOST_WINDOWS - (sizes - length + 1)).astype(np.uint64)
     order = np.argsort(lane, kind="stable")
-    total, opens = np.cumsum(sizes[order] + 1), np.flatnonzero(np.diff(lane[order], prepend=-1))
+    order = order[~alone[order]]
+    total, opens = np.cumsum(sizes[order] + 1), np.flatnonzero(np.diff(lane[order].astype(np.int64), prepend=-1))
     a = 0
-    answers = [np.zeros(len(n), np.uint64) for n in numbers]
+    answers = [np.where(alone[n] & (least[n] < mine), windows[n], np.uint64(0)) for n, (_, _, mine, _) in zip(numbers, shards)]
     where = [np.argsort(n, kind="stable") for n in numbers]
     weight = np.uint64(1) << np.arange(MOST_WINDOWS, dtype=np.uint64)
     while a < len(order):

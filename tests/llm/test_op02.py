@@ -134,3 +134,33 @@ def test_segments_of_a_hot_minimizer_do_not_meet_in_one_range(spark, monkeypatch
     sizes = {p.name: sum(map(int, p.read_text().split())) for p in tmp_path.iterdir()}
     regular = [n for r, n in sizes.items() if int(r) < max(map(int, sizes)) // 2]
     assert max(regular, default=0) < 200 and max(sizes.values()) < 300, sorted(sizes.values())[-5:]
+
+
+def test_segments_that_are_alone_with_their_minimizer_are_not_merged(monkeypatch):
+    blocks = [[t.encode() for _, t in mixed(seed, 25) if len(t) > 50] for seed in (3, 3, 4)]
+    shards, all_windows, first_id = [], {}, 0
+    for texts in blocks:
+        data, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
+        first, count, key, doc = op.segments(np.frombuffer(data, np.uint8), ends)
+        known, number = op._numbered(data, first, count, 50)
+        least, lanes = np.full(len(known), op.NO_ID), np.zeros(len(known), np.uint8)
+        np.minimum.at(least, number, doc + first_id)
+        lanes[number] = op._lane_of(key)
+        shards.append((np.array([len(t) for t in known]), lanes, least, b"".join(known)))
+        for text, i in zip(known, least.tolist()):
+            for k in range(len(text) - 49):
+                all_windows[text[k: k + 50]] = min(all_windows.get(text[k: k + 50], op.NO_ID), i)
+        first_id += len(texts)
+    merged, earliest = [], op._earliest
+    monkeypatch.setattr(op, "_earliest", lambda texts, *a: merged.extend(texts) or earliest(texts, *a))
+    answers = op.verdicts(shards, merge_symbols=4000, shard_symbols=1000)
+    everything = set()
+    for (sizes, _, least, data), answer in zip(shards, answers):
+        ends = np.cumsum(sizes).tolist()
+        for a, b, i, bits in zip([0, *ends], ends, least.tolist(), answer.tolist()):
+            everything.add(data[a:b])
+            assert bits == sum(1 << w for w in range(b - a - 49) if all_windows[data[a + w: a + w + 50]] < i)
+    least_gram = lambda t: op.grams(np.frombuffer(t[:50], np.uint8)).min()
+    of = {t: least_gram(t) for t in everything}
+    shared = [m for m in of.values()]
+    assert sorted(merged) == sorted(t for t, m in of.items() if shared.count(m) > 1) and 0 < len(merged) < len(everything)
