@@ -294,3 +294,15 @@ def test_uri_shortcuts_agree_with_the_parts(spark):
         uri.secure_address(c).alias("a"), ((uri.scheme(c) == "https") & (uri.host(c) != "")).alias("a0"), uri.query_names(c).alias("n"), names.alias("n0"))
     for r in frame.collect():
         assert (r.s, r.a, r.n) == (r.s0, r.a0, r.n0), r
+
+
+def test_pairs_of_points_and_polygons_come_shape_by_shape(spark):
+    """So the same polygons follow each other in the same order, which takes little room when written."""
+    square = lambda low, high: [(low, low), (high, low), (high, high), (low, high), (low, low)]
+    corners = [(p, seq, x, y) for p in range(40) for seq, (x, y) in enumerate(square(0.0, 10.0) if p % 2 else square(1.0, 12.0))]
+    edges = geometry.edges(spark.createDataFrame(corners, "polygon_id long, seq long, x double, y double"), ["polygon_id"])
+    places = [(i, 2.0 + i % 20 * 0.4, 2.0 + i // 20 * 0.7) for i in range(200)]
+    made = geometry.contained(spark.createDataFrame(places, "point_id long, x double, y double"), edges, "polygon_id", 5.0).collect()
+    assert sorted((r.point_id, r.polygon_id) for r in made) == [(i, p) for i in range(200) for p in range(40)]
+    shapes = [r.polygon_id % 2 for r in made]
+    assert sum(a != b for a, b in zip(shapes, shapes[1:])) <= 2 * geometry.SALTS
